@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .langid import op8_language_id
+from .pii import op6_pii
+from .quality import op3_quality
+from .secrets import op10_secrets
 from .sharding import op2_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op6_pii": op6_pii,
+    "op8_language_id": op8_language_id,
+    "op10_secrets": op10_secrets,
 }
 
 #: Checksums, perfect hashes, models and fixpoints aren't expressible in the oracle's SQL; tests/llm compares those
