@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .langid import op8_language_id
+from .minhash import op7_minhash
 from .pii import op6_pii
 from .quality import op3_quality
 from .secrets import op10_secrets
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op6_pii": op6_pii,
+    "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
     "op10_secrets": op10_secrets,
 }
