@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .decontaminate import op1_decontamination
 from .langid import op8_language_id
 from .minhash import op7_minhash
 from .pii import op6_pii
@@ -15,6 +16,7 @@ from .secrets import op10_secrets
 from .sharding import op2_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
