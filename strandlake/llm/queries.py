@@ -14,12 +14,14 @@ from .pii import op6_pii
 from .quality import op3_quality
 from .secrets import op10_secrets
 from .sharding import op2_sharding
+from .substrings import op5_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op5_substrings": op5_substrings,
     "op6_pii": op6_pii,
     "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
