@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .decontaminate import op1_decontamination
+from .embeddings import op9_embeddings
 from .langid import op8_language_id
 from .minhash import op7_minhash
 from .pii import op6_pii
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
+    "op9_embeddings": op9_embeddings,
     "op10_secrets": op10_secrets,
 }
 
