@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import read_queries
+from . import read_queries, table_queries
 
-QUERIES = dict(read_queries.QUERIES)
-SQL = dict(read_queries.SQL)
+QUERIES = read_queries.QUERIES | table_queries.QUERIES
+SQL = read_queries.SQL | table_queries.SQL
