@@ -180,7 +180,7 @@ def _sent(block: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, bucke
     order = np.argsort(bucket, kind="stable")
     keys, low, high, bucket = keys[order], low[order], high[order], bucket[order]
     at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() if len(bucket) else []
-    cut = list(zip(at, [*at[1:], len(bucket)], strict=True))
+    cut = list(zip(at, [*at[1:], len(bucket)][: len(at)], strict=True))
     blob = lambda x: pa.array([x[a:b].tobytes() for a, b in cut], pa.binary())
     return pa.table({"_block": pa.array([block] * len(cut), pa.int32()), "_bucket": pa.array([int(bucket[a]) for a in at], pa.int32()), "keys": blob(keys), "low": blob(low), "high": blob(high)})
 
