@@ -123,9 +123,9 @@ def read_fastq(spark: SparkSession, path: str, mode: str = "FAILFAST", validate_
                     at, held, ready, number = (file, block), [], False, 0
                 held.append(value)
             out += flush(False)
-            yield pd.DataFrame(out, columns=columns).astype({"block": "Int64", "number": "Int64"})
+            yield pd.DataFrame(out, columns=columns, dtype=object)
         if at:
-            yield pd.DataFrame(flush(True), columns=columns).astype({"block": "Int64", "number": "Int64"})
+            yield pd.DataFrame(list(flush(True)), columns=columns, dtype=object)
 
     parts = lines.mapInPandas(split, "id string, sequence string, quality string, file string, block long, number long, line string")
     edges = parts.where("file is not null").select("file", "block", "number", "line")

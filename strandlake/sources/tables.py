@@ -43,7 +43,7 @@ def read_power_log(spark: SparkSession, path: str) -> DataFrame:
     )
     before = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     filled = marked.withColumn("at", F.last("at", ignorenulls=True).over(before)).where("cpu_power_mw is not null and at is not null")
-    return filled.select(F.to_timestamp("at", "EEE MMM d HH:mm:ss yyyy Z").alias("timestamp"), "cpu_power_mw")
+    return filled.select(F.to_timestamp(F.regexp_replace("at", r"^\w+ +", ""), "MMM d HH:mm:ss yyyy Z").alias("timestamp"), "cpu_power_mw")
 
 
 def write_results(df: DataFrame, path: str, file_format: str = "parquet") -> None:
