@@ -42,6 +42,11 @@ def characters(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is read, also where it is itself an expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def complexity(sequence: Column) -> Column:
     """Distinct characters over min(length, 4); 0 for an empty sequence; exceeds 1 for more than four letters."""
     return F.when(F.length(sequence) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(F.split(sequence, ""))) / F.least(F.length(sequence), F.lit(4)))
@@ -88,8 +93,12 @@ def trim_position(sequence: Column, adapter: str, overlap: int) -> Column:
 
 def kmers(sequence: Column, k: int) -> Column:
     """All windows of k characters; empty for a shorter sequence."""
-    windows = F.transform(F.sequence(F.lit(1), F.length(sequence) - k + 1), lambda i: F.substring(sequence, i, F.lit(k)))
-    return F.when(F.length(sequence) >= k, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(s: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))
+        return F.when(F.length(s) >= k, found).otherwise(F.array().cast("array<string>"))
+
+    return bound(sequence, windows)
 
 
 def is_clean(kmer: Column) -> Column:
@@ -99,11 +108,18 @@ def is_clean(kmer: Column) -> Column:
 
 def translated(sequence: Column, frame: int) -> Column:
     """Protein up to the first stop; an unknown codon is X; an incomplete last codon is left out."""
-    codons = ["".join(c) for c in product("TCAG", repeat=3)]
-    table = F.create_map(*[F.lit(x) for pair in zip(codons, AMINO_ACIDS, strict=True) for x in pair])
-    n = F.floor((F.length(sequence) - frame) / 3).cast("int")
-    letters = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.element_at(table, F.substring(sequence, i * 3 + 1 + frame, F.lit(3))), F.lit("X")))
-    return F.when(n >= 1, F.substring_index(F.array_join(letters, ""), "*", 1)).otherwise("")
+
+    def protein(s: Column) -> Column:
+        n = F.floor((F.length(s) - frame) / 3).cast("int")
+
+        def amino_acid(i: Column) -> Column:
+            a, b, c = (F.instr(F.lit("TCAG"), F.substring(s, i * 3 + 1 + frame + k, F.lit(1))) for k in range(3))
+            return F.when(F.least(a, b, c) > 0, F.substring(F.lit(AMINO_ACIDS), a * 16 + b * 4 + c - 20, F.lit(1))).otherwise("X")
+
+        letters = F.transform(F.sequence(F.lit(0), n - 1), amino_acid)
+        return F.when(n >= 1, F.substring_index(F.array_join(letters, ""), "*", 1)).otherwise("")
+
+    return bound(sequence, protein)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -122,10 +138,15 @@ def two_bit_hex(sequence: Column) -> Column:
 
     Two letters make one hexadecimal digit, so the packing is a split and two table lookups on built-in functions.
     """
-    padded = F.rpad(two_bit_letters(sequence), F.ceil(F.length(sequence) / 4).cast("int") * 4, "A")
     digit = F.create_map(*[F.lit(x) for i, pair in enumerate(product("ACGT", repeat=2)) for x in ("".join(pair), f"{i:X}")])
-    pairs = F.transform(F.sequence(F.lit(0), F.ceil(F.length(sequence) / 4).cast("int") * 2 - 1), lambda i: digit[F.substring(padded, i * 2 + 1, F.lit(2))])
-    return F.when(F.length(sequence) > 0, F.array_join(pairs, "")).otherwise("")
+
+    def packed(s: Column) -> Column:
+        nibbles = F.ceil(F.length(s) / 4).cast("int") * 2
+        padded = F.rpad(s, nibbles * 2, "A")
+        found = bound(padded, lambda p: F.transform(F.sequence(F.lit(0), nibbles - 1), lambda i: digit[F.substring(p, i * 2 + 1, F.lit(2))]))
+        return F.when(F.length(s) > 0, F.array_join(found, "")).otherwise("")
+
+    return bound(two_bit_letters(sequence), packed)
 
 
 def two_bit_encode(sequence: Column) -> Column:

@@ -21,10 +21,13 @@ def kmer_extraction(df: DataFrame, k: int = KMER, deduplicate: bool = False) ->
     Deduplication keeps the first occurrence in each read; it works inside the row, without a shuffle.
     """
     _check(k)
-    windows = df.select("id", "quality", S.kmers(F.col("sequence"), k).alias("_w"))
-    flat = windows.select("id", "quality", "_w", F.posexplode("_w").alias("_i", "kmer")).where(S.is_clean(F.col("kmer")))
     if deduplicate:
-        flat = flat.where(F.array_position("_w", F.col("kmer")) == F.col("_i") + 1)
+        windows = df.select("id", "quality", S.kmers(F.col("sequence"), k).alias("_w"))
+        first = F.filter(F.transform("_w", lambda x, i: F.when(F.array_position("_w", x) == i + 1, F.struct(i.alias("_i"), x.alias("kmer")))), lambda x: x.isNotNull())
+        flat = windows.select("id", "quality", F.explode(first).alias("_x")).select("id", "quality", "_x._i", "_x.kmer")
+    else:
+        flat = df.select("id", "quality", F.posexplode(S.kmers(F.col("sequence"), k)).alias("_i", "kmer"))
+    flat = flat.where(S.is_clean(F.col("kmer")))
     return flat.select(F.concat("id", F.lit("_kmer_"), F.col("_i").cast("string")).alias("id"), F.col("kmer").alias("sequence"), F.substring("quality", F.col("_i") + 1, F.lit(k)).alias("quality"))
 
 
