@@ -1,4 +1,4 @@
-"""Connected components of a link table, by label exchange and pointer jumping."""
+"""Connected components of a link table, by hanging nodes on smaller neighbours and contracting."""
 
 from __future__ import annotations
 
@@ -11,18 +11,30 @@ from .common import checkpointed
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) for every node of the links (a, b).
 
-    Each round takes the smallest label among a node and its neighbours, then the label of that label, so the rounds
-    needed grow with the logarithm of a component's diameter. All steps are joins and minimum aggregations; the labels
-    are checkpointed after each round. Links with a null end are ignored; no links give no nodes.
+    Each round hangs every node on its smallest neighbour, if that is smaller, follows these parents to their roots by
+    doubling, and puts the roots in the links' places. Links inside a tree vanish, so later rounds see few. All steps are
+    joins and minimum aggregations on checkpointed tables. Links with a null end are ignored; no links give no nodes.
     """
-    links = links.where("a is not null and b is not null")
-    both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    ends = links.where("a is not null and b is not null").select(F.least("a", "b").alias("_u"), F.greatest("a", "b").alias("_v"))
+    edges = checkpointed(ends.distinct())
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        closer = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        of = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = checkpointed(closer.join(of, "label").select("node", "was", F.least("label", "next").alias("label")))
-        if labels.where("label <> was").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
+        both = edges.select(F.col("_u").alias("node"), F.col("_v").alias("near")).union(edges.select("_v", "_u"))
+        parents = checkpointed(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")))
+        while True:
+            above = parents.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+            parents = checkpointed(parents.join(above, "root").select("node", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("moved")))
+            if parents.where("moved").isEmpty():
+                break
+            parents = parents.select("node", "root")
+        parents = parents.select("node", "root")
+        if labels is None:
+            labels = parents.select("node", F.col("root").alias("component"))
+        else:
+            higher = parents.select(F.col("node").alias("component"), "root")
+            labels = checkpointed(labels.join(higher, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        left = edges.join(parents.select(F.col("node").alias("_u"), F.col("root").alias("_ru")), "_u")
+        right = left.join(parents.select(F.col("node").alias("_v"), F.col("root").alias("_rv")), "_v").where("_ru <> _rv")
+        edges = checkpointed(right.select(F.least("_ru", "_rv").alias("_u"), F.greatest("_ru", "_rv").alias("_v")).distinct())
+        if edges.isEmpty():
+            return labels
