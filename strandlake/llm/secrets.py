@@ -3,9 +3,13 @@
 The base finds assignments, access keys and hexadecimal runs by pattern. The method adds spans: the credentials that the
 base labels in a bounded sample of documents are read as strings of character classes into a prefix tree, one for each
 kind, whose statistically compatible states are merged (the Hoeffding test of the ALERGIA algorithm). Another automaton
-is inferred from ordinary long tokens. Every candidate token of every text is then scored by the likelihood of its
-format: the best credential automaton against the ordinary one, in nats a character. A candidate is a secret where that
-exceeds every ordinary token of the sample by a margin.
+is inferred from unlabelled long tokens. These are no certain negatives, as credentials that the base misses are among
+them: it is inferred first from the half that is least like a credential, and then again from all tokens but those found.
+Every candidate token of every text is then scored by the likelihood of its format: the best credential automaton against
+the ordinary one, in nats a character. The threshold lies halfway between the outer fence of the ordinary scores (three
+quartile ranges over the third quartile, 0 at least) and the least twentieth of held-out labelled credentials; where
+these don't stand apart, it is the fence and a margin. No single token sets it. As two formats can both be strange to the
+ordinary automaton, a credential automaton must also explain the token about as well as it does held-out credentials.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned alike; without labelled credentials
 only the base finds spans; an empty table gives an empty result; other columns are ignored.
@@ -30,13 +34,17 @@ LEARNED = "learned"
 #: Documents sampled for training, distinct tokens kept of each kind, and the longest token learned from.
 TRAIN_DOCS, TRAIN_TOKENS, TRAIN_CHARS = 20_000, 400, 200
 MARGIN = 0.1
+#: By how much a token may fit the credential automata worse than the least twentieth of held-out credentials does.
+FIT = 0.5
+#: One labelled credential in so many is held out of the automata, in kinds that have that many; rounds of the ordinary one.
+HELD_OUT, ROUNDS = 5, 5
 MASK = "[SECRET]"
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_.=-]{14,})[A-Za-z0-9=]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+/_.=-]{10,})[A-Za-z0-9=]")
 _CLASS = {c: ("d" if c.isdigit() else "a" if c in "abcdef" else "A" if c in "ABCDEF" else "z" if c.islower() else "Z" if c.isupper() else c) for c in map(chr, range(33, 127))}
 _SIZE = {"d": 10, "a": 6, "A": 6, "z": 20, "Z": 20}
 
@@ -156,20 +164,54 @@ class Automaton:
         return (total + self.end[at]) / (len(token) + 1)
 
 
+def _quantile(sorted_values: list[float], share: float) -> float:
+    return sorted_values[int(share * (len(sorted_values) - 1))]
+
+
+def _threshold(ordinary: list[float], held: list[float]) -> float:
+    """From the scores of unlabelled tokens, of which up to a quarter may be credentials, and of held-out credentials."""
+    ordinary, fence = sorted(ordinary), 0.0
+    if ordinary:
+        low, high = _quantile(ordinary, 0.25), _quantile(ordinary, 0.75)
+        fence = max(0.0, high + 3 * (high - low))
+    least = _quantile(sorted(held), 0.05)
+    return (fence + least) / 2 if least > fence + 2 * MARGIN else fence + MARGIN
+
+
 class Detector:
     """The automata of all kinds and the score from which a candidate is a secret."""
 
     def __init__(self, tokens: dict[str, list[str]]):
-        self.kinds = [Automaton(tokens[k]) for k in KINDS if tokens.get(k)]
-        ordinary = tokens.get("") or []
-        self.ordinary = Automaton(ordinary) if ordinary else None
-        self.threshold = max([0.0, *map(self.score, ordinary)]) + MARGIN if self.kinds else math.inf
+        self.kinds, held = [], []
+        for k in KINDS:
+            if found := tokens.get(k):
+                apart = found[::HELD_OUT] if len(found) >= HELD_OUT else []
+                self.kinds.append(Automaton([t for i, t in enumerate(found) if not apart or i % HELD_OUT]))
+                held += apart or found
+        self.ordinary, self.threshold, self.least_fit = None, math.inf, math.inf
+        if not self.kinds:
+            return
+        self.least_fit = _quantile(sorted(map(self.fit, held)), 0.05) - FIT
+        mixed = tokens.get("") or []
+        usual = sorted(mixed, key=lambda t: (self.fit(t), t))[: (len(mixed) + 1) // 2]
+        for _ in range(ROUNDS):
+            self.ordinary = Automaton(usual) if usual else None
+            self.threshold = _threshold([*map(self.score, mixed)], [*map(self.score, held)])
+            before, usual = usual, [t for t in mixed if not self.found(t)]
+            if set(before) == set(usual):
+                break
+
+    def fit(self, token: str) -> float:
+        return max((a.likelihood(token) for a in self.kinds), default=-math.inf)
+
+    def found(self, token: str) -> bool:
+        return self.fit(token) >= self.least_fit and self.score(token) > self.threshold
 
     def score(self, token: str) -> float:
         if not self.kinds:
             return -math.inf
         usual = self.ordinary.likelihood(token) if self.ordinary else math.log(1 / 68)
-        return max(a.likelihood(token) for a in self.kinds) - usual
+        return self.fit(token) - usual
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans with the learned ones that touch no base span."""
@@ -177,7 +219,7 @@ class Detector:
         more = []
         if self.kinds:
             for m in _CANDIDATE.finditer(text):
-                if not any(a < m.end() and m.start() < b for _, a, b in base) and self.score(m[0]) > self.threshold:
+                if not any(a < m.end() and m.start() < b for _, a, b in base) and self.found(m[0]):
                     more.append((LEARNED, m.start(), m.end()))
         return base, sorted(base + more, key=lambda s: (s[1], (*KINDS, LEARNED).index(s[0]))) if more else base
 

@@ -349,6 +349,21 @@ def test_redaction(spark):
     assert [r["t"] for r in df.select("doc_id", secrets.redacted(d, df["text"], spark).alias("t")).orderBy("doc_id").collect()] == ["a [SECRET] z", None, "plain"]
 
 
+def test_learned_spans_find_keys_without_a_keyword(spark):
+    """On a table smaller than the sample, so that every bare key is among the tokens learned from; addresses stay out."""
+    import random
+    import string
+
+    r = random.Random(2)
+    key = lambda n: "ghp_" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    word = lambda: "".join(r.choice(["ton", "re", "si", "ma", "lu", "ven", "dor", "pa"]) for _ in range(6))
+    bare = [key(36) for _ in range(15)] + [key(8) for _ in range(3)]
+    texts = [" ".join(word() for _ in range(8)) + f" {r.randint(100, 255)}.{r.randint(100, 255)}.{r.randint(100, 255)}.7" for _ in range(100)]
+    texts += [f"{word()} token={key(r.choice([8, 36]))}" for _ in range(40)] + [f"{word()} {k} {word()}" for k in bare]
+    d = secrets.learn(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(t[a:b] for t in texts for k, a, b in d.spans(t)[1] if k == secrets.LEARNED) == sorted(bare)
+
+
 def test_skip_chain_carries_evidence():
     """A token that looks unclear alone follows the label of its distant repeat."""
     a, b = [("clear",)], [("unclear",)]
