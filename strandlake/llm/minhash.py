@@ -4,11 +4,14 @@ Every permutation of a document's shingle hashes gives two signature values, its
 hash evaluations fill the signature. Bands of BAND values go into one table of (band key, document); documents that
 share a key are candidates, and candidates are confirmed on their full shingle sets.
 
-No group is expanded into all its pairs. Equal sets are collapsed to their smallest doc_id first. A document in a band
-key's group is compared with the group's leader (another one under each key) and with its neighbour in a random order
-under each key. Where a large group still holds several components, its documents are grouped again by pairs of band
-keys, which only very similar ones share, and documents of different components are compared there. Groups are counted
-by partial aggregation, and the neighbour order runs over salted parts of bounded size.
+Equal sets are collapsed to their smallest doc_id first. A document in a band key's group is compared with the group's
+leader (another one under each key) and with two neighbours in a random order under each key; groups of up to COVERED
+documents have no other pairs. Where a larger group still holds several components, all its pairs across components are
+compared, by exact counts: the group is cut into salted blocks of bounded size, every two blocks meet in one task as an
+incidence matrix of their shingles, and only links that join components come back. So every two similar documents that
+share a band key end in one component; no rows are made for pairs there, but the work grows with the square of such a
+group. Groups of the same documents are compared once. Groups are counted by partial aggregation, and the neighbour order
+runs over salted parts of bounded size.
 
 Defined results: a null text and one without words have no set, link with nothing and are kept; repeated rows share
 their class; rows with a null doc_id get their class's component and aren't kept where that has a doc_id; of one doc_id
@@ -28,12 +31,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, WHITE, checkpointed, documents, mix, words_of
+from .embeddings import Forest
 from .graph import components
 
 SIMILARITY = 80  # per cent
 BAND, BANDS = 5, 32
-#: Rows of a group that one neighbour order holds, and the size from which a group is looked at again.
-PART, LARGE = 4096, 24
+#: Rows of a group that one neighbour order holds, and the size up to which leader and two neighbours make all pairs.
+PART, COVERED = 4096, 3
+#: Documents and shingles of a block, two of which meet in a task.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
+#: Shingles in more documents of a task than this are counted by matrix products, so many columns at a time.
+_DENSE, _COLUMNS = 32, 1024
 _PERMUTATIONS = BAND * BANDS // 2
 _FACTORS = mix(np.arange(1, _PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -136,7 +144,7 @@ def _ordered(node: Column, other: Column) -> Column:
 def _near(rows: DataFrame, lags: int) -> Column:
     """The nodes just before this one in its salted part of a group, in an order that differs by key."""
     order = W.partitionBy("key", "_part").orderBy(F.xxhash64("node", "key", F.lit(0)), "node")
-    return F.array(*[F.lag(F.struct("node", "component") if "component" in rows.columns else F.struct("node"), k).over(order) for k in range(1, lags + 1)])
+    return F.array(*[F.lag("node", k).over(order) for k in range(1, lags + 1)])
 
 
 def _part(n: Column) -> Column:
@@ -150,28 +158,73 @@ def groups(keys: DataFrame) -> DataFrame:
 
 
 def first_pairs(grouped: DataFrame) -> DataFrame:
-    """Each node with its group's leader and the node before it."""
+    """Each node with its group's leader and the two nodes before it."""
     rows = grouped.select("key", "node", "leader", _part(F.col("n")))
-    with_near = rows.select("node", F.concat(F.array("leader"), F.transform(_near(rows, 1), lambda x: x["node"])).alias("others"))
+    with_near = rows.select("node", F.concat(F.array("leader"), _near(rows, 2)).alias("others"))
     return with_near.select("node", F.explode("others").alias("other")).where("other <> node").select(_ordered(F.col("node"), F.col("other")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def second_pairs(grouped: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs across components for large groups that hold several: nodes that meet under three pairs of band keys.
-
-    Nodes at the least similarity share about a third of the band keys, and so about fifty of their pairs.
-    """
-    labelled = grouped.where(F.col("n") > LARGE).join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
-    open_nodes = labelled.join(mixed, "key").select("node", "component").distinct().join(classes.select("node", "bands"), "node")
-    twos = F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
-    keys = open_nodes.select("node", "component", F.explode(twos).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key", "n")
-    rows = keys.join(shared, "key").select("key", "node", "component", _part(F.col("n")))
-    beside = rows.select("node", "component", _near(rows, 4).alias("others"))
-    across = beside.select("node", "component", F.explode("others").alias("o")).where("o.component <> component")
-    met = across.select(_ordered(F.col("node"), F.col("o.node")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("times"))
-    return met.where("times > 2").select("a", "b")
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every two of the sets share (above the diagonal)."""
+    n = len(sets)
+    row, shingle = np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets)
+    order = np.argsort(shingle, kind="stable")
+    row, shingle = row[order], shingle[order]
+    first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    many = np.repeat(np.diff(np.r_[first, len(shingle)]), np.diff(np.r_[first, len(shingle)]))
+    x, y = row[(many > 1) & (many <= _DENSE)], shingle[(many > 1) & (many <= _DENSE)]
+    out = np.zeros(n * n, np.int64)
+    for k in range(1, min(_DENSE, len(y))):
+        met = np.flatnonzero(y[k:] == y[:-k])
+        if not len(met):
+            break
+        np.add.at(out, x[met] * n + x[met + k], 1)
+    out = out.reshape(n, n)
+    x, y = row[many > _DENSE], np.unique(shingle[many > _DENSE], return_inverse=True)[1]
+    for a in range(0, int(y[-1]) + 1 if len(y) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(y, [a, a + _COLUMNS])
+        there = np.zeros((n, _COLUMNS), np.float32)
+        there[x[lo:hi], y[lo:hi] - a] = 1
+        out += (there @ there.T).astype(np.int64)
+    return np.triu(out, 1)
+
+
+def joins(sets: list[np.ndarray], component: np.ndarray, least: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components that similar sets join, as a spanning forest."""
+    names, label = np.unique(component, return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    common = common_counts(sets)
+    i, j = np.nonzero(common)
+    c = common[i, j]
+    near = (label[i] != label[j]) & (100 * c >= least * (size[i] + size[j] - c))
+    a, b = Forest(len(names)).add(label[i[near]], label[j[near]])
+    return names[a], names[b]
+
+
+def open_groups(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, node, component) of groups that may hold uncompared pairs across components, one for equal groups."""
+    labelled = grouped.where(F.col("n") > COVERED).join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    print_ = F.struct(F.count("*"), F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("_print")
+    counts = labelled.groupBy("key").agg(print_, F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
+    return labelled.join(counts.groupBy("_print").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def remaining_links(opened: DataFrame, df: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) between components, by exact comparison of all pairs across components within the groups."""
+    nodes = opened.select(F.col("node").alias("doc_id")).distinct()
+    texts = df.select("doc_id", "text").where("text is not null").join(nodes, "doc_id").distinct().select(F.col("doc_id").alias("node"), "text", F.octet_length("text").alias("_bytes"))
+    sizes = opened.join(texts.select("node", "_bytes"), "node").groupBy("key").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("_bytes") / 2 / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
+    own = opened.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("_blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: x != F.col("_own"))
+    placed = own.select("key", "node", "component", "_own", F.explode(others).alias("_other"))
+    dealt = placed.select("key", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "node", "component").join(texts.select("node", "text"), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [s for batch in table.select(["text"]).to_batches(max_chunksize=_ROWS) for s in shingle_sets(batch.column(0), size)]
+        a, b = joins(sets, table.column("component").to_numpy())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "_lo", "_hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, size: int = 5) -> DataFrame:
@@ -182,7 +235,7 @@ def near_duplicates(df: DataFrame, size: int = 5) -> DataFrame:
     grouped = checkpointed(groups(classes.select("node", F.explode("bands").alias("key"))))
     links = checkpointed(confirmed(first_pairs(grouped), df, size))
     labels = components(links)
-    more = checkpointed(confirmed(second_pairs(grouped, labels, classes), df, size))
+    more = checkpointed(remaining_links(checkpointed(open_groups(grouped, labels)), df, size))
     if not more.isEmpty():
         labels = components(links.union(more))
     found = classes.select("set_digest", "node").join(labels, "node", "left").select("set_digest", F.coalesce("component", "node").alias("_component"))

@@ -128,6 +128,32 @@ def test_minhash_large_group(spark):
     assert by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute_near(rows, 2)
 
 
+def test_minhash_group_in_many_components(spark):
+    """Similar pairs in a large group whose other documents share much of a core, but are under the least similarity."""
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for i in range(0, 2400, 2):
+        words = [f"w{k}" for k in range(100)]
+        changed = r.sample(range(100), 9)
+        for k in changed:
+            words[k] = f"x{i}y{k}"
+        near = list(words)
+        for k in changed[:5] + r.sample([k for k in range(100) if k not in changed], 6):
+            near[k] = f"z{i}y{k}"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(near))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1)
+    assert by_id(found) == sorted(((i, 100, i - i % 2, i % 2 == 0) for i in range(2400)), key=repr)
+
+
+def test_common_counts():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 300, r.integers(1, 90)).astype(np.uint64)) for _ in range(70)] + [np.arange(10**9, 10**9 + k, dtype=np.uint64) for k in (1, 5)]
+    got = minhash.common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j))
+
+
 def test_decontamination(spark, hard, hard_rows):
     from .conftest import prose
 
