@@ -269,6 +269,20 @@ def test_embeddings(spark):
     assert by_id(embeddings.near_duplicates(df, block=60)) == want
 
 
+def test_tight_groups_at_the_threshold():
+    """Groups of nearly equal vectors: centres out of reach of each other, members at 0.95 and a little over."""
+    r = np.random.default_rng(3)
+    far, missing = embeddings.reach(0.95), 0
+    for _ in range(200):
+        u, v = np.linalg.qr(r.normal(size=(64, 2)))[0].T
+        angle = 2 * np.arcsin(far / 2)
+        on = lambda t: np.cos(t) * u + np.sin(t) * v  # noqa: B023, E731
+        x, y = np.stack([on(0.0), on(3e-4)]), np.stack([on(angle + 5.9e-4), on(angle + 2.95e-4)])
+        got = {(int(i), int(j)) for p, q in embeddings.linked(x, y, embeddings.Tree(x), embeddings.Tree(y)) for i, j in zip(p, q, strict=True)}
+        missing += got != {(int(i), int(j)) for i, j in np.argwhere(x @ y.T >= 0.95)}
+    assert missing == 0
+
+
 def test_language(spark, hard, hard_rows):
     profiles = langid.learn(hard)
     got = {r["doc_id"]: r["_p2"]["lang_pred"] for r in hard.withColumn("_p2", langid.predicted(profiles, hard["text"], spark)).collect()}
