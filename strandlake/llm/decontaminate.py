@@ -1,13 +1,19 @@
 """Benchmark decontamination with SimHash windows.
 
-An item of n words is looked for in windows of n words of every document. A window's 64-bit SimHash is looked up in a
-multi-index: eight blocks of eight bits, each listing the items within two bits, so that every item within RADIUS bits
-is found (if all blocks differed by three or more, 24 bits would). Candidates are confirmed by the exact similarity of
-the weighted (counted) shingles of window and item. Only windows that can reach the similarity are hashed: those in
-which at least that share of the positions starts a shingle of the item.
+An item of n shingles is looked for in every window of n shingles of every document (the whole document, where that is
+shorter). A window's 128-bit SimHash is looked up in a multi-index of eight blocks of 16 bits: two fingerprints within
+RADIUS = 38 bits differ by at most 4 bits in some block, so the items whose block is that near, checked by the whole
+distance, are all items within the radius. Candidates are confirmed by the exact similarity of the weighted (counted)
+shingles of window and item. Windows at the least similarity of 0.8 share eight ninths of their shingles; their
+fingerprints then differ by 19 bits on average with a deviation of 4, so the radius misses about two in a million.
 
-Items are cut into blocks of about BLOCK_BYTES of text, whatever their number; one block at a time is brought to the
-driver, indexed and broadcast. Documents are never shuffled.
+Not all windows are hashed, but none is lost by that: the lesser counts of a window's shingles sum up to at least
+SIMILARITY * n, and every one of them is a position of the window at which a shingle of the item starts. So a window with
+fewer such positions can't reach the similarity. Positions are found in one sorted table of the items' shingles, counted
+by differences of ranks, and only windows with enough of them are fingerprinted, by rolling votes.
+
+Items are cut into blocks of about BLOCK_BYTES of text, whatever their number. CHUNK blocks at a time are indexed and
+broadcast, and their matches are written before the next ones are read. Documents are never shuffled.
 
 Words are lower-cased (A-Z) and end at white space and ASCII punctuation. Shingles have SHINGLE words, or all words of a
 shorter item. Defined results: null or empty items and texts match nothing; equal items each match; of several windows
@@ -17,22 +23,26 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE_OR_PUNCTUATION, blocks_for, documents, mix, text_bytes, words_of
+from .common import LOWER, WHITE_OR_PUNCTUATION, blocks_for, checkpointed, documents, mix, text_bytes, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 23
-BLOCK_BYTES = 2 << 20
+#: Bits of a fingerprint, bits of a block, greatest distance of fingerprints, and of blocks of which one is that near.
+BITS, PART, RADIUS = 128, 16, 38
+NEAR = RADIUS // (BITS // PART)
+BLOCK_BYTES, CHUNK = 2 << 20, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BITS = np.arange(64, dtype=np.uint64)
-_NEAR = [[y for y in range(256) if (x ^ y).bit_count() <= 2] for x in range(256)]
+_SHIFTS = np.arange(64, dtype=np.uint64)
 _SIEVE = 20
-_ROWS = 1024
+_ROWS, _WINDOWS = 1024, 2048
 
 LEAKS = "array<struct<item_id:bigint,similarity:double,start_word:bigint,n_words:bigint>>"
 
@@ -46,10 +56,19 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def simhash(hashes: np.ndarray) -> int:
-    """A bit is set where more of the shingles, counted with their repeats, have it set than not."""
-    votes = (hashes[:, None] >> _BITS & np.uint64(1)).sum(0, dtype=np.int64) * 2 > len(hashes)
-    return int((votes.astype(np.uint64) << _BITS).sum(dtype=np.uint64))
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """Each shingle's bits, a row of 0 and 1."""
+    return np.concatenate([x[:, None] >> _SHIFTS & np.uint64(1) for x in (hashes, mix(hashes + _STEP))], 1).astype(np.int32)
+
+
+def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHashes of windows of `size` shingles as rows of 16-bit blocks, by rolling votes: a bit is set where more than
+    half of the shingles, counted with their repeats, have it set."""
+    total = np.zeros((len(hashes) + 1, BITS), np.int32)
+    np.cumsum(_votes(hashes), 0, out=total[1:])
+    end = np.minimum(starts + size, len(hashes))
+    bits = (total[end] - total[starts]) * 2 > (end - starts)[:, None]
+    return np.packbits(bits, 1).view(np.uint16)
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -72,45 +91,56 @@ class Index:
                 size = min(SHINGLE, len(own))
                 by_size.setdefault(size, []).append(len(self.ids))
                 self.ids.append(item_id), self.sizes.append(len(own)), self.own.append(shingles(own, size))
-        prints = [simhash(x) for x in self.own]
-        self.prints = np.array(prints, np.uint64)
-        self.blocks: list[dict[int, list[int]]] = [{} for _ in range(8)]
-        for i, p in enumerate(prints):
-            for b, table in enumerate(self.blocks):
-                for near in _NEAR[p >> 8 * b & 255]:
-                    table.setdefault(near, []).append(i)
+        self.prints = np.concatenate([fingerprints(x, np.zeros(1, np.int64), len(x)) for x in self.own]) if self.own else np.zeros((0, BITS // PART), np.uint16)
+        # For each block, the values that occur, and the items that have each.
+        self.blocks = []
+        for b in range(BITS // PART):
+            order = np.argsort(self.prints[:, b], kind="stable")
+            found, first = np.unique(self.prints[order, b], return_index=True)
+            self.blocks.append((found, np.split(order, first[1:])))
         self.tables = {}
         for size, members in by_size.items():
             every = np.concatenate([self.own[i] for i in members])
             item = np.repeat(members, [len(self.own[i]) for i in members])
-            offset = np.concatenate([np.arange(len(self.own[i])) for i in members])
-            order = np.argsort(every, kind="stable")
+            once = np.unique(np.stack([every, item.astype(np.uint64)]), axis=1)
+            every, item = once[0], once[1].astype(np.int64)
             sieve = np.zeros(1 << _SIEVE, bool)
             sieve[every >> np.uint64(64 - _SIEVE)] = True
-            self.tables[size] = (every[order], item[order], offset[order], sieve)
+            self.tables[size] = (every, item, sieve)
 
-    def lookup(self, fingerprint: int) -> list[int]:
+    def lookup(self, fingerprint: np.ndarray) -> list[int]:
         """All items within RADIUS bits."""
-        found = np.array(sorted({i for b, table in enumerate(self.blocks) for i in table.get(fingerprint >> 8 * b & 255, ())}), np.int64)
-        return found[np.bitwise_count(self.prints[found] ^ np.uint64(fingerprint)) <= RADIUS].tolist() if len(found) else []
-
-    def _windows(self, found: tuple[np.ndarray, np.ndarray, np.ndarray], last: int) -> set[tuple[int, int]]:
-        """Windows (first shingle, shingles) that can reach the similarity to the item they were found for."""
-        at, item, offset = found
-        out = set()
-        for i in np.unique(item).tolist():
-            own, n = item == i, len(self.own[i])
-            hits = np.unique(at[own])
-            begin = np.unique(np.maximum(0, np.minimum(at[own] - offset[own], last - n)))
-            inside = np.searchsorted(hits, begin + n) - np.searchsorted(hits, begin)
-            out.update((int(s), n) for s in begin[inside >= self.similarity * n])
-        return out
+        near = [items[k] for (found, items), x in zip(self.blocks, fingerprint, strict=True) for k in np.flatnonzero(np.bitwise_count(found ^ x) <= NEAR)]
+        if not near:
+            return []
+        candidates = np.unique(np.concatenate(near))
+        return candidates[np.bitwise_count(self.prints[candidates] ^ fingerprint).sum(1) <= RADIUS].tolist()
+
+    def _starts(self, hits: np.ndarray, n: int, last: int) -> np.ndarray:
+        """Windows of n shingles in which a share of the similarity of positions is among the hits."""
+        starts = np.arange(max(0, hits[0] - n + 1), min(hits[-1], max(0, last - n)) + 1)
+        inside = np.searchsorted(hits, starts + n) - np.searchsorted(hits, starts)
+        return starts[inside >= self.similarity * n - 1e-9]
+
+    def _found(self, every: np.ndarray, starts: np.ndarray, n: int, best: dict[int, tuple[float, int, int]]) -> None:
+        """Looks up the fingerprints of a text's windows of n shingles; keeps the best window of each item of that size."""
+        for a in range(0, len(starts), _WINDOWS):
+            some = starts[a : a + _WINDOWS]
+            for lot in np.split(some, np.flatnonzero(np.diff(some) > n) + 1):
+                low = int(lot[0])
+                for start, print_ in zip(lot.tolist(), fingerprints(every[low : int(lot[-1]) + n], lot - low, n), strict=True):
+                    window = every[start : start + n]
+                    for i in self.lookup(print_):
+                        if len(self.own[i]) == n and best.get(i, (0.0,))[0] < 1.0:
+                            s = weighted_similarity(window, self.own[i])
+                            if s >= self.similarity and s > best.get(i, (0.0,))[0]:
+                                best[i] = (s, start, len(window))
 
     def leaks(self, texts: pa.Array) -> list[list[dict]]:
         """For each text, the items found in it."""
         words = words_of(texts, WHITE_OR_PUNCTUATION, LOWER)
         best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(texts))]
-        for size, (keys, items, offsets, sieve) in self.tables.items():
+        for size, (keys, items, sieve) in self.tables.items():
             every = shingles(words.hash, size)
             hit = np.flatnonzero(sieve[every >> np.uint64(64 - _SIEVE)])
             hit = hit[words.row[hit] == words.row[hit + size - 1]]
@@ -119,28 +149,39 @@ class Index:
             if not len(hit):
                 continue
             posting = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            at = np.repeat(hit, n)
-            rows = words.row[at]
-            for row in np.unique(rows).tolist():
-                own = rows == row
-                first, last = int(words.first[row]), int(words.first[row + 1]) - size + 1
-                found = (at[own] - first, items[posting[own]], offsets[posting[own]])
-                for start, count in sorted(self._windows(found, last - first)):
-                    window = every[first + start : min(first + start + count, last)]
-                    for i in self.lookup(simhash(window)):
-                        if min(SHINGLE, self.sizes[i]) == size:
-                            s = weighted_similarity(window, self.own[i])
-                            if s >= self.similarity and s > best[row].get(i, (0.0,))[0]:
-                                best[row][i] = (s, start, len(window) + size - 1)
+            at, item = np.repeat(hit, n), items[posting]
+            # Distinct positions of each text and item, and the pairs that have enough of them.
+            order = np.lexsort((at, item, words.row[at]))
+            at, item = at[order], item[order]
+            row = words.row[at]
+            fresh = np.r_[True, (at[1:] != at[:-1]) | (item[1:] != item[:-1])]
+            at, item, row = at[fresh], item[fresh], row[fresh]
+            opens = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
+            wanted: dict[tuple[int, int], list[np.ndarray]] = {}
+            for a, b in zip(opens.tolist(), [*opens[1:].tolist(), len(at)], strict=True):
+                n, r = len(self.own[item[a]]), int(row[a])
+                if b - a >= self.similarity * n - 1e-9:
+                    first, last = int(words.first[r]), int(words.first[r + 1]) - size + 1
+                    wanted.setdefault((r, n), []).append(self._starts(at[a:b] - first, n, last - first))
+            for (r, n), starts in wanted.items():
+                text = every[int(words.first[r]) : int(words.first[r + 1]) - size + 1]
+                found: dict[int, tuple[float, int, int]] = {}
+                self._found(text, np.unique(np.concatenate(starts)), n, found)
+                best[r].update({i: (s, start, k + size - 1) for i, (s, start, k) in found.items() if min(SHINGLE, self.sizes[i]) == size})
         return [[{"item_id": self.ids[i], "similarity": s, "start_word": a, "n_words": n} for i, (s, a, n) in sorted(x.items())] for x in best]
 
 
-def indexes(items: DataFrame, similarity: float = SIMILARITY) -> list[Index]:
-    """Indexes over the blocks of items (item_id, text)."""
+def indexes(items: DataFrame, similarity: float = SIMILARITY) -> Iterator[list[Index]]:
+    """Indexes over the items (item_id, text), CHUNK blocks of about BLOCK_BYTES at a time."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
     blocks = blocks_for(text_bytes(rows), BLOCK_BYTES)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [Index([(r["item_id"], r["text"]) for r in rows.where(part == b).orderBy("item_id", "text").collect()], similarity) for b in range(blocks)]
+
+    def one(b: int) -> Index:
+        return Index([(r["item_id"], r["text"]) for r in rows.where(part == b).orderBy("item_id", "text").toLocalIterator()], similarity)
+
+    for a in range(0, blocks, CHUNK):
+        yield [one(b) for b in range(a, min(a + CHUNK, blocks))]
 
 
 def leaks(found: list[Index], text: Column, spark: SparkSession) -> Column:
@@ -162,10 +203,27 @@ def leaks(found: list[Index], text: Column, spark: SparkSession) -> Column:
     return F.concat(*map(one, found)) if found else F.expr(f"cast(array() as {LEAKS})")
 
 
+def _matches(docs: DataFrame, found: list[Index]) -> DataFrame:
+    matched = docs.select("doc_id", "text").select("doc_id", F.explode(leaks(found, F.col("text"), docs.sparkSession)).alias("_l"))
+    return matched.select("doc_id", "_l.*")
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words for every item found in a document."""
-    found = docs.select("doc_id", "text").withColumn("_l", leaks(indexes(items), F.col("text"), docs.sparkSession))
-    return found.select("doc_id", F.explode("_l").alias("_l")).select("doc_id", "_l.*")
+    parts = []
+    for found in indexes(items):
+        if parts:
+            parts[-1] = checkpointed(parts[-1])  # so that no index outlives its chunk
+        parts.append(_matches(docs, found))
+    return reduce(DataFrame.union, parts)
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents without any item, with all their columns."""
+    out = None
+    for found in indexes(items):
+        out = (docs if out is None else checkpointed(out)).where(F.size(leaks(found, F.col("text"), docs.sparkSession)) == 0)
+    return out
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,11 @@ def test_sharding(spark, hard, hard_rows):
     got = sharding.assign(hard, first, second).collect()
     assert len(got) == len(hard_rows)
     want = sorted((str(i), 16 + len((t or "").encode()), None if t is None else zlib.crc32(t.encode())) for i, t, *_ in hard_rows)
-    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted(want, key=repr) or {repr(x) for x in want} == {repr((str(r["doc_id"]), r["size"], r["text_crc32"])) for r in got}
+    assert sorted(((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got), key=repr) == sorted(want, key=repr)
+    held: dict[int, int] = {}
+    for r in got:
+        held[r["virtual_slot"]] = held.get(r["virtual_slot"], 0) + r["size"]
+    assert all(r["slot_bytes"] == held[r["virtual_slot"]] for r in got)
     for r in got:
         key = "" if r["doc_id"] is None else str(r["doc_id"])
         assert r["virtual_slot"] == int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % sharding.SLOTS
@@ -51,12 +55,21 @@ def test_sharding(spark, hard, hard_rows):
 
 
 def test_rebalance(spark, tmp_path):
+    from pyspark.sql import functions as F
+
     df = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', cast(id % 97 as int)) as text")
     first = sharding.initial_map(spark)
     stats = sharding.slot_bytes(df)
     second = sharding.rebalance(first, stats)
     loads = [r[0] for r in second.join(stats, "slot").groupBy("shard").sum("bytes").select("sum(bytes)").collect()]
     assert max(loads) < 1.05 * min(loads)
+    # A map with one heavy shard: only what it has too much of moves.
+    skewed = first.withColumn("shard", F.when(F.col("slot") < 400, 0).otherwise(F.col("shard")))
+    third = sharding.rebalance(skewed, stats)
+    loads = [r[0] for r in third.join(stats, "slot").groupBy("shard").sum("bytes").select("sum(bytes)").collect()]
+    moved = third.join(skewed.select("slot", F.col("shard").alias("old")), "slot").where("shard <> old")
+    assert max(loads) < 1.06 * min(loads) and third.count() == sharding.SLOTS and 0 < moved.count() < 600
+    assert sharding.rebalance(third, stats).join(third.select("slot", F.col("shard").alias("old")), "slot").where("shard <> old").count() < 100
     for m in (first, second):
         sharding.save_map(m, str(tmp_path / "map"))
     assert sharding.load_map(spark, str(tmp_path / "map")).first()["version"] == 2
@@ -154,17 +167,14 @@ def test_common_counts():
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j))
 
 
-def test_decontamination(spark, hard, hard_rows):
-    from .conftest import prose
-
-    items = [(1, prose(7, 40)), (2, prose(3).upper()), (3, "no such item in any document at all"), (4, None), (5, ""), (6, "wide 漢字"), (7, prose(7, 40))]
-    got = decontaminate.contaminated(hard, spark.createDataFrame(items, "item_id long, text string")).collect()
+def brute_leaks(rows, items):
+    """Pairs of document and item with a window of the item's size that has the weighted similarity."""
 
     def words(t):
         return [w for w in re.split(r"[\x20\x09-\x0D!-/:-@\[-`{-~]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
 
     want = set()
-    for i, t, *_ in hard_rows:
+    for i, t, *_ in rows:
         doc = words(t)
         for k, text in items:
             own = words(text)
@@ -179,6 +189,16 @@ def test_decontamination(spark, hard, hard_rows):
                 if window and sum(min(window.count(s), mine.count(s)) for s in keys) >= 0.8 * sum(max(window.count(s), mine.count(s)) for s in keys):
                     want.add((i, k))
                     break
+    return want
+
+
+def test_decontamination(spark, hard, hard_rows):
+    from .conftest import prose
+
+    items = [(1, prose(7, 40)), (2, prose(3).upper()), (3, "no such item in any document at all"), (4, None), (5, ""), (6, "wide 漢字"), (7, prose(7, 40))]
+    got = decontaminate.contaminated(hard, spark.createDataFrame(items, "item_id long, text string")).collect()
+
+    want = brute_leaks(hard_rows, items)
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
     assert {1, 2, 6, 7} <= {k for _, k in want}
 
@@ -188,9 +208,30 @@ def test_multi_index_finds_all_within_radius():
 
     r = random.Random(2)
     index = decontaminate.Index([(i, " ".join(r.choice("abcdefgh") * 3 for _ in range(20))) for i in range(300)])
+    whole = [int.from_bytes(p.tobytes(), "little") for p in index.prints]
     for _ in range(200):
-        p = int(index.prints[r.randrange(300)]) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 30)))
-        assert index.lookup(p) == [i for i, x in enumerate(index.prints.tolist()) if (x ^ p).bit_count() <= decontaminate.RADIUS]
+        p = whole[r.randrange(300)] ^ sum(1 << b for b in r.sample(range(decontaminate.BITS), r.randint(0, 50)))
+        print_ = np.frombuffer(p.to_bytes(decontaminate.BITS // 8, "little"), np.uint16)
+        assert index.lookup(print_) == [i for i, x in enumerate(whole) if (x ^ p).bit_count() <= decontaminate.RADIUS]
+
+
+def test_decontamination_of_altered_passages(spark):
+    """Halves swapped, words changed, put in or left out, and windows whose best place no shared shingle lines up with."""
+    import random
+
+    r = random.Random(12)
+    voc = [f"v{i}" for i in range(3000)]
+    items, rows = [], []
+    for k in range(60):
+        item = [r.choice(voc) for _ in range(r.choice([30, 60, 61]))]
+        items.append((k, " ".join(item)))
+        half = len(item) // 2
+        altered = [item[half:] + item[:half], item[:5] + item[7:], item[:20] + ["new"] + item[20:], [w if i != 13 else "other" for i, w in enumerate(item)], item + item[:9], item[:9] + item][k % 6]
+        rows.append((k, " ".join([r.choice(voc) for _ in range(r.randint(0, 90))] + altered + [r.choice(voc) for _ in range(r.randint(0, 90))])))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(rows, items)
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(want) > 40
+    assert {(k, k) for k in range(0, 60, 6) if len(items[k][1].split()) > 30} <= want  # the swapped halves
 
 
 def brute_substrings(rows):
@@ -414,6 +455,55 @@ def test_skip_chain_carries_evidence():
     assert joined > alone + 0.1
 
 
+def test_field_finds_altered_mentions(spark):
+    """Values that return in a form no pattern matches are found; others of the same form are not."""
+    import random
+
+    r = random.Random(5)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    card = lambda: next(x for x in iter(lambda: "4" + d(15), None) if pii.luhn(x))
+    make = {
+        "email": lambda: f"{r.choice(['ann', 'joe', 'kim'])}{d(3)}@mail{d(1)}.example.org",
+        "ip": lambda: ".".join(str(r.randint(10, 255)) for _ in range(4)),
+        "card": card,
+        "phone": lambda: f"+1 ({d(3)}) {r.randint(200, 999)}-{d(4)}",
+    }
+    rows, want, decoys = [], set(), set()
+    for i in range(400):
+        kind = pii.KINDS[i % 4]
+        value, other = make[kind](), pii.rewritten(kind, make[kind]())
+        text = " ".join(["word"] * r.randint(3, 30)) + f" {value} " + " ".join(["word"] * r.randint(3, 300)) + " "
+        form = pii.rewritten(kind, value) if i % 8 < 4 else other
+        (want if i % 8 < 4 else decoys).add((i, kind, len(text), len(text) + len(form)))
+        rows.append((i, text + form + " end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = set()
+    for x in df.withColumn("_r", pii.scanned(pii.learn(df), df["text"], spark)).select("doc_id", "text", "_r.spans").collect():
+        base = set(filter(None, pii.joined(brute_pii(x["text"])).split(",")))
+        got |= {(x["doc_id"], k, int(a), int(b)) for k, a, b in (y.split(":") for y in set(x["spans"].split(",")) - base)}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(got)
+
+
+def test_evidence_travels_along_many_links():
+    a, b = [("clear",)], [("unclear",)]
+    field = pii.Field([([a, b], [1, 1], [0, 9], [(0, 1)]) for _ in range(30)] + [([b], [0], [5], []) for _ in range(30)])
+    n = 40
+    chain = field.marginals([a] + [b] * n, [0] + [50] * n, [(i, i + 1) for i in range(n)])
+    assert chain[-1, 1] > field.marginals([b] * (n + 1), [0] + [50] * n, [(i, i + 1) for i in range(n)])[-1, 1]
+
+
+def test_candidates_apart_from_spans():
+    import random
+
+    r = random.Random(6)
+    for _ in range(500):
+        text = "".join(r.choice("ab1 =") for _ in range(200))
+        cuts = sorted((a, a + r.randint(1, 30)) for a in r.sample(range(200), r.randint(0, 6)))
+        spans = [("hex", a, b) for a, b in cuts]
+        every = list(secrets._CANDIDATE.finditer(text))
+        assert [m.span() for m in secrets.apart(text, spans)] == [m.span() for m in every if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+
+
 def test_empty_tables(spark, hard, codec):
     none = hard.where("false")
     m = sharding.initial_map(spark)
