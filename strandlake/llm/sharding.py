@@ -1,8 +1,9 @@
 """Sharding over fixed virtual slots [native].
 
-Records hash by key into thousands of slots. A slot map, a table of (version, slot, shard), says which shard holds a
-slot; rebalancing edits the map into a new version and moves whole slots, so rows move only with their slot. Everything
-is DataFrame operations: the slot statistics are one partial aggregation, and the map never has more rows than slots.
+Records hash by key into thousands of slots. Bytes and rows are aggregated for each slot. A slot map, a stored table of
+(version, slot, shard), says which shard holds a slot; growing and rebalancing edit the map into a new version and move
+whole slots, so rows move only with their slot. Everything is DataFrame operations: the slot statistics are one partial
+aggregation, and the map never has more rows than slots.
 
 Defined results: a null key hashes as the empty string; a null text has size 16 and a null checksum; repeated rows
 are separate rows of the same slot; an empty table gives an empty result; other columns are ignored.
@@ -10,6 +11,8 @@ are separate rows of the same slot; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ SLOTS = 4096
 SHARDS = 40
 #: Bytes that a record takes besides its text.
 OVERHEAD = 16
+#: Parts of a slot that are numbered apart.
+PARTS = 16
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -53,18 +58,26 @@ def slot_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", slots: in
     return df.groupBy(slot_of(F.col(key), slots).alias("slot")).agg(F.sum(size_of(F.col(text))).alias("bytes"), F.count("*").alias("rows"))
 
 
-def rebalance(slot_map: DataFrame, stats: DataFrame) -> DataFrame:
-    """The next version, with shards of nearly equal bytes.
+def rebalance(slot_map: DataFrame, stats: DataFrame, slack: float = 0.005) -> DataFrame:
+    """The next version, with shards of nearly equal bytes, that moves few slots.
 
-    Slots in descending order of bytes are dealt to the shards in snake order. Both inputs have a row for each slot at
-    most, so the ordering is over thousands of rows whatever the corpus holds.
+    A shard keeps its slots, largest first, while they fit in the mean and the slack. What doesn't fit is laid end to end,
+    largest first, and so is the room of the shards below the mean, on the same scale; a slot goes to the shard whose room
+    its middle falls into. Both inputs have a row for each slot at most, so the orders are over thousands of rows whatever the corpus holds.
     """
-    shards = slot_map.agg((F.max("shard") + 1).alias("_n"))
     sized = slot_map.join(stats.select("slot", "bytes"), "slot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
-    dealt = sized.withColumn("_i", F.row_number().over(W.orderBy(F.desc("bytes"), "slot")) - 1).join(F.broadcast(shards))
-    turn, place = F.floor(F.col("_i") / F.col("_n")), F.pmod(F.col("_i"), F.col("_n"))
-    shard = F.when(F.pmod(turn, F.lit(2)) == 0, place).otherwise(F.col("_n") - 1 - place)
-    return dealt.select((F.col("version") + 1).alias("version"), "slot", shard.cast("int").alias("shard"))
+    totals = sized.agg((F.sum("bytes") / F.countDistinct("shard")).alias("_mean"))
+    held = F.sum("bytes").over(W.partitionBy("shard").orderBy(F.desc("bytes"), "slot"))
+    marked = sized.join(F.broadcast(totals)).withColumn("_stays", held <= F.col("_mean") * (1 + slack))
+    room = marked.groupBy("shard").agg(F.greatest(F.lit(0.0), F.first("_mean") - F.coalesce(F.sum(F.when(F.col("_stays"), F.col("bytes"))), F.lit(0))).alias("_room"))
+    room = room.withColumn("_end", F.sum("_room").over(W.orderBy("shard"))).select(F.col("shard").alias("_to"), (F.col("_end") - F.col("_room")).alias("_begin"), "_end")
+    moved = marked.where(~F.col("_stays"))
+    scale = moved.agg(F.sum("bytes").alias("_load")).join(room.agg(F.max("_end").alias("_all"))).select((F.col("_all") / F.col("_load")).alias("_scale"))
+    middle = F.sum("bytes").over(W.orderBy(F.desc("bytes"), "slot")) - F.col("bytes") / 2
+    placed = moved.withColumn("_at", middle).join(F.broadcast(scale)).withColumn("_at", F.col("_at") * F.col("_scale")).join(F.broadcast(room), (F.col("_at") >= F.col("_begin")) & (F.col("_at") < F.col("_end")), "left")
+    edits = placed.select("slot", F.coalesce("_to", "shard").alias("_new"))
+    edited = slot_map.join(F.broadcast(edits), "slot", "left")
+    return edited.select((F.col("version") + 1).alias("version"), "slot", F.coalesce("_new", "shard").cast("int").alias("shard"))
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
@@ -84,30 +97,37 @@ def size_of(text: Column) -> Column:
 
 
 def assign(df: DataFrame, slot_map: DataFrame, grown: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Every row with its shard under a map and under the grown map, and its place in the shard, gapless from 0.
+    """Every row with its shard under a map and under the grown map, its slot's bytes, and its place in the shard.
 
-    Places come from one count for each slot: a slot's rows follow those of the shard's lower slots. Within a slot,
-    rows are ordered by key, then checksum and size, so a window never holds more than a slot.
+    Places are gapless from 0 in every shard. Rows equal in key, checksum and size are counted first and numbered as one
+    run, so no row of a repeated document needs a place in an order of its own. A slot is numbered in PARTS parts, dealt
+    by checksum and size: a part follows those before it, by one count for each part of a slot.
     """
-    rows = df.select(F.col(key).alias("doc_id"), size_of(F.col(text)).alias("size"), F.crc32(text).alias("text_crc32"), slot_of(F.col(key), slots).alias("virtual_slot"))
-    counts = df.groupBy(slot_of(F.col(key), slots).alias("slot")).agg(F.count("*").alias("_rows"))
-    before = W.partitionBy("shard").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    size, crc = size_of(F.col(text)), F.crc32(text)
+    rows = df.select(F.col(key).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), slot_of(F.col(key), slots).alias("virtual_slot"))
+    counted = rows.groupBy("virtual_slot", "doc_id", "text_crc32", "size").agg(F.count("*").alias("_n"))
+    counted = counted.withColumn("_part", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int"))
+    parts = counted.groupBy("virtual_slot", "_part").agg(F.sum("_n").alias("_rows"), F.sum(F.col("size") * F.col("_n")).alias("_bytes"))
+    before = W.partitionBy("shard").orderBy("virtual_slot", "_part").rowsBetween(W.unboundedPreceding, -1)
     placed = (
-        slot_map.select("slot", "shard")
-        .join(grown.select("slot", F.col("shard").alias("grown_shard")), "slot")
-        .join(counts, "slot", "left")
-        .select(F.col("slot").alias("virtual_slot"), "shard", "grown_shard", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    )
-    order = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("_in_slot", F.row_number().over(order) - 1)
-        .join(F.broadcast(placed), "virtual_slot")
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_in_slot")).cast("long").alias("slot"), "grown_shard", "virtual_slot")
+        slot_map.select(F.col("slot").alias("virtual_slot"), "shard")
+        .join(grown.select(F.col("slot").alias("virtual_slot"), F.col("shard").alias("grown_shard")), "virtual_slot")
+        .join(parts, "virtual_slot")
+        .withColumn("slot_bytes", F.sum("_bytes").over(W.partitionBy("virtual_slot")))
+        .select("virtual_slot", "_part", "shard", "grown_shard", "slot_bytes", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     )
+    order = W.partitionBy("virtual_slot", "_part").orderBy("doc_id", "text_crc32", "size")
+    run = counted.withColumn("_end", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.col("_before") + F.col("_end") - F.col("_n")
+    numbered = run.join(placed, ["virtual_slot", "_part"]).withColumn("slot", F.explode(F.sequence(first, F.col("_before") + F.col("_end") - 1)))
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "virtual_slot", "slot_bytes")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import documents
+    """The stored map's first version, and the second, which one more shard has edited."""
+    from .common import checkpoint_dir, documents
 
-    slot_map = initial_map(spark)
-    return assign(documents(spark, sf_dir), slot_map, add_shard(slot_map))
+    path = f"{checkpoint_dir(spark)}/slot_maps/{uuid4().hex}"
+    save_map(initial_map(spark), path)
+    save_map(add_shard(load_map(spark, path)), path)
+    return assign(documents(spark, sf_dir), load_map(spark, path, 1), load_map(spark, path, 2))
