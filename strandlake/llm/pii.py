@@ -2,13 +2,19 @@
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by pattern. The field labels tokens (runs
 without white space) with a kind or none. Its chain links neighbours; skip links join a token to the next one in the
-document that reads the same without case and punctuation, however far, so that repeated tokens share potentials. Loopy
-message passing over chain and links gives each token's marginal; confident tokens outside base spans become spans.
+document that reads the same or much the same, however far: equal letters and digits, equal last seven or first six
+digits, or an equal part before `@`. So repeated and altered mentions share potentials. Loopy message passing gives each
+token's marginal: a round sweeps the text forward and backward, and sends the messages of chain and skip links on its way,
+so that evidence travels the whole text in one round; rounds repeat until the messages stand still. Confident tokens
+outside base spans become spans: mentions that no pattern matches, but that repeat one that does.
 
 Only tokens with a digit, `@` or `+` have evidence. A run of other tokens has constant potentials, so its message is a
 power of one matrix and costs one step however long it is; texts without such a token have no spans. The field is
-fitted piecewise to the base's labels in a bounded sample (about TRAIN_DOCS documents, TRAIN_TOKENS tokens): a softmax
-over token shapes, and the association of label pairs on neighbours and on skip links.
+fitted piecewise in a bounded sample (about TRAIN_DOCS documents of up to DOC_TOKENS tokens with evidence, TRAIN_TOKENS
+in all): a softmax over token shapes, and the association of label pairs on neighbours and on skip links. Its labels are
+those of the base, and, after each sampled text, its values written in another way (labelled) and other values written
+like that (not labelled). So a shape that no pattern matches is unclear by itself, and the links decide. Features are
+made on the executors; the driver receives the sample's features, never texts.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned alike; without labels to learn from
 only the base finds spans; an empty table gives an empty result; other columns are ignored.
@@ -17,7 +23,9 @@ only the base finds spans; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +35,10 @@ from pyspark.sql import functions as F
 from .common import documents
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, TRAIN_TOKENS = 4000, 20_000
-CONFIDENT = 0.95
-ROUNDS = 5
+TRAIN_DOCS, TRAIN_TOKENS, DOC_TOKENS = 4000, 20_000, 500
+CONFIDENT = 0.9
+#: Most rounds of message passing; they end when no message changes by CHANGE.
+ROUNDS, CHANGE = 20, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +50,7 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EVIDENCE = re.compile(r"[0-9@+]")
 _TRIM = ".,;:!?()[]{}<>\"'"
 _LABELS = len(KINDS) + 1
+UNKNOWN = -1
 _LONGEST_RUN = 64
 
 Span = tuple[str, int, int]
@@ -129,16 +139,24 @@ def evidence(text: str) -> tuple[list[re.Match], list[int], list[list[tuple]]]:
     return tokens, gaps, features
 
 
+def _keys(token: str) -> set[tuple[str, str]]:
+    """What similar tokens have in common."""
+    same, digits = "".join(filter(str.isalnum, token)).lower(), "".join(_DIGIT.findall(token))
+    keys = {("same", same)} if len(same) >= 4 else set()
+    if len(digits) >= 7:
+        keys |= {("last", digits[-7:]), ("first", digits[:6])} if len(digits) >= 12 else {("last", digits[-7:])}
+    local = token.lstrip(_TRIM).partition("@")
+    return keys | {("local", local[0].lower())} if local[1] and len(local[0]) >= 3 else keys
+
+
 def links(tokens: list[re.Match]) -> list[tuple[int, int]]:
-    """Skip links: each token with the next that reads the same without case and punctuation."""
-    last: dict[str, int] = {}
+    """Skip links: each token with the last one before it that has a key in common, by each key once."""
+    last: dict[tuple[str, str], int] = {}
     out = []
     for i, m in enumerate(tokens):
-        key = "".join(filter(str.isalnum, m[0])).lower()
-        if len(key) >= 4:
-            if key in last:
-                out.append((last[key], i))
-            last[key] = i
+        keys = _keys(m[0])
+        out += sorted({(last[k], i) for k in keys if k in last})
+        last.update(dict.fromkeys(keys, i))
     return out
 
 
@@ -169,9 +187,11 @@ class Field:
         rows, labels = [], []
         chain, skip = np.zeros((_LABELS, _LABELS)), np.zeros((_LABELS, _LABELS))
         for features, own, gaps, joined_by in documents:
-            rows += [[self.index.setdefault(f, len(self.index)) for f in x] for x in features]
-            labels += own
+            rows += [[self.index.setdefault(f, len(self.index)) for f in x] for x, label in zip(features, own, strict=True) if label != UNKNOWN]
+            labels += [label for label in own if label != UNKNOWN]
             for i in range(1, len(own)):
+                if UNKNOWN in own[i - 1 : i + 1]:
+                    continue
                 if gaps[i]:
                     chain[own[i - 1], 0] += 1
                     chain[0, 0] += gaps[i] - 1
@@ -179,8 +199,9 @@ class Field:
                 else:
                     chain[own[i - 1], own[i]] += 1
             for i, j in joined_by:
-                skip[own[i], own[j]] += 1
-                skip[own[j], own[i]] += 1
+                if UNKNOWN not in (own[i], own[j]):
+                    skip[own[i], own[j]] += 1
+                    skip[own[j], own[i]] += 1
         self.known = sorted(set(labels) - {0})
         self.weights = self._softmax(rows, np.array(labels, np.int64))
         step = _association(chain)
@@ -190,7 +211,11 @@ class Field:
         for _ in range(_LONGEST_RUN):
             x = self.runs[-1] @ through @ step
             self.runs.append(x / x.max())
-        self.skip = _association(skip)
+        # Over the shares of the labels among all tokens, as links are rare and join what is labelled more often than not.
+        joint, share = (skip + 1.0) / (skip + 1.0).sum(), np.bincount(labels, minlength=_LABELS) + 1.0
+        share /= share.sum()
+        self.skip = joint / (share[:, None] * share)
+        self.skip /= self.skip.max()
 
     def _softmax(self, rows: list[list[int]], labels: np.ndarray) -> np.ndarray:
         w = np.zeros((len(self.index) + 1, _LABELS))
@@ -211,36 +236,47 @@ class Field:
         return w
 
     def marginals(self, features: list[list[tuple]], gaps: list[int], joined_by: list[tuple[int, int]]) -> np.ndarray:
-        """Label probabilities by loopy message passing: chain sweeps alternate with messages over the skip links."""
+        """Label probabilities by loopy message passing, in sweeps over chain and skip links alike."""
         n = len(features)
         z = np.array([self.weights[[self.index.get(f, -1) for f in x]].sum(0) for x in features])
         own = np.exp(z - z.max(1, keepdims=True))
         own /= own.sum(1, keepdims=True)
-        right = {(i, j): np.ones(_LABELS) for i, j in joined_by}
-        left = {(i, j): np.ones(_LABELS) for i, j in joined_by}
+        right, left = np.ones((2, len(joined_by), _LABELS))
+        before: list[list[int]] = [[] for _ in range(n)]
+        after: list[list[int]] = [[] for _ in range(n)]
+        for k, (i, j) in enumerate(joined_by):
+            after[i].append(k), before[j].append(k)
         steps = [self.runs[min(g, _LONGEST_RUN)] for g in gaps]
-        for _ in range(ROUNDS if joined_by else 1):
-            local = own.copy()
-            for (i, j), x in right.items():
-                local[j] *= x
-            for (i, j), x in left.items():
-                local[i] *= x
-            forward, backward = np.ones((n, _LABELS)), np.ones((n, _LABELS))
-            for i in range(1, n):
-                x = (forward[i - 1] * local[i - 1]) @ steps[i]
-                forward[i] = x / x.sum()
-            for i in range(n - 2, -1, -1):
-                x = steps[i + 1] @ (backward[i + 1] * local[i + 1])
-                backward[i] = x / x.sum()
-            belief = forward * local * backward
-            belief /= belief.sum(1, keepdims=True)
+        local, forward, backward, belief = own.copy(), np.ones((n, _LABELS)), np.ones((n, _LABELS)), own.copy()
+
+        def meet(i: int) -> np.ndarray:
+            x = own[i] * right[before[i]].prod(0) * left[after[i]].prod(0) if before[i] or after[i] else own[i]
+            local[i] = x / x.sum()
+            y = forward[i] * local[i] * backward[i]
+            belief[i] = y / y.sum()
+            return belief[i]
+
+        for _ in range(ROUNDS):
             change = 0.0
-            for i, j in joined_by:
-                x, y = (belief[i] / left[i, j]) @ self.skip, self.skip @ (belief[j] / right[i, j])
-                x, y = x / x.sum(), y / y.sum()
-                change = max(change, np.abs(x - right[i, j]).max(), np.abs(y - left[i, j]).max())
-                right[i, j], left[i, j] = x, y
-            if change < 1e-4:
+            for i in range(n):
+                if i:
+                    x = (forward[i - 1] * local[i - 1]) @ steps[i]
+                    forward[i] = x / x.sum()
+                b = meet(i)
+                for k in after[i]:
+                    x = (b / left[k]) @ self.skip
+                    x /= x.sum()
+                    change = max(change, float(np.abs(x - right[k]).max()))
+                    right[k] = x
+            for i in range(n - 1, -1, -1):
+                if i < n - 1:
+                    x = steps[i + 1] @ (backward[i + 1] * local[i + 1])
+                    backward[i] = x / x.sum()
+                b = meet(i)
+                for k in before[i]:
+                    x = self.skip @ (b / right[k])
+                    left[k] = x / x.sum()
+            if change < CHANGE:
                 break
         return belief
 
@@ -273,17 +309,57 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def rewritten(kind: str, value: str) -> str:
+    """A value of a kind in a form that the patterns don't match."""
+    if kind == "email":
+        return value.partition(".")[0] if "@" in value.partition(".")[0] else value.partition("@")[0] + "@" + value.partition("@")[2].partition(".")[0]
+    digits = "".join(_DIGIT.findall(value))
+    if kind == "phone":
+        return f"{digits[-7:-4]}-{digits[-4:]}"
+    return "-".join(value.split(".")) if kind == "ip" else ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+
+
+def _unlike(value: str) -> str:
+    """Another value of the same form."""
+    return "".join(str((int(c) * 3 + 7 * i + 4) % 10) if c.isdigit() and c.isascii() else chr(97 + (ord(c) * 7 + i + 3) % 26) if c.isalpha() else c for i, c in enumerate(value))
+
+
+def lesson(text: str) -> tuple[list[list[tuple]], list[int], list[int], list[tuple[int, int]]]:
+    """Features, labels, gaps and links of a text with its values rewritten, and others like them, after its end."""
+    spans = base_spans(text)
+    known = []
+    for kind, value in dict.fromkeys((k, text[a:b]) for k, a, b in spans):
+        form = rewritten(kind, value)
+        text += " and "
+        known.append((kind, len(text), len(text) + len(form)))
+        text += f"{form} or {_unlike(form)} also"
+    known += spans
+    found, gaps, features = evidence(text)
+    labels, joined_by = gold(found, known), links(found)
+    # A token without a label that repeats one with a label may be what the patterns miss: it teaches nothing.
+    unknown = {k for i, j in joined_by for k, other in ((i, j), (j, i)) if labels[other] and not labels[k]}
+    return features, [UNKNOWN if i in unknown else x for i, x in enumerate(labels)], gaps, joined_by
+
+
 def learn(df: DataFrame, docs: int = TRAIN_DOCS, tokens: int = TRAIN_TOKENS, text: str = "text") -> Field:
-    """Fits the field to a bounded sample of documents that have evidence, labelled by the base."""
+    """Fits the field to a bounded sample of documents that have evidence."""
     rows = df.select("doc_id", text).where(F.col(text).rlike("[0-9@+]"))
     total = rows.count()
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1 << 20)) < min(1.0, docs / max(1, total)) * (1 << 20))
+
+    def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lessons = [(i, x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(x := lesson(t)) and len(x[1]) <= DOC_TOKENS]
+            blobs = [pickle.dumps(x) for _, x in lessons]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in lessons], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "lesson"])
+
     sample, seen = [], 0
-    for r in picked.orderBy(F.xxhash64("doc_id"), text).limit(docs).toLocalIterator():
-        found, gaps, features = evidence(r[text])
-        if seen + len(found) <= tokens:
-            seen += len(found)
-            sample.append((features, gold(found, base_spans(r[text])), gaps, links(found)))
+    found = picked.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(taught, "doc_id long, lesson binary")
+    for r in found.orderBy(F.xxhash64("doc_id"), "lesson").limit(docs).toLocalIterator():
+        x = pickle.loads(r["lesson"])
+        if seen + len(x[1]) <= tokens:
+            seen += len(x[1])
+            sample.append(x)
     return Field(sample)
 
 
