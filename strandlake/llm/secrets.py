@@ -67,15 +67,23 @@ def base_spans(text: str) -> list[Span]:
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 
+def apart(text: str, spans: list[Span]) -> Iterator[re.Match]:
+    """Candidate tokens that touch no span; spans are in order of start, so one sweep over both suffices."""
+    at, end = 0, 0  # the greatest end of the spans that start before the candidate's end
+    for m in _CANDIDATE.finditer(text):
+        while at < len(spans) and spans[at][1] < m.end():
+            end = max(end, spans[at][2])
+            at += 1
+        if end <= m.start():
+            yield m
+
+
 def values(text: str) -> list[tuple[str, str]]:
     """Labelled credentials and ordinary long tokens (kind '') of a text."""
     spans, out = base_spans(text), []
     for kind, a, b in spans:
         out.append((kind, text[a:b] if kind != "assign" else _ASSIGN.match(text, a)[2]))
-    for m in _CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for _, a, b in spans):
-            out.append(("", m[0]))
-    return out
+    return out + [("", m[0]) for m in apart(text, spans)]
 
 
 class Automaton:
@@ -218,9 +226,7 @@ class Detector:
         base = base_spans(text)
         more = []
         if self.kinds:
-            for m in _CANDIDATE.finditer(text):
-                if not any(a < m.end() and m.start() < b for _, a, b in base) and self.found(m[0]):
-                    more.append((LEARNED, m.start(), m.end()))
+            more = [(LEARNED, m.start(), m.end()) for m in apart(text, base) if self.found(m[0])]
         return base, sorted(base + more, key=lambda s: (s[1], (*KINDS, LEARNED).index(s[0]))) if more else base
 
 
