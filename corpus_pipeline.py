@@ -19,32 +19,31 @@ SHINGLE_WORDS = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a known language; null, empty and letterless texts go."""
+    """Keeps documents in a known language; null, empty and letterless texts go. Repeated rows are judged alike."""
     profiles = langid.learn(docs.where(~langid.held_out(F.col("doc_id"), 3, 1)))
-    found = docs.withColumn("_language", langid.predicted(profiles, F.col("text"), spark))
-    return found.where((F.col("_language.lang_pred") != langid.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    found = langid.predicted(profiles, F.col("text"), spark)
+    return docs.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SCORE))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group."""
+    """Keeps the document with the smallest doc_id of each group. A row whose text or doc_id is null stays."""
     found = minhash.near_duplicates(docs, SHINGLE_WORDS)
     return docs.join(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
-    indexes = decontaminate.indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.withColumn("_leaks", decontaminate.leaks(indexes, F.col("text"), spark)).where(F.size("_leaks") == 0).select(*docs.columns)
+    """Drops documents that contain a benchmark item. Null and empty texts contain none; repeated rows are judged alike."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the text; n_chars follows it."""
+    """Masks secrets in the text; n_chars follows it. A null text stays null; repeated rows are masked alike."""
     masked = docs.withColumn("text", secrets.redacted(secrets.learn(docs), F.col("text"), spark))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes."""
+    """Token counts and digests of ids and decoded bytes; a null text is empty. A row for every row."""
     return bpe.round_trip(docs, bpe.public_codec())
 
 
