@@ -6,7 +6,7 @@ the differences in rank, with a fixed penalty for an n-gram that the profile lac
 
 Profiles are learned from a bounded sample of labelled documents (TRAIN_DOCS for each language, chosen by a hash of
 doc_id, whole texts); counting is a Spark aggregation, and only the finished profiles reach the driver and are
-broadcast: PROFILE n-grams for each of MAX_LANGUAGES languages at most.
+broadcast: PROFILE n-grams for each language. Their size follows the number of languages, not of documents.
 
 Defined results: a text that is null, empty or without a letter is `und` with score 0, as is every text where nothing
 was labelled; ties go to the language that sorts first; repeated rows are predicted alike; an empty table gives an
@@ -27,7 +27,6 @@ from .common import LOWER, buffer_of, documents
 
 PROFILE = 300
 TRAIN_DOCS = 600
-MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 _PIECE = 1 << 20
 
@@ -102,13 +101,9 @@ class Profiles:
 def learn(labelled: DataFrame, per_language: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
     """Profiles from rows of doc_id, text, lang; rows without text or lang don't count."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).take(MAX_LANGUAGES + 1)}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return Profiles({}, size)
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, per_language / n))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    counts = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(per_language) / F.count("*")).alias("_share"))
+    bucket = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20))
+    picked = rows.join(F.broadcast(counts), "lang").where(bucket < F.col("_share") * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
