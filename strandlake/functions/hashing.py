@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,28 +15,37 @@ _CLEAN = np.zeros(256, bool)
 _CLEAN[[ord(c) for c in "ACGT"]] = True
 
 
-def kmer_hashes(sequence: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-mers of A, C, G, T only, in order."""
+def kmer_hashes(sequence: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-mers of A, C, G, T only, and where each starts, in order."""
     n = len(sequence) - k + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     clean = np.cumsum(np.r_[0, _CLEAN[sequence]])
-    h = np.full(n, OFFSET, np.uint64)
+    at = np.flatnonzero(clean[k:] - clean[:-k] == k)
+    h = np.full(len(at), OFFSET, np.uint64)
     for i in range(k):
-        h = (h ^ sequence[i : i + n]) * np.uint64(PRIME)
-    return h[clean[k:] - clean[:-k] == k]
+        h = (h ^ sequence[at + i]) * np.uint64(PRIME)
+    return h, at
 
 
 def sketch(sequence: Column, k: int, size: int) -> Column:
-    """The `size` smallest k-mer hashes with repeats, ascending, as DECIMAL(20,0)."""
-    kind = pa.list_(pa.decimal128(20, 0))
+    """The `size` smallest k-mer hashes with repeats, ascending, as DECIMAL(20,0). A batch is hashed as one text."""
 
     @F.arrow_udf("array<decimal(20,0)>")
     def run(sequences: pa.Array) -> pa.Array:
-        out = []
-        for s in sequences.to_pylist():
-            h = np.sort(kmer_hashes(np.frombuffer((s or "").encode(), np.uint8), k))[:size]
-            out.append(list(map(Decimal, h.tolist())))
-        return pa.array(out, kind)
+        texts = pc.fill_null(sequences, "").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        # A letter between the texts keeps k-mers from crossing them.
+        starts = ends[:-1] - ends[0]
+        hashes, at = kmer_hashes(np.insert(data, starts, 0), k)
+        row = np.searchsorted(starts + np.arange(len(starts)), at, "right") - 1
+        order = np.lexsort((hashes, row))
+        hashes, row = hashes[order], row[order]
+        first = np.searchsorted(row, np.arange(len(texts) + 1))
+        kept = np.arange(len(row)) - first[row] < size
+        counts = np.minimum(np.diff(first), size)
+        values = pa.array(hashes[kept]).cast(pa.decimal128(20, 0))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), values)
 
     return run(sequence)

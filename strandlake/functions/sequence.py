@@ -91,35 +91,67 @@ def trim_position(sequence: Column, adapter: str, overlap: int) -> Column:
     return F.instr(sequence, adapter[:overlap])
 
 
+#: Letters of a piece in which windows are cut: a substring is found by walking its text, so texts must be short.
+PIECE = 256
+
+
+def chunks(text: Column, size: int, least: int = 1) -> Column:
+    """The text cut into pieces of `size` characters, the last of `least` at least; one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"[\\s\\S]{{{least},{size}}}"), F.lit(0))
+
+
+def _windows(text: Column, k: int) -> Column:
+    found = F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k)))
+    return F.when(F.length(text) >= k, found).otherwise(F.array().cast("array<string>"))
+
+
 def kmers(sequence: Column, k: int) -> Column:
-    """All windows of k characters; empty for a shorter sequence."""
+    """All windows of k characters; empty for a shorter sequence.
+
+    A long sequence is cut into pieces first, each with the k - 1 characters that follow it, so the work is linear.
+    """
+
+    def pieced(pieces: Column) -> Column:
+        following = lambda i: F.coalesce(F.substring(F.get(pieces, i + 1), F.lit(1), F.lit(k - 1)), F.lit(""))
+        return F.flatten(F.transform(pieces, lambda p, i: bound(F.concat(p, following(i)), lambda x: _windows(x, k))))
 
-    def windows(s: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))
-        return F.when(F.length(s) >= k, found).otherwise(F.array().cast("array<string>"))
+    return bound(sequence, lambda s: F.when(F.length(s) <= PIECE, _windows(s, k)).otherwise(bound(chunks(s, PIECE), pieced)))
 
-    return bound(sequence, windows)
+
+def clean_kmers(sequence: Column, k: int) -> Column:
+    """The windows of A, C, G, T in upper case only: those of the stretches between other letters."""
+    return F.flatten(F.transform(F.split(sequence, "[^ACGT]+"), lambda stretch: kmers(stretch, k)))
 
 
 def is_clean(kmer: Column) -> Column:
     """Only A, C, G, T in upper case."""
-    return kmer.rlike("^[ACGT]+$")
+    return F.translate(kmer, "ACGT", "") == ""
 
 
-def translated(sequence: Column, frame: int) -> Column:
-    """Protein up to the first stop; an unknown codon is X; an incomplete last codon is left out."""
+def with_quality(sequence: Column, quality: Column, k: int) -> Column:
+    """Structs (_i, kmer, quality) of all windows with their place and slice of the quality, which may be missing."""
+    fits = F.length(sequence) == F.length(quality)
+    sliced = lambda i: F.substring(quality, i + 1, F.lit(k))
+    parts = F.when(fits, kmers(quality, k))
+    return bound(parts, lambda q: F.transform(kmers(sequence, k), lambda x, i: F.struct(i.alias("_i"), x.alias("kmer"), F.when(q.isNotNull(), F.get(q, i)).otherwise(sliced(i)).alias("quality"))))
 
-    def protein(s: Column) -> Column:
-        n = F.floor((F.length(s) - frame) / 3).cast("int")
 
-        def amino_acid(i: Column) -> Column:
-            a, b, c = (F.instr(F.lit("TCAG"), F.substring(s, i * 3 + 1 + frame + k, F.lit(1))) for k in range(3))
-            return F.when(F.least(a, b, c) > 0, F.substring(F.lit(AMINO_ACIDS), a * 16 + b * 4 + c - 20, F.lit(1))).otherwise("X")
+def first_of_each(windows: Column) -> Column:
+    """Of structs (_i, kmer, quality), those of the first occurrence of each k-mer, by one sort of the row's windows."""
+    order = F.array_sort(F.transform(windows, lambda w: F.struct(w["kmer"], w["_i"], w["quality"])))
+    return bound(order, lambda w: F.filter(w, lambda x, i: (i == 0) | (F.get(w, i - 1)["kmer"] != x["kmer"])))
 
-        letters = F.transform(F.sequence(F.lit(0), n - 1), amino_acid)
-        return F.when(n >= 1, F.substring_index(F.array_join(letters, ""), "*", 1)).otherwise("")
 
-    return bound(sequence, protein)
+def translated(sequence: Column, frame: int) -> Column:
+    """Protein up to the first stop; an unknown codon is X; an incomplete last codon is left out.
+
+    Letters become digits in TCAG order, so a codon reads as a number, which is its place in a table.
+    """
+    place = {f"{a}{b}{c}": x for (a, b, c), x in zip(product("0123", repeat=3), AMINO_ACIDS, strict=True)}
+    table = F.array(*[F.lit(place.get(f"{i:03}", "X")) for i in range(334)])
+    digits = F.translate(F.substring(sequence, frame + 1, (1 << 31) - 1 - frame), "TCAG0123456789+-. \t\r\n\f", "0123" + "X" * 18)
+    letters = F.transform(chunks(digits, 3, 3), lambda c: F.coalesce(F.get(table, c.try_cast("int")), F.lit("X")))
+    return F.substring_index(F.array_join(letters, ""), "*", 1)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -136,15 +168,14 @@ def two_bit_letters(sequence: Column) -> Column:
 def two_bit_hex(sequence: Column) -> Column:
     """Two-bit encoding (A 00, C 01, G 10, T 11, most significant first, zero padding) as hexadecimal digits.
 
-    Two letters make one hexadecimal digit, so the packing is a split and two table lookups on built-in functions.
+    Two letters make one hexadecimal digit: they are cut off in one pass, read as a number, and looked up.
     """
-    digit = F.create_map(*[F.lit(x) for i, pair in enumerate(product("ACGT", repeat=2)) for x in ("".join(pair), f"{i:X}")])
+    digit = {f"{a}{b}": f"{4 * a + b:X}" for a, b in product(range(4), repeat=2)}
+    table = F.array(*[F.lit(digit.get(f"{i:02}", "0")) for i in range(34)])
 
     def packed(s: Column) -> Column:
-        nibbles = F.ceil(F.length(s) / 4).cast("int") * 2
-        padded = F.rpad(s, nibbles * 2, "A")
-        found = bound(padded, lambda p: F.transform(F.sequence(F.lit(0), nibbles - 1), lambda i: digit[F.substring(p, i * 2 + 1, F.lit(2))]))
-        return F.when(F.length(s) > 0, F.array_join(found, "")).otherwise("")
+        padded = F.rpad(F.translate(s, "ACGT", "0123"), F.ceil(F.length(s) / 4).cast("int") * 4, "0")
+        return F.array_join(F.transform(chunks(padded, 2, 2), lambda c: F.get(table, c.cast("int"))), "")
 
     return bound(two_bit_letters(sequence), packed)
 
@@ -162,9 +193,11 @@ def two_bit_decode(packed: Column) -> Column:
 
 
 def two_bit_get(packed: Column, index: Column) -> Column:
-    """The letter at a 0-based index, null outside."""
+    """The letter at a 0-based index, null outside; only its byte is unpacked."""
     inside = (index >= 0) & (index < packed["length"])
-    return F.when(inside, F.substring(two_bit_decode(packed), index + 1, F.lit(1)))
+    byte = F.conv(F.hex(F.substring(packed["data"], F.floor(index / 4).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    value = F.floor(byte / F.pow(F.lit(4), 3 - F.pmod(index, F.lit(4)))).cast("int") % 4
+    return F.when(inside, F.get(F.array(*map(F.lit, "ACGT")), value))
 
 
 def two_bit_complement(packed: Column) -> Column:

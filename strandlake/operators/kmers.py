@@ -21,14 +21,9 @@ def kmer_extraction(df: DataFrame, k: int = KMER, deduplicate: bool = False) ->
     Deduplication keeps the first occurrence in each read; it works inside the row, without a shuffle.
     """
     _check(k)
-    if deduplicate:
-        windows = df.select("id", "quality", S.kmers(F.col("sequence"), k).alias("_w"))
-        first = F.filter(F.transform("_w", lambda x, i: F.when(F.array_position("_w", x) == i + 1, F.struct(i.alias("_i"), x.alias("kmer")))), lambda x: x.isNotNull())
-        flat = windows.select("id", "quality", F.explode(first).alias("_x")).select("id", "quality", "_x._i", "_x.kmer")
-    else:
-        flat = df.select("id", "quality", F.posexplode(S.kmers(F.col("sequence"), k)).alias("_i", "kmer"))
-    flat = flat.where(S.is_clean(F.col("kmer")))
-    return flat.select(F.concat("id", F.lit("_kmer_"), F.col("_i").cast("string")).alias("id"), F.col("kmer").alias("sequence"), F.substring("quality", F.col("_i") + 1, F.lit(k)).alias("quality"))
+    windows = S.with_quality(F.col("sequence"), F.col("quality"), k)
+    flat = df.select("id", F.explode(S.first_of_each(windows) if deduplicate else windows).alias("_x")).where(S.is_clean(F.col("_x.kmer")))
+    return flat.select(F.concat("id", F.lit("_kmer_"), F.col("_x._i").cast("string")).alias("id"), F.col("_x.kmer").alias("sequence"), F.col("_x.quality").alias("quality"))
 
 
 def kmer_rows(df: DataFrame, k: int) -> DataFrame:
@@ -38,7 +33,7 @@ def kmer_rows(df: DataFrame, k: int) -> DataFrame:
 def kmer_counting(df: DataFrame, k: int = KMER, canonical: bool = False) -> DataFrame:
     """Rows of k-mer and count over all reads, by partial aggregation before the shuffle."""
     _check(k)
-    clean = kmer_rows(df, k).where(S.is_clean(F.col("kmer")))
+    clean = df.select(F.explode(S.clean_kmers(F.col("sequence"), k)).alias("kmer"))
     if canonical:
         clean = clean.select(S.canonical(F.col("kmer")).alias("kmer"))
     return clean.groupBy("kmer").agg(F.count("*").alias("count"))
