@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import counting, kmers, pairwise, quality, transforms
-from ..schema import ADAPTER, ADAPTER_OVERLAP
+from ..schema import ADAPTER, ADAPTER_OVERLAP, EDIT_MAX
 from ..sources import fastq, validation
+from ..streaming.pipelines import shared_folder
 from .reads import MIXED_SQL, READS_SQL, adapter_sql, mixed, reads, with_adapter
 
 QUERIES, SQL = {}, {}
 
-#: Reads that the all-pairs queries compare; their parameter, since pairs grow with its square.
-PAIR_READS = 300
+#: Distance up to which the search lists pairs.
+HAMMING_MOST = 36
 K, SKETCH = 21, 16
 
 
@@ -135,11 +136,11 @@ query(
     f"WITH {READS_SQL}, {_W5}, {_FNV5}, p AS (SELECT x.id AS a, y.id AS b FROM reads x JOIN reads y ON y.ord = x.ord + 1), m AS (SELECT p.a, p.b, h, coalesce(sum(n) FILTER (c.id = p.a), 0) AS x, coalesce(sum(n) FILTER (c.id = p.b), 0) AS y FROM p JOIN c ON c.id = p.a OR c.id = p.b GROUP BY p.a, p.b, h), j AS (SELECT a, b, sum(least(x, y))::DOUBLE / sum(greatest(x, y)) AS s FROM m GROUP BY a, b) SELECT p.a, p.b, round(coalesce(s, 0), 6) AS similarity FROM p LEFT JOIN j USING (a, b)".replace("c ON c.id = p.a OR c.id = p.b", "(SELECT p.a, p.b, c.id, h, n FROM p JOIN c ON c.id = p.a UNION ALL SELECT p.a, p.b, c.id, h, n FROM p JOIN c ON c.id = p.b) c ON c.a = p.a AND c.b = p.b"),
 )(_neighbours)
 
-_FIRST = f"f AS (SELECT * FROM reads ORDER BY ord LIMIT {PAIR_READS})"
-_HAMMING = f"WITH {READS_SQL}, {_FIRST}, d AS (SELECT x.ord AS i, y.ord AS j, hamming(x.sequence, y.sequence)::BIGINT AS distance FROM f x JOIN f y ON x.ord < y.ord)"
-query("hamming_pairs", f"{_HAMMING} SELECT i, j, distance FROM d")(lambda df: pairwise.hamming_distance(pairwise.first_reads(df, PAIR_READS)))
-query("hamming_summary", f"{_HAMMING} SELECT count(*) AS num_pairs, min(distance) AS min_distance, max(distance) AS max_distance, round(avg(distance), 6) AS mean_distance FROM d")(lambda df: pairwise.distance_summary(pairwise.hamming_distance(pairwise.first_reads(df, PAIR_READS))))
-query("edit_pairs", f"WITH {MIXED_SQL}, {_FIRST} SELECT x.ord AS i, y.ord AS j, levenshtein(x.sequence, y.sequence)::BIGINT AS distance FROM f x JOIN f y ON x.ord < y.ord", mixed)(lambda df: pairwise.edit_distance(df, PAIR_READS))
+# Queries are the reads whose key is divisible by 20; they are compared with all reads.
+_HAMMING = f"WITH {READS_SQL}, d AS (SELECT x.ord AS i, y.ord AS j, hamming(x.sequence, y.sequence)::BIGINT AS distance FROM reads x JOIN reads y ON x.ord % 20 = 0 AND x.ord <> y.ord)"
+query("hamming_pairs", f"{_HAMMING} SELECT i, j, distance FROM d WHERE distance <= {HAMMING_MOST}")(lambda df: pairwise.hamming_search(df.where("ord % 20 = 0"), df, HAMMING_MOST))
+query("hamming_summary", f"{_HAMMING} SELECT count(*) AS num_pairs, min(distance) AS min_distance, max(distance) AS max_distance, round(avg(distance), 6) AS mean_distance FROM d")(lambda df: pairwise.hamming_summary(df, df.where("ord % 20 = 0")))
+query("edit_pairs", f"WITH {MIXED_SQL}, f AS (SELECT * FROM reads ORDER BY ord LIMIT {EDIT_MAX}) SELECT x.ord AS i, y.ord AS j, levenshtein(x.sequence, y.sequence)::BIGINT AS distance FROM f x JOIN f y ON x.ord < y.ord", mixed)(pairwise.edit_distance)
 
 _BITS = "regexp_replace(upper(sequence), '[^ACGT]', 'A', 'g')"
 _ENC = f"array_to_string(list_transform(range(0, ((length(sequence) + 3) // 4) * 2), lambda i: substring('0123456789ABCDEF', 1 + 4 * (instr('ACGT', substring(rpad({_BITS}, 64, 'A'), (2 * i + 1)::INTEGER, 1)) - 1) + instr('ACGT', substring(rpad({_BITS}, 64, 'A'), (2 * i + 2)::INTEGER, 1)) - 1, 1)), '')"
@@ -149,9 +150,57 @@ query("get_2bit", f"WITH {MIXED_SQL} SELECT id, CASE WHEN length(sequence) > 9 T
 query("complement_2bit", f"WITH {MIXED_SQL} SELECT id, translate({_BITS}, 'ACGT', 'TGCA') AS complement, reverse(translate({_BITS}, 'ACGT', 'TGCA')) AS reverse_complement FROM reads", mixed)(
     lambda df: df.select("id", S.two_bit_encode(F.col("sequence")).alias("p")).select("id", S.two_bit_decode(S.two_bit_complement(F.col("p"))).alias("complement"), S.two_bit_decode(S.two_bit_reverse_complement(F.col("p"))).alias("reverse_complement"))
 )
-query("twobit_base_count", f"WITH {MIXED_SQL}, t AS (SELECT {_BITS} AS sequence FROM reads) SELECT " + ", ".join(f"{_n(x.upper())} AS count_{x}" for x in "acgtn") + f", {_T} AS total FROM t", mixed)(lambda df: counting.base_counting(df.withColumn("sequence", S.two_bit_letters(F.col("sequence")))))
+_TWOBIT = f"WITH {MIXED_SQL}, t AS (SELECT ord, {_BITS} AS sequence FROM reads)"
+_two_bit = lambda df: df.withColumn("sequence", S.two_bit_decode(S.two_bit_encode(F.col("sequence"))))
+query("twobit_base_count", f"{_TWOBIT} SELECT " + ", ".join(f"{_n(x.upper())} AS count_{x}" for x in "acgtn") + f", {_T} AS total FROM t", mixed)(lambda df: counting.base_counting(_two_bit(df)))
+query("twobit_gc", f"{_TWOBIT}, c AS (SELECT {_n('GC')} AS gc, {_T} AS total FROM t) SELECT gc AS count_gc, total AS total_bases, {_rate('gc', 'total')} AS gc_percent FROM c", mixed)(lambda df: counting.gc_content(_two_bit(df)).select("count_gc", "total_bases", "gc_percent"))
+query("twobit_at", f"{_TWOBIT}, c AS (SELECT {_n("AT")} AS w, {_T} AS total FROM t) SELECT w AS at_count, total AS total_bases, {_rate("w", "total")} AS at_percent FROM c", mixed)(lambda df: counting.at_content(_two_bit(df)))
+query("twobit_length", f"{_TWOBIT} SELECT {_T} AS total_length, count(*) AS num_sequences, min(strlen(sequence))::BIGINT AS min_length, max(strlen(sequence))::BIGINT AS max_length, round(sum(strlen(sequence))::DOUBLE / count(*), 6) AS mean_length FROM t", mixed)(lambda df: counting.sequence_length(_two_bit(df)))
+query("twobit_reverse_complement", f"{_TWOBIT} SELECT concat('seq', cast(ord AS varchar), '_revcomp') AS id, reverse(translate(sequence, 'ACGT', 'TGCA')) AS sequence FROM t", mixed)(
+    lambda df: df.select(F.concat(F.lit("seq"), F.col("ord").cast("string"), F.lit("_revcomp")).alias("id"), S.two_bit_decode(S.two_bit_reverse_complement(S.two_bit_encode(F.col("sequence")))).alias("sequence"))
+)
 
 query("fastq_roundtrip", f"WITH {MIXED_SQL} SELECT id, sequence, coalesce(quality, repeat('?', length(sequence))) AS quality FROM reads", mixed)(fastq.round_trip)
 query("fastq_text", f"WITH {READS_SQL} SELECT concat('@', id, chr(10), sequence, chr(10), '+', chr(10), quality) AS value FROM reads")(fastq.fastq_text)
 query("validate_fastq", f"WITH {MIXED_SQL} SELECT 'fastq' AS file_format, count(*) AS num_records, min(length(sequence)) AS min_length, max(length(sequence)) AS max_length, round(avg(length(sequence)), 6) AS mean_length, count(*) FILTER (NOT regexp_full_match(sequence, '[ACGTNacgtn]*')) AS num_issues FROM reads", mixed)(validation.report)
 query("validation_issues", f"WITH {MIXED_SQL} SELECT id, 'alphabet' AS issue FROM reads WHERE NOT regexp_full_match(sequence, '[ACGTNacgtn]*')", mixed)(validation.issue_rows)
+
+
+def _stored(df: DataFrame, write) -> str:
+    """Where the reads were written, in a new shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/reads"
+    write(df, path)
+    return path
+
+
+_FILLED = f"WITH {MIXED_SQL} SELECT id, sequence, coalesce(quality, repeat('?', length(sequence))) AS quality FROM reads"
+_BAD = "NOT regexp_full_match(sequence, '[ACGTNacgtn]*')"
+query("fastq_plain_files", _FILLED, mixed)(lambda df: fastq.read_fastq(df.sparkSession, _stored(df, lambda d, p: fastq.write_fastq(d, p, "none")), compression="none"))
+query("fastq_gzip_files", _FILLED, mixed)(lambda df: fastq.read_fastq(df.sparkSession, _stored(df, fastq.write_fastq)))
+query("fastq_resync_files", _FILLED, mixed)(lambda df: fastq.read_fastq(df.sparkSession, _stored(df, fastq.write_fastq), mode="RESYNC"))
+query("fasta_files", f"WITH {MIXED_SQL} SELECT id, sequence FROM reads", mixed)(lambda df: fastq.read_fasta(df.sparkSession, _stored(df, fastq.write_fasta)).select("id", "sequence"))
+query("fastq_malformed_files", f"WITH {MIXED_SQL} SELECT id, sequence, coalesce(quality, repeat('?', length(sequence))) AS quality FROM reads WHERE ord % 3 <> 0", mixed)(
+    lambda df: fastq.read_fastq(df.sparkSession, _stored(df.withColumn("quality", F.when(F.col("ord") % 3 == 0, F.concat("sequence", F.lit("!"))).otherwise(F.col("quality"))), fastq.write_fastq), mode="DROPMALFORMED")
+)
+query("fastq_file_report", f"WITH {MIXED_SQL} SELECT 'fastq' AS file_format, count(*) AS num_records, min(length(sequence)) AS min_length, max(length(sequence)) AS max_length, round(avg(length(sequence)), 6) AS mean_length, count(*) FILTER ({_BAD}) AS num_issues FROM reads", mixed)(
+    lambda df: validation.file_report(validation.file_records(df.sparkSession, _stored(df, fastq.write_fastq)))
+)
+query("fasta_file_issues", f"WITH {MIXED_SQL} SELECT 'alphabet' AS issue, count(*) AS n FROM reads WHERE {_BAD}", mixed)(
+    lambda df: validation.file_issues(validation.file_records(df.sparkSession, _stored(df, fastq.write_fasta), "fasta")).groupBy("issue").agg(F.count("*").alias("n"))
+)
+
+
+def _end_to_end(df: DataFrame) -> DataFrame:
+    """Compressed FASTQ in, filtered by quality, compressed FASTQ out; counts of both sides."""
+    spark = df.sparkSession
+    source = fastq.read_fastq(spark, _stored(df, fastq.write_fastq))
+    out = fastq.read_fastq(spark, _stored(quality.quality_filter_rows(source), fastq.write_fastq))
+    counted = lambda x: counting.base_counting(x).select("total", "count_n")
+    sizes = lambda x: x.agg(F.count("*").alias("n"))
+    return counted(source).select(F.lit("in").alias("side"), "*").join(sizes(source)).union(counted(out).select(F.lit("out").alias("side"), "*").join(sizes(out)))
+
+
+query(
+    "gzip_count_filter",
+    f"WITH {READS_SQL}, k AS (SELECT * FROM reads WHERE {_MEANQ} - 33 >= 20) " + " UNION ALL ".join(f"SELECT '{side}' AS side, {_T} AS total, {_n('N')} AS count_n, count(*) AS n FROM {t}" for side, t in (("in", "reads"), ("out", "k"))),
+)(_end_to_end)

@@ -1,7 +1,9 @@
-"""BGZF: gzip in independent blocks. A Python data source reads groups of blocks in parallel.
+"""BGZF: gzip in independent blocks. A Python data source gives each task a range of a file's bytes.
 
-The path must be visible to the driver and the executors alike, as a shared file system is. Records that cross the
-edge of a group belong to the group in which they start: a task reads on until its last record is complete.
+A task looks for the first block that starts in its range, so nobody walks a file's headers on the driver. It owns the
+records whose header line starts after the first line break of its range (at the file's start, from the first byte) and
+not behind its end, and reads on into the following blocks until its last record is whole, however long records are. The
+path must be visible to the driver and the executors alike, as a shared file system is.
 """
 
 from __future__ import annotations
@@ -11,13 +13,47 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .fastq import _offset, parse
+import pyarrow as pa
 
-_PROBE_LINES = 64
+from .fastq import COLUMNS, _PROBE, _offset, framed
+
+#: Bytes of a task's range; the longest block.
+PARTITION_BYTES, LONGEST_BLOCK = 8 << 20, 1 << 16
+
+
+def block_size(head: bytes) -> int | None:
+    """The size of the block whose first bytes these are; None where no block begins."""
+    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    extra, i = head[12 : 12 + struct.unpack("<H", head[10:12])[0]], 0
+    while i + 4 <= len(extra):
+        n = struct.unpack("<H", extra[i + 2 : i + 4])[0]
+        if extra[i : i + 2] == b"BC" and n == 2 and i + 6 <= len(extra):
+            return struct.unpack("<H", extra[i + 4 : i + 6])[0] + 1
+        i += 4 + n
+    return None
+
+
+def _head(f: BinaryIO, at: int) -> bytes:
+    f.seek(at)
+    return f.read(1024)
+
+
+def next_block(f: BinaryIO, at: int, size: int) -> int | None:
+    """Where the first block at or after a place starts: a header that another block, or the end, follows."""
+    f.seek(at)
+    window, i = f.read(LONGEST_BLOCK + 1024), 0
+    while (i := window.find(b"\x1f\x8b\x08\x04", i)) >= 0:
+        length = block_size(window[i : i + 1024])
+        if length and (at + i + length == size or block_size(_head(f, at + i + length))):
+            return at + i
+        i += 1
+    return None
 
 
 def blocks(path: str) -> list[tuple[int, int]]:
@@ -25,19 +61,9 @@ def blocks(path: str) -> list[tuple[int, int]]:
     found, at, size = [], 0, os.path.getsize(path)
     with open(path, "rb") as f:
         while at < size:
-            f.seek(at)
-            head = f.read(12)
-            if len(head) < 12 or head[:2] != b"\x1f\x8b" or not head[3] & 4:
-                raise ValueError(f"no BGZF block at {at} of {path}")
-            extra = f.read(struct.unpack("<H", head[10:12])[0])
-            length, i = None, 0
-            while i + 4 <= len(extra):
-                n = struct.unpack("<H", extra[i + 2 : i + 4])[0]
-                if extra[i : i + 2] == b"BC" and n == 2:
-                    length = struct.unpack("<H", extra[i + 4 : i + 6])[0] + 1
-                i += 4 + n
+            length = block_size(_head(f, at))
             if not length:
-                raise ValueError(f"no block size at {at} of {path}")
+                raise ValueError(f"no BGZF block at {at} of {path}")
             found.append((at, length))
             at += length
     return found
@@ -58,56 +84,97 @@ def deflate(data: bytes, block: int = 65280) -> bytes:
     return b"".join(out)
 
 
-class Group(InputPartition):
-    def __init__(self, path: str, first: int, last: int, found: list[tuple[int, int]]):
-        self.path, self.first, self.last, self.found = path, first, last, found
+class ByteRange(InputPartition):
+    def __init__(self, path: str, start: int, end: int, size: int):
+        self.path, self.start, self.end, self.size = path, start, end, size
+
+
+class _Text:
+    """The decompressed text of a range, and of the blocks after it as far as it was asked for."""
+
+    def __init__(self, f: BinaryIO, first: int, part: ByteRange):
+        self.f, self.at, self.size, self.data = f, first, part.size, bytearray()
+        while self.at < part.end and self.more():
+            pass
+        self.own = len(self.data)
+
+    def more(self) -> bool:
+        """Reads one more block."""
+        if self.at >= self.size:
+            return False
+        length = block_size(_head(self.f, self.at))
+        if not length:
+            raise ValueError(f"no BGZF block at {self.at}")
+        self.f.seek(self.at)
+        self.data += inflate(self.f.read(length))
+        self.at += length
+        return True
+
+    def lines(self, start: int, n: int) -> list[str]:
+        """Up to n lines from a place on, reading on as needed; fewer only at the file's end."""
+        breaks = self.data.count(b"\n", start)
+        while breaks < n and self.more():
+            breaks = self.data.count(b"\n", start)
+        found = bytes(self.data[start:]).split(b"\n", n)[:n]
+        if breaks < len(found) and not found[-1]:
+            found.pop()
+        return [x.decode() for x in found]
 
 
 class BgzfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = sorted(glob.glob(options["path"]))
-        self.group = int(options.get("blocksperpartition", 64))
+        self.bytes = int(options.get("partitionbytes", PARTITION_BYTES))
         self.mode = options.get("mode", "FAILFAST")
         self.validate = options.get("validatequality", "false").lower() == "true"
+        if self.mode not in ("FAILFAST", "DROPMALFORMED"):
+            raise ValueError("mode must be FAILFAST or DROPMALFORMED")
 
-    def partitions(self) -> list[Group]:
-        out = []
-        for path in self.paths:
-            found = blocks(path)
-            # A group knows the blocks that it may have to read on into, but not the whole file's.
-            out += [Group(path, 0, min(self.group, len(found) - a), found[a : a + 2 * self.group]) for a in range(0, len(found), self.group)]
-        return out
+    def partitions(self) -> list[ByteRange]:
+        sizes = [(p, os.path.getsize(p)) for p in self.paths]
+        return [ByteRange(p, a, min(a + self.bytes, n), n) for p, n in sizes for a in range(0, n, self.bytes)]
 
-    def read(self, part: Group) -> Iterator[tuple[str, str, str]]:
-        begins = part.found[0][0] == 0
+    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         with open(part.path, "rb") as f:
-
-            def data(i: int) -> bytes:
-                at, n = part.found[i]
-                f.seek(at)
-                return inflate(f.read(n))
-
-            own = b"".join(map(data, range(part.last)))
-            more, i = b"", part.last
-            while i < len(part.found) and more.count(b"\n") < _PROBE_LINES:
-                more += data(i)
-                i += 1
-        lines, after = own.split(b"\n"), more.split(b"\n")
-        cut = lines.pop()  # the line that the group's edge cuts, or nothing
-        text = [x.decode() for x in lines]
-        if not begins:
-            text = text[1:]  # the line before belongs to the group before, even if it began right here
-        rest = [(cut + after[0]).decode(), *(x.decode() for x in after[1:])] if own or more else []
-        skip = 0 if begins else _offset(text + rest) or 0
-        missing = -(len(text) - skip) % 4
-        tail = [x for x in rest[: missing + 4 if not missing else missing]] if rest else []
-        # The group after skips its first line and then looks for the next record, so the record that holds that line is ours.
-        whole = text[skip:] + tail
-        yield from parse([x for x in whole if x or self.mode == "PERMISSIVE"][: len(whole) - len(whole) % 4], self.mode, self.validate)
+            first = 0 if part.start == 0 else next_block(f, part.start, part.size)
+            if first is None or first >= part.end:
+                return
+            text = _Text(f, first, part)
+            start = 0
+            if part.start:
+                while (at := text.data.find(b"\n", start)) < 0 and text.more():
+                    pass
+                start = at + 1
+                if at < 0 or start > text.own:
+                    return
+                probe = text.lines(start, 4 * _PROBE + 3)
+                skip = _offset(probe)
+                if skip is None:
+                    if len(probe) < 4:
+                        return  # the rest of a record of the range before
+                    raise ValueError(f"no record found after byte {part.start} of {part.path}")
+                start += sum(len(x.encode()) + 1 for x in probe[:skip])
+            if start > text.own:
+                return
+            # Records that start up to the range's end, and a look at the four lines after them.
+            owned = 1 + text.data.count(b"\n", start, text.own)
+            wanted = 4 * -(-owned // 4)
+            lines = text.lines(start, wanted + 4)
+        rest = lines[wanted:]
+        lines = lines[:wanted]
+        while lines and not lines[-1] and len(lines) % 4:
+            lines.pop()
+        if self.mode == "FAILFAST" and (len(lines) % 4 or (0 < len(rest) < 4 and any(rest))):
+            raise ValueError(f"incomplete record at the end of {part.path}")
+        lines = lines[: len(lines) - len(lines) % 4]
+        if lines and not any(lines[-4:]):
+            lines = lines[:-4]
+        if lines:
+            yield pa.RecordBatch.from_arrays(framed(pa.array(lines, pa.string()), self.mode, self.validate), COLUMNS)
 
 
 class BgzfFastq(DataSource):
-    """Format "bgzf_fastq"; options path, blocksPerPartition, mode, validateQuality."""
+    """Format "bgzf_fastq"; options path, partitionBytes, mode, validateQuality."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,9 +1,11 @@
 """FASTQ and FASTA tables from files, and back.
 
 Plain and gzip files are read by Spark's text reader, from any store Spark reads. A plain file is split like any text;
-each split finds the record framing by itself, and the few lines at its edges are put together by file afterwards.
-Modes that follow a file line by line (PERMISSIVE, RESYNC), and zstd, take a file in one task. BGZF files, whose blocks
-can be read apart, have a Python data source that gives a group of blocks to each task (see bgzf.py).
+each split finds the record framing by itself, and the few lines at its edges are put together by file afterwards. Lines
+are framed as Arrow columns, without an object for each line. Modes that follow a file line by line (PERMISSIVE, RESYNC),
+zstd, and a compression that the name doesn't tell take a file in one task, which decompresses it as a stream; Spark
+holds the compressed file, of up to 2 GB. BGZF files, whose blocks can be read apart, have a Python data source that
+gives a range of bytes to each task (see bgzf.py).
 
 Modes: FAILFAST raises at a bad record; DROPMALFORMED leaves it out; PERMISSIVE takes four lines as they are until an
 empty header; RESYNC skips one line where a header should be.
@@ -11,9 +13,14 @@ empty header; RESYNC skips one line where a header should be.
 
 from __future__ import annotations
 
+import gzip
+import io
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +75,6 @@ def parse(lines: Iterable[str], mode: str = "FAILFAST", validate: bool = False)
         raise ValueError(f"incomplete record: {held[0][:80]}")
 
 
-def _frame(rows: list[Record]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["id", "sequence", "quality"], dtype=object)
-
-
 def _offset(lines: list[str]) -> int | None:
     """How many lines to skip until records begin; None where too few lines are there to tell."""
     for skip in range(4):
@@ -81,85 +84,123 @@ def _offset(lines: list[str]) -> int | None:
     return None
 
 
+COLUMNS = ["id", "sequence", "quality"]
+
+
+def framed(lines: pa.Array, mode: str, validate: bool) -> list[pa.Array]:
+    """id, sequence and quality of lines that are whole records, checked as `problem` does."""
+    header, sequence, plus, quality = (lines.take(pa.array(np.arange(k, len(lines), 4))) for k in range(4))
+    sequence, quality = pc.utf8_trim_whitespace(sequence), pc.utf8_trim_whitespace(quality)
+    good = pc.and_(pc.and_(pc.starts_with(header, "@"), pc.starts_with(plus, "+")), pc.equal(pc.utf8_length(sequence), pc.utf8_length(quality)))
+    if validate:
+        good = pc.and_(good, pc.invert(pc.match_substring_regex(quality, r"[^\x21-\x7E]")))
+    columns = [pc.utf8_trim_whitespace(pc.utf8_slice_codeunits(header, 1)), sequence, quality]
+    if pc.all(good).as_py() in (True, None):
+        return columns
+    if mode == "FAILFAST":
+        i = good.to_pylist().index(False)
+        raise ValueError(f"{problem(lines.slice(4 * i, 4).to_pylist(), validate)}: {header[i].as_py()[:80]}")
+    return [c.filter(good) for c in columns]
+
+
+class _Split:
+    """The lines of one split: whole records, and the lines at the edges."""
+
+    def __init__(self, file: str, block: int, mode: str, validate: bool):
+        self.file, self.block, self.mode, self.validate = file, block, mode, validate
+        self.held, self.ready, self.number = pa.array([], pa.string()), block == 0, 0
+
+    def _edge(self, lines: pa.Array) -> pa.RecordBatch:
+        n, none = len(lines), pa.nulls(len(lines), pa.string())
+        numbers = pa.array(np.arange(self.number, self.number + n))
+        self.number += n
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array([self.file] * n, pa.string()), pa.array(np.full(n, self.block, np.int64)), numbers, lines], _PARTS)
+
+    def add(self, lines: pa.Array, last: bool = False) -> Iterator[pa.RecordBatch]:
+        self.held = pa.concat_arrays([self.held, lines])
+        if not self.ready and (last or len(self.held) >= 4 * _PROBE + 4):
+            skip = _offset(self.held.slice(0, 4 * _PROBE + 4).to_pylist())
+            if skip is not None:
+                yield self._edge(self.held.slice(0, skip))
+                self.held, self.ready = self.held.slice(skip), True
+        if self.ready:
+            whole = len(self.held) - len(self.held) % 4
+            columns = framed(self.held.slice(0, whole), self.mode, self.validate)
+            n = len(columns[0])
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], _PARTS)
+            self.held = self.held.slice(whole)
+        if last:
+            yield self._edge(self.held)
+
+
+_PARTS = [*COLUMNS, "file", "block", "number", "line"]
+
+
 def read_fastq(spark: SparkSession, path: str, mode: str = "FAILFAST", validate_quality: bool = False, compression: str | None = None) -> DataFrame:
     """Reads of one or many FASTQ files; compression is none, gzip or zstd, by extension unless named."""
-    kind = compression or ("zstd" if path.endswith(".zst") else "text")
-    if kind == "zstd" or mode in ("PERMISSIVE", "RESYNC"):
-        return _whole_files(spark, path, mode, validate_quality, kind)
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    by_name = compression is None or (compression == "gzip") == path.endswith(".gz")
+    if compression == "zstd" or (compression is None and path.endswith(".zst")) or not by_name or mode in ("PERMISSIVE", "RESYNC"):
+        return _whole_files(spark, path, mode, validate_quality, compression)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, ready, number = None, [], False, 0
-
-        def flush(last: bool) -> Iterator[dict]:
-            """Records that are complete, and at the end of a split its edges."""
-            nonlocal held, ready, number
-            if not ready and (last or len(held) >= 4 * _PROBE + 4 or at[1] == 0):
-                skip = 0 if at[1] == 0 else _offset(held)
-                if skip is not None:
-                    yield from edge(held[:skip])
-                    held, ready = held[skip:], True
-            if ready:
-                whole = len(held) - len(held) % 4
-                for r in parse(held[:whole], mode, validate_quality):
-                    yield {"id": r[0], "sequence": r[1], "quality": r[2]}
-                held = held[whole:]
-            if last:
-                yield from edge(held)
-
-        def edge(some: list[str]) -> Iterator[dict]:
-            nonlocal number
-            for x in some:
-                yield {"file": at[0], "block": at[1], "number": number, "line": x}
-                number += 1
-
-        columns = ["id", "sequence", "quality", "file", "block", "number", "line"]
-        for frame in frames:
-            out: list[dict] = []
-            for value, file, block in frame.itertuples(index=False):
-                if at != (file, block):
-                    if at:
-                        out += flush(True)
-                    at, held, ready, number = (file, block), [], False, 0
-                held.append(value)
-            out += flush(False)
-            yield pd.DataFrame(out, columns=columns, dtype=object)
-        if at:
-            yield pd.DataFrame(list(flush(True)), columns=columns, dtype=object)
-
-    parts = lines.mapInPandas(split, "id string, sequence string, quality string, file string, block long, number long, line string")
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Split | None = None
+        for batch in batches:
+            value, file, block = batch.columns
+            if not len(value):
+                continue
+            change = pc.or_(pc.not_equal(file.slice(1), file.slice(0, len(file) - 1)), pc.not_equal(block.slice(1), block.slice(0, len(block) - 1)))
+            cuts = [0, *(np.flatnonzero(change.to_numpy(zero_copy_only=False)) + 1).tolist(), len(value)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if now is None or (now.file, now.block) != (file[a].as_py(), block[a].as_py()):
+                    if now:
+                        yield from now.add(value.slice(0, 0), True)
+                    now = _Split(file[a].as_py(), block[a].as_py(), mode, validate_quality)
+                yield from now.add(value.slice(a, b - a))
+        if now:
+            yield from now.add(pa.array([], pa.string()), True)
+
+    parts = lines.mapInArrow(split, "id string, sequence string, quality string, file string, block long, number long, line string")
     edges = parts.where("file is not null").select("file", "block", "number", "line")
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(list(parse(rows.sort_values(["block", "number"])["line"], mode, validate_quality)))
+    def join(rows: pa.Table) -> pa.Table:
+        found = list(parse(rows.sort_by([("block", "ascending"), ("number", "ascending")]).column("line").to_pylist(), mode, validate_quality))
+        return pa.table({c: pa.array([r[k] for r in found], pa.string()) for k, c in enumerate(COLUMNS)})
 
-    joined = edges.groupBy("file").applyInPandas(join, READS)
-    return parts.where("file is null").select("id", "sequence", "quality").unionByName(joined)
+    joined = edges.groupBy("file").applyInArrow(join, READS)
+    return parts.where("file is null").select(*COLUMNS).unionByName(joined)
 
 
-def _whole_files(spark: SparkSession, path: str, mode: str, validate: bool, kind: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+#: Records put into one batch by the readers that follow a file line by line.
+_BATCH = 10_000
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in frame.itertuples(index=False):
-                yield _frame(list(parse(decompressed(content, kind, name).decode().splitlines(), mode, validate)))
 
-    return files.mapInPandas(run, READS)
+def opened(content: bytes, compression: str | None, name: str) -> io.TextIOWrapper:
+    """The text of a file as a stream of lines; compression by extension unless named."""
+    kind = compression or ("zstd" if name.endswith(".zst") else "gzip" if name.endswith(".gz") else "none")
+    raw = io.BytesIO(content)
+    if kind == "zstd":
+        import zstandard
 
+        raw = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+    elif kind == "gzip":
+        raw = gzip.GzipFile(fileobj=raw)
+    return io.TextIOWrapper(raw, encoding="utf-8", newline="\n")
 
-def decompressed(content: bytes, kind: str, name: str) -> bytes:
-    if kind == "zstd":
-        import io
 
-        import zstandard
+def _whole_files(spark: SparkSession, path: str, mode: str, validate: bool, compression: str | None) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True).read()
-    if kind == "gzip" or name.endswith(".gz"):
-        import gzip
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*batch.columns, strict=True):
+                records = parse((line.rstrip("\r\n") for line in opened(content.as_py(), compression, name.as_py())), mode, validate)
+                while some := list(islice(records, _BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)], COLUMNS)
 
-        return gzip.decompress(content)
-    return content
+    return files.mapInArrow(run, READS)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -201,7 +242,13 @@ def checks(validate_quality: bool = False) -> dict[str, Column]:
 
 
 def round_trip(df: DataFrame, validate_quality: bool = False) -> DataFrame:
-    """What writing and parsing leaves of the reads: default quality filled in, ids and text trimmed, bad records gone."""
-    written = with_default_quality(df).select(F.trim("id").alias("id"), F.trim("sequence").alias("sequence"), F.trim("quality").alias("quality"))
-    good = F.length("sequence") == F.length("quality")
-    return written.where(good & F.col("quality").rlike("^[\\x21-\\x7E]*$") if validate_quality else good)
+    """Records written as FASTQ text and parsed again, bad ones left out; the text stays in the task that made it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = "\n".join(batch.column(0).to_pylist())
+            lines = pa.array(text.split("\n") if text else [], pa.string())
+            lines = lines.slice(0, len(lines) - len(lines) % 4)  # a last record in part is no record
+            yield pa.RecordBatch.from_arrays(framed(lines, "DROPMALFORMED", validate_quality), COLUMNS)
+
+    return with_default_quality(df).transform(fastq_text).mapInArrow(run, READS)

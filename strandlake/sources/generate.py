@@ -42,3 +42,12 @@ def generate_reads(spark: SparkSession, n: int, mean: int = 150, deviation: floa
     else:
         values = _text(size, lambda p: F.chr(code[quality](p).cast("int")))
     return sized.select("ord", "id", _text(size, base).alias("sequence"), values.alias("quality"))
+
+
+def generate_fixed(spark: SparkSession, n: int, length: int, seed: int = 1, partitions: int | None = None) -> DataFrame:
+    """ord and reads of one length, uniform bases, quality bytes from 33 to 73."""
+    rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    o, size = F.col("id"), F.lit(length)
+    base = lambda p: F.substring(F.lit("ACGT"), F.floor(_draw(o, p, seed, "base") * 4).cast("int") + 1, F.lit(1))
+    code = lambda p: F.chr((F.floor(_draw(o, p, seed, "quality") * 41) + 33).cast("int"))
+    return rows.select(o.alias("ord"), F.concat(F.lit("seq_"), o.cast("string")).alias("id"), _text(size, base).alias("sequence"), _text(size, code).alias("quality"))

@@ -46,7 +46,11 @@ def read_power_log(spark: SparkSession, path: str) -> DataFrame:
     return filled.select(F.to_timestamp(F.regexp_replace("at", r"^\w+ +", ""), "MMM d HH:mm:ss yyyy Z").alias("timestamp"), "cpu_power_mw")
 
 
-def write_results(df: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """Results as Parquet, JSON, or CSV with a header."""
-    writer = df.write.option("header", True) if file_format == "csv" else df.write
-    writer.format(file_format).save(path)
+def write_results(df: DataFrame, path: str, file_format: str = "parquet", decimals: dict[str, int] | None = None) -> None:
+    """Results as Parquet, JSON, or CSV with a header; decimals: columns of a CSV file written with so many places."""
+    if file_format == "csv":
+        fixed = [F.format_string(f"%.{decimals[c]}f", F.col(c)) if decimals and c in decimals else F.col(c) for c in df.columns]
+        shown = df.select(*[F.when(F.col(c).isNotNull(), x).alias(c) for c, x in zip(df.columns, fixed, strict=True)])
+        shown.write.option("header", True).csv(path)
+    else:
+        df.write.format(file_format).save(path)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import issues
-from .fastq import checks
+from .fastq import checks, opened
+
+_LETTERS = frozenset("ACGTNacgtn")
+_RECORDS = "file string, record long, length long, issues array<string>"
+_BATCH = 10_000
 
 
 def issue_rows(df: DataFrame, validate_quality: bool = True) -> DataFrame:
@@ -17,13 +24,86 @@ def issue_rows(df: DataFrame, validate_quality: bool = True) -> DataFrame:
 def report(df: DataFrame, file_format: str = "fastq") -> DataFrame:
     """Records, lengths and number of issues in one row, from one scan. Lengths are null without records."""
     n = F.length("sequence").cast("long")
-    found = df.select(n.alias("n"), F.size(issues(checks(file_format == "fastq"))).alias("i"))
+    return _report(df.select(n.alias("n"), F.size(issues(checks(file_format == "fastq"))).alias("i")), file_format)
+
+
+def _report(found: DataFrame, file_format: str) -> DataFrame:
     return found.agg(
         F.lit(file_format).alias("file_format"), F.count("*").alias("num_records"), F.min("n").alias("min_length"), F.max("n").alias("max_length"),
         F.try_divide(F.sum("n").cast("double"), F.count("n")).alias("mean_length"), F.coalesce(F.sum("i"), F.lit(0)).cast("long").alias("num_issues"),
     )
 
 
+def _fastq(lines: Iterator[str]) -> Iterator[tuple[int, list[str]]]:
+    """Length and issues of each four lines; a last record in part is `truncated`."""
+    for header in lines:
+        own = [header, *(x for _, x in zip(range(3), lines, strict=False))]
+        if len(own) < 4:
+            if any(own):
+                yield len(own[1]) if len(own) > 1 else 0, ["truncated"]
+            return
+        found = {
+            "header": header.startswith("@"), "empty_id": len(header) > 1, "alphabet": set(own[1]) <= _LETTERS, "plus": own[2].startswith("+"),
+            "length_mismatch": len(own[1]) == len(own[3]), "quality_range": all("!" <= c <= "~" for c in own[3]),
+        }
+        yield len(own[1]), [k for k, ok in found.items() if not ok]
+
+
+def _fasta(lines: Iterator[str]) -> Iterator[tuple[int, list[str]]]:
+    """Length and issues of each header with its lines; lines before the first header are a record without one."""
+    header, length, letters = None, 0, True
+    for line in lines:
+        if line.startswith(">"):
+            if header is not None or length:
+                yield length, _fasta_issues(header, length, letters)
+            header, length, letters = line[1:].strip(), 0, True
+        elif line:
+            length, letters = length + len(line), letters and set(line) <= _LETTERS
+    if header is not None or length:
+        yield length, _fasta_issues(header, length, letters)
+
+
+def _fasta_issues(header: str | None, length: int, letters: bool) -> list[str]:
+    found = {"header": header is not None, "empty_id": header != "", "no_sequence": length > 0, "alphabet": letters}
+    return [k for k, ok in found.items() if not ok]
+
+
+def file_records(spark: SparkSession, path: str, file_format: str = "fastq", compression: str | None = None) -> DataFrame:
+    """file, record (from 1), length and issues of every record of the files as they are, good or bad.
+
+    A record's number depends on all before it, so a file is followed by one task, as a stream.
+    """
+    records = {"fastq": _fastq, "fasta": _fasta}[file_format]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*batch.columns, strict=True):
+                rows: list[tuple] = []
+                for k, (length, found) in enumerate(records(line.rstrip("\r\n") for line in opened(content.as_py(), compression, name.as_py())), 1):
+                    rows.append((name.as_py(), k, length, found))
+                    if len(rows) == _BATCH:
+                        yield _batch(rows)
+                        rows = []
+                yield _batch(rows)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _RECORDS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["file", "record", "length", "issues"])
+
+
+def file_report(records: DataFrame, file_format: str = "fastq") -> DataFrame:
+    """The report of file records in one row."""
+    return _report(records.select(F.col("length").alias("n"), F.size("issues").alias("i")), file_format)
+
+
+def file_issues(records: DataFrame) -> DataFrame:
+    """A row for every issue: file, record, issue."""
+    return records.select("file", "record", F.explode("issues").alias("issue"))
+
+
 def require_records(df: DataFrame) -> DataFrame:
     if df.isEmpty():
         raise ValueError("no records")

@@ -1,6 +1,7 @@
 """Files: parsing modes, splits, compression, generators, validation, logs."""
 
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,11 +55,96 @@ def test_splits_find_their_records(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     (tmp_path / "a.fq.bgz").write_bytes(bgzf.deflate(text.encode(), 1500))
     bgzf.register(spark)
-    for group in (1, 3, 1000):
-        got = spark.read.format("bgzf_fastq").option("blocksPerPartition", group).load(str(tmp_path / "a.fq.bgz"))
+    for size in (100, 700, 5000, 1 << 20):
+        got = spark.read.format("bgzf_fastq").option("partitionBytes", size).load(str(tmp_path / "a.fq.bgz"))
         assert rows(got) == want
 
 
+def _read_bgzf(text, path, size, mode="FAILFAST", block=65280):
+    """What all ranges of a file yield, one after the other."""
+    path.write_bytes(bgzf.deflate(text.encode(), block))
+    reader = bgzf.BgzfReader({"path": str(path), "partitionbytes": str(size), "mode": mode})
+    return [tuple(r.values()) for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+
+
+def test_bgzf_long_records(tmp_path):
+    """Records longer than many ranges, and short ones among them."""
+    r = random.Random(1)
+    want = []
+    for i in range(12):
+        n = r.choice([3, 50, 200_000, 400_000])
+        want.append((f"r{i}", "".join(r.choices("ACGT", k=n)), "".join(r.choices("@+I5", k=n))))
+    text = "".join(f"@{a}\n{b}\n+\n{c}\n" for a, b, c in want)
+    for size in (1, 5000, 60_000, 1 << 22):
+        assert _read_bgzf(text, tmp_path / "x.bgz", size) == want
+    assert _read_bgzf(text.rstrip("\n"), tmp_path / "x.bgz", 60_000) == want
+
+
+def test_bgzf_truncated(tmp_path):
+    text = "".join(f"@r{i}\n{'ACGT' * 50}\n+\n{'I' * 200}\n" for i in range(40))
+    for cut in (len(text) - 100, len(text) - 205, len(text) - 400):
+        for size in (50, 300, 1 << 20):
+            with pytest.raises(ValueError):
+                _read_bgzf(text[:cut], tmp_path / "t.bgz", size, block=700)
+        assert len(_read_bgzf(text[:cut], tmp_path / "t.bgz", 1 << 20, "DROPMALFORMED", 700)) == 39
+
+
+def test_named_compression(spark, tmp_path):
+    """A compression that the file's name doesn't tell, and a name that tells a wrong one."""
+    with gzip.open(tmp_path / "a.data", "wt") as f:
+        f.write(GOOD)
+    (tmp_path / "b.gz").write_text(GOOD)
+    want = [("SEQ1", "ACGT", "IIII"), ("SEQ2", "GGTT", "JJJJ")]
+    assert rows(fastq.read_fastq(spark, str(tmp_path / "a.data"), compression="gzip")) == want
+    assert rows(fastq.read_fastq(spark, str(tmp_path / "b.gz"), compression="none")) == want
+
+
+def test_malformed_records(spark, tmp_path):
+    (tmp_path / "a.fq").write_text(GOOD + "@bad\nACGT\n+\nII\n" + GOOD)
+    assert len(rows(fastq.read_fastq(spark, str(tmp_path / "a.fq"), mode="DROPMALFORMED"))) == 4
+    with pytest.raises(Exception, match="differ in length"):
+        fastq.read_fastq(spark, str(tmp_path / "a.fq")).collect()
+
+
+def test_file_validation(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("@a\nACGT\n+\nIIII\nb\nACXT\n-\nII\n@\nAC\n+\nI\x01\n@d\nAC\n")
+    found = validation.file_records(spark, str(tmp_path / "a.fq"))
+    issues = [("alphabet", 2), ("empty_id", 3), ("header", 2), ("length_mismatch", 2), ("plus", 2), ("quality_range", 3), ("truncated", 4)]
+    assert sorted((r["issue"], r["record"]) for r in validation.file_issues(found).collect()) == sorted([*issues, ("empty_id", 2)])
+    got = validation.file_report(found).first()
+    assert (got["num_records"], got["min_length"], got["max_length"], got["num_issues"]) == (4, 2, 4, 8)
+    with gzip.open(tmp_path / "b.fa.gz", "wt") as f:
+        f.write("ACGT\n>\nAC\nGT\n>x\n>y\nAZ\n")
+    found = validation.file_records(spark, str(tmp_path / "b.fa.gz"), "fasta")
+    assert sorted((r["record"], r["issue"]) for r in validation.file_issues(found).collect()) == [(1, "header"), (2, "empty_id"), (3, "no_sequence"), (4, "alphabet")]
+    (tmp_path / "none.fq").write_text("")
+    with pytest.raises(ValueError):
+        validation.require_records(validation.file_records(spark, str(tmp_path / "none.fq")))
+
+
+def test_result_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1 / 3, 2.0), ("b", None, 1e-7)], "k string, x double, y double")
+    tables.write_results(df, str(tmp_path / "csv"), "csv", {"x": 2, "y": 6})
+    text = sorted(r["value"] for r in spark.read.text(str(tmp_path / "csv")).collect())
+    assert set(text) == {"k,x,y", "a,0.33,2.000000", "b,,0.000000"}
+    for kind in ("parquet", "json"):
+        tables.write_results(df, str(tmp_path / kind), kind)
+        assert rows(spark.read.format(kind).load(str(tmp_path / kind)).select("k", "x", "y")) == rows(df)
+    (tmp_path / "noisy.csv").write_text("k,x\n[noise]\na,1.5\n")
+    assert rows(tables.read_csv(spark, str(tmp_path / "noisy.csv"), "k string, x double", "[")) == [("a", 1.5)]
+
+
+def test_batches_equal_whole(spark, tmp_path):
+    """Results that add up don't depend on how the stream is cut; those of single records need no state."""
+    generate.generate_fixed(spark, 300, 40, seed=5, partitions=6).write.parquet(str(tmp_path / "in"))
+    whole = spark.read.parquet(str(tmp_path / "in"))
+    for files in (1, 3):
+        out = str(tmp_path / f"out{files}")
+        pipelines.complete_to(pipelines.running_counts(pipelines.stream_parquet(spark, str(tmp_path / "in"), files)), out, str(tmp_path / f"c{files}")).awaitTermination()
+        assert rows(spark.read.parquet(out)) == rows(pipelines.running_counts(whole))
+    assert {r["n"] for r in whole.selectExpr("length(sequence) as n").collect()} == {40}
+
+
 def test_write_and_read(spark, tmp_path):
     df = spark.createDataFrame([("a", "ACGT" * 40, None), ("b", "GG", "II")], "id string, sequence string, quality string")
     fastq.write_fastq(df, str(tmp_path / "fq"))
