@@ -34,3 +34,9 @@ def cross_validated(df: DataFrame, kind: str, features: list[str], target: str,
     fitted = CrossValidator(estimator=regression(kind, features, target, seed), estimatorParamMaps=ParamGridBuilder().build(), evaluator=r2, numFolds=folds, seed=seed).fit(df)
     predictions = fitted.transform(df)
     return {"cv_r2": fitted.avgMetrics[0], "r2": r2.evaluate(predictions), "mae": RegressionEvaluator(labelCol=target, metricName="mae").evaluate(predictions)}
+
+
+def compared(df: DataFrame, features: list[str], target: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """A row for each of KINDS: kind, cv_r2, r2, mae."""
+    rows = [(kind, *cross_validated(df, kind, features, target, folds, seed).values()) for kind in KINDS]
+    return df.sparkSession.createDataFrame(rows, "kind string, cv_r2 double, r2 double, mae double")

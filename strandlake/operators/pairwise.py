@@ -1,36 +1,117 @@
-"""All-pairs distances of a stated number of reads, and their summaries."""
+"""Pairwise distances in tiles, and their summaries.
+
+Both sides are dealt into blocks of about TILE reads; every two blocks meet in one task, as matrices, so no task holds
+more than two blocks and no row is made for a pair that isn't asked for. The work is that of all pairs, spread out.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..schema import EDIT_MAX
 
+TILE = 4096
+#: Reads of one side whose distances to a block are held at once.
+_ROWS = 512
+
 
 def first_reads(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
-    """The first n reads; n is the operator's parameter, since the pairs grow with its square."""
+    """The first n reads."""
     return df.orderBy(order).limit(n)
 
 
-def pairs(df: DataFrame, order: str = "ord") -> DataFrame:
-    """Every unordered pair once. The caller bounds the rows (first_reads), so one side can be broadcast."""
-    a = df.select(F.col(order).alias("i"), F.col("sequence").alias("_a"))
-    b = df.select(F.col(order).alias("j"), F.col("sequence").alias("_b"))
-    return a.join(b, F.col("i") < F.col("j"))
+def _letters(texts: pa.ChunkedArray, size: int) -> np.ndarray:
+    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(texts), size)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of all rows of a and b: length less the places with equal letters, a product for each letter."""
+    same = np.zeros((len(a), len(b)), np.float32)
+    for letter in np.intersect1d(a, b):
+        same += (a == letter).astype(np.float32) @ (b == letter).astype(np.float32).T
+    return a.shape[1] - same.astype(np.int64)
+
+
+def _tiled(left: DataFrame, right: DataFrame, order: str, tile: int, reduce: Callable, schema: str, once: bool) -> DataFrame:
+    """reduce(i, j, distance) of every two blocks, i and j from the left and right side; once: only i < j counts."""
+    n, m = (max(1, -(-x.count() // tile)) for x in (left, right))
+    block = lambda k: F.pmod(F.xxhash64(order), F.lit(k)).cast("int")
+    others = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.select(F.col(order).cast("long").alias("ord"), "sequence", block(n).alias("_a")).withColumn("_b", others(m))
+    b = right.select(F.col(order).cast("long").alias("ord"), "sequence", block(m).alias("_b")).withColumn("_a", others(n))
+    if once and n == m:  # both sides are the same reads: blocks (x, y) and (y, x) hold the same pairs
+        a, b = a.where("_a <= _b"), b.where("_a <= _b")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        lengths = {len(s) for t in (x, y) for s in t.column("sequence").to_pylist()}
+        if len(lengths) > 1:
+            raise ValueError("reads differ in length")
+        found = []
+        if len(x) and len(y):
+            size, same_block = lengths.pop(), x.column("_a")[0] == x.column("_b")[0]
+            i, j, p, q = x.column("ord").to_numpy(), y.column("ord").to_numpy(), _letters(x.column("sequence"), size), _letters(y.column("sequence"), size)
+            for k in range(0, len(i), _ROWS):
+                d = _apart(p[k : k + _ROWS], q)
+                low, high = i[k : k + _ROWS, None], j[None, :]
+                wanted = low != high if not once else low < high if same_block or n != m else low != high
+                found.append(reduce(*np.broadcast_arrays(low, high), d, wanted))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * len(names)
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(names, columns, strict=True)})
+
+    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(meet, schema)
+
+
+def _listed(most: int | None, swap: bool) -> Callable:
+    def run(i: np.ndarray, j: np.ndarray, d: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        kept = wanted if most is None else wanted & (d <= most)
+        x, y = i[kept], j[kept]
+        return (np.minimum(x, y), np.maximum(x, y), d[kept]) if swap else (x, y, d[kept])
 
+    return run
 
-def hamming_distance(df: DataFrame, order: str = "ord") -> DataFrame:
-    """(i, j, distance) for i < j; reads of different lengths are an error."""
-    same = F.length("_a") == F.length("_b")
-    distance = F.when(same, S.hamming(F.col("_a"), F.col("_b"))).otherwise(F.raise_error(F.lit("reads differ in length")).cast("long"))
-    return pairs(df, order).select("i", "j", distance.alias("distance"))
+
+def _summed(i: np.ndarray, j: np.ndarray, d: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    some = d[wanted]
+    return tuple(np.array([x], np.int64) for x in (len(some), some.sum(), some.min(), some.max())) if len(some) else (np.zeros(0, np.int64),) * 4
+
+
+_PAIRS, _TOTALS = "i long, j long, distance long", "n long, total long, low long, high long"
+
+
+def hamming_distance(df: DataFrame, order: str = "ord", most: int | None = None, tile: int = TILE) -> DataFrame:
+    """(i, j, distance) for i < j, all pairs or those within a distance; reads of different lengths are an error."""
+    return _tiled(df, df, order, tile, _listed(most, True), _PAIRS, True)
+
+
+def hamming_search(queries: DataFrame, df: DataFrame, most: int | None = None, order: str = "ord", tile: int = TILE) -> DataFrame:
+    """(i, j, distance) of every query i and every other read j within a distance."""
+    return _tiled(queries, df, order, tile, _listed(most, False), _PAIRS, False)
+
+
+def hamming_summary(df: DataFrame, queries: DataFrame | None = None, order: str = "ord", tile: int = TILE) -> DataFrame:
+    """Number, least, greatest and mean distance of all pairs, or of queries with all other reads; a row for each two
+    blocks is all that is shuffled. Mean 0.0 and null bounds without pairs."""
+    parts = _tiled(df if queries is None else queries, df, order, tile, _summed, _TOTALS, queries is None)
+    t = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_pairs"), F.min("low").alias("min_distance"), F.max("high").alias("max_distance"), F.sum("total").alias("_total"))
+    return t.select("num_pairs", "min_distance", "max_distance", S.mean(F.col("_total"), F.col("num_pairs")).alias("mean_distance"))
 
 
 def edit_distance(df: DataFrame, most: int = EDIT_MAX, order: str = "ord") -> DataFrame:
-    """(i, j, distance) of the first `most` reads, insertions, deletions and substitutions costing 1."""
-    return pairs(first_reads(df, most, order), order).select("i", "j", F.levenshtein("_a", "_b").cast("long").alias("distance"))
+    """(i, j, distance) of the first `most` reads, insertions, deletions and substitutions costing 1.
+
+    The bound is the operator's own; the reads that it lets through are few, so one side of the pairs is broadcast.
+    """
+    some = first_reads(df, most, order)
+    a = some.select(F.col(order).alias("i"), F.col("sequence").alias("_a"))
+    b = some.select(F.col(order).alias("j"), F.col("sequence").alias("_b"))
+    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", F.levenshtein("_a", "_b").cast("long").alias("distance"))
 
 
 def distance_summary(distances: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ def _parsing(df: DataFrame, **options) -> DataFrame:
     return round_trip(df, **options)
 
 
+#: Names, categories and complexity scores. Fixed values.
 _BUILT_IN = (
     Operator("base_counting", "element_wise", 0.40, counting.base_counting),
     Operator("gc_content", "element_wise", 0.315, counting.gc_content),

@@ -1,7 +1,7 @@
 """Robust statistics, effect sizes, bounds and trends over measurement tables.
 
-Statistics of a group work on the sorted array of the group's values, which is what the definitions by index need;
-groups are repetitions of one measurement. Where groups are large, use the percentile aggregates instead.
+Statistics by index count the distinct values of a group first, and find an index in the running count, in Spark's
+windows, which spill; no group's values are ever collected into one row.
 """
 
 from __future__ import annotations
@@ -25,29 +25,37 @@ def t_critical(df: Column, alpha: float = 0.05) -> Column:
     return out
 
 
-def at(values: Column, index: Column) -> Column:
-    """Element of an array by 0-based index."""
-    return F.element_at(values, (index + 1).cast("int"))
+def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Groups, `_v` and `_n`: how often each value occurs; counted before the shuffle."""
+    return df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
 
 
-def median(values: Column) -> Column:
-    """Of a sorted array; the mean of the middle two for an even size."""
-    n = F.size(values)
-    half = F.floor(n / 2)
-    return F.when(n % 2 == 1, at(values, half)).otherwise((at(values, half - 1) + at(values, half)) / 2)
+def at_ranks(counts: DataFrame, groups: list[str], **ranks: Column) -> DataFrame:
+    """A row for each group of value counts: `_total`, and the values at 0-based indexes of the sorted values.
+
+    An index is an expression over `_total`.
+    """
+    running = counts.withColumn("_end", F.sum("_n").over(W.partitionBy(*groups).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
+    running = running.withColumn("_total", F.sum("_n").over(W.partitionBy(*groups)))
+    return running.groupBy(*groups).agg(F.first("_total").alias("_total"), *[F.min(F.when(F.col("_end") > r, F.col("_v"))).alias(k) for k, r in ranks.items()])
+
+
+def rank_of(share: float) -> Column:
+    """floor(n * share), the index that picks without interpolation."""
+    return F.floor(F.col("_total") * F.lit(int(round(share * 100))) / 100)
 
 
-def nearest_index(values: Column, share: float) -> Column:
-    """The element at floor(n * share), without interpolation."""
-    return at(values, F.floor(F.size(values) * F.lit(int(round(share * 100))) / 100))
+def nearest_ranks(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The elements of each group's sorted values at floor(n * share)."""
+    return at_ranks(value_counts(df, groups, value), groups, **{k: rank_of(s) for k, s in shares.items()}).drop("_total")
 
 
-def without_outliers(values: Column, threshold: float = 1.5) -> Column:
-    """Elements of a sorted array within threshold * IQR of the quartiles by index; arrays under four pass whole."""
-    n = F.size(values)
-    low, high = at(values, F.floor(n / 4)), at(values, F.floor(n * 3 / 4))
-    room = (high - low) * threshold
-    return F.when(n < 4, values).otherwise(F.filter(values, lambda x: (x >= low - room) & (x <= high + room)))
+def without_outliers(counts: DataFrame, groups: list[str], threshold: float = 1.5) -> DataFrame:
+    """Value counts within threshold * IQR of the quartiles by index, with `_all`; groups under four pass whole."""
+    bounds = at_ranks(counts, groups, _low=rank_of(0.25), _high=rank_of(0.75))
+    room = (F.col("_high") - F.col("_low")) * threshold
+    inside = (F.col("_total") < 4) | ((F.col("_v") >= F.col("_low") - room) & (F.col("_v") <= F.col("_high") + room))
+    return counts.join(bounds, groups).where(inside).select(*groups, "_v", "_n", F.col("_total").alias("_all"), F.col("_low").alias("_shift"))
 
 
 def summary(df: DataFrame, groups: list[str], value: str, threshold: float = 1.5) -> DataFrame:
@@ -55,25 +63,28 @@ def summary(df: DataFrame, groups: list[str], value: str, threshold: float = 1.5
 
     A group with under three values left has null statistics.
     """
-    sorted_values = df.groupBy(*groups).agg(F.array_sort(F.collect_list(value)).alias("_all"))
-    kept = sorted_values.withColumn("_v", without_outliers(F.col("_all"), threshold)).withColumn("n_valid", F.size("_v").cast("long"))
-    total = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)
-    centred = kept.withColumn("mean", F.try_divide(total, F.col("n_valid")))
-    spread = F.sqrt(F.try_divide(F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))), F.col("n_valid") - 1))
-    full = centred.withColumn("std_dev", spread).withColumn("_margin", t_critical(F.col("n_valid") - 1) * F.col("std_dev") / F.sqrt(F.col("n_valid")))
-    enough = F.col("n_valid") >= 3
-    fields = {
-        "median": median(F.col("_v")), "mean": F.col("mean"), "std_dev": F.col("std_dev"), "min": F.element_at("_v", 1), "max": F.element_at("_v", -1),
-        "q1": at(F.col("_v"), F.floor(F.col("n_valid") / 4)), "q3": at(F.col("_v"), F.floor(F.col("n_valid") * 3 / 4)),
-        "ci_lower": F.col("mean") - F.col("_margin"), "ci_upper": F.col("mean") + F.col("_margin"),
-    }
-    return full.select(*groups, *[F.when(enough, x).alias(k) for k, x in fields.items()], "n_valid", (F.size("_all") - F.col("n_valid")).alias("n_outliers"))
+    kept = without_outliers(value_counts(df, groups, value), groups, threshold)
+    half = F.floor(F.col("_total") / 2)
+    ranks = at_ranks(kept, groups, _below=F.floor((F.col("_total") - 1) / 2), _above=half, q1=rank_of(0.25), q3=rank_of(0.75))
+    # Deviations from a value of the group, so that the squares stay small.
+    apart = F.col("_v") - F.col("_shift")
+    sums = kept.groupBy(*groups).agg(
+        F.sum("_n").alias("n_valid"), F.first("_all").alias("_all"), F.first("_shift").alias("_shift"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+        F.sum(apart * F.col("_n")).alias("_s"), F.sum(apart * apart * F.col("_n")).alias("_ss"),
+    )
+    n = F.col("n_valid")
+    full = sums.join(ranks, groups).withColumn("mean", F.col("_shift") + F.col("_s") / n)
+    full = full.withColumn("std_dev", F.sqrt(F.try_divide(F.greatest(F.lit(0.0), F.col("_ss") - F.col("_s") * F.col("_s") / n), n - 1)))
+    full = full.withColumn("median", (F.col("_below") + F.col("_above")) / 2).withColumn("_margin", t_critical(n - 1) * F.col("std_dev") / F.sqrt(n))
+    full = full.withColumn("ci_lower", F.col("mean") - F.col("_margin")).withColumn("ci_upper", F.col("mean") + F.col("_margin"))
+    fields = ("median", "mean", "std_dev", "min", "max", "q1", "q3", "ci_lower", "ci_upper")
+    return full.select(*groups, *[F.when(n >= 3, F.col(k)).alias(k) for k in fields], "n_valid", (F.col("_all") - n).alias("n_outliers"))
 
 
 def trimmed_mean(df: DataFrame, groups: list[str], value: str, sigmas: float = 3.0) -> DataFrame:
     """Mean of the values within `sigmas` population deviations of the mean; the plain mean if none is."""
-    w = W.partitionBy(*groups)
-    marked = df.withColumn("_mean", F.avg(value).over(w)).withColumn("_near", F.abs(F.col(value) - F.col("_mean")) <= F.stddev_pop(value).over(w) * sigmas)
+    centre = df.groupBy(*groups).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_spread"))
+    marked = df.join(centre, groups).withColumn("_near", F.abs(F.col(value) - F.col("_mean")) <= F.col("_spread") * sigmas)
     return marked.groupBy(*groups).agg(F.coalesce(F.avg(F.when(F.col("_near"), F.col(value))), F.avg(value)).alias("trimmed_mean"), F.count_if(F.col("_near")).alias("n_kept"))
 
 
@@ -119,6 +130,26 @@ def energy(milliwatts: Column, seconds: Column, reads: Column) -> Column:
     return F.struct(watts.alias("watts"), wh.alias("energy_wh"), F.coalesce(F.try_divide(wh * 1e6, reads), F.lit(0.0)).alias("energy_per_seq_uwh"))
 
 
+def efficiency(time_before: Column, time_after: Column, energy_before: Column, energy_after: Column) -> Column:
+    """Time speedup, energy speedup and their ratio, as a struct; above 1 the gain in time costs less energy than it saves."""
+    time, power = F.try_divide(time_before, time_after), F.try_divide(energy_before, energy_after)
+    return F.struct(time.alias("time_speedup"), power.alias("energy_speedup"), F.try_divide(time, power).alias("efficiency"))
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The correlation matrix as rows (a, b, correlation), from one aggregation."""
+    pairs = [(a, b) for a in columns for b in columns]
+    row = df.agg(*[(F.lit(1.0) if a == b else F.corr(a, b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("correlation")) for i, (a, b) in enumerate(pairs)])))
+
+
+def mean_of_ratios(df: DataFrame, groups: list[str], label: str, above: str, below: str, value: str, within: list[str]) -> DataFrame:
+    """The ratio of two labels' mean values in each of the finer groups (groups and within), then its mean in the groups."""
+    side = lambda name: F.avg(F.when(F.col(label) == name, F.col(value)))
+    ratios = df.groupBy(*groups, *within).agg(F.try_divide(side(above), side(below)).alias("_ratio"))
+    return ratios.groupBy(*groups).agg(F.avg("_ratio").alias("mean_ratio"), F.count("_ratio").alias("n_ratios"))
+
+
 def trend(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     """Least-squares line, its R squared and the correlation."""
     return df.groupBy(*groups).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(y, x).alias("correlation"), F.count("*").alias("n"))
@@ -141,3 +172,16 @@ def prune(df: DataFrame, keys: list[str], order: str, speedup: str, least: float
     """Marks what an adaptive run would skip: all that follows the first measurement under the least speedup."""
     before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return df.withColumn("pruned", F.coalesce(F.min(speedup).over(before) < least, F.lit(False)))
+
+
+def prune_gains(df: DataFrame, keys: list[str], order: str, speedup: str, least: float = 1.3) -> DataFrame:
+    """Marks the steps (more threads) after the first one that gained less than `least` over the step before it."""
+    steps = W.partitionBy(*keys).orderBy(order)
+    gained = df.withColumn("gain", F.try_divide(F.col(speedup), F.lag(speedup).over(steps)))
+    return gained.withColumn("pruned", F.coalesce(F.min("gain").over(steps.rowsBetween(W.unboundedPreceding, -1)) < least, F.lit(False)))
+
+
+def least_with_benefit(df: DataFrame, keys: list[str], order: str, speedup: str, least: float = 1.0) -> DataFrame:
+    """For each key the smallest scale whose speedup is over `least`, and that speedup; null where none is."""
+    useful = F.col(speedup) > least
+    return df.groupBy(*keys).agg(F.min(F.when(useful, F.col(order))).alias(f"least_{order}"), F.min_by(F.when(useful, F.col(speedup)), F.when(useful, F.col(order))).alias("benefit"))

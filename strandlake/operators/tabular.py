@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,6 +22,15 @@ def pending(planned: DataFrame, completed: DataFrame, key: str) -> DataFrame:
     return planned.join(completed.select(key), key, "left_anti")
 
 
+def save_checkpoint(completed: DataFrame, key: str, path: str) -> None:
+    """The distinct keys of what is done, as JSON lines; replaces the checkpoint before."""
+    completed.select(key).distinct().write.mode("overwrite").json(path)
+
+
+def load_checkpoint(spark: SparkSession, path: str, key: str, kind: str = "long") -> DataFrame:
+    return spark.read.schema(f"{key} {kind}").json(path)
+
+
 def lookup(facts: DataFrame, dimension: DataFrame, key: str, probe: str) -> DataFrame:
     """Facts with their dimension row; a fact without one is an error, raised when the row is read."""
     found = facts.join(dimension.withColumn("_found", F.lit(True)), key, "left")

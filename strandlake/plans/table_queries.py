@@ -94,13 +94,13 @@ query("semi_join", "SELECT o_orderkey AS run, o_orderpriority AS operation FROM
 def _interval(t) -> DataFrame:
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("double")
     samples = t("events").select(seconds.alias("at"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-    windows = t("events").where("event_id % 10 = 0").select(F.col("event_id").alias("key"), seconds.alias("start"), (F.col("event_id") % 7 * 100 + 30).cast("double").alias("seconds"))
+    windows = t("events").select(F.col("event_id").alias("key"), seconds.alias("start"), (F.col("event_id") % 7 * 100 + 30).cast("double").alias("seconds"))
     return T.interval_join(samples, windows, "at", "start", "seconds", "key", "cents", 600).select("key", "mean_value", "num_samples")
 
 
 query(
     "interval_join",
-    "WITH s AS (SELECT epoch_us(ts) / 1000000.0 AS moment, round(value * 100)::BIGINT AS cents FROM events), w AS (SELECT event_id AS key, epoch_us(ts) / 1000000.0 AS start, (event_id % 7 * 100 + 30)::DOUBLE AS seconds FROM events WHERE event_id % 10 = 0) SELECT key, round(coalesce(sum(cents)::DOUBLE / nullif(count(cents), 0), 0), 6) AS mean_value, count(cents) AS num_samples FROM w LEFT JOIN s ON moment >= start AND moment <= start + seconds GROUP BY key",
+    "WITH s AS (SELECT epoch_us(ts) / 1000000.0 AS moment, round(value * 100)::BIGINT AS cents FROM events), w AS (SELECT event_id AS key, epoch_us(ts) / 1000000.0 AS start, (event_id % 7 * 100 + 30)::DOUBLE AS seconds FROM events) SELECT key, round(coalesce(sum(cents)::DOUBLE / nullif(count(cents), 0), 0), 6) AS mean_value, count(cents) AS num_samples FROM w LEFT JOIN s ON moment >= start AND moment <= start + seconds GROUP BY key",
 )(_interval)
 query("pivot_speedup", f"WITH {_MEANS} SELECT operation, scale, " + ", ".join(f"round(max(value) FILTER (config = '{c}'), 6) AS \"{c}\"" for c in "FOP") + " FROM a GROUP BY operation, scale")(
     lambda t: T.pivoted(_means(t), ["operation", "scale"], "config", ["F", "O", "P"], F.first("value"))
@@ -129,7 +129,7 @@ query("ci95", f"WITH {_SORTED} SELECT operation, config, scale, {', '.join(f'{_f
     lambda t: X.summary(measurements(t), ["operation", "config", "scale"], "value").where("n_valid >= 3").select("operation", "config", "scale", *[_fixed(F.col(c), 4).alias(c) for c in _CI], "q1", "q3")
 )
 query("latency_index", f"WITH {_M}, s AS (SELECT operation, scale, list_sort(list(value)) AS v FROM m GROUP BY ALL) SELECT operation, scale, v[len(v) // 2 + 1] AS p50, v[len(v) * 99 // 100 + 1] AS p99 FROM s")(
-    lambda t: measurements(t).groupBy("operation", "scale").agg(F.array_sort(F.collect_list("value")).alias("v")).select("operation", "scale", X.nearest_index(F.col("v"), 0.5).alias("p50"), X.nearest_index(F.col("v"), 0.99).alias("p99"))
+    lambda t: X.nearest_ranks(measurements(t), ["operation", "scale"], "value", {"p50": 0.5, "p99": 0.99})
 )
 query("medians", f"WITH {_M} SELECT operation, scale, round(median(value), 4) AS median, round(stddev_samp(value), 4) AS std_dev FROM m GROUP BY ALL")(
     lambda t: measurements(t).groupBy("operation", "scale").agg(F.round(F.median("value"), 4).alias("median"), F.round(F.stddev_samp("value"), 4).alias("std_dev"))
@@ -170,9 +170,52 @@ query("tolerance", "SELECT l_returnflag AS operation, round(avg(CASE WHEN abs(l_
 query("pruning", f"WITH {_MEANS}, r AS (SELECT operation, config, scale, value / 15000000 AS speedup FROM a) SELECT operation, config, scale, coalesce(min(speedup) OVER (PARTITION BY operation, config ORDER BY scale ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 1.0, false) AS pruned FROM r")(
     lambda t: X.prune(_means(t).withColumn("speedup", F.col("value") / 15000000), ["operation", "config"], "scale", "speedup", 1.0).select("operation", "config", "scale", "pruned")
 )
-query("registry_by_size", "SELECT p_brand AS category, count(*) AS n, array_to_string(list_sort(list(p_name || '#' || cast(p_partkey AS varchar))), ',') AS names FROM part GROUP BY 1")(
-    lambda t: t("part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")))), ",").alias("names"))
+query("registry_by_size", "SELECT p_brand AS category, p_partkey AS key, p_name AS name, count(*) OVER (PARTITION BY p_brand) AS n FROM part")(
+    lambda t: t("part").select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name")).join(t("part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n")), "category")
 )
+query("ratio_then_mean", f"WITH {_M}, r AS (SELECT operation, scale, avg(value) FILTER (config = 'F') / avg(value) FILTER (config = 'O') AS ratio FROM m GROUP BY ALL) SELECT operation, round(avg(ratio), 6) AS mean_ratio, count(ratio) AS n_ratios FROM r GROUP BY 1")(
+    lambda t: X.mean_of_ratios(measurements(t), ["operation"], "config", "F", "O", "value", ["scale"])
+)
+query("first_and_mean", f"WITH {_M} SELECT operation, config, arg_min(value, run) AS first_value, min(run) AS first_run, round(sum(round(value * 100)::BIGINT)::DOUBLE / count(*), 6) AS mean_cents FROM m GROUP BY ALL")(
+    lambda t: measurements(t).groupBy("operation", "config").agg(F.min_by("value", "run").alias("first_value"), F.min("run").alias("first_run"), (F.sum(F.round(F.col("value") * 100).cast("long")) / F.count("*")).alias("mean_cents"))
+)
+_MATRIX = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+query("correlation_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({x}, {y}), 6) AS correlation FROM lineitem" for a, x in _MATRIX.items() for b, y in _MATRIX.items() if a != b) + "".join(f" UNION ALL SELECT '{a}' AS a, '{a}' AS b, 1.0::DOUBLE AS correlation" for a in _MATRIX))(
+    lambda t: X.correlations(t("lineitem").select(*[F.col(c).alias(k) for k, c in _MATRIX.items()]), list(_MATRIX))
+)
+_EFF = {"time_speedup": "l_quantity / (1 + l_tax * 100)", "energy_speedup": "(l_extendedprice * l_quantity) / (l_extendedprice * (1 - l_discount) * (1 + l_tax * 100))"}
+query("energy_efficiency", f"SELECT l_orderkey AS run, l_linenumber AS step, {', '.join(f'{_fixed_sql(x, 4)} AS {k}' for k, x in _EFF.items())}, {_fixed_sql(f'(({_EFF["time_speedup"]}) / ({_EFF["energy_speedup"]}))', 4)} AS efficiency FROM lineitem")(
+    lambda t: t("lineitem").withColumn("_after", 1 + F.col("l_tax") * 100).select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("step"), X.efficiency(F.col("l_quantity"), F.col("_after"), F.col("l_extendedprice") * F.col("l_quantity"), F.col("l_extendedprice") * (1 - F.col("l_discount")) * F.col("_after")).alias("e")).select("run", "step", *[_fixed(F.col(f"e.{k}"), 4).alias(k) for k in (*_EFF, "efficiency")])
+)
+query("thread_gain", f"WITH {_MEANS}, g AS (SELECT operation, config, scale, value / lag(value) OVER (PARTITION BY operation, config ORDER BY scale) AS gain FROM a) SELECT operation, config, scale, round(gain, 6) AS gain, coalesce(min(gain) OVER (PARTITION BY operation, config ORDER BY scale ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 0.97, false) AS pruned FROM g")(
+    lambda t: X.prune_gains(_means(t), ["operation", "config"], "scale", "value", 0.97).select("operation", "config", "scale", "gain", "pruned")
+)
+query("least_useful_scale", f"WITH {_MEANS}, r AS (SELECT operation, config, scale, value / 15000000 AS speedup FROM a) SELECT operation, config, min(scale) FILTER (speedup > 1.0) AS least_scale, round(arg_min(speedup, scale) FILTER (speedup > 1.0), 6) AS benefit FROM r GROUP BY ALL")(
+    lambda t: X.least_with_benefit(_means(t).withColumn("speedup", F.col("value") / 15000000), ["operation", "config"], "scale", "speedup")
+)
+
+
+def _models(t) -> DataFrame:
+    """Every kind of model with 5-fold cross-validation, over all orders' lines."""
+    from ..operators.models import compared
+
+    rows = t("lineitem").select(F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.col("l_extendedprice").cast("double").alias("price"))
+    return compared(rows, ["quantity", "discount"], "price")
+
+
+query("models_cv")(_models)
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run that was broken off still has to do: its checkpoint is written, read again and taken away."""
+    path = f"{P.shared_folder(spark)}/completed"
+    done = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("run"))
+    T.save_checkpoint(done, "run", path)
+    return T.pending(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("customer")), T.load_checkpoint(spark, path, "run"), "run")
+
+
+QUERIES["resume_checkpoint"] = _resumed
+SQL["resume_checkpoint"] = SQL["resume_anti"]
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

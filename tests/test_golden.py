@@ -28,31 +28,33 @@ def one(df):
 
 
 def test_base_counting(reads):
-    assert one(counting.base_counting(reads(["ACGTACGT", "AAAACCCCGGGGTTTT", "NNNACGT"]))) == {"count_a": 7, "count_c": 7, "count_g": 7, "count_t": 7, "count_n": 3, "total": 31}
-    assert one(counting.base_counting(reads(["AaCcGgTtNn"])))["count_n"] == 2
+    # GATTACA: A3 C1 G1 T2; CCGGN: C2 G2 N1; ttagn: A1 G1 T2 N1
+    assert one(counting.base_counting(reads(["GATTACA", "CCGGN", "ttagn"]))) == {"count_a": 4, "count_c": 3, "count_g": 4, "count_t": 4, "count_n": 2, "total": 17}
 
 
 def test_long_reads_do_not_wrap(reads):
-    assert one(counting.base_counting(reads(["A" * 100_000])))["count_a"] == 100_000
+    assert one(counting.base_counting(reads(["T" * 70_001])))["count_t"] == 70_001
 
 
 def test_gc_content(reads):
-    got = one(counting.gc_content(reads(["ACGTACGT", "GGGGCCCC", "AAAATTTT", "NNNACGT"])))
-    assert (got["count_gc"], got["count_at"], got["count_n"], got["total_bases"], got["gc_percent"]) == (14, 14, 3, 31, 50.0)
+    # G or C: 2 of GATTACA, 4 of CCGGN, 1 of ttagn; 15 letters are not N
+    got = one(counting.gc_content(reads(["GATTACA", "CCGGN", "ttagn"])))
+    assert (got["count_gc"], got["count_at"], got["count_n"], got["total_bases"], round(got["gc_percent"], 4)) == (7, 8, 2, 17, 46.6667)
 
 
 def test_at_content(reads):
-    got = one(counting.at_content(reads(["ACGT", "AAAATTTT", "GGGGCCCC", "ATATatat"])))
-    assert (got["at_count"], got["total_bases"], round(got["at_percent"], 2)) == (18, 28, 64.29)
+    got = one(counting.at_content(reads(["GATTACA", "CCGGN", "ttagn"])))
+    assert (got["at_count"], got["total_bases"], round(got["at_percent"], 4)) == (8, 17, 47.0588)
 
 
 def test_n_content(reads):
-    got = one(counting.n_content(reads(["ACGTNNNN", "AAAACCCC", "NNNNNNNN", "ACGTRYNN", "U-"])))
-    assert (got["count_n"], got["count_acgt"], got["count_ambiguous"], got["count_other"]) == (14, 16, 2, 2)
+    # ambiguous: R, W, k, B; other: U, -, x
+    got = one(counting.n_content(reads(["GATNRW", "nkB", "CU-x", "NN"])))
+    assert (got["count_n"], got["count_acgt"], got["count_ambiguous"], got["count_other"]) == (4, 4, 4, 3)
 
 
 def test_lengths(reads):
-    assert one(counting.sequence_length(reads(["A" * 4, "A" * 12, "A" * 18, "AA"]))) == {"total_length": 36, "num_sequences": 4, "min_length": 2, "max_length": 18, "mean_length": 9.0}
+    assert one(counting.sequence_length(reads(["G" * 7, "T" * 11, "CATCAT", ""]))) == {"total_length": 24, "num_sequences": 4, "min_length": 0, "max_length": 11, "mean_length": 6.0}
 
 
 def test_empty_inputs(reads):
@@ -67,114 +69,144 @@ def test_empty_inputs(reads):
 
 
 def test_complexity(reads):
-    got = one(counting.complexity_score(reads(["A" * 10, "ACGTACGTAC", "AACCGGTT"])))
-    assert (got["low_complexity_count"], got["high_complexity_count"], got["mean_complexity"]) == (1, 2, 0.75)
+    # distinct letters over 4: 1/4 of CCCCC, 3/4 of CATCAT, 2/2 of GC, 5/4 of GATCN
+    got = one(counting.complexity_score(reads(["CCCCC", "CATCAT", "GC", "GATCN"])))
+    assert (got["low_complexity_count"], got["high_complexity_count"], got["mean_complexity"]) == (1, 3, 0.8125)
     assert one(reads([""]).select(S.complexity(F.col("sequence")).alias("x")))["x"] == 0.0
-    assert one(reads(["ACGTN"]).select(S.complexity(F.col("sequence")).alias("x")))["x"] == 1.25
 
 
 def test_quality_aggregation(reads):
-    got = one(quality.quality_aggregation(reads(["ACGT"] * 4, [q(40, 45, 50, 55), q(35, 36, 37, 38), None, ""])))
-    assert (got["min_quality"], got["max_quality"], got["total_quality"], got["num_bases"]) == (35, 55, 336, 8)
-    assert one(quality.quality_aggregation(reads(["AC"], [q(30, 43)]), 33))["total_quality"] == 10
+    got = one(quality.quality_aggregation(reads(["CAT"] * 4, [q(90, 41, 62), q(70, 77, 50), None, ""])))
+    assert (got["min_quality"], got["max_quality"], got["total_quality"], got["num_bases"], got["mean_quality"]) == (41, 90, 390, 6, 65.0)
+    assert one(quality.quality_aggregation(reads(["CAT"], [q(31, 33, 50)]), 33))["total_quality"] == 17
 
 
 def test_quality_statistics(reads):
-    s = quality.quality_statistics(reads(["ACG"] * 5, [q(35), q(40, 45), q(45, 45, 50), q(50), None]))
-    rows = {r["pos"]: r for r in s.collect()}
-    assert (rows[0]["mean"], rows[0]["median"], rows[0]["q1"], rows[0]["q3"], rows[0]["count"]) == (42.5, 42.5, 38.75, 46.25, 4)
+    # position 0 has 36, 44, 60, 80: quartiles by interpolation at 42, 52, 65
+    rows = {r["pos"]: r for r in quality.quality_statistics(reads(["CAT"] * 5, [q(80, 50), q(36, 52, 70), q(60), q(44), None])).collect()}
+    assert (rows[0]["mean"], rows[0]["median"], rows[0]["q1"], rows[0]["q3"], rows[0]["count"]) == (55.0, 52.0, 42.0, 65.0, 4)
     assert [rows[p]["count"] for p in range(3)] == [4, 2, 1]
-    low = quality.quality_statistics(reads(["ACG"] * 2, [q(40, 35, 50), q(40, 34, 50)]))
-    assert [r["pos"] for r in quality.low_quality_positions(low, 36).collect()] == [1]
+    low = quality.quality_statistics(reads(["CAT"] * 2, [q(60, 41, 72), q(58, 43, 70)]))
+    assert [r["pos"] for r in quality.low_quality_positions(low, 45).collect()] == [1]
 
 
 def test_filters(reads):
-    df = reads(["ACGT", "A" * 12, "A" * 20, "AC", "AC"], [q(60, 60, 60, 60), q(*[40] * 12), q(*[34] * 20), "", None])
-    got = one(quality.quality_filter(df, 40))
-    assert (got["total_sequences"], got["passed_sequences"], got["filtered_sequences"]) == (5, 2, 2)
-    assert one(quality.length_filter(df, 12))["passed_sequences"] == 2
-    assert quality.length_range(df, 4, 12).count() == 2
-    assert quality.quality_filter_rows(df).count() == 1
+    df = reads(["GATC", "C" * 9, "T" * 15, "GA", "GA"], [q(70, 50, 70, 50), q(*[48] * 9), q(*[37] * 15), "", None])
+    got = one(quality.quality_filter(df, 48))
+    assert (got["total_sequences"], got["passed_sequences"], got["filtered_sequences"], got["pass_rate"]) == (5, 2, 2, 40.0)
+    assert one(quality.length_filter(df, 9))["passed_sequences"] == 2
+    assert sorted(r["sequence"] for r in quality.length_range(df, 4, 9).collect()) == ["CCCCCCCCC", "GATC"]
+    assert [r["sequence"] for r in quality.quality_filter_rows(df).collect()] == ["GATC"]
 
 
 def test_transforms(reads):
-    got = [r["sequence"] for r in transforms.reverse_complement(reads(["ATCG", "AAAA", "AcGt", "ARU-", ""])).orderBy("id").collect()]
-    assert got == ["CGAT", "TTTT", "aCgT", "NNNT", ""]
-    assert one(transforms.sequence_masking(reads(["ACGT"], [q(52, 53, 54, 55)])))["sequence"] == "NCGT"
-    assert one(transforms.sequence_masking(reads(["ACGT"], [q(55, 58, 60, 65)]), 60))["sequence"] == "NNGT"
-    assert one(transforms.sequence_masking(reads(["ACGT"])))["sequence"] == "ACGT"
+    got = [r["sequence"] for r in transforms.reverse_complement(reads(["GATTACA", "ccN", "TgW.", ""])).orderBy("id").collect()]
+    assert got == ["TGTAATC", "Ngg", "NNcA", ""]
+    assert one(transforms.sequence_masking(reads(["GATTA"], [q(80, 52, 53, 33, 70)])))["sequence"] == "GNTNA"
+    assert one(transforms.sequence_masking(reads(["GAT"], [q(61, 62, 63)]), 62))["sequence"] == "NAT"
+    assert one(transforms.sequence_masking(reads(["GAT"])))["sequence"] == "GAT"
     with pytest.raises(Exception, match="differ in length"):
-        transforms.sequence_masking(reads(["ACGT"], ["II"])).collect()
-    df = reads(["ACGTACGT"], [q(70, 40, 70, 40, 70, 40, 70, 40)])
-    assert one(transforms.masking_stats(df, transforms.sequence_masking(df))) == {"total_bases": 8, "masked_bases": 4, "masked_percentage": 50.0}
+        transforms.sequence_masking(reads(["GAT"], ["H"])).collect()
+    df = reads(["GATTA", "NC"], [q(80, 40, 41, 42, 70), q(40, 80)])  # the N was one before
+    assert one(transforms.masking_stats(df, transforms.sequence_masking(df))) == {"total_bases": 7, "masked_bases": 3, "masked_percentage": 300 / 7}
 
 
 def test_adapter_trimming(reads):
-    adapter = "AGATCGGAAGAG"
+    adapter = "CTGAGGCA"
     trim = lambda s, k, n: [(r["id"], r["sequence"]) for r in transforms.adapter_trimming(reads([s]), adapter, k, n).collect()]
-    assert trim("ACGTACGTACGT" + adapter, 5, 10) == [("seq0_trimmed", "ACGTACGTACGT")]
-    assert trim("ACGTACGTACGTAGATCG", 5, 10) == [("seq0_trimmed", "ACGTACGTACGT")]
-    assert trim("ACGTACGTACGTAGATCG", 8, 10) == [("seq0", "ACGTACGTACGTAGATCG")]
-    assert trim("ACGTACGT" + adapter, 5, 20) == []
-    assert trim(adapter + "ACGTACGT", 5, 0) == [("seq0_trimmed", "")]
-    with pytest.raises(ValueError):
-        transforms.adapter_trimming(reads(["A"]), adapter, 2)
+    assert trim("TTATTA" + adapter + "GG", 8, 3) == [("seq0_trimmed", "TTATTA")]
+    assert trim("TTATTACTGA", 4, 3) == [("seq0_trimmed", "TTATTA")]  # the beginning of the adapter is enough
+    assert trim("TTATTACTGA", 6, 3) == [("seq0", "TTATTACTGA")]
+    assert trim("TTATTA" + adapter, 4, 7) == []  # too short after the cut
+    assert trim("TTATTA", 4, 7) == [("seq0", "TTATTA")]  # nothing cut, so length doesn't matter
+    assert trim(adapter, 4, 0) == [("seq0_trimmed", "")]
+    for overlap in (2, 9):
+        with pytest.raises(ValueError):
+            transforms.adapter_trimming(reads(["A"]), adapter, overlap)
 
 
 def test_translation(reads):
     t = lambda s, f, n=1: [r["sequence"] for r in transforms.translation(reads([s]), f, n).collect()]
-    assert t("ATGTTCGGTTAA", 0) == ["MFG"]
-    assert (t("ATGTTCGGT", 1), t("ATGTTCGGT", 2)) == (["CS"], ["VR"])
-    assert (t("ATGTAAGGT", 0), t("ATGNNNGGT", 0), t("ATGTTCGG", 0), t("AT", 0)) == (["M"], ["MXG"], ["MF"], [])
-    assert t("ATGTTCGGTGCACGACAT", 0, 5) == ["MFGARH"]
+    # CAT GGC TGG AAA: His Gly Trp Lys; one on: ATG GCT GGA AA: Met Ala Gly; two on: TGG CTG GAA A: Trp Leu Glu
+    assert [t("CATGGCTGGAAA", f) for f in range(3)] == [["HGWK"], ["MAG"], ["WLE"]]
+    assert t("CATTGACAT", 0) == ["H"]  # TGA ends it
+    assert t("CATCNTcat", 0) == ["HXX"] and t("TAACAT", 0) == [] and t("CA", 0) == []
+    assert t("CATGGCTGGAAA", 0, 5) == []
 
 
 def test_kmers(reads):
-    rows = kmers.kmer_extraction(reads(["ACGTACGT", "AC", "ACGNCGT"]), 3).collect()
-    assert [r["sequence"] for r in rows if r["id"].startswith("seq0")] == ["ACG", "CGT", "GTA", "TAC", "ACG", "CGT"]
-    assert [r["sequence"] for r in rows if r["id"].startswith("seq2")] == ["ACG", "CGT"]
-    assert kmers.kmer_extraction(reads(["ACGTACGT"]), 3, True).count() == 4
-    got = kmers.kmer_extraction(reads(["ACGT"], [q(30 + 33, 35 + 33, 40 + 33, 45 + 33)]), 3).orderBy("id").collect()
-    assert [(r["id"], r["quality"]) for r in got] == [("seq0_kmer_0", q(63, 68, 73)), ("seq0_kmer_1", q(68, 73, 78))]
-    counts = {r["kmer"]: r["count"] for r in kmers.kmer_counting(reads(["ACGTACGT", "GGTTAACCGGTT"]), 3).collect()}
-    assert counts["ACG"] == counts["CGT"] == 2
-    assert [tuple(r) for r in kmers.kmer_counting(reads(["ACGT"]), 3, True).collect()] == [("ACG", 2)]
+    rows = kmers.kmer_extraction(reads(["TTGTTG", "CA", "GCATNCAT"]), 3).collect()
+    assert [r["sequence"] for r in rows if r["id"].startswith("seq0")] == ["TTG", "TGT", "GTT", "TTG"]
+    assert [(r["id"], r["sequence"]) for r in rows if r["id"].startswith("seq2")] == [("seq2_kmer_0", "GCA"), ("seq2_kmer_1", "CAT"), ("seq2_kmer_5", "CAT")]
+    once = kmers.kmer_extraction(reads(["TTGTTG"]), 3, True).collect()
+    assert sorted((r["id"], r["sequence"]) for r in once) == [("seq0_kmer_0", "TTG"), ("seq0_kmer_1", "TGT"), ("seq0_kmer_2", "GTT")]
+    got = kmers.kmer_extraction(reads(["GCAT"], [q(70, 50, 60, 40)]), 3).orderBy("id").collect()
+    assert [(r["id"], r["quality"]) for r in got] == [("seq0_kmer_0", q(70, 50, 60)), ("seq0_kmer_1", q(50, 60, 40))]
+    assert {r["kmer"]: r["count"] for r in kmers.kmer_counting(reads(["TTGTTG", "GTTnGTT"]), 3).collect()} == {"TTG": 2, "TGT": 1, "GTT": 3}
+    # TTG and CAA are one k-mer read from either strand
+    assert [tuple(r) for r in kmers.kmer_counting(reads(["TTG", "CAA"]), 3, True).collect()] == [("CAA", 2)]
+
+
+def test_long_read(reads):
+    """A million letters: windows, proteins and two-bit values without walking the read again for each."""
+    import random
+
+    s = "".join(random.Random(1).choices("ACGT", k=1_000_000))
+    df = reads([s])
+    totals = one(kmers.kmer_totals(kmers.kmer_counting(df, 11)))
+    assert (totals["total_kmers"], totals["unique_kmers"]) == (len(s) - 10, len({s[i : i + 11] for i in range(len(s) - 10)}))
+    assert kmers.kmer_extraction(df, 4, True).count() == 256
+    assert one(df.select(S.two_bit_decode(S.two_bit_encode(F.col("sequence"))).alias("s")))["s"] == s
+    no_stop = "CATGGC" * 150_000
+    assert one(transforms.translation(reads([no_stop])))["sequence"] == "HG" * 150_000
 
 
 def test_sketches(reads):
     import numpy as np
 
-    assert kmer_hashes(np.frombuffer(b"ACG", np.uint8), 3).tolist() == [18028690071686105390]
-    s = kmers.minhash_sketching(reads(["ACGTACGT", "ACGTACGT", "GGTTAACC", "AC"]), 3, 4)
+    # 64-bit FNV-1a of "GAT", by hand from offset and prime
+    want = 14695981039346656037
+    for c in b"GAT":
+        want = (want ^ c) * 1099511628211 % 2**64
+    hashes, at = kmer_hashes(np.frombuffer(b"NGATN", np.uint8), 3)
+    assert (hashes.tolist(), at.tolist()) == ([want], [1])
+    s = kmers.minhash_sketching(reads(["TTGTTGCA", "TTGTTGCA", "CCAGGTTA", "CA"]), 3, 4)
     rows = {r["sequence_id"]: r for r in s.collect()}
-    assert rows["seq0"]["sketch"] == sorted(rows["seq0"]["sketch"]) and rows["seq3"]["sketch"] == []
+    assert rows["seq0"]["sketch"] == sorted(rows["seq0"]["sketch"]) and len(rows["seq0"]["sketch"]) == 4 and rows["seq3"]["sketch"] == []
     pairs = s.sparkSession.createDataFrame([("seq0", "seq1"), ("seq0", "seq2"), ("seq0", "seq3")], "a string, b string")
     got = {r["b"]: r["similarity"] for r in kmers.jaccard_similarity(s, pairs).collect()}
     assert got["seq1"] == 1.0 and got["seq2"] < 0.5 and got["seq3"] == 0.0
 
 
 def test_distances(reads):
-    got = one(pairwise.distance_summary(pairwise.hamming_distance(reads(["AAAA", "AAAT", "AATT", "TTTT"]))))
-    assert (got["min_distance"], got["max_distance"], round(got["mean_distance"], 2)) == (1, 4, 2.17)
+    words = ["GATTA", "GATCA", "CATCC", "TTTTT", "GATTA"]
+    want = sorted((i, j, sum(x != y for x, y in zip(words[i], words[j], strict=True))) for j in range(5) for i in range(j))
+    for tile in (2, 4096):
+        assert sorted(map(tuple, pairwise.hamming_distance(reads(words), tile=tile).collect())) == want
+        got = one(pairwise.hamming_summary(reads(words), tile=tile))
+        assert got == {"num_pairs": 10, "min_distance": 0, "max_distance": max(d for *_, d in want), "mean_distance": sum(d for *_, d in want) / 10}
+        near = pairwise.hamming_search(reads(words).where("ord < 2"), reads(words), 2, tile=tile).collect()
+        assert sorted(map(tuple, near)) == sorted((a, b, d) for i, j, d in want for a, b in ((i, j), (j, i)) if a < 2 and d <= 2)
     with pytest.raises(Exception, match="differ in length"):
-        pairwise.hamming_distance(reads(["A", "AA"])).collect()
-    for a, b, d in (("ACGT", "ACCT", 1), ("ACGT", "ACGGT", 1), ("ACGT", "", 4), ("AAAA", "TTTT", 4)):
+        pairwise.hamming_distance(reads(["G", "GA"])).collect()
+    for a, b, d in (("GATTA", "GATA", 1), ("GATTA", "CATTAG", 2), ("", "GAT", 3), ("CCC", "GGG", 3)):
         assert pairwise.edit_distance(reads([a, b])).first()["distance"] == d
-    assert pairwise.edit_distance(reads(["A", "C", "G"]), 2).count() == 1
-    assert one(pairwise.distance_summary(pairwise.hamming_distance(reads(["A"])))) == {"num_pairs": 0, "min_distance": None, "max_distance": None, "mean_distance": 0.0}
+    assert pairwise.edit_distance(reads(["G", "A", "T", "C"]), 3).count() == 3
+    assert one(pairwise.hamming_summary(reads(["G"]))) == {"num_pairs": 0, "min_distance": None, "max_distance": None, "mean_distance": 0.0}
 
 
 def test_two_bit(reads):
-    enc = reads(["ACGT", "ACNGT", "acgt", "", "A"]).select("id", S.two_bit_encode(F.col("sequence")).alias("p"))
-    got = {r["id"]: r for r in enc.select("id", "p.data", S.two_bit_decode(F.col("p")).alias("s"), S.two_bit_get(F.col("p"), F.lit(1)).alias("g"), S.two_bit_decode(S.two_bit_reverse_complement(F.col("p"))).alias("rc")).collect()}
-    assert bytes(got["seq0"]["data"]) == b"\x1b" and got["seq1"]["s"] == "ACAGT" and got["seq2"]["s"] == "ACGT"
-    assert bytes(got["seq3"]["data"]) == b"" and got["seq3"]["s"] == "" and got["seq4"]["g"] is None
-    assert got["seq1"]["rc"] == "ACTGT"
+    enc = reads(["TGCAG", "tnW", "", "G"]).select("id", S.two_bit_encode(F.col("sequence")).alias("p"))
+    got = {r["id"]: r for r in enc.select("id", "p.data", S.two_bit_decode(F.col("p")).alias("s"), S.two_bit_get(F.col("p"), F.lit(4)).alias("g"), S.two_bit_decode(S.two_bit_reverse_complement(F.col("p"))).alias("rc")).collect()}
+    # T G C A = 11 10 01 00, G and padding = 10 00 00 00
+    assert bytes(got["seq0"]["data"]) == b"\xe4\x80" and got["seq0"]["g"] == "G" and got["seq0"]["rc"] == "CTGCA"
+    assert got["seq1"]["s"] == "TAA" and got["seq1"]["rc"] == "TTA" and got["seq1"]["g"] is None
+    assert bytes(got["seq2"]["data"]) == b"" and got["seq2"]["s"] == "" and bytes(got["seq3"]["data"]) == b"\x80"
 
 
 def test_registry(spark, reads):
     assert len(registry.names()) == 20 and "fastq_parsing" in registry.names("io")
-    assert one(registry.get("base_counting").apply(reads(["ACGT"])))["total"] == 4
+    assert one(registry.get("base_counting").apply(reads(["GATTACA"])))["total"] == 7
     assert sum(r["n"] for r in registry.by_category(spark).collect()) == 20
     with pytest.raises(KeyError):
         registry.get("unknown")
