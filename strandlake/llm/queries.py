@@ -11,12 +11,15 @@ from .decontaminate import op1_decontamination
 from .embeddings import op9_embeddings
 from .langid import op8_language_id
 from .minhash import op7_minhash
+from .oracle import ORACLE_SQL
 from .pii import op6_pii
 from .quality import op3_quality
 from .secrets import op10_secrets
 from .sharding import op2_sharding
 from .substrings import op5_substrings
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -29,7 +32,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embeddings": op9_embeddings,
     "op10_secrets": op10_secrets,
 }
-
-#: Checksums, perfect hashes, models and fixpoints aren't expressible in the oracle's SQL; tests/llm compares those
-#: operators with brute force.
-ORACLE_SQL: dict[str, str] = {}

@@ -106,7 +106,7 @@ def assign(df: DataFrame, slot_map: DataFrame, grown: DataFrame, key: str = "doc
     size, crc = size_of(F.col(text)), F.crc32(text)
     rows = df.select(F.col(key).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), slot_of(F.col(key), slots).alias("virtual_slot"))
     counted = rows.groupBy("virtual_slot", "doc_id", "text_crc32", "size").agg(F.count("*").alias("_n"))
-    counted = counted.withColumn("_part", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int"))
+    counted = counted.withColumn("_part", F.pmod(F.coalesce("text_crc32", F.lit(0)) + F.col("size"), F.lit(PARTS)).cast("int"))
     parts = counted.groupBy("virtual_slot", "_part").agg(F.sum("_n").alias("_rows"), F.sum(F.col("size") * F.col("_n")).alias("_bytes"))
     before = W.partitionBy("shard").orderBy("virtual_slot", "_part").rowsBetween(W.unboundedPreceding, -1)
     placed = (
