@@ -37,7 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
+#: Values of the bytes in the two independent hashes.
+_BYTES = [mix(np.arange(1, 257, dtype=_U) * _U(_BASE) + _U(k << 32)) for k in range(2)]
 _powers = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 
@@ -79,10 +80,10 @@ class Words:
     first: np.ndarray  # index of each row's first word, one entry more than rows
 
 
-def words_of(column: pa.Array, white: np.ndarray = WHITE, fold: np.ndarray = SAME) -> Words:
-    """Splits and hashes every row of a text column; fold maps bytes before hashing."""
+def words_of(column: pa.Array, white: np.ndarray = WHITE, fold: np.ndarray = SAME, values: int = 0) -> Words:
+    """Splits and hashes every row of a text column; fold maps bytes before hashing; values names one of two hashes."""
     data, at = buffer_of(column)
-    hashes, starts, ends, a = [], [], [], 0
+    hashes, starts, ends, a, value_of = [], [], [], 0, _BYTES[values][fold]
     while a < len(data):
         b = _cut(data, at, a, white)
         x = data[a:b]
@@ -96,7 +97,7 @@ def words_of(column: pa.Array, white: np.ndarray = WHITE, fold: np.ndarray = SAM
         s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         up, down = powers(len(x) + 1)
         total = np.zeros(len(x) + 1, _U)
-        np.cumsum(_BYTE[fold[x]] * up[:-1], out=total[1:])
+        np.cumsum(value_of[x] * up[:-1], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)))
         starts.append(s + a)
         ends.append(e + a)

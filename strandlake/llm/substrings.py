@@ -2,18 +2,30 @@
 
 A document's words are compressed in rounds. A round first replaces every run of one symbol by a symbol for the run, then
 every pair of neighbours whose names fall in the round's left and right halves by a symbol for the pair. A new symbol's
-name is a hash of what it stands for, so names agree in all documents without a dictionary, and equal passages get equal
-symbols but for a few at their edges. Every symbol carries the range of words that decided it, its evidence; wherever the
-same words occur, the same symbol does.
+name is made from the names of what it stands for, so names agree in all documents, and equal passages get equal symbols
+but for a few at their edges. Every symbol carries the range of words that decided it, its evidence; wherever the same
+words occur, the same symbol does. A third round's evidence would be longer than a window, so there are two (LEVELS).
 
 A window of WINDOW words is anchored by the symbol of the highest level whose evidence lies inside the window, the least
-by hash of several. Equal windows thus have equal anchors. Round one finds the anchors that two documents share; round
-two verifies, among windows with a shared anchor only, which window occurs first in which document (64-bit hashes of all
-words, dealt by a second hash, so that both must agree); the last pass removes the words that such windows cover.
-
-Documents are dealt into blocks of about BLOCK_BYTES of text by hash. A block sends its distinct anchors and windows,
-with the smallest and largest doc_id, as sorted arrays, one row for each block and bucket; so however often a passage
-occurs, a bucket receives it once from each block. Texts are shuffled once and read again from that shuffle.
+by hash of several, so equal windows have equal anchors. Successive windows with one anchor form a span. Three rounds in
+Spark bring the same names of the whole corpus together:
+
+1. level 1: blocks send the anchors of all windows; they learn which ones another document has. A window whose anchor no
+   other document has is done with; the others are open.
+2. level 2: blocks send the spans of open windows, each with its anchor; they learn the smallest document of each. Where
+   that is another one, all windows of the span are repeats. Windows that are equal have equal anchors, so where all spans
+   of an anchor are equal, that settles them.
+3. windows: where an anchor has several spans (at the edges of passages), the smallest document of each span sends its
+   windows one by one. The smallest document that has a window is always among them, since no smaller one has its span.
+
+Names of spans and windows are 128-bit fingerprints of all their words (two independent 64-bit polynomial hashes over
+bytes), so a match verifies every word, up to chances of 2**-128 for a pair. A block is told a place where it has a
+repeat, and finds its other places by comparing the words one by one.
+
+Documents are dealt into blocks of about BLOCK_BYTES of text by hash, whatever their number. A block sends each name
+once, however often it has it, as plain rows; all the rest is Spark's windows over these rows, which spill, so no task
+holds more than one block. A name that is everywhere has one row for each block. Texts are shuffled once and read
+again from that shuffle.
 
 Defined results: a null text has no words; a document with fewer than WINDOW words loses none; a null doc_id counts as
 larger than all others; rows with the same doc_id don't remove each other's words; an empty table gives an empty result;
@@ -28,13 +40,14 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, blocks_for, buffer_of, documents, mix, powers, text_bytes, words_of
+from .common import SAME, WHITE, Words, blocks_for, buffer_of, documents, mix, powers, text_bytes, words_of
 
 WINDOW = 13
-ROUNDS = 2
-BLOCK_BYTES = 6 << 20
+LEVELS = 2
+BLOCK_BYTES = 3 << 20
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _NONE = _U((1 << 64) - 1)
@@ -106,7 +119,7 @@ def _pairs(s: Symbols, first: np.ndarray, salt: int) -> Symbols:
     return Symbols(name[keep], s.row[keep], low[keep], high[keep])
 
 
-def levels(words: Words, rounds: int = ROUNDS) -> list[Symbols]:
+def levels(words: Words, rounds: int = LEVELS) -> list[Symbols]:
     """The words, and the symbols after each round."""
     at = np.arange(len(words.hash))
     out = [Symbols(words.hash, words.row, at, at + 1)]
@@ -127,17 +140,18 @@ def windows(words: Words, size: int = WINDOW) -> np.ndarray:
     return np.flatnonzero(words.row[:n] == words.row[size - 1 : size - 1 + n]) if n else np.zeros(0, np.int64)
 
 
-def window_hashes(words: Words, starts: np.ndarray, size: int = WINDOW) -> np.ndarray:
+def range_hashes(words: Words, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of the words [low, high)."""
     total, down = _totals(words.hash), powers(len(words.hash) + 1)[1]
-    return mix((total[starts + size] - total[starts]) * down[starts])
+    return mix((total[high] - total[low]) * down[low] + (high - low).astype(_U) * _STEP)
 
 
-def anchors(words: Words, starts: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """The anchor of each window: a hash of its level and of the words of its evidence."""
+def anchors(words: Words, starts: np.ndarray, highest: int = LEVELS, size: int = WINDOW) -> np.ndarray:
+    """The anchor of each window among the levels up to the highest: a hash of its level and of the words of its evidence."""
     n = len(words.hash)
     out = np.full(len(starts), _NONE)
     total, down = _totals(words.hash), powers(n + 1)[1]
-    found = levels(words)
+    found = levels(words, highest)
     for level in range(len(found) - 1, -1, -1):
         missing = np.flatnonzero(out == _NONE)
         if not len(missing):
@@ -152,11 +166,16 @@ def anchors(words: Words, starts: np.ndarray, size: int = WINDOW) -> np.ndarray:
         np.minimum.at(end, low, high)
         shortest = high == end[low]
         np.minimum.at(at, low[shortest], value[shortest])
-        begin, best = starts[missing], np.full(len(missing), _NONE)
-        for o in range(size):
-            inside = end[begin + o] <= begin + size
-            np.minimum(best, np.where(inside, at[begin + o], _NONE), out=best)
-        out[missing] = best
+        if len(missing) * 3 > n:  # all windows, by slices
+            place, best, from_ = np.arange(size, n + size), np.full(n, _NONE), starts[missing]
+            for o in range(size):
+                np.minimum(best, np.where(end[o : o + n] <= place, at[o : o + n], _NONE), out=best)
+            out[missing] = best[from_]
+        else:
+            begin, best = starts[missing], np.full(len(missing), _NONE)
+            for o in range(size):
+                np.minimum(best, np.where(end[begin + o] <= begin + size, at[begin + o], _NONE), out=best)
+            out[missing] = best
     return out
 
 
@@ -164,105 +183,160 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").fill_null(_LAST).to_numpy()
 
 
-def _extremes(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with the least and greatest id of each."""
-    order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return (keys[at], np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)) if len(keys) else (keys, ids, ids)
-
-
-_SENT = "_block int, _bucket int, keys binary, low binary, high binary"
-
-
-def _sent(block: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, bucket: np.ndarray) -> pa.Table:
-    """One row for each bucket that gets something."""
-    order = np.argsort(bucket, kind="stable")
-    keys, low, high, bucket = keys[order], low[order], high[order], bucket[order]
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() if len(bucket) else []
-    cut = list(zip(at, [*at[1:], len(bucket)][: len(at)], strict=True))
-    blob = lambda x: pa.array([x[a:b].tobytes() for a, b in cut], pa.binary())
-    return pa.table({"_block": pa.array([block] * len(cut), pa.int32()), "_bucket": pa.array([int(bucket[a]) for a in at], pa.int32()), "keys": blob(keys), "low": blob(low), "high": blob(high)})
-
-
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, the first of them before the others, and where each group opens."""
+    order = np.lexsort(keys[::-1])
+    opens = np.zeros(len(order), bool)
+    opens[:1] = True
+    for k in keys:
+        x = k[order]
+        opens[1:] |= x[1:] != x[:-1]
+    return order, np.flatnonzero(opens)
 
 
-def _returned(table: pa.Table, every: bool) -> pa.Table:
-    """What a bucket tells each block: the keys with a smaller document elsewhere (or, with every, with another one)."""
-    blocks = np.repeat(table.column("_block").to_numpy(), [len(x) // 8 for x in table.column("keys").to_pylist()])
-    keys, low, high = _joined(table.column("keys"), _U), _joined(table.column("low"), np.int64), _joined(table.column("high"), np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, low, high, blocks = keys[order], low[order], high[order], blocks[order]
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each value is among the keys."""
     if not len(keys):
-        return pa.table({"_block": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "low": pa.array([], pa.binary())})
-    opens = np.r_[True, keys[1:] != keys[:-1]]
-    at, group = np.flatnonzero(opens), np.cumsum(opens) - 1
-    least, greatest = np.minimum.reduceat(low, at)[group], np.maximum.reduceat(high, at)[group]
-    tell = least < (greatest if every else high)
-    sent = _sent(0, keys[tell], least[tell], least[tell], blocks[tell])
-    return pa.table({"_block": sent.column("_bucket"), "keys": sent.column("keys"), "low": sent.column("low")})
-
-
-def _looked_up(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each value in the sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return np.where(keys[at] == values, at, -1)
+        return np.zeros(len(values), bool)
+    keys = np.sort(keys)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+class Block:
+    """The words and windows of a block of documents, in an order that doesn't depend on how the rows came."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.words = words_of(self.table.column("text"))
+        self.starts = windows(self.words)
+        self.ids = self.table.column("doc_id").fill_null(_LAST).to_numpy()[self.words.row[self.starts]]
+        self.number = table.column("_block")[0].as_py()
+
+    def sent(self, low: np.ndarray, high: np.ndarray, first: np.ndarray, anchor: np.ndarray | None = None) -> pa.Table:
+        """The distinct ranges of words [low, high) that start at the windows `first`: names, least and greatest document,
+        and the first place of the least one."""
+        again = words_of(self.table.column("text"), WHITE, SAME, 1)
+        names = (range_hashes(self.words, low, high), range_hashes(again, low, high))
+        order, at = _groups(*names)
+        ids = self.ids[first][order]
+        lead = np.minimum.reduceat(ids, at) if len(at) else ids
+        group = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))
+        place = np.where(ids == lead[group], first[order], _LAST)
+        pos = np.minimum.reduceat(place, at) if len(at) else place
+        one = order[at]
+        long = lambda x: pa.array(x.view(np.int64))
+        columns = {"_block": pa.array(np.full(len(at), self.number, np.int32))}
+        if anchor is not None:
+            columns["name"] = long(anchor[one])
+        columns |= {"key": long(names[0][one]), "more": long(names[1][one]), "low": long(lead), "high": long(np.maximum.reduceat(ids, at) if len(at) else ids)}
+        return pa.table(columns | {"pos": pa.array(pos.astype(np.int32)), "n": pa.array((high - low)[one].astype(np.int32) - WINDOW + 1)})
+
+
+def _empty(schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    return pa.table({name: pa.array([], kinds[kind]) for name, kind in (field.split() for field in schema.split(", "))})
+
+
+_ANCHORS = "_block int, name long, several boolean"
+_SPANS = "_block int, name long, key long, more long, low long, high long, pos int, n int"
+_WINDOWS = "_block int, key long, more long, low long, high long, pos int, n int"
+
+
+def _first_round(table: pa.Table) -> pa.Table:
+    """The anchors of level 1, and whether two documents of the block have one."""
+    block = Block(table)
+    found = anchors(block.words, block.starts, 1)
+    change = np.r_[True, (found[1:] != found[:-1]) | (block.ids[1:] != block.ids[:-1])] if len(found) else np.zeros(0, bool)
+    found, ids = found[change], block.ids[change]
+    order, at = _groups(found, ids)
+    found, ids = found[order], ids[order]
+    first = at[np.r_[True, found[at][1:] != found[at][:-1]]] if len(at) else at
+    several = np.maximum.reduceat(ids, first) > ids[first] if len(first) else np.zeros(0, bool)
+    return pa.table({"_block": pa.array(np.full(len(first), block.number, np.int32)), "name": pa.array(found[first].view(np.int64)), "several": pa.array(several)})
+
+
+def _second_round(table: pa.Table, shared: pa.Table) -> pa.Table:
+    """The spans of open windows: successive ones with one anchor."""
+    if not len(table) or not len(shared):
+        return _empty(_SPANS)
+    block = Block(table)
+    open_ = np.flatnonzero(_among(anchors(block.words, block.starts, 1), shared.column("name").to_numpy().view(_U)))
+    starts = block.starts[open_]
+    found = anchors(block.words, starts)
+    opens = np.r_[True, (found[1:] != found[:-1]) | (starts[1:] != starts[:-1] + 1)] if len(found) else np.zeros(0, bool)
+    begin = np.flatnonzero(opens)
+    end = np.r_[begin[1:], len(found)][: len(begin)]
+    return block.sent(starts[begin], starts[end - 1] + WINDOW, open_[begin], found[begin])
+
+
+def _third_round(table: pa.Table, contested: pa.Table) -> pa.Table:
+    """The windows of the spans that share their anchor with another span."""
+    if not len(table) or not len(contested):
+        return _empty(_WINDOWS)
+    block = Block(table)
+    pos, n = (contested.column(c).to_numpy().astype(np.int64) for c in ("pos", "n"))
+    at = np.repeat(pos - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return block.sent(block.starts[at], block.starts[at] + WINDOW, at)
+
+
+def _covered(block: Block, told: pa.Table) -> np.ndarray:
+    """The indexes of the words under a range that a smaller document has; told: a place of each range in the block."""
+    words = block.words
+    gone = np.zeros(len(words.hash) + 1, np.int32)
+    if len(told):
+        pos, n, least = (told.column(c).to_numpy().astype(np.int64) for c in ("pos", "n", "least"))
+        every = range_hashes(words, block.starts, block.starts + WINDOW)
+        order = np.argsort(every[pos], kind="stable")
+        keys = every[pos][order]
+        some = np.flatnonzero(_among(every, keys))
+        low, high = np.searchsorted(keys, every[some]), np.searchsorted(keys, every[some], "right")
+        count = high - low
+        place, which = np.repeat(some, count), order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        x, y, size = block.starts[place], block.starts[pos[which]], n[which] + WINDOW - 1
+        equal = (block.ids[place] > least[which]) & (x + size <= words.first[words.row[x] + 1])
+        x, y, size = x[equal], y[equal], size[equal]
+        for o in range(int(size.max()) if len(size) else 0):
+            here = np.minimum(o, size - 1)
+            same = words.hash[x + here] == words.hash[y + here]
+            if not same.all():
+                x, y, size = x[same], y[same], size[same]
+        np.add.at(gone, x, 1)
+        np.add.at(gone, x + size, -1)
+    return np.flatnonzero(np.cumsum(gone)[:-1] > 0)
+
+
+def _last_pass(table: pa.Table, told: pa.Table) -> pa.Table:
+    if not len(table):
+        return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "n_words": pa.array([], pa.int64()), "removed": pa.array([], pa.list_(pa.int32()))})
+    block = Block(table)
+    words, covered = block.words, _covered(block, told)
+    local = covered - words.first[words.row[covered]]
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(covered, words.first), pa.int32()), pa.array(local, pa.int32()))
+    return pa.table({"doc_id": block.table.column("doc_id"), "text": block.table.column("text"), "n_words": pa.array(np.diff(words.first), pa.int64()), "removed": lists})
 
 
 def removed_words(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text, n_words, removed (indexes of the removed words) of every row."""
     blocks = blocks_for(text_bytes(df), block_bytes)
-    docs = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("_block"))
-
-    def first_round(table: pa.Table) -> pa.Table:
-        words = words_of(table.column("text"))
-        starts = windows(words)
-        anchor = anchors(words, starts)
-        ids = _ids(table)[words.row[starts]]
-        change = np.r_[True, (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1])] if len(anchor) else np.zeros(0, bool)
-        keys, low, high = _extremes(anchor[change], ids[change])
-        return _sent(table.column("_block")[0].as_py(), keys, low, high, (keys % _U(blocks)).astype(np.int64))
-
-    def second_round(table: pa.Table, shared: pa.Table) -> pa.Table:
-        if not len(table) or not len(shared):
-            return _sent(0, np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        words = words_of(table.column("text"))
-        starts = windows(words)
-        starts = starts[_looked_up(anchors(words, starts), np.sort(_joined(shared.column("keys"), _U))) >= 0]
-        keys, low, high = _extremes(window_hashes(words, starts), _ids(table)[words.row[starts]])
-        again = Words(mix(words.hash + _U(3)), words.start, words.end, words.row, words.first)
-        order = np.argsort(window_hashes(words, starts), kind="stable")
-        first = order[np.searchsorted(window_hashes(words, starts)[order], keys)] if len(keys) else order
-        return _sent(table.column("_block")[0].as_py(), keys, low, high, (window_hashes(again, starts[first]) % _U(blocks)).astype(np.int64))
-
-    def last_pass(table: pa.Table, earlier: pa.Table) -> pa.Table:
-        words = words_of(table.column("text"))
-        starts = windows(words)
-        gone = np.zeros(len(words.hash) + 1, np.int64)
-        if len(earlier) and len(starts):
-            keys, low = _joined(earlier.column("keys"), _U), _joined(earlier.column("low"), np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys, low = keys[order], low[order]
-            found = _looked_up(window_hashes(words, starts), keys)
-            hit = (found >= 0) & (low[found] < _ids(table)[words.row[starts]])
-            np.add.at(gone, starts[hit], 1)
-            np.add.at(gone, starts[hit] + WINDOW, -1)
-        covered = np.flatnonzero(np.cumsum(gone)[:-1] > 0)
-        cuts = np.searchsorted(covered, words.first)
-        local = covered - words.first[words.row[covered]]
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(local, pa.int32()))
-        return pa.table({"doc_id": table.column("doc_id"), "text": table.column("text"), "n_words": pa.array(np.diff(words.first), pa.int64()), "removed": lists})
-
-    by_block = docs.groupBy("_block")
-    returned = "_block int, keys binary, low binary"
-    shared = by_block.applyInArrow(first_round, _SENT).groupBy("_bucket").applyInArrow(lambda t: _returned(t, True), returned)
-    sent = by_block.cogroup(shared.groupBy("_block")).applyInArrow(second_round, _SENT)
-    earlier = sent.groupBy("_bucket").applyInArrow(lambda t: _returned(t, False), returned)
-    return by_block.cogroup(earlier.groupBy("_block")).applyInArrow(last_pass, "doc_id long, text string, n_words long, removed array<int>")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("_block"))
+    by_block, same = docs.groupBy("_block"), W.partitionBy("name")
+
+    sent = by_block.applyInArrow(_first_round, _ANCHORS)
+    shared = sent.withColumn("_known", (F.count("*").over(same) > 1) | F.max("several").over(same)).where("_known").select("_block", "name")
+
+    # Dealt by anchor here, so that both uses share one shuffle; an anchor's rows hold all of each of its spans.
+    spans = by_block.cogroup(shared.groupBy("_block")).applyInArrow(_second_round, _SPANS).repartition("name")
+    several = (F.min("key").over(same) != F.max("key").over(same)) | (F.min("more").over(same) != F.max("more").over(same))
+    judged = spans.withColumn("least", F.min("low").over(W.partitionBy("name", "key", "more"))).withColumn("_contested", several & (F.col("low") == F.col("least")))
+    judged = judged.where("least < high or _contested")
+
+    # Asks for `high` too, so that both uses need the same columns.
+    contested = judged.where("_contested and high >= low").select("_block", "pos", "n")
+    found = by_block.cogroup(contested.groupBy("_block")).applyInArrow(_third_round, _WINDOWS)
+    rest = found.withColumn("least", F.min("low").over(W.partitionBy("key", "more"))).where("least < high").select("_block", "pos", "n", "least")
+
+    told = judged.where("least < high").select("_block", "pos", "n", "least").union(rest)
+    return by_block.cogroup(told.groupBy("_block")).applyInArrow(_last_pass, "doc_id long, text string, n_words long, removed array<int>")
 
 
 def kept_text(text: bytes, removed: np.ndarray) -> bytes:
