@@ -33,7 +33,7 @@ def cross_validated(df: DataFrame, kind: str, features: list[str], target: str,
     r2 = RegressionEvaluator(labelCol=target, metricName="r2")
     fitted = CrossValidator(estimator=regression(kind, features, target, seed), estimatorParamMaps=ParamGridBuilder().build(), evaluator=r2, numFolds=folds, seed=seed).fit(df)
     predictions = fitted.transform(df)
-    return {"cv_r2": fitted.avgMetrics[0], "r2": r2.evaluate(predictions), "mae": RegressionEvaluator(labelCol=target, metricName="mae").evaluate(predictions)}
+    return {"cv_r2": float(fitted.avgMetrics[0]), "r2": r2.evaluate(predictions), "mae": RegressionEvaluator(labelCol=target, metricName="mae").evaluate(predictions)}
 
 
 def compared(df: DataFrame, features: list[str], target: str, folds: int = 5, seed: int = 42) -> DataFrame:
