@@ -7,11 +7,12 @@ share a key are candidates, and candidates are confirmed on their full shingle s
 Equal sets are collapsed to their smallest doc_id first. A document in a band key's group is compared with the group's
 leader (another one under each key) and with two neighbours in a random order under each key; groups of up to COVERED
 documents have no other pairs. Where a larger group still holds several components, all its pairs across components are
-compared, by exact counts: the group is cut into salted blocks of bounded size, every two blocks meet in one task as an
-incidence matrix of their shingles, and only links that join components come back. So every two similar documents that
-share a band key end in one component; no rows are made for pairs there, but the work grows with the square of such a
-group. Groups of the same documents are compared once. Groups are counted by partial aggregation, and the neighbour order
-runs over salted parts of bounded size.
+compared, by exact counts: the group is cut into salted blocks of bounded size, those outside its largest component into
+parts, every part meets every block in one task as an incidence matrix of shingles, and only links that join components
+come back. So every two similar documents that share a band key end in one component; no rows are made for pairs there,
+but the work grows with the size of such a group times the number of its documents outside its largest component. Groups
+of the same documents are compared once. Groups are counted by partial aggregation, and the neighbour order runs over
+salted parts of bounded size.
 
 Defined results: a null text and one without words have no set, link with nothing and are kept; repeated rows share
 their class; rows with a null doc_id get their class's component and aren't kept where that has a doc_id; of one doc_id
@@ -210,21 +211,31 @@ def open_groups(grouped: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def remaining_links(opened: DataFrame, df: DataFrame, size: int) -> DataFrame:
-    """Links (a, b) between components, by exact comparison of all pairs across components within the groups."""
+    """Links (a, b) between components, by exact comparison of all pairs across components within the groups.
+
+    Every such pair has a member outside the group's largest component. So a group's members are dealt into blocks, and
+    those outside the largest one into parts; each part meets each block in one task.
+    """
     nodes = opened.select(F.col("node").alias("doc_id")).distinct()
     texts = df.select("doc_id", "text").where("text is not null").join(nodes, "doc_id").distinct().select(F.col("doc_id").alias("node"), "text", F.octet_length("text").alias("_bytes"))
-    sizes = opened.join(texts.select("node", "_bytes"), "node").groupBy("key").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("_bytes") / 2 / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
-    own = opened.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("_blocks")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: x != F.col("_own"))
-    placed = own.select("key", "node", "component", "_own", F.explode(others).alias("_other"))
-    dealt = placed.select("key", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "node", "component").join(texts.select("node", "text"), "node")
+    sized = opened.join(texts.groupBy("node").agg(F.max("_bytes").alias("_bytes")), "node")
+    tasks = lambda n, bytes_: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(bytes_ / 2 / BLOCK_SHINGLES)).cast("int")
+    held = sized.groupBy("key", "component").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_bytes"))
+    largest = held.groupBy("key").agg(F.max(F.struct("_n", "component", "_bytes")).alias("_l"), F.sum("_n").alias("_n"), F.sum("_bytes").alias("_bytes"))
+    counts = largest.select("key", F.col("_l.component").alias("_largest"), tasks(F.col("_n"), F.col("_bytes")).alias("_blocks"), tasks(F.col("_n") - F.col("_l._n"), F.col("_bytes") - F.col("_l._bytes")).alias("_parts"))
+    own = opened.join(counts, "key")
+    dealt = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = own.select("key", "node", "component", dealt(2, "_blocks").alias("_block"), every("_parts").alias("_part"))
+    outside = own.where(F.col("component") != F.col("_largest")).select("key", "node", "component", every("_blocks").alias("_block"), dealt(3, "_parts").alias("_part"))
+    placed = members.union(outside).distinct().join(texts.select("node", "text"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         sets = [s for batch in table.select(["text"]).to_batches(max_chunksize=_ROWS) for s in shingle_sets(batch.column(0), size)]
         a, b = joins(sets, table.column("component").to_numpy())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "_lo", "_hi").applyInArrow(compare, "a long, b long").distinct()
+    return placed.groupBy("key", "_block", "_part").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, size: int = 5) -> DataFrame:
