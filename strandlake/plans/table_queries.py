@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import statistics as X
 from ..operators import tabular as T
+from ..sources import tables
 from ..streaming import pipelines as P
 from .reads import READS_SQL, reads_of, table
 
@@ -214,6 +215,21 @@ def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.pending(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("customer")), T.load_checkpoint(spark, path, "run"), "run")
 
 
+def _results(file_format: str):
+    """Results written to files and read again, CSV with fixed decimals."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, path = measurements(lambda t: table(spark, sf_dir, t)), f"{P.shared_folder(spark)}/results"
+        tables.write_results(df, path, file_format, {"value": 2} if file_format == "csv" else None)
+        schema = "operation string, config string, scale int, value double, run long"
+        return tables.read_csv(spark, path, schema, "[") if file_format == "csv" else spark.read.schema(schema).format(file_format).load(path)
+
+    return run
+
+
+for _format in ("csv", "json", "parquet"):
+    QUERIES[f"results_{_format}"] = _results(_format)
+    SQL[f"results_{_format}"] = f"WITH {_M} SELECT operation, config, scale, value, run FROM m"
 QUERIES["resume_checkpoint"] = _resumed
 SQL["resume_checkpoint"] = SQL["resume_anti"]
 
