@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import bytes_of
+
 #: FNV-1a, 64 bits. Fixed values.
 OFFSET, PRIME = 14695981039346656037, 1099511628211
 
@@ -33,16 +34,14 @@ def sketch(sequence: Column, k: int, size: int) -> Column:
 
     @F.arrow_udf("array<decimal(20,0)>")
     def run(sequences: pa.Array) -> pa.Array:
-        texts = pc.fill_null(sequences, "").cast(pa.large_string())
-        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        data, ends = bytes_of(sequences)
         # A letter between the texts keeps k-mers from crossing them.
-        starts = ends[:-1] - ends[0]
+        starts = ends[:-1]
         hashes, at = kmer_hashes(np.insert(data, starts, 0), k)
         row = np.searchsorted(starts + np.arange(len(starts)), at, "right") - 1
         order = np.lexsort((hashes, row))
         hashes, row = hashes[order], row[order]
-        first = np.searchsorted(row, np.arange(len(texts) + 1))
+        first = np.searchsorted(row, np.arange(len(sequences) + 1))
         kept = np.arange(len(row)) - first[row] < size
         counts = np.minimum(np.diff(first), size)
         values = pa.array(hashes[kept]).cast(pa.decimal128(20, 0))

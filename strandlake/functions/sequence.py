@@ -142,18 +142,6 @@ def first_of_each(windows: Column) -> Column:
     return bound(order, lambda w: F.filter(w, lambda x, i: (i == 0) | (F.get(w, i - 1)["kmer"] != x["kmer"])))
 
 
-def translated(sequence: Column, frame: int) -> Column:
-    """Protein up to the first stop; an unknown codon is X; an incomplete last codon is left out.
-
-    Letters become digits in TCAG order, so a codon reads as a number, which is its place in a table.
-    """
-    place = {f"{a}{b}{c}": x for (a, b, c), x in zip(product("0123", repeat=3), AMINO_ACIDS, strict=True)}
-    table = F.array(*[F.lit(place.get(f"{i:03}", "X")) for i in range(334)])
-    digits = F.translate(F.substring(sequence, frame + 1, (1 << 31) - 1 - frame), "TCAG0123456789+-. \t\r\n\f", "0123" + "X" * 18)
-    letters = F.transform(chunks(digits, 3, 3), lambda c: F.coalesce(F.get(table, c.try_cast("int")), F.lit("X")))
-    return F.substring_index(F.array_join(letters, ""), "*", 1)
-
-
 def hamming(a: Column, b: Column) -> Column:
     """Positions that differ, for texts of equal length."""
     apart = F.zip_with(characters(a), characters(b), lambda x, y: (x != y).cast("int"))

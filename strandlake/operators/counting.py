@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.vectors import byte_counts, count_among
 
 
 def _sum(x: Column) -> Column:
@@ -20,9 +21,12 @@ def _parts(prefix: str = "") -> dict[str, Column]:
     }.items()}
 
 
+_CLASSES = {"a": "A", "c": "C", "g": "G", "t": "T", "n": "N", "iupac": S.AMBIGUOUS, "total": None}
+
+
 def _sums(df: DataFrame, *names: str) -> DataFrame:
-    parts = _parts()
-    return df.agg(*[_sum(parts[n]).alias(n) for n in names])
+    """Totals over all reads, from one pass over the bytes of each batch."""
+    return byte_counts(df, "sequence").agg(*[count_among(_CLASSES[n]).alias(n) for n in names])
 
 
 def base_counting(df: DataFrame) -> DataFrame:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.vectors import byte_counts, count_among
 from ..schema import MIN_LENGTH, MIN_QUALITY
 
 
 def quality_aggregation(df: DataFrame, offset: int = 0) -> DataFrame:
     """Least, greatest, sum and mean over all bases with quality; without any, 255, 0, 0 and 0.0."""
-    codes = df.where("quality is not null").select(S.quality_codes(F.col("quality"), offset).alias("q"))
-    t = codes.agg(
-        F.coalesce(F.min(F.array_min("q")), F.lit(255)).cast("int").alias("min_quality"), F.coalesce(F.max(F.array_max("q")), F.lit(0)).cast("int").alias("max_quality"),
-        F.coalesce(F.sum(F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("total_quality"), F.coalesce(F.sum(F.size("q")), F.lit(0)).cast("long").alias("num_bases"),
+    value = F.greatest(F.col("byte") - offset, F.lit(0))
+    t = byte_counts(df, "quality").agg(
+        F.coalesce(F.min(value), F.lit(255)).cast("int").alias("min_quality"), F.coalesce(F.max(value), F.lit(0)).cast("int").alias("max_quality"),
+        F.coalesce(F.sum(value * F.col("n")), F.lit(0)).cast("long").alias("total_quality"), count_among(None).alias("num_bases"),
     )
     return t.withColumn("mean_quality", S.mean(F.col("total_quality"), F.col("num_bases")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.vectors import translated
 from ..schema import ADAPTER, ADAPTER_OVERLAP, MASK_BELOW
 
 
@@ -45,7 +46,7 @@ def translation(df: DataFrame, frame: int = 0, least: int = 1) -> DataFrame:
     """Protein of one forward frame up to the first stop; ids end in _frame<f>; quality is dropped."""
     if frame not in (0, 1, 2):
         raise ValueError("frame must be 0, 1 or 2")
-    proteins = df.select(F.concat("id", F.lit(f"_frame{frame}")).alias("id"), S.translated(F.col("sequence"), frame).alias("sequence"), F.lit(None).cast("string").alias("quality"))
+    proteins = df.select(F.concat("id", F.lit(f"_frame{frame}")).alias("id"), translated(F.col("sequence"), frame).alias("sequence"), F.lit(None).cast("string").alias("quality"))
     return proteins.where(F.length("sequence") >= least)
 
 
