@@ -61,6 +61,6 @@ def test_stages_on_empty_tables(spark, hard):
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
     assert decontaminate.SHINGLE == corpus_pipeline.SHINGLE_WORDS == 5
