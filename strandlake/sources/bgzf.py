@@ -1,29 +1,35 @@
-"""BGZF: gzip in independent blocks. A Python data source gives each task a range of a file's bytes.
+"""BGZF: gzip in independent blocks, read in parallel by a stored index of the blocks.
 
-A task looks for the first block that starts in its range, so nobody walks a file's headers on the driver. It owns the
-records whose header line starts after the first line break of its range (at the file's start, from the first byte) and
-not behind its end, and reads on into the following blocks until its last record is whole, however long records are. The
-path must be visible to the driver and the executors alike, as a shared file system is.
+The index is a table with one row for each block: its place (`block`, and `virtual_offset`, its BGZF address), its sizes,
+and the line breaks in it and before it in the file. It is made by one pass over byte ranges: a task finds the first block
+that starts in its range and counts to the range's end; the ranges before it are added as sums, one row for each range. An
+index can be stored as Parquet and used again, also to fetch a few records by number.
+
+Reading cuts the blocks into parts. Line k of a file belongs to the part that holds the break before it, and a record to the
+part of its header line, so the lines in fours are those of the whole file whatever the parts are; a part reads on into the
+next blocks until its last record is whole. FAILFAST raises at a bad record; DROPMALFORMED leaves out the four lines.
+Files lie in any store that pyarrow opens (see store.py).
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from .fastq import COLUMNS, _PROBE, _offset, framed
+from ..schema import READS
+from .fastq import no_rest, reads_batch
+from .framing import Framer
+from .store import files, opened_anywhere
 
-#: Bytes of a task's range; the longest block.
-PARTITION_BYTES, LONGEST_BLOCK = 8 << 20, 1 << 16
+#: Bytes of a part; the longest block; inflated bytes of a block that is written.
+PART_BYTES, LONGEST_BLOCK, FULL = 8 << 20, 1 << 16, 65280
 
 
 def block_size(head: bytes) -> int | None:
@@ -56,136 +62,149 @@ def next_block(f: BinaryIO, at: int, size: int) -> int | None:
     return None
 
 
-def blocks(path: str) -> list[tuple[int, int]]:
-    """Offset and size of every block, from the headers alone."""
-    found, at, size = [], 0, os.path.getsize(path)
-    with open(path, "rb") as f:
-        while at < size:
-            length = block_size(_head(f, at))
-            if not length:
-                raise ValueError(f"no BGZF block at {at} of {path}")
-            found.append((at, length))
-            at += length
-    return found
-
-
 def inflate(block: bytes) -> bytes:
     return zlib.decompress(block, 31)
 
 
-def deflate(data: bytes, block: int = 65280) -> bytes:
-    """BGZF bytes of some data, the empty end block included."""
-    out = []
-    for a in [*range(0, len(data), block), None]:
-        part = b"" if a is None else data[a : a + block]
+def blocks(f: BinaryIO, at: int, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """Place, size and text of each block from a place on, read as they are asked for."""
+    while at < size:
+        length = block_size(_head(f, at))
+        if not length:
+            raise ValueError(f"no BGZF block at {at}")
+        f.seek(at)
+        yield at, length, inflate(f.read(length))
+        at += length
+
+
+class Blocks:
+    """Cuts a text that comes in pieces into compressed blocks; `end` adds the empty block that ends a file."""
+
+    def __init__(self, full: int = FULL):
+        self.full, self.held = full, b""
+
+    def _block(self, part: bytes) -> bytes:
         c = zlib.compressobj(6, zlib.DEFLATED, -15)
         body = c.compress(part) + c.flush()
-        out.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out)
+        return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+
+    def add(self, data: bytes) -> bytes:
+        self.held += data
+        whole = len(self.held) - len(self.held) % self.full
+        out = b"".join(self._block(self.held[a : a + self.full]) for a in range(0, whole, self.full))
+        self.held = self.held[whole:]
+        return out
+
+    def end(self) -> bytes:
+        last = self._block(self.held) if self.held else b""
+        self.held = b""
+        return last + self._block(b"")
+
+
+def deflate(data: bytes, full: int = FULL) -> bytes:
+    """The BGZF bytes of some data."""
+    made = Blocks(full)
+    return made.add(data) + made.end()
+
+
+_BLOCKS = "file string, range long, block long, size long, text long, lines long"
+
+
+def index(spark: SparkSession, path: str, range_bytes: int = PART_BYTES) -> DataFrame:
+    """file, block, virtual_offset, size, text (bytes inflated), lines (breaks), before (breaks before it in the file)."""
+    found = files(path)
+    ranges = spark.createDataFrame(found, "file string, length long").where("length > 0")
+    cut = ranges.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("range"))
+    tasks = max(1, min(sum(-(-n // range_bytes) for _, n in found), 100_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with opened_anywhere(r["file"]) as f:
+                    end = min(r["range"] + range_bytes, r["length"])
+                    at, rows = 0 if not r["range"] else next_block(f, r["range"], r["length"]), []
+                    if at is None or at >= end:
+                        continue
+                    for place, size, text in blocks(f, at, r["length"]):
+                        if place >= end:
+                            break
+                        rows.append({"file": r["file"], "range": r["range"], "block": place, "size": size, "text": len(text), "lines": text.count(b"\n")})
+                yield from pa.Table.from_pylist(rows).to_batches()
+
+    each = cut.repartition(tasks, "file", "range").mapInArrow(run, _BLOCKS)
+    inside = F.coalesce(F.sum("lines").over(W.partitionBy("file", "range").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = each.withColumn("inside", inside)
+    sums = each.groupBy("file", "range").agg(F.sum("lines").alias("n")).select("file", "range", earlier.alias("earlier"))
+    return rows.join(sums, ["file", "range"]).select("file", "block", (F.col("block") * 65536).alias("virtual_offset"), "size", "text", "lines", (F.col("earlier") + F.col("inside")).alias("before"))
+
+
+def parts(found: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """file, block (the first), before, lines: one row for each part, from the rows of an index."""
+    part = F.floor(F.col("block") / part_bytes)
+    return found.groupBy("file", part.alias("_part")).agg(F.min("block").alias("block"), F.min("before").alias("before"), F.sum("lines").alias("lines"), F.max(F.col("block") + F.col("size")).alias("end")).drop("_part")
+
+
+def _text_lines(f: BinaryIO, at: int, size: int) -> Iterator[pa.Array]:
+    from .compressed import line_batches
+
+    return line_batches(text for _, _, text in blocks(f, at, size) if text)
+
+
+def part_records(file: str, at: int, before: int, lines: int, mode: str) -> Iterator[tuple[list[pa.Array], int]]:
+    """The columns of the records of a part, and the first one's number; raises at one cut short in FAILFAST mode."""
+    first = before + 1 if at else 0  # the first line of the part
+    last = before + lines
+    wanted = last // 4 * 4 + 4 - first  # up to the end of the record whose header is the last one of the part
+    if last < first or wanted <= 0:
+        return
+    skip, framer = int(at > 0), Framer(mode, first % 4, first)
+    with opened_anywhere(file) as f:
+        for batch in _text_lines(f, at, f.size()):
+            some = batch.slice(skip, max(0, min(len(batch) - skip, wanted)))
+            skip -= min(skip, len(batch))
+            wanted -= len(some)
+            columns, number = framer.add(some)
+            if len(columns[0]):
+                yield columns, number
+            if not wanted:
+                return
+    if framer.rest():
+        no_rest(framer.rest(), framer.record, file, mode)
 
 
-class ByteRange(InputPartition):
-    def __init__(self, path: str, start: int, end: int, size: int):
-        self.path, self.start, self.end, self.size = path, start, end, size
+def read_parts(pieces: DataFrame, mode: str = "FAILFAST", validate: bool = False, numbered: bool = False) -> DataFrame:
+    """The reads of parts; numbered adds file and record, the number of a record's four lines in its file."""
+    if mode not in ("FAILFAST", "DROPMALFORMED"):
+        raise ValueError("mode must be FAILFAST or DROPMALFORMED")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                for columns, first in part_records(r["file"], r["block"], r["before"], r["lines"], mode):
+                    if not numbered:
+                        yield reads_batch(columns, first, r["file"], mode, validate)
+                        continue
+                    for k in range(len(columns[0])):  # a few records, fetched by number
+                        found = reads_batch([c.slice(k, 1) for c in columns], first + k, r["file"], mode, validate)
+                        if found.num_rows:
+                            yield pa.RecordBatch.from_arrays([*found.columns, pa.array([r["file"]]), pa.array([first + k])], ["id", "sequence", "quality", "file", "record"])
 
-class _Text:
-    """The decompressed text of a range, and of the blocks after it as far as it was asked for."""
+    tasks = pieces.repartition(max(1, min(100_000, pieces.count())), "file", "block").select("file", "block", "before", "lines")
+    return tasks.mapInArrow(run, "id string, sequence string, quality string, file string, record long" if numbered else READS)
 
-    def __init__(self, f: BinaryIO, first: int, part: ByteRange):
-        self.f, self.at, self.size, self.data = f, first, part.size, bytearray()
-        while self.at < part.end and self.more():
-            pass
-        self.own = len(self.data)
 
-    def more(self) -> bool:
-        """Reads one more block."""
-        if self.at >= self.size:
-            return False
-        length = block_size(_head(self.f, self.at))
-        if not length:
-            raise ValueError(f"no BGZF block at {self.at}")
-        self.f.seek(self.at)
-        self.data += inflate(self.f.read(length))
-        self.at += length
-        return True
-
-    def lines(self, start: int, n: int) -> list[str]:
-        """Up to n lines from a place on, reading on as needed; fewer only at the file's end."""
-        breaks = self.data.count(b"\n", start)
-        while breaks < n and self.more():
-            breaks = self.data.count(b"\n", start)
-        found = bytes(self.data[start:]).split(b"\n", n)[:n]
-        if breaks < len(found) and not found[-1]:
-            found.pop()
-        return [x.decode() for x in found]
-
-
-class BgzfReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = sorted(glob.glob(options["path"]))
-        self.bytes = int(options.get("partitionbytes", PARTITION_BYTES))
-        self.mode = options.get("mode", "FAILFAST")
-        self.validate = options.get("validatequality", "false").lower() == "true"
-        if self.mode not in ("FAILFAST", "DROPMALFORMED"):
-            raise ValueError("mode must be FAILFAST or DROPMALFORMED")
-
-    def partitions(self) -> list[ByteRange]:
-        sizes = [(p, os.path.getsize(p)) for p in self.paths]
-        return [ByteRange(p, a, min(a + self.bytes, n), n) for p, n in sizes for a in range(0, n, self.bytes)]
-
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        with open(part.path, "rb") as f:
-            first = 0 if part.start == 0 else next_block(f, part.start, part.size)
-            if first is None or first >= part.end:
-                return
-            text = _Text(f, first, part)
-            start = 0
-            if part.start:
-                while (at := text.data.find(b"\n", start)) < 0 and text.more():
-                    pass
-                start = at + 1
-                if at < 0 or start > text.own:
-                    return
-                probe = text.lines(start, 4 * _PROBE + 3)
-                skip = _offset(probe)
-                if skip is None:
-                    if len(probe) < 4:
-                        return  # the rest of a record of the range before
-                    raise ValueError(f"no record found after byte {part.start} of {part.path}")
-                start += sum(len(x.encode()) + 1 for x in probe[:skip])
-            if start > text.own:
-                return
-            # Records that start up to the range's end, and a look at the four lines after them.
-            owned = 1 + text.data.count(b"\n", start, text.own)
-            wanted = 4 * -(-owned // 4)
-            lines = text.lines(start, wanted + 4)
-        rest = lines[wanted:]
-        lines = lines[:wanted]
-        while lines and not lines[-1] and len(lines) % 4:
-            lines.pop()
-        if self.mode == "FAILFAST" and (len(lines) % 4 or (0 < len(rest) < 4 and any(rest))):
-            raise ValueError(f"incomplete record at the end of {part.path}")
-        lines = lines[: len(lines) - len(lines) % 4]
-        if lines and not any(lines[-4:]):
-            lines = lines[:-4]
-        if lines:
-            yield pa.RecordBatch.from_arrays(framed(pa.array(lines, pa.string()), self.mode, self.validate), COLUMNS)
-
-
-class BgzfFastq(DataSource):
-    """Format "bgzf_fastq"; options path, partitionBytes, mode, validateQuality."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bgzf_fastq"
-
-    def schema(self) -> str:
-        return "id string, sequence string, quality string"
-
-    def reader(self, schema) -> BgzfReader:
-        return BgzfReader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(BgzfFastq)
+def read_bgzf(spark: SparkSession, path: str, mode: str = "FAILFAST", validate: bool = False, stored: DataFrame | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Reads of BGZF files, by a stored index or one made now."""
+    from ..storage import checkpointed
+
+    return read_parts(checkpointed(parts(index(spark, path, part_bytes) if stored is None else stored, part_bytes)), mode, validate)
+
+
+def fetch(stored: DataFrame, first: int, last: int, mode: str = "FAILFAST") -> DataFrame:
+    """The records of numbers first to last of each file, with file and record; only blocks that hold their lines are read."""
+    begins, ends = F.col("before"), F.col("before") + F.col("lines")
+    held = stored.where((begins <= 4 * last) & (ends >= 4 * first))
+    # A block is a part of its own here: few are read, and each knows its lines.
+    pieces = held.select("file", "block", "before", "lines")
+    return read_parts(pieces, mode, numbered=True).where(F.col("record").between(first, last))

@@ -1,11 +1,9 @@
 """FASTQ and FASTA tables from files, and back.
 
-Plain and gzip files are read by Spark's text reader, from any store Spark reads. A plain file is split like any text;
-each split finds the record framing by itself, and the few lines at its edges are put together by file afterwards. Lines
-are framed as Arrow columns, without an object for each line. Modes that follow a file line by line (PERMISSIVE, RESYNC),
-zstd, and a compression that the name doesn't tell take a file in one task, which decompresses it as a stream; Spark
-holds the compressed file, of up to 2 GB. BGZF files, whose blocks can be read apart, have a Python data source that
-gives a range of bytes to each task (see bgzf.py).
+Plain and gzip files are read by Spark's text reader, from any store Spark reads. A plain file is split like any text, and
+every mode gives the same records at every split size (see framing.py). Gzip files, which can't be split, are framed in the
+same pass that reads them, by one task each, as a stream. Zstd, and a compression that the name doesn't tell, have a Python
+data source that streams a file (see compressed.py); BGZF files have a stored index of their blocks (see bgzf.py).
 
 Modes: FAILFAST raises at a bad record; DROPMALFORMED leaves it out; PERMISSIVE takes four lines as they are until an
 empty header; RESYNC skips one line where a header should be.
@@ -13,10 +11,8 @@ empty header; RESYNC skips one line where a header should be.
 
 from __future__ import annotations
 
-import gzip
-import io
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +22,10 @@ from pyspark.sql import functions as F
 
 from ..operators.transforms import with_default_quality
 from ..schema import READS
+from .framing import LINES, MODES, framed_files
 
-MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE", "RESYNC")
 Record = tuple[str, str, str]
 
-_PROBE = 8  # records looked at to find the framing
-
 
 def problem(lines: list[str], validate: bool = False) -> str | None:
     """What is wrong with four lines, if anything."""
@@ -75,65 +69,42 @@ def parse(lines: Iterable[str], mode: str = "FAILFAST", validate: bool = False)
         raise ValueError(f"incomplete record: {held[0][:80]}")
 
 
-def _offset(lines: list[str]) -> int | None:
-    """How many lines to skip until records begin; None where too few lines are there to tell."""
-    for skip in range(4):
-        groups = [lines[i : i + 4] for i in range(skip, min(len(lines), skip + 4 * _PROBE) - 3, 4)]
-        if groups and not any(map(problem, groups)):
-            return skip
-    return None
-
-
 COLUMNS = ["id", "sequence", "quality"]
 
 
 def framed(lines: pa.Array, mode: str, validate: bool) -> list[pa.Array]:
-    """id, sequence and quality of lines that are whole records, checked as `problem` does."""
-    header, sequence, plus, quality = (lines.take(pa.array(np.arange(k, len(lines), 4))) for k in range(4))
+    """id, sequence and quality of lines that are whole records."""
+    return checked([lines.take(pa.array(np.arange(k, len(lines), 4))) for k in range(4)], mode, validate)
+
+
+def checked(columns: list[pa.Array], mode: str, validate: bool) -> list[pa.Array]:
+    """id, sequence and quality of the four lines of records, checked as `problem` does; PERMISSIVE leaves them as they are."""
+    header, sequence, plus, quality = columns
+    if mode == "PERMISSIVE":
+        return [pc.if_else(pc.starts_with(header, "@"), pc.utf8_slice_codeunits(header, 1), header), sequence, quality]
     sequence, quality = pc.utf8_trim_whitespace(sequence), pc.utf8_trim_whitespace(quality)
+    found = [pc.utf8_trim_whitespace(pc.utf8_slice_codeunits(header, 1)), sequence, quality]
+    if mode == "RESYNC":
+        return found
     good = pc.and_(pc.and_(pc.starts_with(header, "@"), pc.starts_with(plus, "+")), pc.equal(pc.utf8_length(sequence), pc.utf8_length(quality)))
     if validate:
         good = pc.and_(good, pc.invert(pc.match_substring_regex(quality, r"[^\x21-\x7E]")))
-    columns = [pc.utf8_trim_whitespace(pc.utf8_slice_codeunits(header, 1)), sequence, quality]
     if pc.all(good).as_py() in (True, None):
-        return columns
+        return found
     if mode == "FAILFAST":
         i = good.to_pylist().index(False)
-        raise ValueError(f"{problem(lines.slice(4 * i, 4).to_pylist(), validate)}: {header[i].as_py()[:80]}")
-    return [c.filter(good) for c in columns]
+        raise ValueError(f"{problem([c[i].as_py() for c in columns], validate)}: {header[i].as_py()[:80]}")
+    return [c.filter(good) for c in found]
 
 
-class _Split:
-    """The lines of one split: whole records, and the lines at the edges."""
+def reads_batch(columns: list[pa.Array], first: int, file: str, mode: str, validate: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(checked(columns, mode, validate), COLUMNS)
 
-    def __init__(self, file: str, block: int, mode: str, validate: bool):
-        self.file, self.block, self.mode, self.validate = file, block, mode, validate
-        self.held, self.ready, self.number = pa.array([], pa.string()), block == 0, 0
 
-    def _edge(self, lines: pa.Array) -> pa.RecordBatch:
-        n, none = len(lines), pa.nulls(len(lines), pa.string())
-        numbers = pa.array(np.arange(self.number, self.number + n))
-        self.number += n
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array([self.file] * n, pa.string()), pa.array(np.full(n, self.block, np.int64)), numbers, lines], _PARTS)
-
-    def add(self, lines: pa.Array, last: bool = False) -> Iterator[pa.RecordBatch]:
-        self.held = pa.concat_arrays([self.held, lines])
-        if not self.ready and (last or len(self.held) >= 4 * _PROBE + 4):
-            skip = _offset(self.held.slice(0, 4 * _PROBE + 4).to_pylist())
-            if skip is not None:
-                yield self._edge(self.held.slice(0, skip))
-                self.held, self.ready = self.held.slice(skip), True
-        if self.ready:
-            whole = len(self.held) - len(self.held) % 4
-            columns = framed(self.held.slice(0, whole), self.mode, self.validate)
-            n = len(columns[0])
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], _PARTS)
-            self.held = self.held.slice(whole)
-        if last:
-            yield self._edge(self.held)
-
-
-_PARTS = [*COLUMNS, "file", "block", "number", "line"]
+def no_rest(lines: list[str], record: int, file: str, mode: str) -> None:
+    """What becomes of a last record that is not whole: an error in FAILFAST mode, unless its lines are empty."""
+    if mode == "FAILFAST" and any(lines):
+        raise ValueError(f"incomplete record at the end of {file}: {lines[0][:80]}")
 
 
 def read_fastq(spark: SparkSession, path: str, mode: str = "FAILFAST", validate_quality: bool = False, compression: str | None = None) -> DataFrame:
@@ -141,66 +112,25 @@ def read_fastq(spark: SparkSession, path: str, mode: str = "FAILFAST", validate_
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     by_name = compression is None or (compression == "gzip") == path.endswith(".gz")
-    if compression == "zstd" or (compression is None and path.endswith(".zst")) or not by_name or mode in ("PERMISSIVE", "RESYNC"):
-        return _whole_files(spark, path, mode, validate_quality, compression)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: _Split | None = None
-        for batch in batches:
-            value, file, block = batch.columns
-            if not len(value):
-                continue
-            change = pc.or_(pc.not_equal(file.slice(1), file.slice(0, len(file) - 1)), pc.not_equal(block.slice(1), block.slice(0, len(block) - 1)))
-            cuts = [0, *(np.flatnonzero(change.to_numpy(zero_copy_only=False)) + 1).tolist(), len(value)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if now is None or (now.file, now.block) != (file[a].as_py(), block[a].as_py()):
-                    if now:
-                        yield from now.add(value.slice(0, 0), True)
-                    now = _Split(file[a].as_py(), block[a].as_py(), mode, validate_quality)
-                yield from now.add(value.slice(a, b - a))
-        if now:
-            yield from now.add(pa.array([], pa.string()), True)
-
-    parts = lines.mapInArrow(split, "id string, sequence string, quality string, file string, block long, number long, line string")
-    edges = parts.where("file is not null").select("file", "block", "number", "line")
-
-    def join(rows: pa.Table) -> pa.Table:
-        found = list(parse(rows.sort_by([("block", "ascending"), ("number", "ascending")]).column("line").to_pylist(), mode, validate_quality))
-        return pa.table({c: pa.array([r[k] for r in found], pa.string()) for k, c in enumerate(COLUMNS)})
-
-    joined = edges.groupBy("file").applyInArrow(join, READS)
-    return parts.where("file is null").select(*COLUMNS).unionByName(joined)
-
-
-#: Records put into one batch by the readers that follow a file line by line.
-_BATCH = 10_000
-
-
-def opened(content: bytes, compression: str | None, name: str) -> io.TextIOWrapper:
-    """The text of a file as a stream of lines; compression by extension unless named."""
-    kind = compression or ("zstd" if name.endswith(".zst") else "gzip" if name.endswith(".gz") else "none")
-    raw = io.BytesIO(content)
-    if kind == "zstd":
-        import zstandard
-
-        raw = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
-    elif kind == "gzip":
-        raw = gzip.GzipFile(fileobj=raw)
-    return io.TextIOWrapper(raw, encoding="utf-8", newline="\n")
-
-
-def _whole_files(spark: SparkSession, path: str, mode: str, validate: bool, compression: str | None) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if compression == "zstd" or (compression is None and path.endswith(".zst")) or not by_name:
+        from .compressed import register
+
+        register(spark)
+        options = {"mode": mode, "validateQuality": validate_quality, **({"compression": compression} if compression else {})}
+        return spark.read.format("compressed_fastq").options(**options).load(path)
+    finish = partial(reads_batch, mode=mode, validate=validate_quality)
+    inside, edges = framed_files(spark, path, mode, finish, "id string, sequence string, quality string", partial(no_rest, mode=mode))
+    if edges is None:
+        return inside
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(*batch.columns, strict=True):
-                records = parse((line.rstrip("\r\n") for line in opened(content.as_py(), compression, name.as_py())), mode, validate)
-                while some := list(islice(records, _BATCH)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)], COLUMNS)
+            short = batch.column(3).is_null()
+            for row in batch.filter(short).to_pylist():
+                no_rest([x for x in list(row.values())[:4] if x is not None], 0, row["file"], mode)
+            yield reads_batch(batch.filter(pc.invert(short)).columns[:4], 0, "", mode, validate_quality)
 
-    return files.mapInArrow(run, READS)
+    return inside.unionByName(edges.select(*LINES, "file").mapInArrow(join, READS))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
