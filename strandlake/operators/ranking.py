@@ -42,3 +42,11 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "place") -> D
     ranges = ranged(df, order)
     counts = before(ranges, [], _before=F.lit(1))
     return ranges.join(F.broadcast(counts), "_range").select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))
+
+
+def placed(df: DataFrame, name: str = "place") -> DataFrame:
+    """Adds the place of each row, from 0, in the order in which the input gives its rows; they are not sorted or moved."""
+    frozen = checkpointed(df.withColumn("_id", F.monotonically_increasing_id()))
+    ranges = frozen.select(*df.columns, F.shiftright("_id", _LOW).cast("int").alias("_range"), F.col("_id").bitwiseAND((1 << _LOW) - 1).alias("_in"))
+    counts = before(ranges, [], _before=F.lit(1))
+    return ranges.join(F.broadcast(counts), "_range").select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import sequence as S
 from ..operators.quality import quality_filter_rows
+from ..operators.transforms import with_default_quality
+from ..sources.fastq import fastq_text
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +33,12 @@ def filter_pipeline(reads: DataFrame, path: str, checkpoint: str, least: float =
     return kept.writeStream.format(file_format).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
+def fastq_pipeline(reads: DataFrame, path: str, checkpoint: str, least: float = 20.0, compression: str = "gzip") -> StreamingQuery:
+    """As `filter_pipeline`, with FASTQ files as its sink."""
+    kept = fastq_text(with_default_quality(quality_filter_rows(reads, least)))
+    return kept.writeStream.format("text").option("compression", compression).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
 def running_counts(reads: DataFrame) -> DataFrame:
     """Totals that add up over any split of the stream; the state is one row for each key."""
     s = F.col("sequence")
