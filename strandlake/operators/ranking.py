@@ -6,6 +6,8 @@ for each range. The sorted rows are checkpointed, so that numbers and counts com
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,13 @@ def ranged(df: DataFrame, order: list[Column | str]) -> DataFrame:
     return frozen.select(*df.columns, F.shiftright("_id", _LOW).cast("int").alias("_range"), F.col("_id").bitwiseAND((1 << _LOW) - 1).alias("_in"))
 
 
+def on_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joined on keys of which nulls are equal, as they are in groups; the right side's keys are dropped."""
+    named = right.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"_on_{k}"]) for k in keys], F.lit(True))
+    return left.join(named, condition, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def before(ranges: DataFrame, groups: list[str], **sums: Column) -> DataFrame:
     """For each group and range, the sums over the group's rows in the ranges before; a row for each group of a range."""
     parts = ranges.groupBy(*groups, "_range").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
@@ -34,6 +43,19 @@ def before(ranges: DataFrame, groups: list[str], **sums: Column) -> DataFrame:
     return parts.select(*groups, "_range", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in sums])
 
 
+def running(df: DataFrame, groups: list[str], order: list[Column | str], **sums: Column) -> DataFrame:
+    """Adds running sums, each row's own value included, in an order within groups; equal rows follow each other anyhow.
+
+    A group of any size is spread over ranges: a window holds what one range has of a group.
+    """
+    ranges = ranged(df, [*groups, *order])
+    own = W.partitionBy(*groups, "_range").orderBy("_in").rowsBetween(W.unboundedPreceding, 0)
+    inside = ranges.select("*", *[F.sum(c).over(own).alias(f"_own_{k}") for k, c in sums.items()])
+    starts = before(ranges, groups, **{f"_before_{k}": c for k, c in sums.items()})
+    added = [(F.coalesce(f"_own_{k}", F.lit(0)) + F.col(f"_before_{k}")).alias(k) for k in sums]
+    return on_groups(inside, starts, [*groups, "_range"]).select(*df.columns, *added)
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
     """Adds the place of each row, from 0, in a total order of all rows. Rows with equal keys follow each other anyhow.
 

@@ -1,15 +1,21 @@
 """Robust statistics, effect sizes, bounds and trends over measurement tables.
 
-Statistics by index count the distinct values of a group first, and find an index in the running count, in Spark's
-windows, which spill; no group's values are ever collected into one row.
+Statistics by index count the distinct values of a group first, and find an index in the running count over ranges (see
+ranking.py); no group's values are ever collected into one row or one task.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import on_groups, running
+
 #: Critical values of Student's t for 95 %, by least degrees of freedom. Fixed values.
 T_CRITICAL = {0: 2.776, 5: 2.262, 10: 2.145, 15: 2.093, 20: 2.064, 25: 2.045, 30: 2.021, 40: 2.009, 50: 1.984, 100: 1.96}
 
@@ -33,11 +39,11 @@ def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 def at_ranks(counts: DataFrame, groups: list[str], **ranks: Column) -> DataFrame:
     """A row for each group of value counts: `_total`, and the values at 0-based indexes of the sorted values.
 
-    An index is an expression over `_total`.
+    An index is an expression over `_total`. A group's values are sorted over ranges, so no task has to hold a group.
     """
-    running = counts.withColumn("_end", F.sum("_n").over(W.partitionBy(*groups).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
-    running = running.withColumn("_total", F.sum("_n").over(W.partitionBy(*groups)))
-    return running.groupBy(*groups).agg(F.first("_total").alias("_total"), *[F.min(F.when(F.col("_end") > r, F.col("_v"))).alias(k) for k, r in ranks.items()])
+    totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
+    placed = on_groups(running(counts, groups, ["_v"], _end=F.col("_n")), totals, groups)
+    return placed.groupBy(*groups).agg(F.first("_total").alias("_total"), *[F.min(F.when(F.col("_end") > r, F.col("_v"))).alias(k) for k, r in ranks.items()])
 
 
 def rank_of(share: float) -> Column:
@@ -55,7 +61,7 @@ def without_outliers(counts: DataFrame, groups: list[str], threshold: float = 1.
     bounds = at_ranks(counts, groups, _low=rank_of(0.25), _high=rank_of(0.75))
     room = (F.col("_high") - F.col("_low")) * threshold
     inside = (F.col("_total") < 4) | ((F.col("_v") >= F.col("_low") - room) & (F.col("_v") <= F.col("_high") + room))
-    return counts.join(bounds, groups).where(inside).select(*groups, "_v", "_n", F.col("_total").alias("_all"), F.col("_low").alias("_shift"))
+    return on_groups(counts, bounds, groups).where(inside).select(*groups, "_v", "_n", F.col("_total").alias("_all"), F.col("_low").alias("_shift"))
 
 
 def summary(df: DataFrame, groups: list[str], value: str, threshold: float = 1.5) -> DataFrame:
@@ -73,7 +79,7 @@ def summary(df: DataFrame, groups: list[str], value: str, threshold: float = 1.5
         F.sum(apart * F.col("_n")).alias("_s"), F.sum(apart * apart * F.col("_n")).alias("_ss"),
     )
     n = F.col("n_valid")
-    full = sums.join(ranks, groups).withColumn("mean", F.col("_shift") + F.col("_s") / n)
+    full = on_groups(sums, ranks, groups).withColumn("mean", F.col("_shift") + F.col("_s") / n)
     full = full.withColumn("std_dev", F.sqrt(F.try_divide(F.greatest(F.lit(0.0), F.col("_ss") - F.col("_s") * F.col("_s") / n), n - 1)))
     full = full.withColumn("median", (F.col("_below") + F.col("_above")) / 2).withColumn("_margin", t_critical(n - 1) * F.col("std_dev") / F.sqrt(n))
     full = full.withColumn("ci_lower", F.col("mean") - F.col("_margin")).withColumn("ci_upper", F.col("mean") + F.col("_margin"))
@@ -84,7 +90,7 @@ def summary(df: DataFrame, groups: list[str], value: str, threshold: float = 1.5
 def trimmed_mean(df: DataFrame, groups: list[str], value: str, sigmas: float = 3.0) -> DataFrame:
     """Mean of the values within `sigmas` population deviations of the mean; the plain mean if none is."""
     centre = df.groupBy(*groups).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_spread"))
-    marked = df.join(centre, groups).withColumn("_near", F.abs(F.col(value) - F.col("_mean")) <= F.col("_spread") * sigmas)
+    marked = on_groups(df, centre, groups).withColumn("_near", F.abs(F.col(value) - F.col("_mean")) <= F.col("_spread") * sigmas)
     return marked.groupBy(*groups).agg(F.coalesce(F.avg(F.when(F.col("_near"), F.col(value))), F.avg(value)).alias("trimmed_mean"), F.count_if(F.col("_near")).alias("n_kept"))
 
 
@@ -99,9 +105,62 @@ def effect_label(d: Column) -> Column:
 
 
 def t_statistic(df: DataFrame, groups: list[str], value: str, expected: float = 1.0) -> DataFrame:
-    """One-sample t of each group's mean against an expected value; null for under two values."""
+    """One-sample t of each group's mean against an expected value, and its two-sided p; null for under two values."""
     t = df.groupBy(*groups).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_dev"), F.count(value).alias("n"))
-    return t.withColumn("t", F.try_divide((F.col("mean") - expected) * F.sqrt("n"), F.col("std_dev")))
+    t = t.withColumn("t", F.try_divide((F.col("mean") - expected) * F.sqrt("n"), F.col("std_dev")))
+    return t.withColumn("p", t_p_value(F.col("t"), F.col("n") - 1))
+
+
+def t_p_value(t: Column, degrees: Column) -> Column:
+    """The two-sided p of a t: the regularised incomplete beta of degrees / (degrees + t^2); null without degrees."""
+    x = degrees / (degrees + t * t)
+    return F.when((degrees > 0) & t.isNotNull(), incomplete_beta(degrees.cast("double") / 2, F.lit(0.5), x))
+
+
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function, by its continued fraction, a whole batch of rows at a time.
+
+    The fraction converges fast for x under (a + 1) / (a + b + 2); beyond, that of 1 - x is taken, from 1.
+    """
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array, x: pa.Array) -> pa.Array:
+        p, q, at = (np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in (a, b, x))
+        with np.errstate(all="ignore"):
+            swap = at > (p + 1) / (p + q + 2)
+            p, q, at = np.where(swap, q, p), np.where(swap, p, q), np.where(swap, 1 - at, at)
+            log_beta = np.array([math.lgamma(u) + math.lgamma(v) - math.lgamma(u + v) if u > 0 and v > 0 else np.nan for u, v in zip(p.tolist(), q.tolist(), strict=True)])
+            front = np.exp(p * np.log(at) + q * np.log1p(-at) - log_beta) / p
+            found = np.where(at <= 0, 0.0, front * beta_fraction(p, q, at))
+        return pa.array(np.where(swap, 1 - found, found), mask=np.isnan(found))
+
+    return run(a, b, x)
+
+
+#: Terms of the fraction, and how near 1 the last factor has to be.
+TERMS, NEAR = 10_000, 1e-15
+
+
+def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """1 / (1 + d1 / (1 + d2 / ...)), from the front, with the ratios of successive numerators and denominators."""
+    tiny = 1e-300
+
+    def safe(v: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(v) < tiny, tiny, v)
+
+    total = upper = np.ones_like(x)
+    lower = 1 / safe(1 - (a + b) * x / (a + 1))
+    total = lower.copy()
+    for m in range(1, TERMS):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for d in (even, odd):
+            lower, upper = 1 / safe(1 + d * lower), safe(1 + d / upper)
+            factor = lower * upper
+            total = total * factor
+        if not np.any(np.abs(factor - 1) > NEAR):
+            break
+    return total
 
 
 def amdahl_bound(serial_share: Column, factor: float = 20.0) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 
 def experiments(operations: DataFrame, configs: DataFrame, scales: DataFrame) -> DataFrame:
     """Every implemented operation with every config and scale, numbered exp_000000 onwards.
@@ -52,16 +54,29 @@ def baseline_ratio(df: DataFrame, groups: list[str], label: str, baseline: str,
     return df.withColumn("ratio", F.coalesce(F.try_divide(F.col(value), base), F.lit(missing).cast("double")))
 
 
-def interval_join(samples: DataFrame, windows: DataFrame, time: str, start: str, seconds: str, key: str, value: str, bucket: int = 60) -> DataFrame:
+def interval_join(samples: DataFrame, windows: DataFrame, time: str, start: str, seconds: str, key: str, value: str) -> DataFrame:
     """Mean and count of the samples in each window's closed range [start, start + seconds]; 0.0 and 0 without any.
 
-    Windows are cut into buckets of time and meet samples by bucket, so this is an equi-join with a filter, and each
-    sample meets only the windows that touch its bucket. Times are seconds.
+    Samples and the windows' ends are put in one order of time, and a window's sums are those that run up to its end less
+    those that run up to its start. So no sample meets a window: the work doesn't grow with what windows hold, and no
+    moment, however crowded, has to fit into a task. Sums are exact: of integers, or of decimals with nine places.
     """
-    first, last = F.floor(F.col(start) / bucket), F.floor((F.col(start) + F.col(seconds)) / bucket)
-    cut = windows.select(key, F.col(start).alias("_start"), (F.col(start) + F.col(seconds)).alias("_end"), F.explode(F.sequence(first, last)).alias("_bucket"))
-    timed = samples.select(F.col(time).alias("_time"), F.col(value).alias("_value"), F.floor(F.col(time) / bucket).alias("_bucket"))
-    met = cut.join(timed, "_bucket").where("_time >= _start and _time <= _end").groupBy(key).agg(F.avg("_value").alias("mean_value"), F.count("*").alias("num_samples"))
+    end = F.col(start) + F.col(seconds)
+    exact = "long" if samples.schema[value].dataType.typeName() in ("byte", "short", "integer", "long") else "decimal(28,9)"
+    none = F.lit(None).cast(exact)
+    real = windows.where((F.col(seconds) >= 0) & F.col(key).isNotNull())
+    at = lambda c: c.cast("double").alias("_at")
+    # A window's start comes before samples of its moment, its end after them.
+    moments = (
+        samples.select(at(F.col(time)), F.lit(1).alias("_kind"), F.lit(None).cast(windows.schema[key].dataType).alias("_key"), F.col(value).cast(exact).alias("_value"))
+        .unionByName(real.select(at(F.col(start)), F.lit(0).alias("_kind"), F.col(key).alias("_key"), none.alias("_value")))
+        .unionByName(real.select(at(end), F.lit(2).alias("_kind"), F.col(key).alias("_key"), none.alias("_value")))
+        .where("_at is not null")
+    )
+    sample = (F.col("_kind") == 1).cast("long")
+    sums = running(moments, [], ["_at", "_kind"], _n=sample, _valued=F.col("_value").isNotNull().cast("long"), _sum=F.coalesce(F.col("_value"), F.lit(0).cast(exact)))
+    signed = lambda c: F.sum(F.when(F.col("_kind") == 2, F.col(c)).otherwise(-F.col(c)))
+    met = sums.where("_kind <> 1").groupBy(F.col("_key").alias(key)).agg(F.try_divide(signed("_sum").cast("double"), signed("_valued")).alias("mean_value"), signed("_n").alias("num_samples"))
     return windows.join(met, key, "left").withColumn("mean_value", F.coalesce("mean_value", F.lit(0.0))).withColumn("num_samples", F.coalesce("num_samples", F.lit(0).cast("long")))
 
 

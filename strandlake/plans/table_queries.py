@@ -96,7 +96,7 @@ def _interval(t) -> DataFrame:
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("double")
     samples = t("events").select(seconds.alias("at"), F.round(F.col("value") * 100).cast("long").alias("cents"))
     windows = t("events").select(F.col("event_id").alias("key"), seconds.alias("start"), (F.col("event_id") % 7 * 100 + 30).cast("double").alias("seconds"))
-    return T.interval_join(samples, windows, "at", "start", "seconds", "key", "cents", 600).select("key", "mean_value", "num_samples")
+    return T.interval_join(samples, windows, "at", "start", "seconds", "key", "cents").select("key", "mean_value", "num_samples")
 
 
 query(
@@ -149,9 +149,29 @@ def _effects(t) -> DataFrame:
 
 
 query("cohens_d", f"WITH {_M}, s AS (SELECT operation, scale, avg(value) FILTER (config = 'F') AS a, avg(value) FILTER (config = 'O') AS b, stddev_samp(value) FILTER (config = 'F') AS s FROM m GROUP BY ALL), d AS (SELECT operation, scale, round(coalesce((a - b) / nullif(s, 0), 0), 4) AS d FROM s WHERE a IS NOT NULL AND b IS NOT NULL AND s IS NOT NULL) SELECT *, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM d")(_effects)
-query("t_test", "WITH m AS (SELECT l_returnflag AS operation, l_quantity / 25.0 AS value FROM lineitem), s AS (SELECT operation, avg(value) AS a, stddev_samp(value) AS s, count(*) AS n FROM m GROUP BY 1) SELECT operation, n, round((a - 1) * sqrt(n) / s, 4) AS t FROM s")(
-    lambda t: X.t_statistic(t("lineitem").select(F.col("l_returnflag").alias("operation"), (F.col("l_quantity") / 25.0).alias("value")), ["operation"], "value").select("operation", "n", F.round("t", 4).alias("t"))
-)
+def _t_tests(t) -> DataFrame:
+    """Large groups and small ones, of even and of odd degrees of freedom."""
+    lines = t("lineitem")
+    value = (F.col("l_quantity") / 25.0).alias("value")
+    rows = lines.select(F.col("l_returnflag").alias("operation"), value).unionByName(lines.select(F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("operation"), value))
+    tested = X.t_statistic(rows, ["operation"], "value").where("t is not null")
+    return tested.select("operation", "n", F.round("t", 4).alias("t"), "p")
+
+
+#: p by the finite series of sines and cosines that whole degrees of freedom have, odd and even ones; no continued fraction.
+_SERIES = "list_sum(list_transform(range(0, {n}), lambda j: exp({ratio} + {power} * ln(cos(theta)))))"
+_ODD, _EVEN = "lgamma(j + 1.0) + lgamma(1.5) - lgamma(j + 1.5)", "lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0)"
+query(
+    "t_test",
+    f"""WITH m AS (
+  SELECT l_returnflag AS operation, l_quantity / 25.0 AS value, 0 AS least FROM lineitem UNION ALL SELECT concat(l_suppkey, '/', l_linenumber), l_quantity / 25.0, 1 FROM lineitem
+), s AS (SELECT operation, avg(value) AS a, stddev_samp(value) AS s, count(*) AS n, any_value(least) AS least FROM m GROUP BY 1),
+t AS (SELECT operation, n, (a - 1) * sqrt(n) / s AS t, n - 1 AS v FROM s WHERE n > 1 AND s > 0), r AS (SELECT *, atan(abs(t) / sqrt(v)) AS theta FROM t),
+p AS (SELECT operation, 1 - CASE WHEN v = 1 THEN 2 * theta / pi()
+  WHEN v % 2 = 1 THEN 2 / pi() * (theta + sin(theta) * {_SERIES.format(n="(v - 1) // 2", ratio=_ODD, power="(2 * j + 1)")})
+  ELSE sin(theta) * {_SERIES.format(n="v // 2", ratio=_EVEN, power="(2 * j)")} END AS p FROM r)
+SELECT t.operation, t.n, round(t.t, 4) AS t, round(p.p, 6) AS p FROM t LEFT JOIN p USING (operation)""",
+)(_t_tests)
 query("amdahl", "SELECT l_orderkey AS run, l_linenumber AS step, round(1 / (l_discount + (1 - l_discount) / 20), 6) AS bound, round((l_extendedprice - l_quantity) * 100 / l_extendedprice, 6) AS overhead_pct FROM lineitem")(
     lambda t: t("lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("step"), X.amdahl_bound(F.col("l_discount")).alias("bound"), X.overhead_percent(F.col("l_extendedprice"), F.col("l_quantity")).alias("overhead_pct"))
 )

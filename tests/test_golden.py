@@ -241,3 +241,61 @@ def test_models(spark):
 
     df = spark.range(60).select((F.col("id") / 10).alias("x"), (F.col("id") * 0.3 + 1).alias("y"))
     assert cross_validated(df, "linear", ["x"], "y", folds=2)["r2"] > 0.99 and len(KINDS) == 4
+
+
+def test_p_values(spark):
+    """Two-sided p of t against values with a closed form: 1 and 2 degrees of freedom, and the normal limit."""
+    import math
+
+    from strandlake.operators.statistics import incomplete_beta, t_p_value
+
+    cases = [(t, v) for t in (0.0, 0.3, 1.0, 2.5, 40.0) for v in (1, 2)] + [(1.0, 10**7), (1.96, 10**7), (3.0, 10**7)]
+    df = spark.createDataFrame([(float(t), v) for t, v in cases], "t double, v long")
+    exact = lambda t, v: 1 - 2 / math.pi * math.atan(t) if v == 1 else 1 - t / math.sqrt(2 + t * t) if v == 2 else math.erfc(t / math.sqrt(2))
+    for r in df.select("t", "v", t_p_value(F.col("t"), F.col("v")).alias("p"), t_p_value(-F.col("t"), F.col("v")).alias("q")).collect():
+        assert abs(r["p"] - exact(r["t"], r["v"])) < 1e-7 and r["p"] == r["q"]
+    odd = spark.createDataFrame([(None, 3), (1.0, None), (1.0, 0)], "t double, v long")
+    assert [r[0] for r in odd.select(t_p_value(F.col("t"), F.col("v"))).collect()] == [None] * 3
+    # I_x(a, b) = 1 - I_{1-x}(b, a), and powers where one parameter is 1.
+    grid = spark.createDataFrame([(a, b, x) for a in (0.5, 1.0, 3.0, 80.0) for b in (0.5, 1.0, 20.0) for x in (0.0, 0.01, 0.4, 0.9, 1.0)], "a double, b double, x double")
+    for r in grid.select("*", incomplete_beta(F.col("a"), F.col("b"), F.col("x")).alias("i"), incomplete_beta(F.col("b"), F.col("a"), 1 - F.col("x")).alias("j")).collect():
+        assert abs(r["i"] + r["j"] - 1) < 1e-12
+        if r["b"] == 1:
+            assert abs(r["i"] - r["x"] ** r["a"]) < 1e-12
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small results are not put together, so that they lie in several ranges."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_ranks_in_one_hot_group(spark, many_ranges):
+    """All rows in one group, most with one value, and a null group: indexes and intervals equal those of sorted lists."""
+    from strandlake.operators import ranking, tabular
+    from strandlake.operators.statistics import nearest_ranks, summary
+
+    rows = [("a", float((i * 7919) % 4001) if i % 3 else 5.0) for i in range(12_000)] + [(None, float(i)) for i in range(10)] + [("b", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {r["g"]: (r["p10"], r["p50"], r["p99"]) for r in nearest_ranks(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    for g in ("a", None, "b"):
+        v = sorted(x for k, x in rows if k == g)
+        assert got[g] == tuple(v[len(v) * share // 100] for share in (10, 50, 99))
+    assert {r["g"]: r["n_valid"] for r in summary(df, ["g"], "v").collect()}[None] == 10
+    ranges = ranking.ranged(df, ["g", "v"])
+    assert ranges.where("g = 'a'").select("_range").distinct().count() > 1
+    placed = sorted((r["place"], r["v"]) for r in ranking.numbered(df.where("g = 'a'"), ["v"]).collect())
+    assert [p for p, _ in placed] == list(range(12_000)) and [v for _, v in placed] == sorted(v for k, v in rows if k == "a")
+    # A crowded moment, windows that touch it, end on it, are empty, and turned round.
+    samples = spark.createDataFrame([(100.0 if i % 3 else float(i), i, float(i) / 8) for i in range(9000)] + [(None, 1, 1.0), (7.0, None, None)], "t double, n long, x double")
+    windows = spark.createDataFrame([(1, 100.0, 0.0), (2, 99.5, 0.5), (3, 100.5, 3.0), (4, 0.0, 1e6), (5, 100.0, -1.0), (6, None, 1.0), (7, 7.0, 0.0)], "k long, s double, d double")
+    for value in ("n", "x"):
+        got = {r["k"]: (r["mean_value"], r["num_samples"]) for r in tabular.interval_join(samples, windows, "t", "s", "d", "k", value).collect()}
+        have = [(r["t"], r[value]) for r in samples.collect() if r["t"] is not None]
+        for k, s, d in ((r["k"], r["s"], r["d"]) for r in windows.collect()):
+            met = [v for t, v in have if s is not None and s <= t <= s + d]
+            full = [v for v in met if v is not None]
+            assert got[k][1] == len(met) and abs(got[k][0] - (sum(full) / len(full) if full else 0.0)) < 1e-9
