@@ -48,3 +48,41 @@ def sketch(sequence: Column, k: int, size: int) -> Column:
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), values)
 
     return run(sequence)
+
+
+def _flat(sketches: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a column of sketches as unsigned integers, and the row of each."""
+    sizes = np.diff(sketches.offsets.to_numpy())
+    values = sketches.flatten()
+    # A decimal is 16 bytes; a hash fits into the lower eight.
+    low = np.frombuffer(values.buffers()[1], np.uint64)[2 * values.offset : 2 * (values.offset + len(values)) : 2] if len(values) else np.zeros(0, np.uint64)
+    return low, np.repeat(np.arange(len(sketches)), sizes)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Shared over all hashes of two sketches, with repeats, as multisets; 0 where one is empty or missing.
+
+    All pairs of a batch are merged at once: hashes of both sides are sorted by pair, hash and the number of the repeat, so
+    a shared one stands beside its match. The work is that of a sort, whatever the sketches' size.
+    """
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        n = len(a)
+        parts = []
+        for k, column in enumerate((a, b)):
+            hashes, row = _flat(column.fill_null([]) if column.null_count else column)
+            order = np.lexsort((hashes, row))
+            hashes, row = hashes[order], row[order]
+            opens = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, np.int64)
+            repeat = np.arange(len(row)) - np.repeat(opens, np.diff(np.r_[opens, len(row)]))
+            parts.append((hashes, row, repeat))
+        hashes, row, repeat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((repeat, hashes, row))
+        hashes, row, repeat = hashes[order], row[order], repeat[order]
+        met = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1]) & (repeat[1:] == repeat[:-1])
+        shared = np.bincount(row[1:][met], minlength=n)
+        every = np.bincount(row, minlength=n) - shared
+        return pa.array(shared / np.maximum(every, 1))
+
+    return run(a, b)

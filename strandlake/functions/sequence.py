@@ -7,7 +7,6 @@ Totals are UTF-8 bytes; single-byte text is assumed where positions matter. A nu
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,11 +61,6 @@ def quality_sum(quality: Column, offset: int = 0) -> Column:
     return F.aggregate(quality_codes(quality, offset), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def mean_quality(quality: Column) -> Column:
-    """Mean byte value; 0 for an empty quality, null for a missing one."""
-    return F.when(F.length(quality) == 0, F.lit(0.0)).otherwise(quality_sum(quality) / F.length(quality))
-
-
 def reverse_complement(sequence: Column) -> Column:
     """Case is kept; whatever isn't A, C, G, T or N becomes N."""
     return F.reverse(F.translate(F.regexp_replace(sequence, "[^ACGTNacgtn]", "N"), "ACGTacgt", "TGCAtgca"))
@@ -153,50 +147,6 @@ def two_bit_letters(sequence: Column) -> Column:
     return F.regexp_replace(F.upper(sequence), "[^ACGT]", "A")
 
 
-def two_bit_hex(sequence: Column) -> Column:
-    """Two-bit encoding (A 00, C 01, G 10, T 11, most significant first, zero padding) as hexadecimal digits.
-
-    Two letters make one hexadecimal digit: they are cut off in one pass, read as a number, and looked up.
-    """
-    digit = {f"{a}{b}": f"{4 * a + b:X}" for a, b in product(range(4), repeat=2)}
-    table = F.array(*[F.lit(digit.get(f"{i:02}", "0")) for i in range(34)])
-
-    def packed(s: Column) -> Column:
-        padded = F.rpad(F.translate(s, "ACGT", "0123"), F.ceil(F.length(s) / 4).cast("int") * 4, "0")
-        return F.array_join(F.transform(chunks(padded, 2, 2), lambda c: F.get(table, c.cast("int"))), "")
-
-    return bound(two_bit_letters(sequence), packed)
-
-
-def two_bit_encode(sequence: Column) -> Column:
-    """A struct of packed bytes and length."""
-    return F.struct(F.unhex(two_bit_hex(sequence)).alias("data"), F.length(sequence).cast("int").alias("length"))
-
-
-def two_bit_decode(packed: Column) -> Column:
-    """The letters of a packed struct, in upper case."""
-    letter = F.create_map(*[F.lit(x) for i, pair in enumerate(product("ACGT", repeat=2)) for x in (f"{i:X}", "".join(pair))])
-    letters = F.array_join(F.transform(characters(F.hex(packed["data"])), lambda d: letter[d]), "")
-    return F.substring(letters, F.lit(1), packed["length"])
-
-
-def two_bit_get(packed: Column, index: Column) -> Column:
-    """The letter at a 0-based index, null outside; only its byte is unpacked."""
-    inside = (index >= 0) & (index < packed["length"])
-    byte = F.conv(F.hex(F.substring(packed["data"], F.floor(index / 4).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    value = F.floor(byte / F.pow(F.lit(4), 3 - F.pmod(index, F.lit(4)))).cast("int") % 4
-    return F.when(inside, F.get(F.array(*map(F.lit, "ACGT")), value))
-
-
-def two_bit_complement(packed: Column) -> Column:
-    """Complement of the letters; padding stays zero, so equal letters stay equal values."""
-    return two_bit_encode(F.translate(two_bit_decode(packed), "ACGT", "TGCA"))
-
-
-def two_bit_reverse_complement(packed: Column) -> Column:
-    return two_bit_encode(F.reverse(F.translate(two_bit_decode(packed), "ACGT", "TGCA")))
-
-
 def issues(checks: dict[str, Column]) -> Column:
     """The names of the checks that fail."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()]))

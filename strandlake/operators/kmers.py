@@ -61,14 +61,7 @@ def minhash_sketching(df: DataFrame, k: int = SKETCH_K, size: int = SKETCH_SIZE)
 
 
 def jaccard_similarity(sketches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Similarity of the sketches named by pairs (a, b): shared over all hashes, both counted with repeats; 0 for an empty one.
-
-    For each distinct hash of a pair, the lesser count is shared and the greater one belongs to the union.
-    """
+    """Similarity of the sketches named by pairs (a, b): shared over all hashes, both counted with repeats; 0 for an empty one."""
     s = lambda side: sketches.select(F.col("sequence_id").alias(side), F.col("sketch").alias(f"_{side}"))
     both = pairs.join(s("a"), "a").join(s("b"), "b")
-    times = lambda xs, h: F.size(F.filter(xs, lambda x: x == h))
-    counted = F.transform(F.array_distinct(F.concat("_a", "_b")), lambda h: F.struct(times(F.col("_a"), h).alias("x"), times(F.col("_b"), h).alias("y")))
-    total = lambda f: F.aggregate(F.col("_n"), F.lit(0).cast("long"), lambda t, n: t + f(n["x"], n["y"]))
-    found = both.withColumn("_n", counted).select("a", "b", total(F.least).alias("_both"), total(F.greatest).alias("_all"))
-    return found.select("a", "b", F.coalesce(F.try_divide(F.col("_both").cast("double"), F.col("_all")), F.lit(0.0)).alias("similarity"))
+    return both.select("a", "b", hashing.similarity(F.col("_a"), F.col("_b")).alias("similarity"))

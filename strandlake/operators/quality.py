@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.vectors import byte_counts, count_among
+from ..functions.vectors import byte_counts, count_among, mean_byte
 from ..schema import MIN_LENGTH, MIN_QUALITY
 
 
@@ -59,18 +59,18 @@ def _passed(df: DataFrame, passed, failed) -> DataFrame:
 
 def quality_filter(df: DataFrame, least: int = MIN_QUALITY) -> DataFrame:
     """Counts by mean byte value; a read without quality counts in the total only."""
-    q = S.mean_quality(F.col("quality"))
-    return _passed(df, q >= least, q < least)
+    q = F.col("_q")
+    return _passed(df.select(mean_byte(F.col("quality")).alias("_q")), q >= least, q < least)
 
 
 def quality_filter_rows(df: DataFrame, least: float = 20.0, offset: int = 33) -> DataFrame:
     """The reads whose mean quality reaches the threshold."""
-    return df.where(S.mean_quality(F.col("quality")) - offset >= least)
+    return df.where(mean_byte(F.col("quality")) - offset >= least)
 
 
 def quality_mask(df: DataFrame, least: int = MIN_QUALITY) -> DataFrame:
     """Every read with a flag: 1 where its mean byte value reaches the threshold."""
-    return df.withColumn("passes", F.coalesce(S.mean_quality(F.col("quality")) >= least, F.lit(False)).cast("int"))
+    return df.withColumn("passes", F.coalesce(mean_byte(F.col("quality")) >= least, F.lit(False)).cast("int"))
 
 
 def length_filter(df: DataFrame, least: int = MIN_LENGTH) -> DataFrame:

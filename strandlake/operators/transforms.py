@@ -23,10 +23,15 @@ def sequence_masking(df: DataFrame, below: int = MASK_BELOW) -> DataFrame:
 
 
 def masking_stats(original: DataFrame, masked: DataFrame) -> DataFrame:
-    """Bases that became N, over both tables joined by id."""
-    pairs = original.select("id", F.col("sequence").alias("_before")).join(masked.select("id", F.col("sequence").alias("_after")), "id")
-    changed = F.zip_with(S.characters(F.col("_before")), S.characters(F.col("_after")), lambda a, b: ((a != b) & (b == "N")).cast("int"))
-    t = pairs.agg(F.coalesce(F.sum(S.total_bases(F.col("_before"))), F.lit(0)).alias("total_bases"), F.coalesce(F.sum(F.aggregate(changed, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("masked_bases"))
+    """Bases that became N; masked holds the same reads after masking, in any order and with any ids.
+
+    Masking turns letters into N and never back, so these are the N that masking has added: one sum over each table, and
+    no join, in which a repeated id would meet itself.
+    """
+    n = F.length("sequence") - F.length(F.replace("sequence", F.lit("N"), F.lit("")))
+    sums = lambda df: df.agg(F.coalesce(F.sum(S.total_bases(F.col("sequence"))), F.lit(0)).alias("total_bases"), F.coalesce(F.sum(n), F.lit(0)).alias("_n"))
+    before, after = sums(original), sums(masked).select(F.col("_n").alias("_after"))
+    t = before.join(F.broadcast(after)).select("total_bases", (F.col("_after") - F.col("_n")).alias("masked_bases"))
     return t.withColumn("masked_percentage", S.percent(F.col("masked_bases"), F.col("total_bases")))
 
 

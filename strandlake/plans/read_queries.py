@@ -7,9 +7,10 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import packed as P
 from ..functions import sequence as S
-from ..operators import counting, kmers, pairwise, quality, transforms
-from ..schema import ADAPTER, ADAPTER_OVERLAP, EDIT_MAX
+from ..operators import counting, kmers, pairwise, quality, transforms, twobit
+from ..schema import ADAPTER, ADAPTER_OVERLAP, EDIT_MAX, SKETCH_SIZE
 from ..sources import fastq, validation
 from ..streaming.pipelines import shared_folder
 from .reads import MIXED_SQL, READS_SQL, adapter_sql, mixed, reads, with_adapter
@@ -125,16 +126,18 @@ query("minhash_sketch", f"WITH {READS_SQL}, {_SKETCHES} SELECT id AS sequence_id
 _FNV5 = f"h AS (SELECT id, {_FNV} AS h FROM k WHERE {_CLEAN}), g AS (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) AS r FROM h), c AS (SELECT id, h, count(*) AS n FROM g WHERE r <= {SKETCH} GROUP BY id, h)"
 
 
-def _neighbours(df: DataFrame) -> DataFrame:
+def _neighbours(df: DataFrame, size: int = SKETCH) -> DataFrame:
     """Each read's sketch with the next one's, by order key."""
     shifted = df.select(F.col("id").alias("a"), F.concat(F.lit("seq_"), (F.col("ord") + 1).cast("string")).alias("b"))
-    return kmers.jaccard_similarity(kmers.minhash_sketching(df, 5, SKETCH), shifted)
+    return kmers.jaccard_similarity(kmers.minhash_sketching(df, 5, size), shifted)
 
 
 query(
     "minhash_jaccard",
     f"WITH {READS_SQL}, {_W5}, {_FNV5}, p AS (SELECT x.id AS a, y.id AS b FROM reads x JOIN reads y ON y.ord = x.ord + 1), m AS (SELECT p.a, p.b, h, coalesce(sum(n) FILTER (c.id = p.a), 0) AS x, coalesce(sum(n) FILTER (c.id = p.b), 0) AS y FROM p JOIN c ON c.id = p.a OR c.id = p.b GROUP BY p.a, p.b, h), j AS (SELECT a, b, sum(least(x, y))::DOUBLE / sum(greatest(x, y)) AS s FROM m GROUP BY a, b) SELECT p.a, p.b, round(coalesce(s, 0), 6) AS similarity FROM p LEFT JOIN j USING (a, b)".replace("c ON c.id = p.a OR c.id = p.b", "(SELECT p.a, p.b, c.id, h, n FROM p JOIN c ON c.id = p.a UNION ALL SELECT p.a, p.b, c.id, h, n FROM p JOIN c ON c.id = p.b) c ON c.a = p.a AND c.b = p.b"),
 )(_neighbours)
+SQL["minhash_jaccard_1000"] = SQL["minhash_jaccard"].replace(f"r <= {SKETCH} ", f"r <= {SKETCH_SIZE} ")
+query("minhash_jaccard_1000", SQL["minhash_jaccard_1000"])(lambda df: _neighbours(df, SKETCH_SIZE))
 
 # Queries are the reads whose key is divisible by 20; they are compared with all reads.
 _HAMMING = f"WITH {READS_SQL}, d AS (SELECT x.ord AS i, y.ord AS j, hamming(x.sequence, y.sequence)::BIGINT AS distance FROM reads x JOIN reads y ON x.ord % 20 = 0 AND x.ord <> y.ord)"
@@ -144,20 +147,19 @@ query("edit_pairs", f"WITH {MIXED_SQL}, f AS (SELECT * FROM reads ORDER BY ord L
 
 _BITS = "regexp_replace(upper(sequence), '[^ACGT]', 'A', 'g')"
 _ENC = f"array_to_string(list_transform(range(0, ((length(sequence) + 3) // 4) * 2), lambda i: substring('0123456789ABCDEF', 1 + 4 * (instr('ACGT', substring(rpad({_BITS}, 64, 'A'), (2 * i + 1)::INTEGER, 1)) - 1) + instr('ACGT', substring(rpad({_BITS}, 64, 'A'), (2 * i + 2)::INTEGER, 1)) - 1, 1)), '')"
-query("encode_2bit", f"WITH {MIXED_SQL} SELECT id, {_ENC} AS data_hex, length(sequence)::INTEGER AS length FROM reads", mixed)(lambda df: df.select("id", S.two_bit_encode(F.col("sequence")).alias("p")).select("id", F.hex("p.data").alias("data_hex"), "p.length"))
-query("decode_2bit", f"WITH {MIXED_SQL} SELECT id, {_BITS} AS sequence FROM reads", mixed)(lambda df: df.select("id", S.two_bit_decode(S.two_bit_encode(F.col("sequence"))).alias("sequence")))
-query("get_2bit", f"WITH {MIXED_SQL} SELECT id, CASE WHEN length(sequence) > 9 THEN substring({_BITS}, 10, 1) END AS base FROM reads", mixed)(lambda df: df.select("id", S.two_bit_get(S.two_bit_encode(F.col("sequence")), F.lit(9)).alias("base")))
+query("encode_2bit", f"WITH {MIXED_SQL} SELECT id, {_ENC} AS data_hex, length(sequence)::INTEGER AS length FROM reads", mixed)(lambda df: df.select("id", P.encode(F.col("sequence")).alias("p")).select("id", F.hex("p.data").alias("data_hex"), "p.length"))
+query("decode_2bit", f"WITH {MIXED_SQL} SELECT id, {_BITS} AS sequence FROM reads", mixed)(lambda df: df.select("id", P.decode(P.encode(F.col("sequence"))).alias("sequence")))
+query("get_2bit", f"WITH {MIXED_SQL} SELECT id, CASE WHEN length(sequence) > 9 THEN substring({_BITS}, 10, 1) END AS base FROM reads", mixed)(lambda df: df.select("id", P.get(P.encode(F.col("sequence")), F.lit(9)).alias("base")))
 query("complement_2bit", f"WITH {MIXED_SQL} SELECT id, translate({_BITS}, 'ACGT', 'TGCA') AS complement, reverse(translate({_BITS}, 'ACGT', 'TGCA')) AS reverse_complement FROM reads", mixed)(
-    lambda df: df.select("id", S.two_bit_encode(F.col("sequence")).alias("p")).select("id", S.two_bit_decode(S.two_bit_complement(F.col("p"))).alias("complement"), S.two_bit_decode(S.two_bit_reverse_complement(F.col("p"))).alias("reverse_complement"))
+    lambda df: df.select("id", P.encode(F.col("sequence")).alias("p")).select("id", P.decode(P.complement(F.col("p"))).alias("complement"), P.decode(P.reverse_complement(F.col("p"))).alias("reverse_complement"))
 )
 _TWOBIT = f"WITH {MIXED_SQL}, t AS (SELECT ord, {_BITS} AS sequence FROM reads)"
-_two_bit = lambda df: df.withColumn("sequence", S.two_bit_decode(S.two_bit_encode(F.col("sequence"))))
-query("twobit_base_count", f"{_TWOBIT} SELECT " + ", ".join(f"{_n(x.upper())} AS count_{x}" for x in "acgtn") + f", {_T} AS total FROM t", mixed)(lambda df: counting.base_counting(_two_bit(df)))
-query("twobit_gc", f"{_TWOBIT}, c AS (SELECT {_n('GC')} AS gc, {_T} AS total FROM t) SELECT gc AS count_gc, total AS total_bases, {_rate('gc', 'total')} AS gc_percent FROM c", mixed)(lambda df: counting.gc_content(_two_bit(df)).select("count_gc", "total_bases", "gc_percent"))
-query("twobit_at", f"{_TWOBIT}, c AS (SELECT {_n("AT")} AS w, {_T} AS total FROM t) SELECT w AS at_count, total AS total_bases, {_rate("w", "total")} AS at_percent FROM c", mixed)(lambda df: counting.at_content(_two_bit(df)))
-query("twobit_length", f"{_TWOBIT} SELECT {_T} AS total_length, count(*) AS num_sequences, min(strlen(sequence))::BIGINT AS min_length, max(strlen(sequence))::BIGINT AS max_length, round(sum(strlen(sequence))::DOUBLE / count(*), 6) AS mean_length FROM t", mixed)(lambda df: counting.sequence_length(_two_bit(df)))
+query("twobit_base_count", f"{_TWOBIT} SELECT " + ", ".join(f"{_n(x.upper())} AS count_{x}" for x in "acgtn") + f", {_T} AS total FROM t", mixed)(lambda df: twobit.base_counting(twobit.packed(df)))
+query("twobit_gc", f"{_TWOBIT}, c AS (SELECT {_n('GC')} AS gc, {_T} AS total FROM t) SELECT gc AS count_gc, total AS total_bases, {_rate('gc', 'total')} AS gc_percent FROM c", mixed)(lambda df: twobit.gc_content(twobit.packed(df)))
+query("twobit_at", f"{_TWOBIT}, c AS (SELECT {_n("AT")} AS w, {_T} AS total FROM t) SELECT w AS at_count, total AS total_bases, {_rate("w", "total")} AS at_percent FROM c", mixed)(lambda df: twobit.at_content(twobit.packed(df)))
+query("twobit_length", f"{_TWOBIT} SELECT {_T} AS total_length, count(*) AS num_sequences, min(strlen(sequence))::BIGINT AS min_length, max(strlen(sequence))::BIGINT AS max_length, round(sum(strlen(sequence))::DOUBLE / count(*), 6) AS mean_length FROM t", mixed)(lambda df: twobit.sequence_length(twobit.packed(df)))
 query("twobit_reverse_complement", f"{_TWOBIT} SELECT concat('seq', cast(ord AS varchar), '_revcomp') AS id, reverse(translate(sequence, 'ACGT', 'TGCA')) AS sequence FROM t", mixed)(
-    lambda df: df.select(F.concat(F.lit("seq"), F.col("ord").cast("string"), F.lit("_revcomp")).alias("id"), S.two_bit_decode(S.two_bit_reverse_complement(S.two_bit_encode(F.col("sequence")))).alias("sequence"))
+    lambda df: twobit.reverse_complement(twobit.packed(df.withColumn("id", F.concat(F.lit("seq"), F.col("ord").cast("string"))))).select("id", P.decode(F.col("packed")).alias("sequence"))
 )
 
 query("fastq_roundtrip", f"WITH {MIXED_SQL} SELECT id, sequence, coalesce(quality, repeat('?', length(sequence))) AS quality FROM reads", mixed)(fastq.round_trip)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.functions import packed as P
 from strandlake.functions import sequence as S
 from strandlake.functions.hashing import kmer_hashes
 from strandlake.operators import counting, kmers, pairwise, quality, registry, transforms
@@ -156,7 +157,7 @@ def test_long_read(reads):
     totals = one(kmers.kmer_totals(kmers.kmer_counting(df, 11)))
     assert (totals["total_kmers"], totals["unique_kmers"]) == (len(s) - 10, len({s[i : i + 11] for i in range(len(s) - 10)}))
     assert kmers.kmer_extraction(df, 4, True).count() == 256
-    assert one(df.select(S.two_bit_decode(S.two_bit_encode(F.col("sequence"))).alias("s")))["s"] == s
+    assert one(df.select(P.decode(P.encode(F.col("sequence"))).alias("s")))["s"] == s
     no_stop = "CATGGC" * 150_000
     assert one(transforms.translation(reads([no_stop])))["sequence"] == "HG" * 150_000
 
@@ -196,8 +197,8 @@ def test_distances(reads):
 
 
 def test_two_bit(reads):
-    enc = reads(["TGCAG", "tnW", "", "G"]).select("id", S.two_bit_encode(F.col("sequence")).alias("p"))
-    got = {r["id"]: r for r in enc.select("id", "p.data", S.two_bit_decode(F.col("p")).alias("s"), S.two_bit_get(F.col("p"), F.lit(4)).alias("g"), S.two_bit_decode(S.two_bit_reverse_complement(F.col("p"))).alias("rc")).collect()}
+    enc = reads(["TGCAG", "tnW", "", "G"]).select("id", P.encode(F.col("sequence")).alias("p"))
+    got = {r["id"]: r for r in enc.select("id", "p.data", P.decode(F.col("p")).alias("s"), P.get(F.col("p"), F.lit(4)).alias("g"), P.decode(P.reverse_complement(F.col("p"))).alias("rc")).collect()}
     # T G C A = 11 10 01 00, G and padding = 10 00 00 00
     assert bytes(got["seq0"]["data"]) == b"\xe4\x80" and got["seq0"]["g"] == "G" and got["seq0"]["rc"] == "CTGCA"
     assert got["seq1"]["s"] == "TAA" and got["seq1"]["rc"] == "TTA" and got["seq1"]["g"] is None

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strandlake.functions import packed as P
 from strandlake.functions import sequence as S
 from strandlake.operators import counting, kmers
 
@@ -40,4 +41,50 @@ def test_kmer_total(spark):
 def test_two_bit_round_trip(spark):
     df = _reads(spark, 5)
     s = F.col("sequence")
-    assert df.where(S.two_bit_decode(S.two_bit_encode(s)) != S.two_bit_letters(s)).isEmpty()
+    assert df.where(P.decode(P.encode(s)) != S.two_bit_letters(s)).isEmpty()
+
+
+def test_packed_arithmetic(spark):
+    """Counts, complements and letters from packed bytes equal those of the letters, at every padding, with nulls."""
+    rows = [("".join("ACGTacgtNx"[(i * 7 + j * j) % 10] for j in range(n)),) for i, n in enumerate([*range(18), 64, 4099])] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "s string").repartition(3).select("s", P.encode(F.col("s")).alias("p"))
+    got = df.select("s", "p", P.decode(F.col("p")).alias("d"), P.letter_counts(F.col("p")).alias("n"), P.complement(F.col("p")).alias("c"), P.reverse_complement(F.col("p")).alias("r"), P.decode(P.reverse_complement(F.col("p"))).alias("rd")).collect()
+    turn = str.maketrans("ACGT", "TGCA")
+    for r in got:
+        if r["s"] is None:
+            assert not any(r[k] is not None for k in ("p", "d", "n", "c", "r", "rd"))
+            continue
+        letters = "".join(c if c in "ACGT" else "A" for c in r["s"].upper())
+
+        def packed(x):
+            codes = ["ACGT".index(c) for c in x] + [0] * (-len(x) % 4)
+            return bytes(codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, len(codes), 4))
+
+        assert (r["d"], r["p"]["length"], bytes(r["p"]["data"])) == (letters, len(letters), packed(letters))
+        assert tuple(r["n"]) == tuple(letters.count(c) for c in "ACGT")
+        assert bytes(r["c"]["data"]) == packed(letters.translate(turn)) and bytes(r["r"]["data"]) == packed(letters.translate(turn)[::-1])
+        assert r["rd"] == letters.translate(turn)[::-1]
+
+
+def test_sketch_similarity(spark):
+    """Multisets of every overlap, with repeats, empty and missing ones, against counters."""
+    import random
+    from collections import Counter
+
+    from strandlake.functions import hashing
+
+    r = random.Random(2)
+    rows = [([r.randrange(1 << 64) if r.random() < 0.2 else r.randrange(30) for _ in range(r.randrange(60))], [r.randrange(30) for _ in range(r.randrange(60))]) for _ in range(40)] + [([], []), ([1], []), (None, [1]), ([(1 << 64) - 1] * 3, [(1 << 64) - 1] * 2)]
+    texts = [tuple(None if x is None else [str(v) for v in x] for x in row) for row in rows]
+    df = spark.createDataFrame(texts, "a array<string>, b array<string>").selectExpr("cast(a as array<decimal(20,0)>) a", "cast(b as array<decimal(20,0)>) b").repartition(3)
+    for row in df.select("a", "b", hashing.similarity(F.col("a"), F.col("b")).alias("s")).collect():
+        a, b = Counter(row["a"] or []), Counter(row["b"] or [])
+        assert row["s"] == (sum((a & b).values()) / sum((a | b).values()) if a or b else 0.0)
+
+
+def test_masking_stats_with_repeated_ids(spark):
+    from strandlake.operators import transforms
+
+    df = spark.createDataFrame([(f"id{i % 2}", "ACNn", "!I!!") for i in range(6)], "id string, sequence string, quality string")
+    got = transforms.masking_stats(df, transforms.sequence_masking(df)).first()
+    assert (got["total_bases"], got["masked_bases"]) == (24, 12)
