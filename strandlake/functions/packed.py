@@ -121,7 +121,9 @@ def reverse_complemented(packed: pa.StructArray) -> pa.StructArray:
     return _struct(_binary(moved.astype(np.uint8), starts, None), n, nulls)
 
 
-def _column(work: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
+def over_column(work: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
+    """An Arrow function over columns, of one over arrays."""
+
     @F.arrow_udf(kind)
     def run(column: pa.Array) -> pa.Array:
         return work(column)
@@ -131,21 +133,21 @@ def _column(work: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column
 
 def encode(sequence: Column) -> Column:
     """A struct of packed bytes and length."""
-    return _column(pack, PACKED)(sequence)
+    return over_column(pack, PACKED)(sequence)
 
 
 def decode(packed: Column) -> Column:
     """The letters, in upper case."""
-    return _column(unpack, "string")(packed)
+    return over_column(unpack, "string")(packed)
 
 
 def complement(packed: Column) -> Column:
     """Complement of the letters; padding stays zero, so equal letters stay equal values."""
-    return _column(complemented, PACKED)(packed)
+    return over_column(complemented, PACKED)(packed)
 
 
 def reverse_complement(packed: Column) -> Column:
-    return _column(reverse_complemented, PACKED)(packed)
+    return over_column(reverse_complemented, PACKED)(packed)
 
 
 def letter_counts(packed: Column) -> Column:
@@ -156,7 +158,7 @@ def letter_counts(packed: Column) -> Column:
         found, nulls = counts(column), _nulls(column)
         return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(4)], fields=[pa.field(x, pa.int64()) for x in names], mask=None if nulls is None else pa.array(nulls))
 
-    return _column(work, f"struct<{','.join(f'{x}:bigint' for x in names)}>")(packed)
+    return over_column(work, f"struct<{','.join(f'{x}:bigint' for x in names)}>")(packed)
 
 
 def get(packed: Column, index: Column) -> Column:

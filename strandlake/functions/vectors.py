@@ -49,19 +49,18 @@ def count_among(letters: str | None) -> Column:
     return F.coalesce(F.sum(n), F.lit(0)).cast("long")
 
 
-def mean_byte(text: Column) -> Column:
+def mean_bytes(texts: pa.Array) -> pa.Array:
     """The mean byte value of each text; 0 for an empty one, null for a missing one."""
+    data, starts = bytes_of(texts)
+    n, total = np.diff(starts), np.zeros(len(texts), np.int64)
+    filled = np.flatnonzero(n)
+    if len(filled):
+        total[filled] = np.add.reduceat(data, starts[:-1][filled], dtype=np.int64)
+    return pa.array(total / np.maximum(n, 1), mask=texts.is_null().to_numpy(zero_copy_only=False) if texts.null_count else None)
 
-    @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        data, starts = bytes_of(texts)
-        n, total = np.diff(starts), np.zeros(len(texts), np.int64)
-        filled = np.flatnonzero(n)
-        if len(filled):
-            total[filled] = np.add.reduceat(data, starts[:-1][filled], dtype=np.int64)
-        return pa.array(total / np.maximum(n, 1), mask=texts.is_null().to_numpy(zero_copy_only=False) if texts.null_count else None)
 
-    return run(text)
+def mean_byte(text: Column) -> Column:
+    return F.arrow_udf(mean_bytes, "double")(text)
 
 
 def translated(sequence: Column, frame: int) -> Column:

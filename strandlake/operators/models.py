@@ -1,13 +1,18 @@
-"""Regression models over experiment tables, on Spark ML."""
+"""Regression models over experiment tables: least squares in closed form from one aggregation, trees on Spark ML."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import combinations_with_replacement
+
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("linear", "quadratic", "random_forest", "gradient_boosting")
 
@@ -40,3 +45,113 @@ def compared(df: DataFrame, features: list[str], target: str, folds: int = 5, se
     """A row for each of KINDS: kind, cv_r2, r2, mae."""
     rows = [(kind, *cross_validated(df, kind, features, target, folds, seed).values()) for kind in KINDS]
     return df.sparkSession.createDataFrame(rows, "kind string, cv_r2 double, r2 double, mae double")
+
+
+@dataclass
+class Fit:
+    """A least-squares fit of terms (products of features, each a tuple of names; () is the constant)."""
+
+    terms: list[tuple[str, ...]]
+    weights: list[float]
+    r2: float
+    fold_r2: list[float]
+
+    @property
+    def cv_r2(self) -> float:
+        return sum(self.fold_r2) / len(self.fold_r2) if self.fold_r2 else float("nan")
+
+    def predict(self) -> Column:
+        """The fitted value as an expression over the features."""
+        return sum((F.lit(w) * product(t) for t, w in zip(self.terms, self.weights, strict=True)), F.lit(0.0))
+
+
+def product(term: tuple[str, ...]) -> Column:
+    out = F.lit(1.0)
+    for name in term:
+        out = out * F.col(name)
+    return out
+
+
+def polynomial(features: list[str], degree: int) -> list[tuple[str, ...]]:
+    """All products of up to `degree` features, the constant first."""
+    return [t for d in range(degree + 1) for t in combinations_with_replacement(features, d)]
+
+
+def gram(df: DataFrame, columns: list[Column], fold: Column) -> dict[int, tuple[float, np.ndarray]]:
+    """For each fold the rows and the sums of all products of the columns, in one aggregation; one row for each fold."""
+    n = len(columns)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    rows = df.select(fold.cast("int").alias("_fold"), *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]).dropna()
+    sums = rows.groupBy("_fold").agg(F.count("*").alias("_n"), *[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_s{i}_{j}") for i, j in pairs])
+    found = {}
+    for r in sums.collect():
+        table = np.zeros((n, n))
+        for i, j in pairs:
+            table[i, j] = table[j, i] = r[f"_s{i}_{j}"]
+        found[r["_fold"]] = (r["_n"], table)
+    return found
+
+
+def _solved(table: np.ndarray) -> np.ndarray:
+    """Weights of all columns but the last, which is the target, from sums of products; scaled first, as powers differ in size."""
+    x = table[:-1, :-1]
+    scale = 1 / np.sqrt(np.where(np.diag(x) > 0, np.diag(x), 1.0))
+    return scale * np.linalg.lstsq(x * scale[:, None] * scale[None, :], table[:-1, -1] * scale, rcond=1e-13)[0]
+
+
+def _r2(weights: np.ndarray, table: np.ndarray, n: float, mean: float) -> float:
+    """R squared on the rows summed up, from the sums alone; the first column is the constant."""
+    own = np.r_[weights, -1.0]
+    spread = table[-1, -1] - 2 * mean * table[0, -1] + mean * mean * n
+    return float(1 - own @ table @ own / spread) if spread > 0 else float("nan")
+
+
+def least_squares(df: DataFrame, features: list[str], target: str, fold: Column, degree: int = 1) -> Fit:
+    """A polynomial fitted to all rows, and its R squared on each fold, fitted to the other folds.
+
+    Sums of products say all about a least-squares fit: those of the other folds are all folds' less the fold's own. So
+    every fit of a cross-validation comes from one scan and one aggregation, whatever the rows; the driver solves systems of
+    as many unknowns as terms. Features and target are taken from their means first, for exactness, by a first
+    aggregation, and the weights are those of the features as they are. Rows with a null are left out.
+    """
+    means = df.select(*[F.col(c).cast("double").alias(c) for c in (*features, target)]).dropna().agg(*[F.avg(c).alias(c) for c in (*features, target)]).first().asDict()
+    centre = {c: m or 0.0 for c, m in means.items()}
+    moved = {c: F.col(c) - F.lit(centre[c]) for c in (*features, target)}
+    terms = polynomial(features, degree)
+
+    def shifted(term: tuple[str, ...]) -> Column:
+        out = F.lit(1.0)
+        for name in term:
+            out = out * moved[name]
+        return out
+
+    parts = gram(df, [*map(shifted, terms), moved[target]], fold)
+    if not parts:
+        return Fit(terms, [0.0] * len(terms), float("nan"), [])
+    n = sum(k for k, _ in parts.values())
+    whole = sum(t for _, t in parts.values())
+    weights = _solved(whole)
+    folds = []
+    for _, (k, own) in sorted(parts.items()):
+        folds.append(_r2(_solved(whole - own), own, k, own[0, -1] / k))
+    return Fit(terms, _unmoved(terms, weights, centre, centre[target]), _r2(weights, whole, n, whole[0, -1] / n), folds)
+
+
+def _unmoved(terms: list[tuple[str, ...]], weights: np.ndarray, centre: dict[str, float], target: float) -> list[float]:
+    """Weights over the features as they are, of weights over features less their means: the products multiplied out."""
+    place = {t: i for i, t in enumerate(terms)}
+    out = [0.0] * len(terms)
+    for term, w in zip(terms, weights.tolist(), strict=True):
+        for kept in range(1 << len(term)):
+            inside = tuple(c for i, c in enumerate(term) if kept >> i & 1)
+            rest = [c for i, c in enumerate(term) if not kept >> i & 1]
+            out[place[inside]] += w * float(np.prod([-centre[c] for c in rest]))
+    out[0] += target
+    return out
+
+
+def closed_form(df: DataFrame, models: dict[str, tuple[list[str], int]], target: str, fold: Column) -> DataFrame:
+    """A row for each named model (its features and degree): kind, cv_r2, r2, mae. Errors take one more aggregation."""
+    fits = {k: least_squares(df, f, target, fold, d) for k, (f, d) in models.items()}
+    errors = df.dropna(subset=[target, *{f for fs, _ in models.values() for f in fs}]).agg(*[F.avg(F.abs(F.col(target) - fit.predict())).alias(k) for k, fit in fits.items()]).first()
+    return df.sparkSession.createDataFrame([(k, fit.cv_r2, fit.r2, errors[k]) for k, fit in fits.items()], "kind string, cv_r2 double, r2 double, mae double")

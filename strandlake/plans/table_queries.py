@@ -227,6 +227,30 @@ def _models(t) -> DataFrame:
 query("models_cv")(_models)
 
 
+def _closed_form(t) -> DataFrame:
+    """Two features, and one with its square; folds by order."""
+    from ..operators.models import closed_form
+
+    rows = t("lineitem").select((F.col("l_orderkey") % 5).cast("int").alias("fold"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.col("l_extendedprice").cast("double").alias("price"))
+    return closed_form(rows, {"linear": (["quantity", "discount"], 1), "quadratic": (["quantity"], 2)}, "price", F.col("fold"))
+
+
+def _cramer(name: str, second: str) -> str:
+    """The fit on two columns by Cramer's rule over covariances, for all rows (fold -1) and without each fold."""
+    return f"""{name}_r AS (SELECT (l_orderkey % 5)::INTEGER AS fold, l_quantity::DOUBLE AS x, ({second})::DOUBLE AS z, l_extendedprice::DOUBLE AS y FROM lineitem),
+{name}_c AS (SELECT f, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, z) AS xz, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM range(-1, 5) t(f) JOIN {name}_r ON fold <> f GROUP BY f),
+{name}_w AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM {name}_c),
+{name}_e AS (SELECT f, y, y - my - a * (x - mx) - b * (z - mz) AS e FROM {name}_w JOIN {name}_r ON f = -1 OR fold = f),
+{name}_s AS (SELECT f, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2, avg(abs(e)) AS mae FROM {name}_e GROUP BY f)"""
+
+
+query(
+    "models_closed_form",
+    f"WITH {_cramer('linear', 'l_discount')}, {_cramer('quadratic', 'l_quantity * l_quantity')} "
+    + " UNION ALL ".join(f"SELECT '{k}' AS kind, round(avg(r2) FILTER (f >= 0), 6) AS cv_r2, round(max(r2) FILTER (f = -1), 6) AS r2, round(max(mae) FILTER (f = -1), 3) AS mae FROM {k}_s" for k in ("linear", "quadratic")),
+)(lambda t: _closed_form(t).withColumn("mae", F.round("mae", 3)))
+
+
 def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run that was broken off still has to do: its checkpoint is written, read again and taken away."""
     path = f"{P.shared_folder(spark)}/completed"

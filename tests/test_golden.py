@@ -300,3 +300,52 @@ def test_ranks_in_one_hot_group(spark, many_ranges):
             met = [v for t, v in have if s is not None and s <= t <= s + d]
             full = [v for v in met if v is not None]
             assert got[k][1] == len(met) and abs(got[k][0] - (sum(full) / len(full) if full else 0.0)) < 1e-9
+
+
+def _points(spark):
+    """A curve of two features, a step, and noise; a row without a feature."""
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.uniform(-3, 9), r.uniform(100, 140)) for i in range(600)]
+    out = [(i, x, z, 2 + 3 * x - 0.5 * x * x + 0.1 * x * z + r.gauss(0, 0.5), (10.0 if x > 2 else -10.0) + (5.0 if z > 120 else 0.0) + r.gauss(0, 0.1)) for i, x, z in rows]
+    return spark.createDataFrame([*out, (600, None, 1.0, 1.0, 1.0)], "i long, x double, z double, curve double, step double")
+
+
+def test_least_squares(spark):
+    """Weights and R squared of all rows and of each fold, against numpy on the rows themselves."""
+    import numpy as np
+
+    from strandlake.operators import models
+
+    df = _points(spark)
+    rows = np.array([tuple(r) for r in df.dropna().select("i", "x", "z", "curve").collect()])
+    for degree in (1, 2):
+        fit = models.least_squares(df, ["x", "z"], "curve", F.col("i") % 4, degree)
+        columns = {(): np.ones(len(rows)), ("x",): rows[:, 1], ("z",): rows[:, 2], ("x", "x"): rows[:, 1] ** 2, ("x", "z"): rows[:, 1] * rows[:, 2], ("z", "z"): rows[:, 2] ** 2}
+        a, y = np.stack([columns[t] for t in fit.terms], 1), rows[:, 3]
+        w = np.linalg.lstsq(a, y, rcond=None)[0]
+        assert np.allclose(fit.weights, w, rtol=1e-6, atol=1e-6)
+        assert abs(fit.r2 - (1 - ((y - a @ w) ** 2).sum() / ((y - y.mean()) ** 2).sum())) < 1e-9
+        for k in range(4):
+            own = rows[:, 0] % 4 == k
+            v = np.linalg.lstsq(a[~own], y[~own], rcond=None)[0]
+            want = 1 - ((y[own] - a[own] @ v) ** 2).sum() / ((y[own] - y[own].mean()) ** 2).sum()
+            assert abs(fit.fold_r2[k] - want) < 1e-8
+        got = [r[0] for r in df.dropna().orderBy("i").select(fit.predict()).collect()]
+        assert np.allclose(got, (a @ w)[np.argsort(rows[:, 0])], atol=1e-6)
+    assert np.allclose(fit.weights[:3], [2, 3, 0], atol=60) and fit.cv_r2 > 0.99
+    assert models.least_squares(df.where("false"), ["x"], "curve", F.lit(0)).fold_r2 == []
+
+
+def test_tree_models(spark):
+    """Trees follow a step that a line can't; every kind is compared, and least squares agrees with Spark ML."""
+    from strandlake.operators import models
+
+    df = _points(spark).dropna()
+    got = {r["kind"]: r for r in models.compared(df, ["x", "z"], "step", 3).collect()}
+    assert list(got) == list(models.KINDS)
+    assert all(got[k]["cv_r2"] > got["linear"]["cv_r2"] and got[k]["mae"] < got["linear"]["mae"] for k in ("random_forest", "gradient_boosting")), got
+    assert got["gradient_boosting"]["r2"] > 0.98 and got["linear"]["r2"] < 0.9
+    for kind, degree in (("linear", 1), ("quadratic", 2)):
+        assert abs(models.least_squares(df, ["x", "z"], "step", F.col("i") % 3, degree).r2 - got[kind]["r2"]) < 1e-4

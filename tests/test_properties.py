@@ -88,3 +88,24 @@ def test_masking_stats_with_repeated_ids(spark):
     df = spark.createDataFrame([(f"id{i % 2}", "ACNn", "!I!!") for i in range(6)], "id string, sequence string, quality string")
     got = transforms.masking_stats(df, transforms.sequence_masking(df)).first()
     assert (got["total_bases"], got["masked_bases"]) == (24, 12)
+
+
+def test_sql_functions(spark):
+    """Nulls, empty reads and reads shorter than k, over several batches, and a k out of range."""
+    import pytest
+
+    from strandlake.functions import sql
+
+    own = spark.newSession()
+    sql.register(own)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = [("a", "ACGTNACGT", "II"), ("b", "ac", None), ("c", None, None), ("d", "", ""), ("e", "ACG", "!"), ("f", "NNNN", "~~~~")] * 3
+    own.createDataFrame(rows, "id string, sequence string, quality string").createOrReplaceTempView("reads")
+    got = own.sql("SELECT id, place, kmer FROM kmers(TABLE(reads), 3)").collect()
+    want = [(i, p, s[p : p + 3]) for i, s, _ in rows for p in range(len(s or "") - 2) if set(s[p : p + 3]) <= set("ACGT")]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r[0] for r in own.sql("SELECT id FROM least_hashes(TABLE(reads), 3)").collect()} == {"a", "e"}
+    found = {r["id"]: tuple(r)[1:] for r in own.sql("SELECT id, gc_percent(sequence), complexity(sequence), mean_quality(quality), decode_2bit(encode_2bit(sequence)) FROM reads").collect()}
+    assert found == {"a": (50.0, 1.25, 73.0, "ACGTAACGT"), "b": (50.0, 1.0, None, "AC"), "c": (None, None, None, None), "d": (0.0, 0.0, 0.0, ""), "e": (200 / 3, 1.0, 33.0, "ACG"), "f": (0.0, 0.25, 126.0, "AAAA")}
+    with pytest.raises(Exception, match="from 3 to 31"):
+        own.sql("SELECT * FROM kmers(TABLE(reads), 2)").collect()
