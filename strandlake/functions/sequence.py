@@ -122,20 +122,6 @@ def is_clean(kmer: Column) -> Column:
     return F.translate(kmer, "ACGT", "") == ""
 
 
-def with_quality(sequence: Column, quality: Column, k: int) -> Column:
-    """Structs (_i, kmer, quality) of all windows with their place and slice of the quality, which may be missing."""
-    fits = F.length(sequence) == F.length(quality)
-    sliced = lambda i: F.substring(quality, i + 1, F.lit(k))
-    parts = F.when(fits, kmers(quality, k))
-    return bound(parts, lambda q: F.transform(kmers(sequence, k), lambda x, i: F.struct(i.alias("_i"), x.alias("kmer"), F.when(q.isNotNull(), F.get(q, i)).otherwise(sliced(i)).alias("quality"))))
-
-
-def first_of_each(windows: Column) -> Column:
-    """Of structs (_i, kmer, quality), those of the first occurrence of each k-mer, by one sort of the row's windows."""
-    order = F.array_sort(F.transform(windows, lambda w: F.struct(w["kmer"], w["_i"], w["quality"])))
-    return bound(order, lambda w: F.filter(w, lambda x, i: (i == 0) | (F.get(w, i - 1)["kmer"] != x["kmer"])))
-
-
 def hamming(a: Column, b: Column) -> Column:
     """Positions that differ, for texts of equal length."""
     apart = F.zip_with(characters(a), characters(b), lambda x, y: (x != y).cast("int"))

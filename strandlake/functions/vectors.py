@@ -85,3 +85,57 @@ def translated(sequence: Column, frame: int) -> Column:
         return texts if not sequences.null_count else pc.if_else(sequences.is_valid(), texts, None)
 
     return run(sequence)
+
+
+def distinct_characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct code points and length of each text, a batch at a time; only texts beyond ASCII are looked at one by one."""
+    data, starts = bytes_of(texts)
+    n = np.diff(starts)
+    row = np.repeat(np.arange(len(n)), n)
+    seen = np.zeros(256 * len(n), bool)
+    seen[256 * row + data] = True
+    distinct, length = seen.reshape(-1, 256).sum(1), n.copy()
+    for i in np.unique(row[data >= 128]).tolist():
+        text = data[starts[i] : starts[i + 1]].tobytes().decode(errors="replace")
+        distinct[i], length[i] = len(set(text)), len(text)
+    return distinct, length
+
+
+def complexities(texts: pa.Array) -> pa.Array:
+    """Distinct characters over the lesser of length and 4; 0 for an empty text, null for a missing one."""
+    distinct, length = distinct_characters(texts)
+    found = distinct / np.maximum(np.minimum(length, 4), 1)
+    return pa.array(found, mask=texts.is_null().to_numpy(zero_copy_only=False) if texts.null_count else None)
+
+
+def complexity(text: Column) -> Column:
+    return F.arrow_udf(complexities, "double")(text)
+
+
+#: Sums of a batch of reads: names of the columns that `read_sums` yields.
+READ_SUMS = ("num_sequences", "total", "min_length", "max_length", "low", "q", "nq")
+
+
+def read_sums(df: DataFrame, classes: dict[str, str], low: float = 0.4) -> DataFrame:
+    """One row for each batch of reads: READ_SUMS, and the bytes among the letters of each class, in either case.
+
+    One pass over the bytes of sequence and quality; `low` bounds the complexity that counts as low.
+    """
+    names = [*READ_SUMS, *classes]
+    tables = {k: np.isin(np.arange(256), [ord(c) for c in letters.upper() + letters.lower()]) for k, letters in classes.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, quality = batch.columns
+            if not len(sequence):
+                continue
+            data, starts = bytes_of(sequence)
+            seen = np.bincount(data, minlength=256)
+            n = np.diff(starts)[sequence.is_valid().to_numpy(zero_copy_only=False)]
+            scores = pc.less(complexities(sequence), low)
+            q, nq = bytes_of(quality)[0], pc.sum(pc.utf8_length(quality)).as_py() or 0
+            values = [len(sequence), len(data), int(n.min()) if len(n) else None, int(n.max()) if len(n) else None, pc.sum(scores).as_py() or 0, int(q.sum(dtype=np.int64)), nq]
+            values += [int(seen[t].sum()) for t in tables.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values], names)
+
+    return df.select("sequence", "quality").mapInArrow(run, ", ".join(f"{n} long" for n in names))

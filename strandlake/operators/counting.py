@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.vectors import byte_counts, count_among
+from ..functions.vectors import byte_counts, complexity, count_among, read_sums
 
 
 def _sum(x: Column) -> Column:
@@ -71,8 +71,7 @@ def sequence_length(df: DataFrame) -> DataFrame:
 
 
 def complexity_score(df: DataFrame) -> DataFrame:
-    x = S.complexity(F.col("sequence"))
-    scored = df.select(x.alias("x"))
+    scored = df.select(complexity(F.col("sequence")).alias("x"))
     return scored.agg(
         F.count("*").alias("total_sequences"), F.count_if(F.col("x") < 0.4).alias("low_complexity_count"), F.count_if(F.col("x") > 0.7).alias("high_complexity_count"),
         F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean_complexity"),
@@ -85,15 +84,12 @@ def per_read(df: DataFrame) -> DataFrame:
 
 
 def qc_report(df: DataFrame) -> DataFrame:
-    """Base counts, GC, AT and N percentages, lengths, complexity and mean quality from one scan and one aggregation."""
-    parts, n = _parts(), S.total_bases(F.col("sequence"))
-    scored = df.select(*[v.alias(k) for k, v in parts.items()], n.alias("len"), S.complexity(F.col("sequence")).alias("x"), S.quality_sum(F.col("quality")).alias("q"), F.length("quality").alias("nq"))
-    t = scored.agg(
-        *[_sum(F.col(k)).alias(k) for k in parts], F.count("*").alias("num_sequences"), F.coalesce(F.min("len"), F.lit(NO_MINIMUM)).alias("min_length"),
-        F.coalesce(F.max("len"), F.lit(0)).cast("long").alias("max_length"), F.count_if(F.col("x") < 0.4).alias("low_complexity_count"), _sum(F.col("q")).alias("q"), _sum(F.col("nq")).alias("nq"),
-    )
+    """Base counts, GC, AT and N percentages, lengths, complexity and mean quality from one pass over each batch's bytes."""
+    sums = read_sums(df, {k: v for k, v in _CLASSES.items() if k in "acgtn"})
+    added = ("num_sequences", "total", "low", "q", "nq", *"acgtn")
+    t = sums.agg(*[_sum(F.col(k)).alias(k) for k in added], F.coalesce(F.min("min_length"), F.lit(NO_MINIMUM)).alias("min_length"), F.coalesce(F.max("max_length"), F.lit(0)).cast("long").alias("max_length"))
     return t.select(
-        "num_sequences", F.col("total").alias("total_bases"), *[F.col(x).alias(f"count_{x}") for x in "acgtn"], "min_length", "max_length", "low_complexity_count",
+        "num_sequences", F.col("total").alias("total_bases"), *[F.col(x).alias(f"count_{x}") for x in "acgtn"], "min_length", "max_length", F.col("low").alias("low_complexity_count"),
         S.percent(F.col("g") + F.col("c"), F.col("total") - F.col("n")).alias("gc_percent"), S.percent(F.col("a") + F.col("t"), F.col("total")).alias("at_percent"),
         S.percent(F.col("n"), F.col("total")).alias("n_percent"), S.mean(F.col("q"), F.col("nq")).alias("mean_quality"),
     )

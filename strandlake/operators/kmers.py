@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions import sequence as S
+from ..functions.vectors import bytes_of
 from ..schema import KMER, SKETCH_K, SKETCH_SIZE
 
 
@@ -15,15 +21,62 @@ def _check(k: int) -> None:
         raise ValueError("k must be from 3 to 31")
 
 
+#: Windows put into one batch.
+_WINDOWS = 1 << 16
+
+
 def kmer_extraction(df: DataFrame, k: int = KMER, deduplicate: bool = False) -> DataFrame:
-    """A row for every window of A, C, G, T: id_kmer_<i>, the k-mer and its quality.
+    """A row for every window of A, C, G, T: id_kmer_<i>, the k-mer and its quality, which ends where the read's ends.
 
-    Deduplication keeps the first occurrence in each read; it works inside the row, without a shuffle.
+    Deduplication keeps the first occurrence in each read. Windows are cut out of the bytes of a batch, without a shuffle.
     """
     _check(k)
-    windows = S.with_quality(F.col("sequence"), F.col("quality"), k)
-    flat = df.select("id", F.explode(S.first_of_each(windows) if deduplicate else windows).alias("_x")).where(S.is_clean(F.col("_x.kmer")))
-    return flat.select(F.concat("id", F.lit("_kmer_"), F.col("_x._i").cast("string")).alias("id"), F.col("_x.kmer").alias("sequence"), F.col("_x.quality").alias("quality"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = 0
+            _, starts = bytes_of(batch.column(1))
+            while a < batch.num_rows:  # pieces of bounded output; a longer read is a piece of its own
+                b = max(a + 1, int(np.searchsorted(starts, starts[a] + _WINDOWS, "right")) - 1)
+                yield from _extracted(batch.slice(a, b - a), k, deduplicate)
+                a = b
+
+    return df.select("id", "sequence", "quality").mapInArrow(run, "id string, sequence string, quality string")
+
+
+def _extracted(reads: pa.RecordBatch, k: int, deduplicate: bool) -> Iterator[pa.RecordBatch]:
+    ids, sequences, qualities = reads.columns
+    data, ends = bytes_of(sequences)
+    _, at = hashing.kmer_hashes(np.insert(data, ends[:-1], 0), k)
+    row = np.searchsorted(ends[:-1] + np.arange(len(sequences)), at, "right") - 1
+    at = at - row - 1
+    if deduplicate and len(at):
+        letters = np.ascontiguousarray(data[at[:, None] + np.arange(k)]).view(f"S{k}").ravel()
+        order = np.lexsort((at, letters, row))
+        first = np.r_[True, (letters[order][1:] != letters[order][:-1]) | (row[order][1:] != row[order][:-1])]
+        kept = np.sort(order[first])
+        at, row = at[kept], row[kept]
+    more = np.r_[0, np.cumsum((data & 0xC0) == 0x80)]  # bytes that begin no character
+    place = at - ends[row] - (more[at] - more[ends[row]])
+    for a in range(0, len(at), _WINDOWS):
+        p, r, i = at[a : a + _WINDOWS], row[a : a + _WINDOWS], place[a : a + _WINDOWS]
+        letters = data[p[:, None] + np.arange(k)]
+        kmers = pa.StringArray.from_buffers(len(p), pa.py_buffer(np.arange(0, k * len(p) + 1, k, dtype=np.int32)), pa.py_buffer(letters.tobytes()))
+        names = pc.binary_join_element_wise(ids.take(pa.array(r)), pa.array(i).cast(pa.string()), "_kmer_")
+        yield pa.RecordBatch.from_arrays([names, kmers, _slices(qualities, r, i, k)], ["id", "sequence", "quality"])
+
+
+def _slices(qualities: pa.Array, row: np.ndarray, place: np.ndarray, k: int) -> pa.Array:
+    """Characters place to place + k of the qualities of rows, as far as they go; null without a quality."""
+    data, starts = bytes_of(qualities)
+    taken = qualities.take(pa.array(row))
+    if len(data) and data.max() >= 128:
+        return pa.array([None if q is None else q[i : i + k] for q, i in zip(taken.to_pylist(), place.tolist(), strict=True)], pa.string())
+    size = np.clip(np.diff(starts)[row] - place, 0, k)
+    offsets = np.r_[0, np.cumsum(size)]
+    cut = data[np.repeat(starts[row] + place - offsets[:-1], size) + np.arange(int(offsets[-1]))]
+    out = pa.StringArray.from_buffers(len(row), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(cut.tobytes()))
+    return pc.if_else(taken.is_valid(), out, None) if qualities.null_count else out
 
 
 def kmer_rows(df: DataFrame, k: int) -> DataFrame:

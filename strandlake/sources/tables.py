@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+from .framing import runs, text_lines
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, comment: str | None = None) -> DataFrame:
     """A CSV file with a header; lines that start with the comment character are noise."""
@@ -34,16 +41,38 @@ def read_plan(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return found
 
 
+#: Lines of a power log. Fixed values.
+SAMPLE, READING = r"\*\*\* Sampled system activity \((?P<at>[^)]*)\)", r"CPU Power: (?P<mw>\d+) mW"
+
+
 def read_power_log(spark: SparkSession, path: str) -> DataFrame:
-    """Samples (timestamp, cpu_power_mw) of power logs: each reading gets the time of the last sample header before it."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    marked = lines.select(
-        "file", "n", F.nullif(F.regexp_extract("line", r"\*\*\* Sampled system activity \(([^)]*)\)", 1), F.lit("")).alias("at"),
-        F.nullif(F.regexp_extract("line", r"CPU Power: (\d+) mW", 1), F.lit("")).cast("double").alias("cpu_power_mw"),
-    )
-    before = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    filled = marked.withColumn("at", F.last("at", ignorenulls=True).over(before)).where("cpu_power_mw is not null and at is not null")
-    return filled.select(F.to_timestamp(F.regexp_replace("at", r"^\w+ +", ""), "MMM d HH:mm:ss yyyy Z").alias("timestamp"), "cpu_power_mw")
+    """Samples (timestamp, cpu_power_mw) of power logs: each reading gets the time of the last sample header before it.
+
+    A log is read in splits. A task carries the last header along its split; readings before a split's first header take
+    that of the splits before, which is looked up in one row for each split.
+    """
+    lines = text_lines(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for piece, fresh in runs(batches):
+            now = None if fresh else now
+            found = pc.extract_regex(piece.column(0), f"(?:{SAMPLE}|{READING})")
+            keep = found.is_valid()
+            rows = found.filter(keep)
+            file, block = piece.column(2)[0].as_py(), piece.column(3)[0].as_py()
+            out = []
+            for r in rows.to_pylist():
+                now = r["at"] or now
+                out.append((file, block, len(out), now, float(r["mw"]) if r["mw"] else None))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()))], ["file", "block", "n", "at", "mw"])
+
+    found = checkpointed(lines.select("value", "split", "file", "block").mapInArrow(run, "file string, block long, n long, at string, mw double"))
+    last = found.groupBy("file", "block").agg(F.max_by("at", F.when(F.col("at").isNotNull(), F.struct("n"))).alias("_last"))
+    earlier = F.last("_last", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    filled = found.where("mw is not null").join(F.broadcast(last.select("file", "block", earlier.alias("_earlier"))), ["file", "block"])
+    known = filled.select(F.coalesce("at", "_earlier").alias("at"), F.col("mw").alias("cpu_power_mw")).where("at is not null")
+    return known.select(F.to_timestamp(F.regexp_replace("at", r"^\w+ +", ""), "MMM d HH:mm:ss yyyy Z").alias("timestamp"), "cpu_power_mw")
 
 
 def write_results(df: DataFrame, path: str, file_format: str = "parquet", decimals: dict[str, int] | None = None) -> None:

@@ -355,6 +355,25 @@ def test_power_log(spark, tmp_path):
     assert [r["cpu_power_mw"] for r in got] == [70.0, 80.0] and got[0]["timestamp"] == got[1]["timestamp"]
 
 
+def test_power_log_in_splits(spark, tmp_path):
+    """Readings find their header in any split before, and none in another file."""
+    lines = ["CPU Power: 1 mW"]
+    for i in range(20):
+        lines += [f"*** Sampled system activity (Sun Nov 2 18:{i:02}:35 2025 -0800)", *["noise"] * (i % 3), *[f"CPU Power: {100 * i + j} mW" for j in range(i % 6)]]
+    for k in range(2):
+        (tmp_path / f"{k}.txt").write_text("\n".join(lines) + "\nCPU Power: 7 mW\n" * k)
+    old, want = spark.conf.get("spark.sql.files.maxPartitionBytes"), None
+    try:
+        for size in ("128m", "300", "40"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sorted((str(r["timestamp"]), r["cpu_power_mw"]) for r in tables.read_power_log(spark, str(tmp_path)).collect())
+            want = want or got
+            assert got == want and len(got) == 2 * sum(i % 6 for i in range(20)) + 1
+            assert all(v == 7.0 or int(v) // 100 == int(t[14:16]) for t, v in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_plan_file(spark, tmp_path):
     (tmp_path / "c.toml").write_text('[[operations]]\nname = "a"\nimplemented = true\n[[operations]]\nname = "b"\n')
     assert rows(tables.read_plan(spark, str(tmp_path / "c.toml"))["operations"].select("name")) == [("a",), ("b",)]
