@@ -36,7 +36,11 @@ from .common import documents
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_TOKENS, DOC_TOKENS = 4000, 20_000, 500
+#: The least belief of an added span where lessons can't tell a kind's own.
 CONFIDENT = 0.9
+#: For a kind's own: the share of held-out mentions under its cut's upper side, of other tokens above its lower side, and
+#: the fewest mentions that tell it; parts that lessons are split into, each judged by a field fitted to the others.
+MOST_MENTIONS, OTHERS, FEWEST, PARTS = 0.1, 0.002, 8, 2
 #: Most rounds of message passing; they end when no message changes by CHANGE.
 ROUNDS, CHANGE = 20, 1e-4
 
@@ -112,12 +116,14 @@ def _shape(token: str) -> list[tuple]:
     digits = "".join(_DIGIT.findall(core))
     parts = core.split(".")
     return [
+        ("spelled", _plain(token) != token),
         ("at", core.count("@") == 1 and bool(_DOMAIN.search(core)), "@" in core),
-        ("digits", _bucket(len(digits), _COUNTS), core == digits),
+        # How many digits and dots an address has says nothing about it.
+        ("digits", "address") if "@" in core else ("digits", _bucket(len(digits), _COUNTS), core == digits),
         ("luhn", 12 <= len(digits) <= 19 and core.replace("-", "") == digits and luhn(digits)),
         ("quad", len(parts) == 4 and all(p.isascii() and p.isdigit() and _small(p) for p in parts)),
-        ("plus", token.startswith("+"), _bucket(len(digits), (1, 9, 16))),
-        ("marks", "(" in token or ")" in token, "-" in core, len(parts) > 1),
+        ("plus", "address") if "@" in core else ("plus", token.startswith("+"), _bucket(len(digits), (1, 9, 16))),
+        ("marks", "address") if "@" in core else ("marks", "(" in token or ")" in token, "-" in core, len(parts) > 1),
         ("letters", any(map(str.isalpha, core))),
     ]
 
@@ -139,8 +145,22 @@ def evidence(text: str) -> tuple[list[re.Match], list[int], list[list[tuple]]]:
     return tokens, gaps, features
 
 
+#: Marks of addresses spelled out in brackets. Fixed values.
+_SPELLED = [(re.compile(r"[(\[{<](?:at|AT|At)[)\]}>]"), "@"), (re.compile(r"[(\[{<](?:dot|DOT|Dot)[)\]}>]"), ".")]
+
+
+def _plain(token: str) -> str:
+    """A token with spelled-out marks as marks."""
+    if not any(c in token for c in "([{<"):
+        return token
+    for pattern, mark in _SPELLED:
+        token = pattern.sub(mark, token)
+    return token
+
+
 def _keys(token: str) -> set[tuple[str, str]]:
     """What similar tokens have in common."""
+    token = _plain(token)
     same, digits = "".join(filter(str.isalnum, token)).lower(), "".join(_DIGIT.findall(token))
     keys = {("same", same)} if len(same) >= 4 else set()
     if len(digits) >= 7:
@@ -178,11 +198,16 @@ def _association(pairs: np.ndarray) -> np.ndarray:
     return joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))
 
 
+Lesson = tuple[list[list[tuple]], list[int], list[int], list[tuple[int, int]]]
+Sample = tuple[Lesson, list[Lesson]]
+
+
 class Field:
     """The fitted potentials, and inference over a document."""
 
-    def __init__(self, documents: list[tuple[list[list[tuple]], list[int], list[int], list[tuple[int, int]]]]):
+    def __init__(self, documents: list[Lesson]):
         """documents: features, labels, gaps and links of each."""
+        self.cuts = np.full(len(KINDS), CONFIDENT)
         self.index: dict[tuple, int] = {}
         rows, labels = [], []
         chain, skip = np.zeros((_LABELS, _LABELS)), np.zeros((_LABELS, _LABELS))
@@ -280,6 +305,36 @@ class Field:
                 break
         return belief
 
+    def calibrate(self, held: list[tuple[Field, list[Lesson]]]) -> Field:
+        """Sets the least belief of each kind by lessons that the fields before them were not fitted to.
+
+        The lessons are probes, in which a token with a label is an altered mention. The cut lies between the beliefs of most mentions and those of nearly all other tokens, in odds; where the
+        two overlap, or under FEWEST mentions are there, a kind keeps the cut of CONFIDENT.
+        """
+        mentions, others = [[] for _ in KINDS], [[] for _ in KINDS]
+        for field, lessons in held:
+            for features, labels, gaps, joined_by in lessons:
+                if not any(x > 0 for x in labels):
+                    continue
+                belief = field.marginals(features, gaps, joined_by)
+                for i, label in enumerate(labels):
+                    if label == UNKNOWN:
+                        continue
+                    kind = int(belief[i, 1:].argmax())
+                    if not label:
+                        others[kind].append(belief[i, 1 + kind])
+                    else:
+                        mentions[label - 1].append(belief[i, label] if kind == label - 1 else 0.0)
+        odds = lambda p: np.log(max(p, 1e-6) / max(1 - p, 1e-6))
+        for k in range(len(KINDS)):
+            if len(mentions[k]) < FEWEST:
+                continue
+            high = float(np.quantile(mentions[k], MOST_MENTIONS))
+            low = float(np.quantile(others[k], 1 - OTHERS)) if others[k] else 0.0
+            if high > low:
+                self.cuts[k] = 1 / (1 + np.exp(-(odds(high) + odds(low)) / 2))
+        return self
+
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans with those that the field adds where no base span is touched."""
         base = base_spans(text)
@@ -291,8 +346,9 @@ class Field:
         own = gold(tokens, base)
         more: list[Span] = []
         last = -2
-        for i in np.flatnonzero((belief.argmax(1) > 0) & (belief.max(1) >= CONFIDENT)).tolist():
-            kind, token = KINDS[belief[i].argmax() - 1], tokens[i]
+        best = belief[:, 1:].argmax(1)
+        for i in np.flatnonzero(belief[np.arange(len(best)), 1 + best] >= self.cuts[best]).tolist():
+            kind, token = KINDS[best[i]], tokens[i]
             core = token[0].strip(_TRIM)
             if own[i] or not core:
                 continue
@@ -309,8 +365,14 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def rewritten(kind: str, value: str) -> str:
-    """A value of a kind in a form that the patterns don't match."""
+#: Forms of `rewritten`.
+FORMS = 2
+
+
+def rewritten(kind: str, value: str, form: int = 0) -> str:
+    """A value of a kind in one of FORMS forms that the patterns don't match."""
+    if form:
+        return value.replace("@", "(at)") if kind == "email" else value.replace(".", ",") if kind == "ip" else ("/" if kind == "card" else ".").join(re.findall("[0-9]{1,4}", value) if kind == "phone" else re.findall("[0-9]{1,4}", "".join(_DIGIT.findall(value))))
     if kind == "email":
         return value.partition(".")[0] if "@" in value.partition(".")[0] else value.partition("@")[0] + "@" + value.partition("@")[2].partition(".")[0]
     digits = "".join(_DIGIT.findall(value))
@@ -324,23 +386,42 @@ def _unlike(value: str) -> str:
     return "".join(str((int(c) * 3 + 7 * i + 4) % 10) if c.isdigit() and c.isascii() else chr(97 + (ord(c) * 7 + i + 3) % 26) if c.isalpha() else c for i, c in enumerate(value))
 
 
-def lesson(text: str) -> tuple[list[list[tuple]], list[int], list[int], list[tuple[int, int]]]:
-    """Features, labels, gaps and links of a text with its values rewritten, and others like them, after its end."""
+def lesson(text: str, forms: tuple[int, ...] = tuple(range(FORMS)), probe: bool = False) -> Lesson:
+    """Features, labels, gaps and links of a text with its values rewritten, and others like them, after its end.
+
+    In a probe only what is rewritten counts as a mention, so that it tells how far one altered mention is believed.
+    """
     spans = base_spans(text)
     known = []
     for kind, value in dict.fromkeys((k, text[a:b]) for k, a, b in spans):
-        form = rewritten(kind, value)
-        text += " and "
-        known.append((kind, len(text), len(text) + len(form)))
-        text += f"{form} or {_unlike(form)} also"
-    known += spans
+        for k in forms:
+            form = rewritten(kind, value, k)
+            text += " and "
+            known.append((kind, len(text), len(text) + len(form)))
+            text += f"{form} or {rewritten(kind, _unlike(value), k)} also"
     found, gaps, features = evidence(text)
-    labels, joined_by = gold(found, known), links(found)
-    # A token without a label that repeats one with a label may be what the patterns miss: it teaches nothing.
-    unknown = {k for i, j in joined_by for k, other in ((i, j), (j, i)) if labels[other] and not labels[k]}
+    labels, base = gold(found, known + spans), gold(found, spans)
+    # A token without a label that repeats one with a label may be what the patterns miss: it teaches nothing, and links
+    # are those that the tokens have without it.
+    unknown = _unknown(found, labels)
+    sure = [i for i in range(len(found)) if i not in unknown]
+    joined_by = [(sure[i], sure[j]) for i, j in links([found[i] for i in sure])]
+    if probe:
+        unknown |= {i for i, label in enumerate(base) if label}
     return features, [UNKNOWN if i in unknown else x for i, x in enumerate(labels)], gaps, joined_by
 
 
+def sample_of(text: str) -> Sample:
+    """What a text teaches, and its probes: one for each form, as a document holds one altered mention more often than all."""
+    return lesson(text), [lesson(text, (k,), True) for k in range(FORMS)]
+
+
+def _unknown(tokens: list[re.Match], labels: list[int]) -> set[int]:
+    """Tokens without a label that have a key of one with a label."""
+    named = {k for m, label in zip(tokens, labels, strict=True) if label for k in _keys(m[0])}
+    return {i for i, (m, label) in enumerate(zip(tokens, labels, strict=True)) if not label and _keys(m[0]) & named}
+
+
 def learn(df: DataFrame, docs: int = TRAIN_DOCS, tokens: int = TRAIN_TOKENS, text: str = "text") -> Field:
     """Fits the field to a bounded sample of documents that have evidence."""
     rows = df.select("doc_id", text).where(F.col(text).rlike("[0-9@+]"))
@@ -349,7 +430,7 @@ def learn(df: DataFrame, docs: int = TRAIN_DOCS, tokens: int = TRAIN_TOKENS, tex
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lessons = [(i, x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(x := lesson(t)) and len(x[1]) <= DOC_TOKENS]
+            lessons = [(i, x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len((x := sample_of(t))[0][1]) <= DOC_TOKENS]
             blobs = [pickle.dumps(x) for _, x in lessons]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in lessons], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "lesson"])
 
@@ -357,10 +438,19 @@ def learn(df: DataFrame, docs: int = TRAIN_DOCS, tokens: int = TRAIN_TOKENS, tex
     found = picked.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(taught, "doc_id long, lesson binary")
     for r in found.orderBy(F.xxhash64("doc_id"), "lesson").limit(docs).toLocalIterator():
         x = pickle.loads(r["lesson"])
-        if seen + len(x[1]) <= tokens:
-            seen += len(x[1])
+        if seen + len(x[0][1]) <= tokens:
+            seen += len(x[0][1])
             sample.append(x)
-    return Field(sample)
+        if seen >= tokens:
+            break
+    return taught_by(sample)
+
+
+def taught_by(sample: list[Sample]) -> Field:
+    """A field fitted to all lessons, with cuts from the probes of parts of them under fields fitted to the other parts."""
+    parts = [sample[k::PARTS] for k in range(PARTS)]
+    held = [(Field([x for j, part in enumerate(parts) if j != k for x, _ in part]), [p for _, probes in own for p in probes]) for k, own in enumerate(parts)]
+    return Field([x for x, _ in sample]).calibrate(held)
 
 
 def scanned(field: Field, text: Column, spark: SparkSession) -> Column:
