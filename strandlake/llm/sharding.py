@@ -24,6 +24,8 @@ SHARDS = 40
 OVERHEAD = 16
 #: Parts of a slot that are numbered apart.
 PARTS = 16
+#: Places of a run of equal rows that are listed at once.
+PIECE = 1 << 16
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -119,7 +121,10 @@ def assign(df: DataFrame, slot_map: DataFrame, grown: DataFrame, key: str = "doc
     order = W.partitionBy("virtual_slot", "_part").orderBy("doc_id", "text_crc32", "size")
     run = counted.withColumn("_end", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)))
     first = F.col("_before") + F.col("_end") - F.col("_n")
-    numbered = run.join(placed, ["virtual_slot", "_part"]).withColumn("slot", F.explode(F.sequence(first, F.col("_before") + F.col("_end") - 1)))
+    last = F.col("_before") + F.col("_end") - 1
+    # A run of equal rows is spelled out in pieces, so that no array grows with it.
+    pieces = run.join(placed, ["virtual_slot", "_part"]).select("*", last.alias("_last"), F.explode(F.sequence(first, last, F.lit(PIECE).cast("long"))).alias("_piece"))
+    numbered = pieces.withColumn("slot", F.explode(F.sequence(F.col("_piece"), F.least(F.col("_piece") + PIECE - 1, F.col("_last")))))
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "virtual_slot", "slot_bytes")
 
 
