@@ -29,6 +29,33 @@ def kmer_hashes(sequence: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, at
 
 
+_TWO_BITS = np.zeros(256, np.uint64)
+_TWO_BITS[list(b"ACGT")] = range(4)
+
+
+def kmer_codes(sequence: np.ndarray, k: int, canonical: bool = False) -> np.ndarray:
+    """The clean k-mers of a text as numbers of two bits a letter, k up to 31; canonical: the lesser of it and its reverse complement."""
+    n = len(sequence) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    clean = np.cumsum(np.r_[0, _CLEAN[sequence]])
+    at = np.flatnonzero(clean[k:] - clean[:-k] == k)
+    letters, code, turned = _TWO_BITS[sequence], np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for i in range(k):
+        x = letters[at + i]
+        code = code << np.uint64(2) | x
+        if canonical:
+            turned |= (np.uint64(3) - x) << np.uint64(2 * i)
+    return np.minimum(code, turned) if canonical else code
+
+
+def kmer_texts(codes: np.ndarray, k: int) -> pa.Array:
+    """The letters of k-mers in two bits."""
+    shifts = np.arange(2 * (k - 1), -1, -2, dtype=np.uint64)
+    letters = np.frombuffer(b"ACGT", np.uint8)[(codes[:, None] >> shifts & np.uint64(3)).astype(np.int64)]
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(np.arange(0, k * len(codes) + 1, k, dtype=np.int32)), pa.py_buffer(letters.tobytes()))
+
+
 def sketch(sequence: Column, k: int, size: int) -> Column:
     """The `size` smallest k-mer hashes with repeats, ascending, as DECIMAL(20,0). A batch is hashed as one text."""
 

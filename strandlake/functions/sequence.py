@@ -51,16 +51,6 @@ def complexity(sequence: Column) -> Column:
     return F.when(F.length(sequence) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(F.split(sequence, ""))) / F.least(F.length(sequence), F.lit(4)))
 
 
-def quality_codes(quality: Column, offset: int = 0) -> Column:
-    """Byte values as an array of integers; with offset 33, Phred scores that don't go below 0."""
-    codes = F.transform(characters(quality), lambda c: F.ascii(c))
-    return F.transform(codes, lambda x: F.greatest(x - offset, F.lit(0))) if offset else codes
-
-
-def quality_sum(quality: Column, offset: int = 0) -> Column:
-    return F.aggregate(quality_codes(quality, offset), F.lit(0).cast("long"), lambda a, x: a + x)
-
-
 def reverse_complement(sequence: Column) -> Column:
     """Case is kept; whatever isn't A, C, G, T or N becomes N."""
     return F.reverse(F.translate(F.regexp_replace(sequence, "[^ACGTNacgtn]", "N"), "ACGTacgt", "TGCAtgca"))
@@ -74,12 +64,6 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, kmer_reverse_complement(kmer))
 
 
-def masked(sequence: Column, quality: Column, below: int) -> Column:
-    """N where the quality byte is below the threshold; unchanged without quality."""
-    kept = F.zip_with(characters(sequence), characters(quality), lambda b, q: F.when(F.ascii(q) < below, "N").otherwise(b))
-    return F.when(quality.isNull(), sequence).otherwise(F.array_join(kept, ""))
-
-
 def trim_position(sequence: Column, adapter: str, overlap: int) -> Column:
     """1-based place of the first occurrence of the adapter's first `overlap` letters, 0 without one."""
     return F.instr(sequence, adapter[:overlap])
@@ -112,11 +96,6 @@ def kmers(sequence: Column, k: int) -> Column:
     return bound(sequence, lambda s: F.when(F.length(s) <= PIECE, _windows(s, k)).otherwise(bound(chunks(s, PIECE), pieced)))
 
 
-def clean_kmers(sequence: Column, k: int) -> Column:
-    """The windows of A, C, G, T in upper case only: those of the stretches between other letters."""
-    return F.flatten(F.transform(F.split(sequence, "[^ACGT]+"), lambda stretch: kmers(stretch, k)))
-
-
 def is_clean(kmer: Column) -> Column:
     """Only A, C, G, T in upper case."""
     return F.translate(kmer, "ACGT", "") == ""

@@ -87,6 +87,65 @@ def translated(sequence: Column, frame: int) -> Column:
     return run(sequence)
 
 
+def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As `bytes_of`, with one byte for each character: of those beyond ASCII only the first."""
+    data, starts = bytes_of(texts)
+    more = (data & 0xC0) == 0x80
+    if more.any():
+        starts = np.r_[0, np.cumsum(~more)][starts]
+        data = data[~more]
+    return data, starts
+
+
+def _texts(data: np.ndarray, starts: np.ndarray, like: pa.Array) -> pa.Array:
+    """A text column of ASCII bytes, null where another column is."""
+    texts = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data.tobytes())).cast(pa.string())
+    return pc.if_else(like.is_valid(), texts, None) if like.null_count else texts
+
+
+#: The complement of each byte; N for what has none.
+_COMPLEMENT = np.full(256, ord("N"), np.uint8)
+_COMPLEMENT[list(b"ACGTNacgtn")] = list(b"TGCANtgcan")
+
+
+def reverse_complemented(sequences: pa.Array) -> pa.Array:
+    data, starts = _characters(sequences)
+    place = np.repeat(starts[:-1] + starts[1:] - 1, np.diff(starts)) - np.arange(len(data))
+    return _texts(_COMPLEMENT[data[place]], starts, sequences)
+
+
+def reverse_complement(sequence: Column) -> Column:
+    """Case is kept; whatever isn't A, C, G, T or N becomes N."""
+    return F.arrow_udf(reverse_complemented, "string")(sequence)
+
+
+def masked(sequence: Column, quality: Column, below: int) -> Column:
+    """N where the quality byte is below the threshold; unchanged without quality; an error where the lengths differ."""
+
+    @F.arrow_udf("string")
+    def run(sequences: pa.Array, qualities: pa.Array) -> pa.Array:
+        (data, starts), (scores, ends) = bytes_of(sequences), _characters(qualities)
+        if len(data) and data.max() >= 128:  # letters beyond ASCII are rare and taken one by one
+            return pa.array([_masked(s, q, below) for s, q in zip(sequences.to_pylist(), qualities.to_pylist(), strict=True)], pa.string())
+        n, own = np.diff(starts), np.diff(ends)
+        known = qualities.is_valid().to_numpy(zero_copy_only=False) & sequences.is_valid().to_numpy(zero_copy_only=False)
+        if (own[known] != n[known]).any():
+            raise ValueError("sequence and quality differ in length")
+        low = np.zeros(len(data), bool)
+        low[np.repeat(known, n)] = scores[np.repeat(known, own)] < below
+        return _texts(np.where(low, np.uint8(ord("N")), data), starts, sequences)
+
+    return run(sequence, quality)
+
+
+def _masked(sequence: str | None, quality: str | None, below: int) -> str | None:
+    if sequence is None or quality is None:
+        return sequence
+    if len(sequence) != len(quality):
+        raise ValueError("sequence and quality differ in length")
+    return "".join("N" if ord(q) < below else c for c, q in zip(sequence, quality, strict=True))
+
+
 def distinct_characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct code points and length of each text, a batch at a time; only texts beyond ASCII are looked at one by one."""
     data, starts = bytes_of(texts)

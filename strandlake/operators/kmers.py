@@ -84,12 +84,21 @@ def kmer_rows(df: DataFrame, k: int) -> DataFrame:
 
 
 def kmer_counting(df: DataFrame, k: int = KMER, canonical: bool = False) -> DataFrame:
-    """Rows of k-mer and count over all reads, by partial aggregation before the shuffle."""
+    """Rows of k-mer and count over all reads.
+
+    K-mers are numbers of two bits a letter, counted in each batch; a row for each of a batch is what Spark sums up, before
+    and after the shuffle. Only its letters are text.
+    """
     _check(k)
-    clean = df.select(F.explode(S.clean_kmers(F.col("sequence"), k)).alias("kmer"))
-    if canonical:
-        clean = clean.select(S.canonical(F.col("kmer")).alias("kmer"))
-    return clean.groupBy("kmer").agg(F.count("*").alias("count"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts = bytes_of(batch.column(0))
+            codes, n = np.unique(hashing.kmer_codes(np.insert(data, starts[:-1], 0), k, canonical), return_counts=True)
+            for a in range(0, len(codes), _WINDOWS):
+                yield pa.RecordBatch.from_arrays([hashing.kmer_texts(codes[a : a + _WINDOWS], k), pa.array(n[a : a + _WINDOWS])], ["kmer", "n"])
+
+    return df.select("sequence").mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("count"))
 
 
 def kmer_totals(counts: DataFrame) -> DataFrame:

@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.vectors import translated
+from ..functions import vectors as V
 from ..schema import ADAPTER, ADAPTER_OVERLAP, MASK_BELOW
 
 
 def reverse_complement(df: DataFrame) -> DataFrame:
     """Ids end in _revcomp; quality is dropped."""
-    return df.select(F.concat("id", F.lit("_revcomp")).alias("id"), S.reverse_complement(F.col("sequence")).alias("sequence"), F.lit(None).cast("string").alias("quality"))
+    return df.select(F.concat("id", F.lit("_revcomp")).alias("id"), V.reverse_complement(F.col("sequence")).alias("sequence"), F.lit(None).cast("string").alias("quality"))
 
 
 def sequence_masking(df: DataFrame, below: int = MASK_BELOW) -> DataFrame:
     """N where the quality byte is below the threshold; a quality of another length than the sequence is an error."""
-    fits = F.col("quality").isNull() | (F.length("sequence") == F.length("quality"))
-    checked = F.when(fits, S.masked(F.col("sequence"), F.col("quality"), below)).otherwise(F.raise_error(F.lit("sequence and quality differ in length")).cast("string"))
-    return df.select("id", checked.alias("sequence"), "quality")
+    return df.select("id", V.masked(F.col("sequence"), F.col("quality"), below).alias("sequence"), "quality")
 
 
 def masking_stats(original: DataFrame, masked: DataFrame) -> DataFrame:
@@ -51,7 +49,7 @@ def translation(df: DataFrame, frame: int = 0, least: int = 1) -> DataFrame:
     """Protein of one forward frame up to the first stop; ids end in _frame<f>; quality is dropped."""
     if frame not in (0, 1, 2):
         raise ValueError("frame must be 0, 1 or 2")
-    proteins = df.select(F.concat("id", F.lit(f"_frame{frame}")).alias("id"), translated(F.col("sequence"), frame).alias("sequence"), F.lit(None).cast("string").alias("quality"))
+    proteins = df.select(F.concat("id", F.lit(f"_frame{frame}")).alias("id"), V.translated(F.col("sequence"), frame).alias("sequence"), F.lit(None).cast("string").alias("quality"))
     return proteins.where(F.length("sequence") >= least)
 
 
