@@ -1,11 +1,13 @@
 """Benchmark decontamination with SimHash windows.
 
 An item of n shingles is looked for in every window of n shingles of every document (the whole document, where that is
-shorter). A window's 128-bit SimHash is looked up in a multi-index of eight blocks of 16 bits: two fingerprints within
-RADIUS = 38 bits differ by at most 4 bits in some block, so the items whose block is that near, checked by the whole
-distance, are all items within the radius. Candidates are confirmed by the exact similarity of the weighted (counted)
-shingles of window and item. Windows at the least similarity of 0.8 share eight ninths of their shingles; their
-fingerprints then differ by 19 bits on average with a deviation of 4, so the radius misses about two in a million.
+shorter). A window's 640-bit SimHash is looked up in a multi-index of twenty blocks of 32 bits: two fingerprints within
+RADIUS = 139 bits differ by at most 6 bits in some block, so the items whose block is that near, checked by the whole
+distance, are all items within the radius. An unrelated block is that near once in 3700, so a lookup's candidates are about
+one in two hundred of the items (128 bits in blocks of 16 would select a quarter of them). Candidates are confirmed by the
+exact similarity of the weighted (counted) shingles of window and item. Windows at the least similarity of 0.8 share eight
+ninths of their shingles; their fingerprints then differ by 95 bits on average with a deviation of 9, so the radius misses
+less than one in a million.
 
 Not all windows are hashed, but none is lost by that: the lesser counts of a window's shingles sum up to at least
 SIMILARITY * n, and every one of them is a position of the window at which a shingle of the item starts. So a window with
@@ -36,11 +38,10 @@ from .common import LOWER, WHITE_OR_PUNCTUATION, blocks_for, checkpointed, docum
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of a fingerprint, bits of a block, greatest distance of fingerprints, and of blocks of which one is that near.
-BITS, PART, RADIUS = 128, 16, 38
+BITS, PART, RADIUS = 640, 32, 139
 NEAR = RADIUS // (BITS // PART)
 BLOCK_BYTES, CHUNK = 2 << 20, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SHIFTS = np.arange(64, dtype=np.uint64)
 _SIEVE = 20
 _ROWS, _WINDOWS = 1024, 2048
 
@@ -58,17 +59,18 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def _votes(hashes: np.ndarray) -> np.ndarray:
     """Each shingle's bits, a row of 0 and 1."""
-    return np.concatenate([x[:, None] >> _SHIFTS & np.uint64(1) for x in (hashes, mix(hashes + _STEP))], 1).astype(np.int32)
+    words = mix(hashes[:, None] + np.arange(BITS // 64, dtype=np.uint64) * _STEP)
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32)
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHashes of windows of `size` shingles as rows of 16-bit blocks, by rolling votes: a bit is set where more than
+    """SimHashes of windows of `size` shingles as rows of 32-bit blocks, by rolling votes: a bit is set where more than
     half of the shingles, counted with their repeats, have it set."""
     total = np.zeros((len(hashes) + 1, BITS), np.int32)
     np.cumsum(_votes(hashes), 0, out=total[1:])
     end = np.minimum(starts + size, len(hashes))
     bits = (total[end] - total[starts]) * 2 > (end - starts)[:, None]
-    return np.packbits(bits, 1).view(np.uint16)
+    return np.packbits(bits, 1).view(np.uint32)
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -91,7 +93,7 @@ class Index:
                 size = min(SHINGLE, len(own))
                 by_size.setdefault(size, []).append(len(self.ids))
                 self.ids.append(item_id), self.sizes.append(len(own)), self.own.append(shingles(own, size))
-        self.prints = np.concatenate([fingerprints(x, np.zeros(1, np.int64), len(x)) for x in self.own]) if self.own else np.zeros((0, BITS // PART), np.uint16)
+        self.prints = np.concatenate([fingerprints(x, np.zeros(1, np.int64), len(x)) for x in self.own]) if self.own else np.zeros((0, BITS // PART), np.uint32)
         # For each block, the values that occur, and the items that have each.
         self.blocks = []
         for b in range(BITS // PART):
@@ -110,11 +112,13 @@ class Index:
 
     def lookup(self, fingerprint: np.ndarray) -> list[int]:
         """All items within RADIUS bits."""
+        candidates = self.selected(fingerprint)
+        return candidates[np.bitwise_count(self.prints[candidates] ^ fingerprint).sum(1) <= RADIUS].tolist() if len(candidates) else []
+
+    def selected(self, fingerprint: np.ndarray) -> np.ndarray:
+        """The items that have a block within NEAR bits."""
         near = [items[k] for (found, items), x in zip(self.blocks, fingerprint, strict=True) for k in np.flatnonzero(np.bitwise_count(found ^ x) <= NEAR)]
-        if not near:
-            return []
-        candidates = np.unique(np.concatenate(near))
-        return candidates[np.bitwise_count(self.prints[candidates] ^ fingerprint).sum(1) <= RADIUS].tolist()
+        return np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
 
     def _starts(self, hits: np.ndarray, n: int, last: int) -> np.ndarray:
         """Windows of n shingles in which a share of the similarity of positions is among the hits."""
