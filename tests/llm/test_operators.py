@@ -657,5 +657,12 @@ def test_empty_tables(spark, hard, codec):
         embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")),
         none.withColumn("_r", pii.scanned(pii.learn(none), none["text"], spark)),
         none.withColumn("_r", secrets.scanned(secrets.learn(none), none["text"], spark)),
+        quality.scored(none, quality.learn(none, spark.createDataFrame([(1, 1)], "doc_id long, quality int")), ["doc_id"]),
+        none.withColumn("_r", langid.predicted(langid.learn(none), none["text"], spark)),
     ]
     assert all(df.isEmpty() for df in results)
+    # Without anything learned every document still has its row.
+    empty_labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.scored(hard, quality.learn(hard, empty_labels), ["doc_id"]).where("score = 0.5 and predicted = 0").count() == hard.count()
+    unknown = hard.select("doc_id", langid.predicted(langid.learn(none), hard["text"], spark).alias("_r"))
+    assert unknown.where(f"_r.lang_pred = '{langid.UNKNOWN}' and _r.score = 0").count() == hard.count()

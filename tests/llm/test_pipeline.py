@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+import numpy as np
 from strandlake.llm import decontaminate, secrets
 from strandlake.llm.queries import ORACLE_SQL, QUERIES
 
@@ -53,6 +54,38 @@ def test_stages_keep_columns_that_clash(spark, hard):
         assert rows and all(r["_language"] == r["_leaks"] == r["kept"] == "mine" and r["node"] == "clash" for r in rows)
 
 
+def test_run(spark):
+    """The whole run over a table equals the plain filters one after the other, and its tokens are those of the texts left."""
+    import base64
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from strandlake.llm import bpe, langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    profiles = langid.learn(docs.where(~langid.held_out(docs["doc_id"], 3, 1)))
+    left = [r for r in docs.collect() if r["text"] is not None]
+    found = {r["doc_id"]: profiles.predict(np.frombuffer(r["text"].encode(), np.uint8)) for r in left}
+    left = [r for r in left if found[r["doc_id"]][0] != langid.UNKNOWN and found[r["doc_id"]][1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    kept = {i for i, _, _, keep in brute_near([(r["doc_id"], r["text"]) for r in left], 5) if keep}
+    left = [r for r in left if r["doc_id"] in kept]
+    table = spark.createDataFrame([(r["doc_id"], r["text"]) for r in left], "doc_id long, text string")
+    leaks = {r["doc_id"] for r in decontaminate.contaminated(table, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    left = [r for r in left if r["doc_id"] not in leaks]
+    table = spark.createDataFrame(left, docs.schema)
+    masked = corpus_pipeline.mask_secrets(spark, table, SF).select("doc_id", "text").collect()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.VOCABULARY), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, text in masked:
+        ids = own.encode_ordinary(text)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    got = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
+    assert got == sorted(want) and 0 < len(got) < docs.count()
+
+
 def test_stages_on_empty_tables(spark, hard):
     docs = hard.where("false")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
