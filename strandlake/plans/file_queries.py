@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks
-from ..sources import bgzf, compressed, fastq, validation
+from ..sources import bgzf, compressed, fastq, tables, validation
 from ..storage import new_folder
 from ..streaming import fastq_source, pipelines
 from .read_queries import QUERIES, SQL, query
-from .reads import MIXED_SQL, mixed
+from .reads import MIXED_SQL, mixed, table
 
 #: Bytes of a split, and of a BGZF part, so that the smallest tables have several.
 SPLIT = 60_000
@@ -29,14 +29,18 @@ def _ordered_files(df: DataFrame, extra) -> str:
     return path
 
 
-def _in_splits(df: DataFrame, path: str, mode: str) -> DataFrame:
-    """The files read in a session whose splits are small."""
-    spark = df.sparkSession.newSession()
+def _small_splits(spark: SparkSession) -> SparkSession:
+    """A session whose splits are small."""
+    own = spark.newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
-        spark.conf.set(key, df.sparkSession.conf.get(key))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT))
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    return fastq.read_fastq(spark, path, mode=mode)
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT))
+    own.conf.set("spark.sql.files.openCostInBytes", "0")
+    return own
+
+
+def _in_splits(df: DataFrame, path: str, mode: str) -> DataFrame:
+    return fastq.read_fastq(_small_splits(df.sparkSession), path, mode=mode)
 
 
 _stray = lambda: F.when(F.col("ord") % 97 < 2, F.concat(F.lit("#"), "id"))
@@ -91,6 +95,26 @@ _BLOCK_ROW = "SELECT {n}::BIGINT AS size, ceil(count(*) / {n}.0)::BIGINT AS bloc
 query("block_sizes", f"WITH {MIXED_SQL} " + " UNION ALL ".join(_BLOCK_ROW.format(n=n) for n in _SIZES), mixed)(lambda df: blocks.block_sizes(df, _SIZES))
 
 
+def _power_logs(df: DataFrame) -> DataFrame:
+    """Logs of events in order, a header before every third, read back in splits: readings by the time that they got."""
+    path = new_folder(df.sparkSession, "logs")
+    header = F.concat(F.lit("*** Sampled system activity ("), F.date_format(F.col("ts").cast("timestamp"), "EEE MMM d HH:mm:ss yyyy Z"), F.lit(")"))
+    reading = F.concat(F.lit("CPU Power: "), F.floor(F.abs("value") * 10).cast("string"), F.lit(" mW"))
+    lines = df.select((F.col("event_id") % FOLDERS).alias("part"), "event_id", F.concat_ws("\n", F.when(F.col("event_id") % 3 == 0, header), F.lit("noise"), reading).alias("value"))
+    lines.repartition(FOLDERS, "part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    read = tables.read_power_log(_small_splits(df.sparkSession), path)
+    return read.groupBy(F.unix_timestamp("timestamp").alias("moment")).agg(F.count("*").alias("n"), F.sum("cpu_power_mw").cast("long").alias("mw"))
+
+
+query(
+    "power_log_files",
+    f"WITH e AS (SELECT event_id, event_id % {FOLDERS} AS part, CASE WHEN event_id % 3 = 0 THEN floor(epoch(ts))::BIGINT END AS moment, floor(abs(value) * 10)::BIGINT AS mw FROM events), "
+    "f AS (SELECT mw, last_value(moment IGNORE NULLS) OVER (PARTITION BY part ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS moment FROM e) "
+    "SELECT moment, count(mw) AS n, sum(mw)::BIGINT AS mw FROM f WHERE moment IS NOT NULL AND mw IS NOT NULL GROUP BY moment",
+    lambda spark, sf_dir: table(spark, sf_dir, "events"),
+)(_power_logs)
+
+
 def stream_fastq_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FASTQ in, filtered, FASTQ out, as a stream that runs twice: files appear between the runs, the second goes on from the first."""
     df, root = mixed(spark, sf_dir), new_folder(spark, "streams")
