@@ -201,8 +201,9 @@ LINES = ("header", "sequence", "separator", "quality")
 Finish = Callable[[list[pa.Array], int, str], pa.RecordBatch]
 
 
-def splittable(path: str) -> bool:
-    return not path.endswith(".gz")
+def unsplit(lines: DataFrame) -> bool:
+    """Whether every file under a path is gzip by its name, which Spark reads whole; the names are those of its own listing."""
+    return all(name.endswith(".gz") for name in lines.inputFiles())
 
 
 def framed_files(spark: SparkSession, path: str, mode: str, finish: Finish, schema: str, cut_short: Callable[[list[str], int, str], pa.RecordBatch | None]) -> tuple[DataFrame, DataFrame | None]:
@@ -213,7 +214,7 @@ def framed_files(spark: SparkSession, path: str, mode: str, finish: Finish, sche
     one row for each split.
     """
     lines = text_lines(spark, path)
-    whole_files = not splittable(path)
+    whole_files = unsplit(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         framer, file = None, ""
