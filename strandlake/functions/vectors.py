@@ -6,6 +6,7 @@ counted or looked up in a single pass.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,35 @@ def byte_counts(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).mapInArrow(run, "byte int, n long")
 
 
+#: Cells of a table of positions and bytes that a batch is counted in; longer texts are counted by sorting.
+_CELLS = 1 << 22
+
+
+def position_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows (pos, q, n): how often each character code occurs at each position, from 0, one row for each and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts = bytes_of(batch.column(0))
+            if len(data) and data.max() >= 128:  # characters beyond ASCII are rare and taken one by one
+                seen = Counter((i, ord(c)) for t in batch.column(0).to_pylist() if t for i, c in enumerate(t))
+                pos, q, n = (np.array(x, np.int64) for x in zip(*((i, c, k) for (i, c), k in seen.items()), strict=True))
+            else:
+                size = np.diff(starts)
+                key = 256 * (np.arange(len(data)) - np.repeat(starts[:-1], size)) + data
+                cells = 256 * int(size.max()) if len(size) else 0
+                if cells <= _CELLS:
+                    table = np.bincount(key, minlength=cells)
+                    found = np.flatnonzero(table)
+                    n = table[found]
+                else:
+                    found, n = np.unique(key, return_counts=True)
+                pos, q = found // 256, found % 256
+            yield pa.RecordBatch.from_arrays([pa.array(pos.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(n.astype(np.int64))], ["pos", "q", "n"])
+
+    return df.select(column).mapInArrow(run, "pos int, q int, n long")
+
+
 def count_among(letters: str | None) -> Column:
     """The sum of byte counts whose byte is a letter in either case; of all, without letters."""
     n = F.col("n") if letters is None else F.when(F.col("byte").isin(*sorted({ord(c) for c in letters.upper() + letters.lower()})), F.col("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.vectors import byte_counts, count_among, mean_byte
+from ..functions.vectors import byte_counts, count_among, mean_byte, position_counts
 from ..schema import MIN_LENGTH, MIN_QUALITY
 
 
@@ -26,8 +26,7 @@ def quality_statistics(df: DataFrame) -> DataFrame:
     Positions and byte values are counted first (at most 256 rows for each position), and the percentiles use these
     counts as frequencies, so the second shuffle doesn't depend on the number of reads.
     """
-    flat = df.where("quality is not null").select(F.posexplode(F.transform(S.characters(F.col("quality")), lambda c: F.ascii(c))).alias("pos", "q"))
-    counted = flat.groupBy("pos", "q").agg(F.count("*").alias("n"))
+    counted = position_counts(df.where("quality is not null"), "quality").groupBy("pos", "q").agg(F.sum("n").alias("n"))
     t = counted.groupBy("pos").agg(F.sum(F.col("q") * F.col("n")).alias("total"), F.sum("n").alias("count"), F.expr("percentile(q, array(0.25, 0.5, 0.75), n)").alias("p"))
     return t.select("pos", S.mean(F.col("total"), F.col("count")).alias("mean"), F.col("p")[1].alias("median"), F.col("p")[0].alias("q1"), F.col("p")[2].alias("q3"), "count")
 

@@ -109,3 +109,19 @@ def test_sql_functions(spark):
     assert found == {"a": (50.0, 1.25, 73.0, "ACGTAACGT"), "b": (50.0, 1.0, None, "AC"), "c": (None, None, None, None), "d": (0.0, 0.0, 0.0, ""), "e": (200 / 3, 1.0, 33.0, "ACG"), "f": (0.0, 0.25, 126.0, "AAAA")}
     with pytest.raises(Exception, match="from 3 to 31"):
         own.sql("SELECT * FROM kmers(TABLE(reads), 2)").collect()
+
+
+def test_position_counts(spark, monkeypatch):
+    """Counts by position and code, by table and by sorting, with nulls, empty texts and characters beyond ASCII."""
+    from collections import Counter
+
+    from strandlake.functions import vectors
+
+    for cells in (1 << 22, 0):
+        monkeypatch.setattr(vectors, "_CELLS", cells)
+        for rows in ([("II!",), (None,), ("",), ("~" * 500,), ("!I",)], [("Ié",), ("éI",), ("",)], [(None,)]):
+            df = spark.createDataFrame(rows, "q string").repartition(2)
+            got = Counter()
+            for r in vectors.position_counts(df, "q").collect():
+                got[r["pos"], r["q"]] += r["n"]
+            assert got == Counter((i, ord(c)) for (t,) in rows if t for i, c in enumerate(t))
