@@ -1,12 +1,14 @@
 """Pairwise distances in tiles, and their summaries.
 
-Both sides are dealt into blocks of about TILE reads; every two blocks meet in one task, as matrices, so no task holds
-more than two blocks and no row is made for a pair that isn't asked for. The work is that of all pairs, spread out.
+Reads are packed where they lie into blocks of up to TILE, a row for each, and the blocks are stored once. Two parts of a
+few blocks meet in one task, which reads them from the store: what is written grows with the reads, not with the pairs, no
+task holds more than its two parts, and no row is made for a pair that isn't asked for. The work is that of all pairs,
+spread out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..schema import EDIT_MAX
+from ..storage import checkpointed
 
 TILE = 4096
-#: Reads of one side whose distances to a block are held at once.
-_ROWS = 512
+#: Blocks in a part.
+_BLOCKS = 16
+#: Distances that are counted at once; few enough to stay in a processor's cache.
+_PIECE = 1 << 14
 
 
 def first_reads(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
@@ -26,60 +31,159 @@ def first_reads(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def _letters(texts: pa.ChunkedArray, size: int) -> np.ndarray:
-    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(texts), size)
+_BLOCK = "size int, ords binary, letters array<int>, planes binary"
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of all rows of a and b: length less the places with equal letters, a product for each letter."""
-    same = np.zeros((len(a), len(b)), np.float32)
-    for letter in np.intersect1d(a, b):
-        same += (a == letter).astype(np.float32) @ (b == letter).astype(np.float32).T
-    return a.shape[1] - same.astype(np.int64)
+def _planes(texts: list[str], size: int) -> tuple[list[int], np.ndarray]:
+    """The letters of texts of one size, and bit k of the letters' numbers at [k, w], in words of 64 places, a word for each text."""
+    numbers = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), size)
+    letters = np.unique(numbers).tolist()
+    words = -(-size // 64)
+    out = np.zeros((max(letters, default=0).bit_length(), words, len(texts)), np.uint64)
+    for k in range(len(out)):
+        bits = np.zeros((len(texts), 64 * words), bool)
+        bits[:, :size] = numbers >> k & 1
+        out[k] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T
+    return letters, out
+
+
+def _telling(letters: set[int]) -> list[int]:
+    """A few bits that tell the letters apart."""
+    kept = list(range(max(letters, default=0).bit_length()))
+    for k in reversed(tuple(kept)):
+        mask = sum(1 << x for x in kept if x != k)
+        if len({x & mask for x in letters}) == len(letters):
+            kept.remove(k)
+    return kept
+
+
+def _apart(a: np.ndarray, b: np.ndarray, size: int, room: np.ndarray) -> np.ndarray:
+    """Hamming distances of all texts of a and b by their planes: places in which some bit differs; room is overwritten."""
+    out = np.zeros((a.shape[2], b.shape[2]), np.uint8 if size < 256 else np.int64)
+    differs, bit = room[:, : a.shape[2], : b.shape[2]]
+    for w in range(a.shape[1]):
+        differs[:] = 0
+        for k in range(len(a)):
+            np.bitwise_xor(a[k, w][:, None], b[k, w][None, :], out=bit)
+            np.bitwise_or(differs, bit, out=differs)
+        out += np.bitwise_count(differs)
+    return out
+
+
+def _packed(df: DataFrame, order: str, tile: int) -> DataFrame:
+    """A row for each block of up to `tile` reads of one task."""
+
+    def row(ords: list[int], texts: list[str]) -> pa.RecordBatch:
+        sizes = {len(s) for s in texts}
+        if len(sizes) > 1:
+            raise ValueError("reads differ in length")
+        letters, planes = _planes(texts, min(sizes))
+        values = (min(sizes), np.array(ords, np.int64).tobytes(), letters, planes.tobytes())
+        kinds = (pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["size", "ords", "letters", "planes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ords, texts = [], []
+        for batch in batches:
+            ords += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+            while len(ords) >= tile:
+                yield row(ords[:tile], texts[:tile])
+                ords, texts = ords[tile:], texts[tile:]
+        if ords:
+            yield row(ords, texts)
+
+    return df.select(F.col(order).cast("long").alias("ord"), "sequence").mapInArrow(run, _BLOCK)
+
+
+def _parts(df: DataFrame, order: str, tile: int, least: int) -> DataFrame:
+    """Numbered blocks in parts, stored; at least so many parts if there are blocks for them."""
+    found = checkpointed(_packed(df, order, tile)).withColumn("number", F.monotonically_increasing_id())
+    n = found.count()
+    return checkpointed(found.repartition(max(1, -(-n // _BLOCKS), min(n, least))))
 
 
 def _tiled(left: DataFrame, right: DataFrame, order: str, tile: int, reduce: Callable, schema: str, once: bool) -> DataFrame:
-    """reduce(i, j, distance) of every two blocks, i and j from the left and right side; once: only i < j counts."""
-    n, m = (max(1, -(-x.count() // tile)) for x in (left, right))
-    block = lambda k: F.pmod(F.xxhash64(order), F.lit(k)).cast("int")
-    others = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = left.select(F.col(order).cast("long").alias("ord"), "sequence", block(n).alias("_a")).withColumn("_b", others(m))
-    b = right.select(F.col(order).cast("long").alias("ord"), "sequence", block(m).alias("_b")).withColumn("_a", others(n))
-    if once and n == m:  # both sides are the same reads: blocks (x, y) and (y, x) hold the same pairs
-        a, b = a.where("_a <= _b"), b.where("_a <= _b")
+    """reduce(pieces) of every two blocks; once: the sides are the same, and only i < j counts."""
+    b = _parts(right, order, tile, right.sparkSession.sparkContext.defaultParallelism)
+    a = b if once else _parts(left, order, tile, 1)
+    a, b = (x.select(*[F.col(c).alias(f"{c}_{side}") for c in x.columns]) for x, side in ((a, "a"), (b, "b")))
+    pairs = a.hint("shuffle_replicate_nl").crossJoin(b)
     names = [f.split()[0] for f in schema.split(", ")]
 
-    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        lengths = {len(s) for t in (x, y) for s in t.column("sequence").to_pylist()}
-        if len(lengths) > 1:
-            raise ValueError("reads differ in length")
-        found = []
-        if len(x) and len(y):
-            size, same_block = lengths.pop(), x.column("_a")[0] == x.column("_b")[0]
-            i, j, p, q = x.column("ord").to_numpy(), y.column("ord").to_numpy(), _letters(x.column("sequence"), size), _letters(y.column("sequence"), size)
-            for k in range(0, len(i), _ROWS):
-                d = _apart(p[k : k + _ROWS], q)
-                low, high = i[k : k + _ROWS, None], j[None, :]
-                wanted = low != high if not once else low < high if same_block or n != m else low != high
-                found.append(reduce(*np.broadcast_arrays(low, high), d, wanted))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * len(names)
-        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(names, columns, strict=True)})
+    def block(row: dict, side: str, bits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        ords, words = np.frombuffer(row[f"ords_{side}"], np.int64), -(-row[f"size_{side}"] // 64)
+        held = np.frombuffer(row[f"planes_{side}"], np.uint64).reshape(max(row[f"letters_{side}"], default=0).bit_length(), words, len(ords))
+        none = np.zeros(held.shape[1:], np.uint64)
+        return ords, np.array([held[k] if k < len(held) else none for k in bits], np.uint64).reshape(len(bits), words, len(ords))
 
-    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(meet, schema)
+    def pieces(row: dict) -> Iterator[Piece]:
+        if row["size_a"] != row["size_b"]:
+            raise ValueError("reads differ in length")
+        bits = _telling({*row["letters_a"], *row["letters_b"]})
+        (i, p), (j, q) = block(row, "a", bits), block(row, "b", bits)
+        same = once and row["number_a"] == row["number_b"]
+        met = np.isin(i, j)
+        wide = min(len(j), _PIECE)
+        high = _PIECE // wide
+        room = np.empty((2, high, wide), np.uint64)
+        for x in range(0, len(i), high):
+            low = i[x : x + high, None]
+            for y in range(0, len(j), wide):
+                other = j[None, y : y + wide]
+                wanted = low < other if same else low != other if met[x : x + high].any() else None
+                yield low[:, 0], other[0], _apart(p[:, :, x : x + high], q[:, :, y : y + wide], row["size_a"], room), wanted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for columns in reduce(pieces(batch.slice(k, 1).to_pylist()[0])):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return (pairs.where("number_a <= number_b") if once else pairs).mapInArrow(run, schema)
+
+
+#: Keys of some reads of each side, their distances, and which of them count (None: all).
+Piece = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]
+#: Rows made at once.
+_ROWS = 1 << 20
 
 
 def _listed(most: int | None, swap: bool) -> Callable:
-    def run(i: np.ndarray, j: np.ndarray, d: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-        kept = wanted if most is None else wanted & (d <= most)
-        x, y = i[kept], j[kept]
-        return (np.minimum(x, y), np.maximum(x, y), d[kept]) if swap else (x, y, d[kept])
+    def run(pieces: Iterator[Piece]) -> Iterator[tuple[np.ndarray, ...]]:
+        held, n = [], 0
+        for i, j, d, wanted in pieces:
+            kept = np.ones(d.shape, bool) if most is None else d <= most
+            at = np.flatnonzero(kept if wanted is None else kept & wanted)
+            if len(at):
+                x, y = np.divmod(at, len(j))
+                held.append((i[x], j[y], d[x, y].astype(np.int64)))
+                n += len(x)
+            if n >= _ROWS:
+                yield _joined(held, swap)
+                held, n = [], 0
+        if held:
+            yield _joined(held, swap)
 
     return run
 
 
-def _summed(i: np.ndarray, j: np.ndarray, d: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-    some = d[wanted]
-    return tuple(np.array([x], np.int64) for x in (len(some), some.sum(), some.min(), some.max())) if len(some) else (np.zeros(0, np.int64),) * 4
+def _joined(held: list[tuple[np.ndarray, ...]], swap: bool) -> tuple[np.ndarray, ...]:
+    i, j, d = (np.concatenate(c) for c in zip(*held, strict=True))
+    return (np.minimum(i, j), np.maximum(i, j), d) if swap else (i, j, d)
+
+
+def _summed(pieces: Iterator[Piece]) -> Iterator[tuple[list[int], ...]]:
+    """One row for two blocks: pairs, the sum of their distances, the least and the greatest."""
+    n, total, low, high = 0, 0, None, None
+    for _, _, d, wanted in pieces:
+        some = d if wanted is None else d[wanted]
+        if some.size:
+            n, total = n + some.size, total + int(some.sum(dtype=np.int64))
+            a, b = int(some.min()), int(some.max())
+            low, high = a if low is None else min(low, a), b if high is None else max(high, b)
+    if n:
+        yield [n], [total], [low], [high]
 
 
 _PAIRS, _TOTALS = "i long, j long, distance long", "n long, total long, low long, high long"
@@ -97,7 +201,7 @@ def hamming_search(queries: DataFrame, df: DataFrame, most: int | None = None, o
 
 def hamming_summary(df: DataFrame, queries: DataFrame | None = None, order: str = "ord", tile: int = TILE) -> DataFrame:
     """Number, least, greatest and mean distance of all pairs, or of queries with all other reads; a row for each two
-    blocks is all that is shuffled. Mean 0.0 and null bounds without pairs."""
+    blocks is all that is summed up. Mean 0.0 and null bounds without pairs."""
     parts = _tiled(df if queries is None else queries, df, order, tile, _summed, _TOTALS, queries is None)
     t = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_pairs"), F.min("low").alias("min_distance"), F.max("high").alias("max_distance"), F.sum("total").alias("_total"))
     return t.select("num_pairs", "min_distance", "max_distance", S.mean(F.col("_total"), F.col("num_pairs")).alias("mean_distance"))

@@ -196,6 +196,27 @@ def test_distances(reads):
     assert one(pairwise.hamming_summary(reads(["G"]))) == {"num_pairs": 0, "min_distance": None, "max_distance": None, "mean_distance": 0.0}
 
 
+def test_distances_of_other_reads(spark):
+    """Long and empty reads, letters beyond ASCII and repeated keys, by brute force; reads are stored once, not for each block they meet."""
+    import random
+
+    r = random.Random(5)
+    for size, letters in ((0, "A"), (3, "ACGTN"), (130, "ACGTNacgtn"), (300, "Aé漢😀")):
+        rows = [(k // 2 if k < 6 else k, "".join(r.choice(letters) for _ in range(size))) for k in range(23)]
+        df = spark.createDataFrame(rows, "ord long, sequence string").repartition(3)
+        apart = lambda x, y: sum(a != b for a, b in zip(x, y, strict=True))
+        want = sorted((i, j, apart(x, y)) for i, x in rows for j, y in rows if i % 3 == 0 and i != j)
+        found = pairwise.hamming_search(df.where("ord % 3 = 0"), df, tile=4)
+        assert sorted(map(tuple, found.collect())) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+        once = sorted((i, j, d) for i, j, d in ((i, j, apart(x, y)) for i, x in rows for j, y in rows) if i < j)
+        assert sorted(map(tuple, pairwise.hamming_distance(df, tile=4).collect())) == once
+        for got, pairs in ((pairwise.hamming_summary(df, df.where("ord % 3 = 0"), tile=4), want), (pairwise.hamming_summary(df, tile=4), once)):
+            d = [x for *_, x in pairs]
+            assert tuple(got.first()) == (len(d), min(d), max(d), sum(d) / len(d))
+
+
 def test_two_bit(reads):
     enc = reads(["TGCAG", "tnW", "", "G"]).select("id", P.encode(F.col("sequence")).alias("p"))
     got = {r["id"]: r for r in enc.select("id", "p.data", P.decode(F.col("p")).alias("s"), P.get(F.col("p"), F.lit(4)).alias("g"), P.decode(P.reverse_complement(F.col("p"))).alias("rc")).collect()}
