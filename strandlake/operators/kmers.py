@@ -124,6 +124,7 @@ def minhash_sketching(df: DataFrame, k: int = SKETCH_K, size: int = SKETCH_SIZE)
 
 def jaccard_similarity(sketches: DataFrame, pairs: DataFrame) -> DataFrame:
     """Similarity of the sketches named by pairs (a, b): shared over all hashes, both counted with repeats; 0 for an empty one."""
-    s = lambda side: sketches.select(F.col("sequence_id").alias(side), F.col("sketch").alias(f"_{side}"))
-    both = pairs.join(s("a"), "a").join(s("b"), "b")
-    return both.select("a", "b", hashing.similarity(F.col("_a"), F.col("_b")).alias("similarity"))
+    s = lambda side: sketches.select(F.col("sequence_id").alias(side), hashing.packed(F.col("sketch")).alias(f"_{side}"))
+    # Spark takes sketches for small, by the size of the files that they are made from, and would broadcast them.
+    both = pairs.join(s("a").hint("merge"), "a").join(s("b").hint("merge"), "b")
+    return both.select("a", "b", hashing.packed_similarity(F.col("_a"), F.col("_b")).alias("similarity"))

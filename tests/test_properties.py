@@ -82,6 +82,19 @@ def test_sketch_similarity(spark):
         assert row["s"] == (sum((a & b).values()) / sum((a | b).values()) if a or b else 0.0)
 
 
+def test_sketches_are_not_broadcast(spark, tmp_path):
+    """Sketches of a small file are large: they meet by a merge, in eight bytes for each hash."""
+    from strandlake.operators import kmers
+
+    spark.createDataFrame([(f"r{i}", "ACGTTGCA" * 8) for i in range(50)], "id string, sequence string").write.parquet(str(tmp_path / "reads"))
+    df = spark.read.parquet(str(tmp_path / "reads"))
+    pairs = df.selectExpr("id a", "concat('r', (int(substr(id, 2)) + 1) % 50) b")
+    found = kmers.jaccard_similarity(kmers.minhash_sketching(df, 5), pairs)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+    assert [tuple(r) for r in found.select("similarity").distinct().collect()] == [(1.0,)] and found.count() == 50
+
+
 def test_masking_stats_with_repeated_ids(spark):
     from strandlake.operators import transforms
 
