@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import READS
+from ..storage import checkpointed
 from .fastq import no_rest, reads_batch
 from .framing import Framer
 from .store import files, opened_anywhere
@@ -131,7 +132,8 @@ def index(spark: SparkSession, path: str, range_bytes: int = PART_BYTES) -> Data
                         rows.append({"file": r["file"], "range": r["range"], "block": place, "size": size, "text": len(text), "lines": text.count(b"\n")})
                 yield from pa.Table.from_pylist(rows).to_batches()
 
-    each = cut.repartition(tasks, "file", "range").mapInArrow(run, _BLOCKS)
+    # Both the rows and their sums come from here; the blocks are inflated once.
+    each = checkpointed(cut.repartition(tasks, "file", "range").mapInArrow(run, _BLOCKS))
     inside = F.coalesce(F.sum("lines").over(W.partitionBy("file", "range").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     earlier = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = each.withColumn("inside", inside)
@@ -196,8 +198,6 @@ def read_parts(pieces: DataFrame, mode: str = "FAILFAST", validate: bool = False
 
 def read_bgzf(spark: SparkSession, path: str, mode: str = "FAILFAST", validate: bool = False, stored: DataFrame | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Reads of BGZF files, by a stored index or one made now."""
-    from ..storage import checkpointed
-
     return read_parts(checkpointed(parts(index(spark, path, part_bytes) if stored is None else stored, part_bytes)), mode, validate)
 
 
