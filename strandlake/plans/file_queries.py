@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks
 from ..sources import bgzf, compressed, fastq, tables, validation
+from ..sources.store import files
 from ..storage import new_folder
 from ..streaming import fastq_source, pipelines
 from .read_queries import QUERIES, SQL, query
 from .reads import MIXED_SQL, mixed, table
 
-#: Bytes of a split, and of a BGZF part, so that the smallest tables have several.
+#: Least bytes of a split, of a BGZF part and of a stream's range, so that the smallest tables have several.
 SPLIT = 60_000
+#: Splits of larger files, until each has the bytes that its reader takes unless told otherwise.
+SPLITS = 256
+_MOST_BYTES = 128 << 20
 #: Folders of files in which the place of a read follows from its key.
 FOLDERS = 4
 
@@ -29,18 +33,29 @@ def _ordered_files(df: DataFrame, extra) -> str:
     return path
 
 
-def _small_splits(spark: SparkSession) -> SparkSession:
-    """A session whose splits are small."""
+def split_bytes(total: int, most: int) -> int:
+    """Bytes of a split of files that hold `total` bytes: their number grows with them only beyond SPLITS of the most bytes."""
+    return min(most, max(SPLIT, -(-total // SPLITS)))
+
+
+def _folder_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of a folder's files, from their names and sizes alone."""
+    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def _small_splits(spark: SparkSession, path: str) -> SparkSession:
+    """A session whose splits of a folder are small, for a small folder."""
     own = spark.newSession()
+    size = split_bytes(_folder_bytes(spark, path), _MOST_BYTES)
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
         own.conf.set(key, spark.conf.get(key))
-    own.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT))
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(size))
     own.conf.set("spark.sql.files.openCostInBytes", "0")
     return own
 
 
 def _in_splits(df: DataFrame, path: str, mode: str) -> DataFrame:
-    return fastq.read_fastq(_small_splits(df.sparkSession), path, mode=mode)
+    return fastq.read_fastq(_small_splits(df.sparkSession, path), path, mode=mode)
 
 
 _stray = lambda: F.when(F.col("ord") % 97 < 2, F.concat(F.lit("#"), "id"))
@@ -71,12 +86,18 @@ _bad = lambda df: df.withColumn("quality", F.when(F.col("ord") % 3 == 0, F.conca
 
 def _stored_index(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, new_folder(df.sparkSession, "index")
-    bgzf.index(spark, _written(df, "bgzf"), SPLIT).write.parquet(path)
+    written = _written(df, "bgzf")
+    bgzf.index(spark, written, split_bytes(sum(n for _, n in files(written)), bgzf.PART_BYTES)).write.parquet(path)
     return spark.read.parquet(path)
 
 
-query("bgzf_malformed_files", f"{_FILLED} WHERE ord % 3 <> 0", mixed)(lambda df: bgzf.read_bgzf(df.sparkSession, "", "DROPMALFORMED", stored=_stored_index(_bad(df)), part_bytes=SPLIT))
-query("bgzf_files", _FILLED, mixed)(lambda df: bgzf.read_bgzf(df.sparkSession, "", stored=_stored_index(df), part_bytes=SPLIT))
+def _read_parts(stored: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    total = stored.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return bgzf.read_bgzf(stored.sparkSession, "", mode, stored=stored, part_bytes=split_bytes(total, bgzf.PART_BYTES))
+
+
+query("bgzf_malformed_files", f"{_FILLED} WHERE ord % 3 <> 0", mixed)(lambda df: _read_parts(_stored_index(_bad(df)), "DROPMALFORMED"))
+query("bgzf_files", _FILLED, mixed)(lambda df: _read_parts(_stored_index(df)))
 query("bgzf_index_totals", f"WITH {MIXED_SQL} SELECT (4 * count(*))::BIGINT AS lines, sum(strlen(id) + 2 * strlen(sequence) + 6)::BIGINT AS bytes FROM reads", mixed)(
     lambda df: _stored_index(df).agg(F.sum("lines").alias("lines"), F.sum("text").alias("bytes"))
 )
@@ -102,7 +123,7 @@ def _power_logs(df: DataFrame) -> DataFrame:
     reading = F.concat(F.lit("CPU Power: "), F.floor(F.abs("value") * 10).cast("string"), F.lit(" mW"))
     lines = df.select((F.col("event_id") % FOLDERS).alias("part"), "event_id", F.concat_ws("\n", F.when(F.col("event_id") % 3 == 0, header), F.lit("noise"), reading).alias("value"))
     lines.repartition(FOLDERS, "part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
-    read = tables.read_power_log(_small_splits(df.sparkSession), path)
+    read = tables.read_power_log(_small_splits(df.sparkSession, path), path)
     return read.groupBy(F.unix_timestamp("timestamp").alias("moment")).agg(F.count("*").alias("n"), F.sum("cpu_power_mw").cast("long").alias("mw"))
 
 
@@ -120,7 +141,8 @@ def stream_fastq_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, root = mixed(spark, sf_dir), new_folder(spark, "streams")
     for half in range(2):
         compressed.write_compressed(df.where(F.col("ord") % 2 == half), f"{root}/in", "none")
-        pipelines.fastq_pipeline(fastq_source.stream_fastq(spark, f"{root}/in", SPLIT), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        size = split_bytes(sum(n for _, n in files(f"{root}/in")), fastq_source.PARTITION_BYTES)
+        pipelines.fastq_pipeline(fastq_source.stream_fastq(spark, f"{root}/in", size), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return fastq.read_fastq(spark, f"{root}/out/*.gz")
 
 

@@ -390,3 +390,15 @@ def test_streams_equal_batches(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(quality_filter_rows(batch))
     pipelines.complete_to(pipelines.running_counts(stream), str(tmp_path / "sum"), str(tmp_path / "c2")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "sum"))) == rows(pipelines.running_counts(batch))
+
+
+def test_splits_of_larger_files(spark, monkeypatch):
+    """Larger files have larger splits, not more of them, and the same reads."""
+    from strandlake.plans import file_queries as Q
+
+    assert Q.split_bytes(0, 1 << 27) == Q.split_bytes(1_000_000, 1 << 27) == Q.SPLIT
+    assert -(-5_000_000_000 // Q.split_bytes(5_000_000_000, 1 << 27)) <= Q.SPLITS and Q.split_bytes(1 << 50, 1 << 27) == 1 << 27
+    monkeypatch.setattr(Q, "SPLITS", 2)
+    for name, n in (("fastq_stray_resync", 15_000), ("bgzf_files", 15_000)):
+        df = Q.QUERIES[name](spark, "/root/testdata/sf0.01")
+        assert df.rdd.getNumPartitions() <= 12 and df.count() == n
