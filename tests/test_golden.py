@@ -370,3 +370,18 @@ def test_tree_models(spark):
     assert got["gradient_boosting"]["r2"] > 0.98 and got["linear"]["r2"] < 0.9
     for kind, degree in (("linear", 1), ("quadratic", 2)):
         assert abs(models.least_squares(df, ["x", "z"], "step", F.col("i") % 3, degree).r2 - got[kind]["r2"]) < 1e-4
+
+
+def test_boosting_over_cells(spark):
+    """One row for each cell of equal features, weighted, grows the trees of all rows."""
+    import numpy as np
+
+    from strandlake.operators import models
+
+    rows = [(float(i % 7), float(i % 3), float(i % 7 > 3) * 10 + float(np.sin(i * i))) for i in range(400)]
+    df = spark.createDataFrame(rows, "x double, z double, y double").repartition(2)
+    ours, plain = (m.transform(df).groupBy("x", "z").agg(F.avg("prediction").alias("p")) for m in (models.trained(df, "gradient_boosting", ["x", "z"], "y"), models.regression("gradient_boosting", ["x", "z"], "y").fit(df)))
+    assert all(abs(r["p"] - r["q"]) < 1e-6 for r in ours.join(plain.withColumnRenamed("p", "q"), ["x", "z"]).collect())
+    kept = models._dealt(df, ["x", "z"], "y", 5, 42)
+    assert kept.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism and kept.where("_fold between 0 and 4").count() == 400
+    kept.unpersist()
