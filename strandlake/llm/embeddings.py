@@ -8,7 +8,9 @@ apart than their covering radii and REACH is pruned, cells first, then the nodes
 left is compared vector by vector in double precision. No pair is pruned that could reach the threshold.
 
 Where vectors have no structure (random ones in many dimensions), no bound prunes cells, and every pair of blocks meets;
-each of these is one task's matrix product, so the work stays exact and spread out, but grows with the square.
+each of these is a matrix product in single precision, whose hits within its error are compared in double precision, so
+the work stays exact and spread out, but grows with the square. Blocks are stored once, and two parts of a few blocks
+meet in one task, so what is written grows with the vectors, not with the pairs.
 
 A pair of blocks returns, for each vector, how many it links with, and a spanning forest of the links, never all links.
 
@@ -38,6 +40,10 @@ PIVOTS, SAMPLE = 512, 2048
 RADII = (1.0, 0.5, 0.25, 0.125)
 _SLACK = 1e-5  # more than double precision can be off, by far
 _ROWS = 512
+#: Blocks in a part, and centres of an upper net for each vector at which a block has no structure to descend.
+_PART, _FLAT = 16, 0.5
+#: Pairs compared at once in double precision.
+_PAIRS = 1 << 16
 
 
 def reach(threshold: float) -> float:
@@ -60,27 +66,31 @@ class Tree:
 
     def __init__(self, vectors: np.ndarray, radii: tuple[float, ...] = RADII):
         n = len(vectors)
-        node, apart = np.zeros(n, np.int64), np.zeros(n)
+        single = vectors.astype(np.float32)
+        cosines = single @ single.T
+        node = np.zeros(n, np.int64)
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for radius in radii:
+            near = cosines >= 1 - radius * radius / 2  # cosines may be off a little: covering radii are measured below
             centre, parent, own = [], [], np.full(n, -1)
-            order = np.argsort(node, kind="stable")
-            for members in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
-                left = members
-                while len(left):
-                    d = _apart(vectors[left], vectors[left[:1]])[:, 0]
-                    near = (d <= radius) | (left == left[0])
-                    own[left[near]], apart[left[near]] = len(centre), d[near]
-                    centre.append(left[0]), parent.append(node[left[0]])
-                    left = left[~near]
+            for i in np.argsort(node, kind="stable").tolist():
+                if own[i] < 0:
+                    own[near[i] & (own < 0) & (node == node[i])] = len(centre)
+                    own[i] = len(centre)
+                    centre.append(i), parent.append(node[i])
             node = own
             cover = np.zeros(len(centre))
-            np.maximum.at(cover, node, apart)
+            np.maximum.at(cover, node, _between(vectors, np.array(centre, np.int64)[node]))
             self.levels.append((np.array(centre), np.array(parent), cover))
         self.order = np.argsort(node, kind="stable")
         self.first = np.searchsorted(node[self.order], np.arange(len(self.levels[-1][0]) + 1))
 
 
+def _between(vectors: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The distance of each vector from the one whose index is given."""
+    return np.sqrt(np.maximum(0, 2 - 2 * np.einsum("nd,nd->n", vectors, vectors[other])))
+
+
 def _descend(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each index, its run of successors: position in `at`, and successor."""
     n = sizes[at]
@@ -92,6 +102,9 @@ def linked(x: np.ndarray, y: np.ndarray, tx: Tree, ty: Tree, threshold: float =
     """Index pairs of two blocks with cosine >= threshold, in parts."""
     far = reach(threshold) + _SLACK
     (cx, _, rx), (cy, _, ry) = tx.levels[0], ty.levels[0]
+    if len(cx) * len(cy) > _FLAT * _FLAT * len(x) * len(y):
+        yield from _compared(x, y, threshold)
+        return
     for a in range(0, len(cx), _ROWS):
         i, j = np.nonzero(_apart(x[cx[a : a + _ROWS]], y[cy]) <= rx[a : a + _ROWS, None] + ry + far)
         i += a
@@ -124,6 +137,23 @@ def linked(x: np.ndarray, y: np.ndarray, tx: Tree, ty: Tree, threshold: float =
             yield p[near], q[near]
 
 
+def _compared(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs with cosine >= threshold, all compared. A product in single precision, which is off by less than the
+    rounding of each term and sum, says which ones to compare in double precision."""
+    least = np.float32(threshold - (x.shape[1] + 8) * 2.0**-22)
+    single, other = x.astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+    room = np.empty((min(len(x), _ROWS), len(y)), np.float32)
+    for a in range(0, len(x), _ROWS):
+        some = np.dot(single[a : a + _ROWS], other, out=room[: min(_ROWS, len(x) - a)])
+        rows = np.flatnonzero(some.max(1) >= least)
+        p, q = np.nonzero(some[rows] >= least)
+        p = rows[p] + a
+        for b in range(0, len(p), _PAIRS):
+            u, v = p[b : b + _PAIRS], q[b : b + _PAIRS]
+            near = np.einsum("nd,nd->n", x[u], y[v]) >= threshold
+            yield u[near], v[near]
+
+
 def _children(level: tuple[np.ndarray, np.ndarray, np.ndarray], nodes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Replaces nodes of the level above by their children; a node's children stand together."""
     parent = level[1]
@@ -219,7 +249,7 @@ def _links(nodes: DataFrame, size: int, block: int, threshold: float) -> DataFra
     names = sorted(cells)
     centres = _apart(pivots[names], pivots[names])
     radius = np.array([cells[c][0] for c in names])
-    near = np.argwhere(np.triu(centres <= radius[:, None] + radius + reach(threshold) + _SLACK))
+    near = np.triu(centres <= radius[:, None] + radius + reach(threshold) + _SLACK)
     parts = {c: cells[c][1] for c in names}
     part = F.create_map(*[F.lit(x) for c in names for x in (c, parts[c])])[F.col("cell")]
     blocked = placed.withColumn("block", F.concat_ws(".", "cell", F.pmod(F.xxhash64("node"), part)))
@@ -231,11 +261,13 @@ def _links(nodes: DataFrame, size: int, block: int, threshold: float) -> DataFra
         return pa.table({"block": table.column("block")[:1], "cell": table.column("cell")[:1], "data": pa.array([data], pa.binary())})
 
     packed = checkpointed(blocked.select("block", "cell", "node", "weight", "unit").groupBy("block").applyInArrow(pack, "block string, cell int, data binary"))
-    side = lambda s: packed.select(F.col("cell").alias(f"cell_{s}"), F.col("block").alias(f"block_{s}"))
-    pairs = spark.createDataFrame([(int(names[i]), int(names[j])) for i, j in near], "cell_a int, cell_b int")
-    meetings = pairs.join(side("a"), "cell_a").join(side("b"), "cell_b").where("cell_a <> cell_b or block_a <= block_b").select("block_a", "block_b")
-    data = lambda s: packed.select(F.col("block").alias(f"block_{s}"), F.col("data").alias(f"data_{s}"))
-    met = meetings.join(data("a"), "block_a").join(data("b"), "block_b").select(F.col("block_a") == F.col("block_b"), "data_a", "data_b")
+    partners = spark.createDataFrame([(c, [names[j] for j in np.flatnonzero(near[i])]) for i, c in enumerate(names)], "cell int, partners array<int>")
+    known = packed.join(F.broadcast(partners), "cell")
+    n = known.count()
+    stored = checkpointed(known.repartition(max(1, -(-n // _PART), min(n, spark.sparkContext.defaultParallelism))))
+    a, b = (stored.select(*[F.col(c).alias(f"{c}_{side}") for c in stored.columns]) for side in "ab")
+    wanted = F.array_contains("partners_a", F.col("cell_b")) & ((F.col("cell_a") != F.col("cell_b")) | (F.col("block_a") <= F.col("block_b")))
+    met = a.hint("shuffle_replicate_nl").crossJoin(b).where(wanted).select((F.col("block_a") == F.col("block_b")).alias("same"), "data_a", "data_b")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

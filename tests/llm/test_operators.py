@@ -335,6 +335,27 @@ def test_tight_groups_at_the_threshold():
     assert missing == 0
 
 
+def test_vectors_without_structure(spark):
+    """Random vectors with a few near ones: links as by brute force, and blocks stored once, not sent for each pair they meet."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(400, 64))
+    x[200:260] = x[:60] + r.normal(size=(60, 64)) * np.linspace(0.2, 0.45, 60)[:, None]
+    x = embeddings.unit(x)
+    cosines = x @ x.T
+    want = {(i, j) for i, j in np.argwhere(cosines >= 0.95).tolist()}
+    assert 400 + 40 < len(want) < 400 + 120
+    tree = embeddings.Tree(x)
+    assert len(tree.levels[0][0]) > 0.5 * len(x)
+    assert {(int(i), int(j)) for p, q in embeddings.linked(x, x, tree, tree) for i, j in zip(p, q, strict=True)} == want
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = embeddings.prepared(df).selectExpr("vec_id as node", "1L as weight", "unit")
+    found = embeddings._links(nodes, 64, 50, 0.95)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "MergeJoin" not in plan and "HashJoin" not in plan
+    counts = {k: n for k, n in found.where("peer is null").groupBy("node").sum("n").collect()}
+    assert counts == {i: n for i, n in enumerate(((cosines >= 0.95).sum(0) - 1).tolist()) if n}
+
+
 def test_language(spark, hard, hard_rows):
     profiles = langid.learn(hard)
     got = {r["doc_id"]: r["_p2"]["lang_pred"] for r in hard.withColumn("_p2", langid.predicted(profiles, hard["text"], spark)).collect()}
