@@ -4,11 +4,19 @@ Reads are packed where they lie into blocks of up to TILE, a row for each, and t
 few blocks meet in one task, which reads them from the store: what is written grows with the reads, not with the pairs, no
 task holds more than its two parts, and no row is made for a pair that isn't asked for. The work is that of all pairs,
 spread out.
+
+Pairs within a distance come from one matrix product for two blocks. A letter's
+bits, and the products of its bits, are signs, so that equal letters add 2^k - 1 and others -1; a number of the product
+holds the counts of equal places of several pairs side by side, each with a bit that is set from the count that is asked
+for. For a lower bound of distances two bits of a letter are enough, which some letters share; pairs that pass are counted
+in full. Where too many pass, all pairs are counted in full.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +32,12 @@ TILE = 4096
 _BLOCKS = 16
 #: Distances that are counted at once; few enough to stay in a processor's cache.
 _PIECE = 1 << 14
+#: Rows of a product made at once, so that it stays in a processor's cache.
+_HIGH = 192
+#: Share of a product's pairs that may pass to be counted one by one; beyond, counting all at once costs less.
+_PASSING = 1 / 16
+#: Most letters of a block whose places are counted.
+_LETTERS = 64
 
 
 def first_reads(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
@@ -31,11 +45,12 @@ def first_reads(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-_BLOCK = "size int, ords binary, letters array<int>, planes binary"
+_BLOCK = "size int, ords binary, letters array<int>, counts binary, planes binary"
 
 
-def _planes(texts: list[str], size: int) -> tuple[list[int], np.ndarray]:
-    """The letters of texts of one size, and bit k of the letters' numbers at [k, w], in words of 64 places, a word for each text."""
+def _planes(texts: list[str], size: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The letters of texts of one size, how often each stands at each place (if they are few), and bit k of the letters'
+    numbers at [k, w], in words of 64 places, a word for each text."""
     numbers = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), size)
     letters = np.unique(numbers).tolist()
     words = -(-size // 64)
@@ -44,7 +59,8 @@ def _planes(texts: list[str], size: int) -> tuple[list[int], np.ndarray]:
         bits = np.zeros((len(texts), 64 * words), bool)
         bits[:, :size] = numbers >> k & 1
         out[k] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T
-    return letters, out
+    counts = np.array([(numbers == x).sum(0) for x in letters] if len(letters) <= _LETTERS else [], np.int32)
+    return letters, counts, out
 
 
 def _telling(letters: set[int]) -> list[int]:
@@ -77,10 +93,10 @@ def _packed(df: DataFrame, order: str, tile: int) -> DataFrame:
         sizes = {len(s) for s in texts}
         if len(sizes) > 1:
             raise ValueError("reads differ in length")
-        letters, planes = _planes(texts, min(sizes))
-        values = (min(sizes), np.array(ords, np.int64).tobytes(), letters, planes.tobytes())
-        kinds = (pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["size", "ords", "letters", "planes"])
+        letters, counts, planes = _planes(texts, min(sizes))
+        values = (min(sizes), np.array(ords, np.int64).tobytes(), letters, counts.tobytes(), planes.tobytes())
+        kinds = (pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["size", "ords", "letters", "counts", "planes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ords, texts = [], []
@@ -103,46 +119,176 @@ def _parts(df: DataFrame, order: str, tile: int, least: int) -> DataFrame:
     return checkpointed(found.repartition(max(1, -(-n // _BLOCKS), min(n, least))))
 
 
-def _tiled(left: DataFrame, right: DataFrame, order: str, tile: int, reduce: Callable, schema: str, once: bool) -> DataFrame:
-    """reduce(pieces) of every two blocks; once: the sides are the same, and only i < j counts."""
-    b = _parts(right, order, tile, right.sparkSession.sparkContext.defaultParallelism)
-    a = b if once else _parts(left, order, tile, 1)
-    a, b = (x.select(*[F.col(c).alias(f"{c}_{side}") for c in x.columns]) for x, side in ((a, "a"), (b, "b")))
-    pairs = a.hint("shuffle_replicate_nl").crossJoin(b)
-    names = [f.split()[0] for f in schema.split(", ")]
+def _signs(planes: np.ndarray, places: int) -> np.ndarray:
+    """A row for each text, at each place a sign for each set of its bits but the empty one: the product of its bits' signs.
+    Rows multiply to 2^k - 1 for equal places, and -1 for others. A last column of 1 takes up what a product adds."""
+    k, _, n = planes.shape
+    bits = [1.0 - 2.0 * np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1, bitorder="little")[:, :places] for x in planes]
+    sets = [np.prod([bits[i] for i in some], axis=0) for size in range(1, k + 1) for some in combinations(range(k), size)]
+    return np.hstack([*sets, np.ones((n, 1))])
 
-    def block(row: dict, side: str, bits: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        ords, words = np.frombuffer(row[f"ords_{side}"], np.int64), -(-row[f"size_{side}"] // 64)
-        held = np.frombuffer(row[f"planes_{side}"], np.uint64).reshape(max(row[f"letters_{side}"], default=0).bit_length(), words, len(ords))
-        none = np.zeros(held.shape[1:], np.uint64)
-        return ords, np.array([held[k] if k < len(held) else none for k in bits], np.uint64).reshape(len(bits), words, len(ords))
 
-    def pieces(row: dict) -> Iterator[Piece]:
+class Fields:
+    """The other side of a product: several texts in a column, a field of bits for each. In the product, a field's highest bit
+    says that a pair has at least `need` equal places (far: different ones) of so many.
+
+    All sums on the way to a number are integers between -2^52 and 2^53, which a double holds exactly; as 2^52 is added, the
+    number is the last bits of the double.
+    """
+
+    def __init__(self, signs: np.ndarray, k: int, places: int, need: int, far: bool):
+        half = 1 << max(places - need, need - 1, 0).bit_length()
+        width, self.n = half.bit_length(), len(signs)
+        # A field, times 2^k: half a step up or down for each sign, and what makes a count of `need` half its range.
+        added = ((2**k - 1) * places if far else places) + 2**k * (half - need)
+        most = (2**k - 1) * places + abs(added)
+        fields = max(n for n in range(1, 52) if n == 1 or most * sum(1 << width * f for f in range(n)) < 2**52)
+        self.columns = -(-self.n // fields)
+        weights = 2.0 ** (width * np.arange(fields))
+        at = np.minimum(np.arange(fields * self.columns), self.n - 1)
+        table = np.tensordot(-weights if far else weights, signs[at].reshape(fields, self.columns, -1), 1).T
+        table[-1] = added * weights.sum() + 2.0**52
+        self.table = np.ascontiguousarray(table)
+        self.places = [np.uint64(width * (f + 1) - 1 + k) for f in range(fields)]
+        self.mask = np.uint64(sum(1 << int(x) for x in self.places))
+
+    def found(self, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Index pairs with the bit set; none where too many have it."""
+        found, n = [], 0
+        room = np.empty((min(len(signs), _HIGH), self.columns))
+        for x in range(0, len(signs), _HIGH):
+            bits = np.dot(signs[x : x + _HIGH], self.table, out=room[: min(_HIGH, len(signs) - x)]).view(np.uint64)
+            bits &= self.mask
+            at = np.flatnonzero(bits != 0)
+            found.append((at + x * self.columns, bits.ravel()[at]))
+            n += int(np.bitwise_count(found[-1][1]).sum())
+            if n > _PASSING * (x + len(bits)) * self.n:
+                return None
+        at, bits = (np.concatenate(c) for c in zip(*found, strict=True))
+        x, y = np.divmod(at, self.columns)
+        out = []
+        for f, place in enumerate(self.places):
+            own = (bits >> place & np.uint64(1) != 0) & (y + f * self.columns < self.n)
+            out.append((x[own], y[own] + f * self.columns))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+class Meeting:
+    """Two blocks: the keys i and j of their texts, the planes p and q of the bits that tell their letters apart."""
+
+    def __init__(self, row: dict, once: bool, kept: dict):
         if row["size_a"] != row["size_b"]:
             raise ValueError("reads differ in length")
-        bits = _telling({*row["letters_a"], *row["letters_b"]})
-        (i, p), (j, q) = block(row, "a", bits), block(row, "b", bits)
-        same = once and row["number_a"] == row["number_b"]
-        met = np.isin(i, j)
-        wide = min(len(j), _PIECE)
+        self.size, self.kept = row["size_a"], kept
+        self.numbers = row["number_a"], row["number_b"]
+        self.same = once and row["number_a"] == row["number_b"]
+        self.letters = row["letters_a"], row["letters_b"]
+        self.counts = [np.frombuffer(row[f"counts_{s}"], np.int32).reshape(-1, self.size) if self.size else None for s in "ab"]
+        self.bits = _telling({*row["letters_a"], *row["letters_b"]})
+        (self.i, self.p), (self.j, self.q) = (self._block(row, s) for s in "ab")
+
+    def _block(self, row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
+        ords, words = np.frombuffer(row[f"ords_{side}"], np.int64), -(-self.size // 64)
+        held = np.frombuffer(row[f"planes_{side}"], np.uint64).reshape(max(row[f"letters_{side}"], default=0).bit_length(), words, len(ords))
+        none = np.zeros(held.shape[1:], np.uint64)
+        return ords, np.array([held[k] if k < len(held) else none for k in self.bits], np.uint64).reshape(len(self.bits), words, len(ords))
+
+    def wanted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which index pairs count."""
+        return self.i[x] < self.j[y] if self.same else self.i[x] != self.j[y]
+
+    def pieces(self) -> Iterator[Piece]:
+        """All pairs."""
+        met = np.isin(self.i, self.j)
+        wide = min(len(self.j), _PIECE)
         high = _PIECE // wide
         room = np.empty((2, high, wide), np.uint64)
-        for x in range(0, len(i), high):
-            low = i[x : x + high, None]
-            for y in range(0, len(j), wide):
-                other = j[None, y : y + wide]
-                wanted = low < other if same else low != other if met[x : x + high].any() else None
-                yield low[:, 0], other[0], _apart(p[:, :, x : x + high], q[:, :, y : y + wide], row["size_a"], room), wanted
+        for x in range(0, len(self.i), high):
+            low = self.i[x : x + high, None]
+            for y in range(0, len(self.j), wide):
+                other = self.j[None, y : y + wide]
+                wanted = low < other if self.same else low != other if met[x : x + high].any() else None
+                yield low[:, 0], other[0], _apart(self.p[:, :, x : x + high], self.q[:, :, y : y + wide], self.size, room), wanted
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Distances of index pairs."""
+        out = np.zeros(len(x), np.int64)
+        for w in range(self.p.shape[1]):
+            differs = np.zeros(len(x), np.uint64)
+            for a, b in zip(self.p, self.q, strict=True):
+                differs |= a[w][x] ^ b[w][y]
+            out += np.bitwise_count(differs)
+        return out
+
+    def _held(self, key: tuple, make: Callable) -> np.ndarray | Fields:
+        """What several meetings of a task ask for."""
+        if key not in self.kept:
+            if len(self.kept) > 2 * _BLOCKS:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[key] = make()
+        return self.kept[key]
+
+    def _scanned(self, chosen: list[int], places: int, need: int, far: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        at, key = [self.bits.index(k) for k in chosen], (tuple(chosen), places)
+        a = self._held(("a", self.numbers[0], *key), lambda: _signs(self.p[at], places))
+        b = self._held(("b", self.numbers[1], *key, need, far), lambda: Fields(_signs(self.q[at], places), len(chosen), places, need, far))
+        return b.found(a)
+
+    def _coarse(self) -> tuple[list[int], float]:
+        """Two bits by which letters, as often as they are there, look equal the least, and the share of pairs that do."""
+        often = Counter()
+        for letters, counts in zip(self.letters, self.counts, strict=True):
+            often.update(dict(zip(letters, counts.sum(1).tolist(), strict=True)) if len(counts) else dict.fromkeys(letters, 1))
+
+        def alike(bits: tuple[int, ...]) -> float:
+            groups = Counter()
+            for x, n in often.items():
+                groups[tuple(x >> k & 1 for k in bits)] += n
+            return sum(n * n for n in groups.values()) / often.total() ** 2
+
+        best = min(combinations(self.bits, 2), key=alike) if len(self.bits) > 2 else tuple(self.bits)
+        return list(best), alike(best)
+
+    def within(self, most: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Index pairs that count and have at most so large a distance, with it; none where a product doesn't tell. Short:
+        the first places may tell already, which is so where few pairs are expected."""
+        if not self.bits:
+            return None
+        chosen, alike = self._coarse()
+        enough = [p for p in range(8, self.size, 4) if p - most >= alike * p + 3.5 * (p * alike * (1 - alike)) ** 0.5] if short else []
+        for places in (*enough[:1], self.size):
+            found = self._scanned(chosen, places, places - most, False) if places > most else None
+            if found is not None:
+                d = self.apart(*found)
+                kept = (d <= most) & self.wanted(*found)
+                return found[0][kept], found[1][kept], d[kept]
+        return None
+
+
+def _sides(left: DataFrame, right: DataFrame, order: str, tile: int, once: bool) -> tuple[DataFrame, DataFrame]:
+    b = _parts(right, order, tile, right.sparkSession.sparkContext.defaultParallelism)
+    a = b if once else _parts(left, order, tile, 1)
+    return tuple(x.select(*[F.col(c).alias(f"{c}_{side}") for c in x.columns]) for x, side in ((a, "a"), (b, "b")))
+
+
+def _met(pairs: DataFrame, reducer: Callable, schema: str, once: bool) -> DataFrame:
+    """reducer()(meeting) of every two blocks, one reducer for a task; once: the sides are the same, and only i < j counts."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reduce, kept = reducer(), {}
         for batch in batches:
             for k in range(batch.num_rows):
-                for columns in reduce(pieces(batch.slice(k, 1).to_pylist()[0])):
+                for columns in reduce(Meeting(batch.slice(k, 1).to_pylist()[0], once, kept)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     return (pairs.where("number_a <= number_b") if once else pairs).mapInArrow(run, schema)
 
 
+def _crossed(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.hint("shuffle_replicate_nl").crossJoin(b)
+
+
 #: Keys of some reads of each side, their distances, and which of them count (None: all).
 Piece = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]
 #: Rows made at once.
@@ -150,9 +296,15 @@ _ROWS = 1 << 20
 
 
 def _listed(most: int | None, swap: bool) -> Callable:
-    def run(pieces: Iterator[Piece]) -> Iterator[tuple[np.ndarray, ...]]:
+    def run(two: Meeting) -> Iterator[tuple[np.ndarray, ...]]:
+        known = None if most is None else two.within(most)
+        if known is not None:
+            for at in range(0, len(known[0]), _ROWS):
+                x, y, d = (c[at : at + _ROWS] for c in known)
+                yield _joined([(two.i[x], two.j[y], d)], swap)
+            return
         held, n = [], 0
-        for i, j, d, wanted in pieces:
+        for i, j, d, wanted in two.pieces():
             kept = np.ones(d.shape, bool) if most is None else d <= most
             at = np.flatnonzero(kept if wanted is None else kept & wanted)
             if len(at):
@@ -165,7 +317,7 @@ def _listed(most: int | None, swap: bool) -> Callable:
         if held:
             yield _joined(held, swap)
 
-    return run
+    return lambda: run
 
 
 def _joined(held: list[tuple[np.ndarray, ...]], swap: bool) -> tuple[np.ndarray, ...]:
@@ -173,10 +325,10 @@ def _joined(held: list[tuple[np.ndarray, ...]], swap: bool) -> tuple[np.ndarray,
     return (np.minimum(i, j), np.maximum(i, j), d) if swap else (i, j, d)
 
 
-def _summed(pieces: Iterator[Piece]) -> Iterator[tuple[list[int], ...]]:
-    """One row for two blocks: pairs, the sum of their distances, the least and the greatest."""
+def _counted(two: Meeting) -> Iterator[tuple[list[int], ...]]:
+    """One row for two blocks: pairs, the sum of their distances, the least and the greatest, all pairs counted."""
     n, total, low, high = 0, 0, None, None
-    for _, _, d, wanted in pieces:
+    for _, _, d, wanted in two.pieces():
         some = d if wanted is None else d[wanted]
         if some.size:
             n, total = n + some.size, total + int(some.sum(dtype=np.int64))
@@ -191,18 +343,19 @@ _PAIRS, _TOTALS = "i long, j long, distance long", "n long, total long, low long
 
 def hamming_distance(df: DataFrame, order: str = "ord", most: int | None = None, tile: int = TILE) -> DataFrame:
     """(i, j, distance) for i < j, all pairs or those within a distance; reads of different lengths are an error."""
-    return _tiled(df, df, order, tile, _listed(most, True), _PAIRS, True)
+    return _met(_crossed(*_sides(df, df, order, tile, True)), _listed(most, True), _PAIRS, True)
 
 
 def hamming_search(queries: DataFrame, df: DataFrame, most: int | None = None, order: str = "ord", tile: int = TILE) -> DataFrame:
     """(i, j, distance) of every query i and every other read j within a distance."""
-    return _tiled(queries, df, order, tile, _listed(most, False), _PAIRS, False)
+    return _met(_crossed(*_sides(queries, df, order, tile, False)), _listed(most, False), _PAIRS, False)
 
 
 def hamming_summary(df: DataFrame, queries: DataFrame | None = None, order: str = "ord", tile: int = TILE) -> DataFrame:
     """Number, least, greatest and mean distance of all pairs, or of queries with all other reads; a row for each two
     blocks is all that is summed up. Mean 0.0 and null bounds without pairs."""
-    parts = _tiled(df if queries is None else queries, df, order, tile, _summed, _TOTALS, queries is None)
+    once = queries is None
+    parts = _met(_crossed(*_sides(df if once else queries, df, order, tile, once)), lambda: _counted, _TOTALS, once)
     t = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_pairs"), F.min("low").alias("min_distance"), F.max("high").alias("max_distance"), F.sum("total").alias("_total"))
     return t.select("num_pairs", "min_distance", "max_distance", S.mean(F.col("_total"), F.col("num_pairs")).alias("mean_distance"))
 

@@ -217,6 +217,45 @@ def test_distances_of_other_reads(spark):
             assert tuple(got.first()) == (len(d), min(d), max(d), sum(d) / len(d))
 
 
+def _blocks(r, size: int, letters: str, n: int, near: int) -> tuple[dict, object]:
+    """Two blocks as they are stored, some keys in both, some texts near copies, and the distances of all their pairs."""
+    import numpy as np
+
+    texts = [["".join(r.choice(letters) for _ in range(size)) for _ in range(n)] for _ in "ab"]
+    for k in range(near):
+        texts[1][k] = "".join(r.choice(letters) if r.random() < k / near else x for x in texts[0][k])
+    row = {}
+    for side, own, first in zip("ab", texts, (0, n // 2), strict=True):
+        found, counts, planes = pairwise._planes(own, size)
+        values = {"size": size, "number": ord(side), "ords": np.arange(first, first + n).tobytes(), "letters": found, "counts": counts.tobytes(), "planes": planes.tobytes()}
+        row |= {f"{k}_{side}": v for k, v in values.items()}
+    a, b = (np.array([list(t) for t in own]) for own in texts)
+    return row, (a[:, None] != b[None]).sum(2)
+
+
+def test_distances_by_product(monkeypatch):
+    """A product of signs finds the pairs within a distance without counting all pairs, and misses none."""
+    import random
+
+    import numpy as np
+
+    def never(*_):
+        raise AssertionError("all pairs counted")
+
+    monkeypatch.setattr(pairwise, "_apart", never)
+    r = random.Random(8)
+    for size, letters, most in ((64, "ACGTACGTACGTACGN", 36), (64, "ACGT", 36), (41, "ACGTN", 0), (130, "ACGTNacgtn", 70), (300, "AC", 120), (7, "ACGT", 2), (64, "Aé漢😀", 33)):
+        row, d = _blocks(r, size, letters, 301, 60)
+        i, j = np.arange(301)[:, None], np.arange(150, 451)[None]
+        want = sorted((int(x), int(y) + 150, int(d[x, y])) for x, y in np.argwhere((d <= most) & (i != j)))
+        got = [k for columns in pairwise._listed(most, False)()(pairwise.Meeting(row, False, {})) for k in zip(*map(np.ndarray.tolist, columns), strict=True)]
+        assert sorted(got) == want and len(want) > 0
+    monkeypatch.undo()
+    row, d = _blocks(r, 64, "ACGT", 200, 200)
+    got = [c for columns in pairwise._listed(63, False)()(pairwise.Meeting(row, False, {})) for c in zip(*map(np.ndarray.tolist, columns), strict=True)]
+    assert len(got) == sum(int(d[x, y]) <= 63 for x in range(200) for y in range(200) if x != y + 100)  # nearly all pairs: counted in full
+
+
 def test_two_bit(reads):
     enc = reads(["TGCAG", "tnW", "", "G"]).select("id", P.encode(F.col("sequence")).alias("p"))
     got = {r["id"]: r for r in enc.select("id", "p.data", P.decode(F.col("p")).alias("s"), P.get(F.col("p"), F.lit(4)).alias("g"), P.decode(P.reverse_complement(F.col("p"))).alias("rc")).collect()}
