@@ -5,11 +5,12 @@ few blocks meet in one task, which reads them from the store: what is written gr
 task holds more than its two parts, and no row is made for a pair that isn't asked for. The work is that of all pairs,
 spread out.
 
-Pairs within a distance come from one matrix product for two blocks. A letter's
+Pairs within a distance, and the least and the greatest distance, come from one matrix product for two blocks. A letter's
 bits, and the products of its bits, are signs, so that equal letters add 2^k - 1 and others -1; a number of the product
 holds the counts of equal places of several pairs side by side, each with a bit that is set from the count that is asked
 for. For a lower bound of distances two bits of a letter are enough, which some letters share; pairs that pass are counted
-in full. Where too many pass, all pairs are counted in full.
+in full. Where too many pass, all pairs are counted in full. How many pairs there are and the sum of their distances need
+no pairs: they come from counts of letters at places.
 """
 
 from __future__ import annotations
@@ -36,8 +37,12 @@ _PIECE = 1 << 14
 _HIGH = 192
 #: Share of a product's pairs that may pass to be counted one by one; beyond, counting all at once costs less.
 _PASSING = 1 / 16
-#: Most letters of a block whose places are counted.
-_LETTERS = 64
+#: Most bits of a letter in a product, which has 2^k - 1 signs for each place.
+_BITS = 3
+#: Letters of a block whose places are counted, and pairs of equal keys between two blocks that are taken off sums.
+_LETTERS, _EQUAL = 64, 1 << 20
+#: Pairs of blocks from which the search for the least and the greatest distance starts.
+_STARTS = (4, 64)
 
 
 def first_reads(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
@@ -256,14 +261,43 @@ class Meeting:
             return None
         chosen, alike = self._coarse()
         enough = [p for p in range(8, self.size, 4) if p - most >= alike * p + 3.5 * (p * alike * (1 - alike)) ** 0.5] if short else []
-        for places in (*enough[:1], self.size):
-            found = self._scanned(chosen, places, places - most, False) if places > most else None
+        tries = [(chosen, p) for p in (*enough[:1], self.size)] + [(self.bits, self.size)] * (2 < len(self.bits) <= _BITS)
+        for bits, places in tries:
+            found = self._scanned(bits, places, places - most, False) if places > most else None
             if found is not None:
                 d = self.apart(*found)
                 kept = (d <= most) & self.wanted(*found)
                 return found[0][kept], found[1][kept], d[kept]
         return None
 
+    def beyond(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Index pairs that count and have at least so large a distance, with it; none where a product doesn't tell."""
+        if not 0 < len(self.bits) <= _BITS or not 0 < least <= self.size:
+            return None
+        found = self._scanned(self.bits, self.size, least, True)
+        if found is None:
+            return None
+        kept = self.wanted(*found)
+        x, y = found[0][kept], found[1][kept]
+        return x, y, self.apart(x, y)
+
+    def totals(self) -> tuple[int, int] | None:
+        """The number of pairs that count and the sum of their distances, from counts of letters at places; none where
+        letters are many or keys repeat a lot."""
+        if not self.size or not all(map(len, self.counts)):
+            return None
+        order = np.argsort(self.j, kind="stable")
+        first, last = (np.searchsorted(self.j[order], self.i, side) for side in ("left", "right"))
+        if (last - first).sum() > _EQUAL:
+            return None
+        x = np.repeat(np.arange(len(self.i)), last - first)
+        y = order[np.arange(len(x)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + np.repeat(first, last - first)]
+        b = dict(zip(self.letters[1], self.counts[1].astype(np.int64), strict=True))
+        equal = sum(int(c.astype(np.int64) @ b[k]) for k, c in zip(self.letters[0], self.counts[0], strict=True) if k in b)
+        n = len(self.i) * len(self.j)
+        n, total = n - len(x), n * self.size - equal - int(self.apart(x, y).sum())
+        return (n // 2, total // 2) if self.same else (n, total)
+
 
 def _sides(left: DataFrame, right: DataFrame, order: str, tile: int, once: bool) -> tuple[DataFrame, DataFrame]:
     b = _parts(right, order, tile, right.sparkSession.sparkContext.defaultParallelism)
@@ -338,6 +372,49 @@ def _counted(two: Meeting) -> Iterator[tuple[list[int], ...]]:
         yield [n], [total], [low], [high]
 
 
+def _summed(low: int | None, high: int | None) -> Callable:
+    """As _counted, but distances of pairs are looked for only below the least and above the greatest one that the task knows,
+    so a row's bounds are those of some pairs that include all such."""
+
+    def reducer() -> Callable:
+        bounds = [low, high]
+
+        def run(two: Meeting) -> Iterator[tuple[list[int], ...]]:
+            known = two.totals() if bounds[0] is not None else None
+            near = two.within(bounds[0] - 1, True) if known and bounds[0] > 0 else ()
+            far = two.beyond(bounds[1] + 1) if known and near is not None and bounds[1] < two.size else ()
+            if known is None or near is None or far is None:
+                rows = list(_counted(two))
+                for _, _, a, b in rows:
+                    bounds[:] = (a[0], b[0]) if bounds[0] is None else (min(bounds[0], a[0]), max(bounds[1], b[0]))
+                yield from rows
+                return
+            if near and len(near[2]):
+                bounds[0] = int(near[2].min())
+            if far and len(far[2]):
+                bounds[1] = int(far[2].max())
+            if known[0]:
+                yield [known[0]], [known[1]], [bounds[0]], [bounds[1]]
+
+        return run
+
+    return reducer
+
+
+def _started(a: DataFrame, b: DataFrame, once: bool) -> tuple[int | None, int | None]:
+    """The least and the greatest distance of some pairs of blocks; more of them as long as no pair differs at all places."""
+    low = high = None
+    n = b.count()
+    for most in _STARTS:
+        if n <= most:
+            break
+        some = _crossed(a.limit(1), b.limit(most)).repartition(most)
+        low, high, size = _met(some, lambda: _counted, _TOTALS, once).agg(F.min("low"), F.max("high")).crossJoin(b.agg(F.max("size_b"))).first()
+        if high == size:
+            break
+    return low, high
+
+
 _PAIRS, _TOTALS = "i long, j long, distance long", "n long, total long, low long, high long"
 
 
@@ -355,7 +432,8 @@ def hamming_summary(df: DataFrame, queries: DataFrame | None = None, order: str
     """Number, least, greatest and mean distance of all pairs, or of queries with all other reads; a row for each two
     blocks is all that is summed up. Mean 0.0 and null bounds without pairs."""
     once = queries is None
-    parts = _met(_crossed(*_sides(df if once else queries, df, order, tile, once)), lambda: _counted, _TOTALS, once)
+    sides = _sides(df if once else queries, df, order, tile, once)
+    parts = _met(_crossed(*sides), _summed(*_started(*sides, once)), _TOTALS, once)
     t = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_pairs"), F.min("low").alias("min_distance"), F.max("high").alias("max_distance"), F.sum("total").alias("_total"))
     return t.select("num_pairs", "min_distance", "max_distance", S.mean(F.col("_total"), F.col("num_pairs")).alias("mean_distance"))
 

@@ -256,6 +256,29 @@ def test_distances_by_product(monkeypatch):
     assert len(got) == sum(int(d[x, y]) <= 63 for x in range(200) for y in range(200) if x != y + 100)  # nearly all pairs: counted in full
 
 
+def test_distance_bounds_by_product(monkeypatch):
+    """Number and sum of distances come from counts of letters, the least and the greatest from products where a first bound is known."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    for size, letters, copies in ((64, "ACGTACGTACGTACGN", 0), (64, "ACGTN", 40), (130, "ACGTN", 10), (48, "ACGT", 0)):
+        row, d = _blocks(r, size, letters, 301, copies)
+        own = d[np.arange(301)[:, None] != np.arange(150, 451)[None]]
+        low, high = int(own.min()) + 1, int(own.max()) - 1
+        assert pairwise.Meeting(row, False, {}).totals() == (own.size, int(own.sum()))
+        with monkeypatch.context() as patch:
+            patch.setattr(pairwise, "_apart", None)
+            got = list(pairwise._summed(low, high)()(pairwise.Meeting(row, False, {})))
+        assert got == [([own.size], [int(own.sum())], [int(own.min())], [int(own.max())])]
+        assert list(pairwise._summed(None, None)()(pairwise.Meeting(row, False, {}))) == got
+        assert list(pairwise._summed(0, size)()(pairwise.Meeting(row, False, {}))) == [([own.size], [int(own.sum())], [0], [size])]
+        same = row | {f"{k}_b": row[f"{k}_a"] for k in ("number", "ords", "letters", "counts", "planes")}
+        (counted,) = pairwise._counted(pairwise.Meeting(same, True, {}))
+        assert pairwise.Meeting(same, True, {}).totals() == (counted[0][0], counted[1][0])
+
+
 def test_two_bit(reads):
     enc = reads(["TGCAG", "tnW", "", "G"]).select("id", P.encode(F.col("sequence")).alias("p"))
     got = {r["id"]: r for r in enc.select("id", "p.data", P.decode(F.col("p")).alias("s"), P.get(F.col("p"), F.lit(4)).alias("g"), P.decode(P.reverse_complement(F.col("p"))).alias("rc")).collect()}
