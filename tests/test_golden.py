@@ -447,3 +447,34 @@ def test_boosting_over_cells(spark):
     kept = models._dealt(df, ["x", "z"], "y", 5, 42)
     assert kept.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism and kept.where("_fold between 0 and 4").count() == 400
     kept.unpersist()
+
+
+def test_fits_over_cells(spark, monkeypatch):
+    """Every fit of a comparison sees a row for each cell, and its scores are those of the rows; a forest's bootstraps are of rows."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from strandlake.operators import models
+
+    sizes = []
+
+    class Forest(models.RandomForestRegressor):
+        def fit(self, dataset, params=None):
+            sizes.append(dataset.count())
+            return super().fit(dataset, params)
+
+    rows = [(float(i % 7), float(i % 3), 1000.0 + float(i % 7 > 3) * 10 + i * i % 11) for i in range(2000)]
+    df = spark.createDataFrame(rows, "x double, z double, y double").repartition(2)
+    monkeypatch.setattr(models, "RandomForestRegressor", Forest)
+    got = {r["kind"]: r for r in models.compared(df, ["x", "z"], "y", 2).collect()}
+    assert len(sizes) == 3 * 20 and max(sizes) <= 21, sizes
+    monkeypatch.undo()
+    for kind, off in (("linear", 1e-9), ("quadratic", 1e-9), ("gradient_boosting", 1e-6), ("random_forest", 0.05)):
+        predictions = models.regression(kind, ["x", "z"], "y").fit(df).transform(df)
+        r2, mae = (RegressionEvaluator(labelCol="y", metricName=m).evaluate(predictions) for m in ("r2", "mae"))
+        assert abs(got[kind]["r2"] - r2) < off and abs(got[kind]["mae"] - mae) < 10 * off and abs(got[kind]["cv_r2"] - r2) < 0.1, (kind, r2, mae, got[kind])
+    cells = models._cells(models._folded(df, 2, 1), ["x", "z"], "y", 1000.0, 8, 1).collect()
+    assert sum(r["_n"] for r in cells) == 2000 and abs(sum(r["_s"] for r in cells) - sum(y - 1000 for *_, y in rows)) < 1e-6
+    off = [(r[f"_w{t}"] - r["_n"]) / r["_n"] ** 0.5 for r in cells for t in range(8)]
+    assert abs(sum(off) / len(off)) < 0.3 and 0.7 < sum(x * x for x in off) / len(off) < 1.3  # a Poisson's variance is its mean
+    with pytest.raises(Exception, match="is null"):
+        models.compared(df.union(spark.createDataFrame([(1.0, None, 2.0)], df.schema)), ["x", "z"], "y", 2)
